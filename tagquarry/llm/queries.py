@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup
-from .common import sha256_text, table
+from . import chat, exact_dedup, line_dedup, pieces, tokenfile
+from .common import checkpoint_dir, sha256_text, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +31,35 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode_and_decode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256_text(pieces.joined_ids("ids")).alias("ids_sha256"),
+        sha256_text("decoded").alias("decoded_sha256"),
+    )
+
+
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return tokenfile.document_digests(tokenfile.read_token_file(spark, path))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_token_file": op8_token_file,
 }
 
 OP1_SQL = r"""
