@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, pieces, tokenfile
+from . import chat, exact_dedup, jaccard, line_dedup, pieces, tokenfile
 from .common import checkpoint_dir, sha256_text, table
 
 
@@ -27,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_file": op8_token_file,
