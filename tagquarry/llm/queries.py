@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard, line_dedup, pieces, tokenfile
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, pieces, tokenfile, toxicity
 from .common import checkpoint_dir, sha256_text, table
 
 
@@ -58,6 +58,21 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.document_digests(tokenfile.read_token_file(spark, path))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.expr("crc32(CAST(doc_id AS STRING)) % 5 = 0").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
@@ -65,6 +80,8 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_file": op8_token_file,
+    "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 OP1_SQL = r"""
