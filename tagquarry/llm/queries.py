@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard, line_dedup, mixing, pieces, tokenfile, toxicity
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, pieces, tokenfile, topk, toxicity, urls
 from .common import checkpoint_dir, sha256_text, table
 
 
@@ -31,6 +31,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return topk.top_k(rows, rows.where("id % 50 = 0"), k=10)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"))
 
@@ -61,7 +71,7 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select(
+    return docs.withColumn("score", toxicity.scorer(spark, model)("text")).select(
         "doc_id",
         F.expr("crc32(CAST(doc_id AS STRING)) % 5 = 0").alias("held_out"),
         "score",
@@ -77,6 +87,8 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_top_k": op4_top_k,
+    "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_file": op8_token_file,
@@ -132,4 +144,14 @@ w AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
-SQL = {"op1_chat_formatting": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+OP4_SQL = """
+WITH c AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
+d AS (
+  SELECT q.id AS query_id, r.id, CAST(list_sum(list_transform(range(1, len(q.b) + 1), lambda i: CASE WHEN q.b[i] <> r.b[i] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+  FROM c q JOIN c r ON q.id <> r.id WHERE q.id % 50 = 0
+)
+SELECT query_id, id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank
+FROM d QUALIFY rank <= 10
+"""
+
+SQL = {"op4_top_k": OP4_SQL, "op1_chat_formatting": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}

@@ -217,9 +217,9 @@ def learn(documents: DataFrame, labels: DataFrame) -> tuple[dict[str, float], li
     return lexicon, weights
 
 
-def score(documents: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataFrame:
-    """documents with `score` double (0 to 1)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def scorer(spark, model: tuple[dict[str, float], list[float]]):
+    """A column function: the score of a text, 0 to 1."""
+    shared = spark.sparkContext.broadcast(model)
     grammars: dict = {}
 
     @F.pandas_udf("double")
@@ -229,4 +229,4 @@ def score(documents: DataFrame, model: tuple[dict[str, float], list[float]]) ->
         x = np.array([grammar.features(t) for t in texts]).reshape(-1, 3)
         return pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ np.array(w[1:]), -30, 30))))
 
-    return documents.withColumn("score", toxic("text"))
+    return toxic
