@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, sha256_text
+from .common import WS, materialize, sha256_text
 
 #: 2^27 bits: 16 MiB, the most that is ever broadcast.
 MAX_FILTER_BITS = 1 << 27
@@ -84,7 +84,7 @@ def dedup_exact(documents: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, k:
         squeezed_text.alias("squeezed"),
     ).select("doc_id", "len", F.xxhash64("squeezed").alias("h"), sha256_text("squeezed").alias("text_sha256"))
     test = possibly_repeated(spark, bitmap, k)
-    seen = seen.withColumn("maybe", test(positions(F.col("h"), bits, k)))
+    seen = materialize(seen.withColumn("maybe", test(positions(F.col("h"), bits, k))).drop("h"))
     alone = seen.where("NOT maybe").select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
@@ -92,10 +92,13 @@ def dedup_exact(documents: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, k:
         F.lit(True).alias("kept"),
         "text_sha256",
     )
-    same = seen.where("maybe").groupBy("text_sha256", "doc_id", "len").agg(F.count("*").alias("n"))
+    same = materialize(seen.where("maybe").groupBy("text_sha256", "doc_id", "len").agg(F.count("*").alias("n")))
     order = F.struct("len", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("first"))
-    groups = same.groupBy("text_sha256").agg(
-        F.max(F.struct(order.alias("order"), "doc_id")).alias("best"), F.sum("n").alias("group_size")
+    # Written first, so that the join below reads plain shuffles, which Spark splits where one text is hot.
+    groups = materialize(
+        same.groupBy("text_sha256").agg(
+            F.max(F.struct(order.alias("order"), "doc_id")).alias("best"), F.sum("n").alias("group_size")
+        )
     )
     shuffled = (
         same.join(groups, "text_sha256")
