@@ -810,7 +810,7 @@ def m4_continue_boosting(s, d):
 
 @query(sql("tags", """, w AS (SELECT instance_id, tag, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY instance_id)) AS x FROM tags),
 y AS (SELECT a.doc_id AS instance_id, b.lang AS label, CASE WHEN a.lang = b.lang THEN 0.0 ELSE 1.0 END AS y FROM documents a CROSS JOIN (SELECT DISTINCT lang FROM documents) b)
-SELECT label, count(DISTINCT tag) AS n_slots, round(sum(0.5::DOUBLE * y * x), 6) AS total FROM w JOIN y USING (instance_id) GROUP BY 1""").replace("\n,", ",", 1))
+SELECT label, count(*) AS n_slots, round(sum(v), 6) AS total FROM (SELECT label, tag, 0.5::DOUBLE * sum(y * x) / sum(x) AS v FROM w JOIN y USING (instance_id) GROUP BY 1, 2) GROUP BY 1""").replace("\n,", ",", 1))
 def m8_cost_round(s, d):
     own, _ = _few(s, d)
     x = train.hashed_features(fx.instance_tag(s, d), 40)  # wide enough that no two tags share a slot here
@@ -909,13 +909,13 @@ def s14_metric_lines(s, d):
     return found.groupBy("run", "series").agg(F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("SELECT DISTINCT user_id AS run FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+@query("SELECT DISTINCT user_id AS run FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND user_id % 3 = 0)")
 def s14_missing_runs(s, d):
     rows = table(s, d, "events").select(F.col("user_id").alias("run"), "event_type")
-    return files.missing_runs(rows, rows.where("event_type = 'click'"))
+    return files.missing_runs(rows, rows.where("event_type = 'click' AND run % 3 = 0"))
 
 
-@query("SELECT count(*) AS n, round(sum(w), 4) AS total, count(*) FILTER (w > 0) AS positives FROM (SELECT p_name AS feature, p_size - 25 AS w FROM part WHERE p_partkey % 2 = 1) WHERE contains(feature, 'a') OR contains(feature, 'green')")
+@query("SELECT count(*) AS n, CAST(sum(w) AS DOUBLE) AS total, count(*) FILTER (w > 0) AS positives FROM (SELECT p_name AS feature, p_size - 25 AS w FROM part WHERE p_partkey % 2 = 1) WHERE contains(feature, 'a') OR contains(feature, 'green')")
 def s15_readable_weights(s, d):
     line = F.concat("p_name", F.lit("["), (F.col("p_partkey") % 2).cast("string"), F.lit("]:"), (F.col("p_size") - 25).cast("string"))
     asked = s.createDataFrame([("a",), ("green",)], "tag string")
