@@ -19,18 +19,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import batch_sets, mix
+
 #: Most labelled documents that the lexicon and the logistic weights are learned from.
 MAX_LABELLED = 12_000
 #: Most entries of the learned lexicon.
 MAX_LEXICON = 4_000
 STEMS = (4, 5, 6)
+#: Expected number of lexicon entries that are there by chance.
+CHANCE = 0.02
 
 # Fixed values of the grammar: word classes, scopes in words, and factors.
 SEEDS = {w: 3.0 for w in "idiot moron stupid loser scum pathetic worthless disgusting".split()}
@@ -86,7 +90,7 @@ class Grammar:
         """The weight of a lower-case word."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             lex = self.lexicon
             found = lex.get(word) or max((lex.get(word[:n] + "*", 0.0) for n in STEMS if len(word) >= n), default=0.0)
@@ -138,7 +142,7 @@ def _counts(batches):
                 c = seen.setdefault(f, [0, 0])
                 c[0] += 1
                 c[1] += toxic
-            if len(seen) > 400_000:
+            if len(seen) > 150_000:
                 yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["feature", "n", "pos"])
                 seen = {}
     yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["feature", "n", "pos"])
@@ -151,7 +155,30 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_LABEL
     share = min(1.0, most / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # The sample is bounded by `most`, whatever the size of the tables.
-    return documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
+    rows = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    return rows.join(F.broadcast(distinct_rows(rows)), "doc_id").select("text", "toxic")
+
+
+def _signatures(batches):
+    for batch in batches:
+        rows = []
+        for s in batch_sets(batch.column(1)):
+            rows.append([int(mix(s ^ np.uint64(i)).view(np.int64).min()) if len(s) else i for i in range(1, 5)])
+        m = np.array(rows, np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[:, i]) for i in range(4))], names=["doc_id", "m0", "m1", "m2", "m3"])
+
+
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id): one of each group that shares a min-hash of its shingles.
+
+    Else the words of a document with many copies would look like a sign of its label. rows is the
+    bounded sample, so that its signatures fit the driver.
+    """
+    signed = rows.mapInArrow(_signatures, "doc_id long, m0 long, m1 long, m2 long, m3 long").toPandas().sort_values("doc_id")
+    for m in ("m0", "m1", "m2", "m3"):
+        signed = signed.drop_duplicates(m)
+    ids = [(int(i),) for i in signed["doc_id"].drop_duplicates()]
+    return rows.sparkSession.createDataFrame(ids, "doc_id long")
 
 
 def learn_lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> dict[str, float]:
@@ -173,7 +200,7 @@ def learn_lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> dict[str, float]:
     surprise = F.col("n") * (log(share, F.lit(base)) + log(1 - share, F.lit(1 - base)))
     weight = F.log((F.col("pos") + 0.1) / (whole.pos + 0.2)) - F.log((F.col("n") - F.col("pos") + 0.1) / (whole.n - whole.pos + 0.2))
     found = (
-        counts.where((share >= 0.8) & (surprise > math.log(max(features, 1) / 0.05)))
+        counts.where((share >= 0.8) & (surprise > math.log(max(features, 1) / CHANCE)))
         .select("feature", weight.alias("w"))
         .orderBy(F.desc("w"), "feature")
         .limit(most)
