@@ -53,11 +53,18 @@ def extract_tags(
     """
     tokens = clean_tokens(drop_stop_tokens(tokenize_paths(changes), stop_tokens))
     counted = tokens.groupBy("changeset_id", "token").agg(F.count("*").alias("n"))
+    code = F.ascii("next")
+    if freq_threshold <= 1:  # plain numbers keep the aggregation in hash maps
+        enough = F.count(code) >= freq_threshold
+    elif freq_threshold == 2:
+        enough = F.min(code) < F.max(code)
+    else:
+        enough = F.size(F.collect_set("next")) >= freq_threshold
     tags = (
         expand_prefixes(counted)
         .groupBy("changeset_id", "prefix")
-        .agg(F.sum("n").alias("cnt"), F.size(F.collect_set("next")).alias("kids"))
-        .where(F.col("kids") >= freq_threshold)
+        .agg(F.sum("n").alias("cnt"), enough.alias("enough"))
+        .where("enough")
         .select(F.col("changeset_id").alias("instance_id"), F.col("prefix").alias("tag"), "cnt")
     )
     return drop_common_tags(tags, stop_tags) if stop_tags is not None else tags
