@@ -8,7 +8,7 @@ when they have MAX_ENTRIES, which bounds their memory; results do not depend on
 from __future__ import annotations
 
 #: Entries after which a worker's chunk table starts anew (about 200 bytes each).
-MAX_ENTRIES = 800_000
+MAX_ENTRIES = 400_000
 
 _TABLES: dict = {}
 

@@ -27,7 +27,7 @@ MARK = "▁"
 #: A chunk: spaces (markers) with the word after them, or a line end with the word after it.
 CHUNK = re.compile(r" +[^ \n]*|\n[^ \n]*")
 #: About as many characters are encoded before a record batch is handed on.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def check_model(sp) -> None:

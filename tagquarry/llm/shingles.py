@@ -82,7 +82,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5):
             yield np.zeros(0, U)
 
 
-def batch_sets(column, k: int = 5, max_bytes: int = 2_000_000):
+def batch_sets(column, k: int = 5, max_bytes: int = 500_000):
     """The shingle sets of an Arrow string column, in order; null counts as empty."""
     import pyarrow as pa
     import pyarrow.compute as pc

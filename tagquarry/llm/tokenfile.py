@@ -31,7 +31,7 @@ RANK_BITS = 512
 #: A block is closed after the document with which it reaches this many ids.
 BLOCK_IDS = 1 << 18
 #: About as many characters are encoded at a time.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: Letters of the plain words: one code point in either case, and composed already.
 LETTERS = "".join(c for c in map(chr, range(65, 256)) if c.isalpha() and c.lower() in map(chr, range(97, 256)) and c not in "ªºµ")
 PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?|]*)")
