@@ -30,25 +30,24 @@ def _hash(key):
 
 
 def repeated_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc_id, places array<struct<row, pos>>): the lines that each document loses.
+    """(doc_id, _row, _lost array<int>): the positions of the lines that each document loses.
 
-    row is a fingerprint of the whole text, so that rows sharing a doc_id keep their own positions.
+    _row is a fingerprint of the whole text, so that rows sharing a doc_id keep their own positions.
     """
     lines = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         "doc_id",
-        F.xxhash64("text").alias("row"),
+        F.xxhash64("text").alias("_row"),
         F.posexplode(F.split("text", "\n")).alias("pos", "line"),
     )
-    keys = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).where(
+    keys = lines.select("doc_id", "_row", "pos", line_key(F.col("line")).alias("key")).where(
         F.char_length("key") >= min_chars
     )
-    held = materialize(
-        keys.select(_hash(F.col("key")).alias("hash"), "doc_id", F.struct("row", "pos").alias("place"))
-        .groupBy("hash", "doc_id")
-        .agg(F.collect_list("place").alias("places"))
-    )
-    often = (
-        held.groupBy("hash")
+    held = materialize(keys.select(_hash(F.col("key")).alias("hash"), "doc_id", "_row", "pos"))
+    # Written first, so that the join below reads plain shuffles, which Spark splits where one line is hot.
+    often = materialize(
+        held.select("hash", "doc_id")
+        .distinct()
+        .groupBy("hash")
         .agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
         .select("hash", "keeper")
@@ -56,27 +55,22 @@ def repeated_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3)
     return (
         held.join(often, "hash")
         .where("doc_id <> keeper")
-        .groupBy("doc_id")
-        .agg(F.flatten(F.collect_list("places")).alias("places"))
+        .groupBy("doc_id", "_row")
+        .agg(F.collect_list("pos").alias("_lost"))
     )
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """documents with `text` reduced to the kept lines, and n_lines, n_dropped."""
     lost = repeated_lines(documents, min_chars, min_docs)
-    docs = documents.drop("places", "_lines", "_lost", "_kept", "n_lines", "n_dropped")
-    own = F.filter("places", lambda p: p["row"] == F.xxhash64("text"))
+    docs = documents.drop("_row", "_lines", "_lost", "_kept", "n_lines", "n_dropped")
     at = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_lost")
+    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.transform(at, lambda i: F.get("_lines", i)))
     return (
-        docs.join(lost, "doc_id", "left")
+        docs.withColumn("_row", F.xxhash64("text"))
+        .join(lost, ["doc_id", "_row"], "left")
         .withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-        .withColumn("_lost", F.transform(own, lambda p: p["pos"]))
-        .withColumn(
-            "_kept",
-            F.when(F.col("places").isNull(), F.col("_lines")).otherwise(
-                F.transform(at, lambda i: F.get("_lines", i))
-            ),
-        )
+        .withColumn("_kept", kept)
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dropped", F.size("_lines").cast("long") - F.size("_kept"))
         .withColumn("text", F.array_join("_kept", "\n"))
