@@ -16,7 +16,8 @@ Keys held by more than CROWD sets are never expanded into pairs. A set with at l
 keys finds its links through those. The rest (large groups of near copies, very short sets) go an
 exact way: shingles found in one of these sets only bound the possible overlap and remove sets that
 cannot link; each key's least private set is compared with all others; and only sets that are in
-different components after that are compared with one another.
+different components after that meet one another, under a join condition on the Hamming distance of
+their folded sketches, so that hardly any pair but the links leaves the join.
 
 Equal sets are one node from the start, so that copies are never paired.
 
@@ -133,6 +134,31 @@ def signatures(documents: DataFrame) -> DataFrame:
     )
 
 
+#: 64-bit words of the sketches that the crowded join compares.
+WORDS = 16
+
+
+def _folded(batches):
+    """Sketches folded to one length per family, so that neighbours in size can be compared by words."""
+    for b in batches:
+        out = np.zeros((len(b), WORDS), np.int64)
+        for i, (sketch, family) in enumerate(zip(b["sketch"], b["family"])):
+            least = int(BOUNDS[family - 1])
+            size = min(WORDS * 8, max(8, (1 << (2 * least - 1).bit_length()) // 8))
+            x = np.frombuffer(sketch, np.uint8)
+            x = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+            out[i, : size // 8] = x.view(np.int64)
+        words = pd.DataFrame(out, columns=[f"w{i}" for i in range(WORDS)])
+        yield pd.concat([b[["doc_id", "family"]].reset_index(drop=True), words], axis=1)
+
+
+def folded_sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, family, w0, w1, …) of the distinct (doc_id, family) in rows."""
+    words = ", ".join(f"w{i} long" for i in range(WORDS))
+    asked = rows.select("doc_id", "family").distinct().join(nodes.select("doc_id", "sketch"), "doc_id")
+    return asked.mapInPandas(_folded, f"doc_id long, family long, {words}")
+
+
 def _postings(batches):
     """Streams (key, doc) sorted by key: all pairs of short runs, the rows of long ones.
 
@@ -283,10 +309,18 @@ def crowded_links(documents: DataFrame, nodes: DataFrame, postings: DataFrame, l
     )
     mains = hub.join(parts.select(F.col("doc_id").alias("h"), "component"), "h", "left")
     mains = materialize(mains.select("key", F.coalesce("component", F.col("h")).alias("main")))
+    sketches = materialize(folded_sketches(alive, nodes))
+    alive = alive.join(sketches, ["doc_id", "family"])
     minor = alive.join(mains, "key").where("component <> main")
-    minor = minor.select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "own", "component")))
-    minor = materialize(minor)
-    cross = minor.join(alive, "key").where(f"component <> x_component AND {fits.format('x_')}")
+    named = ["doc_id", "n", "own", "component", *(f"w{i}" for i in range(WORDS))]
+    minor = materialize(minor.select("key", "main", *(F.col(c).alias(f"x_{c}") for c in named)))
+    alive = materialize(alive.drop("family"))
+    apart = " + ".join(f"bit_count(w{i} ^ x_w{i})" for i in range(WORDS))
+    meet = (
+        f"key = x_key AND component <> x_component AND (component = main OR x_doc_id < doc_id)"
+        f" AND {fits.format('x_')} AND 9 * ({apart}) <= n + x_n"
+    )
+    cross = minor.withColumnRenamed("key", "x_key").join(alive, F.expr(meet))
     cross = cross.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
     return stars.unionByName(verified(near(cross, nodes), sets))
 
