@@ -27,7 +27,7 @@ from .common import materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No document is taken more often than this, on average.
 MOST = 3.0
-CHUNK = 20_000
+CHUNK = 4_000
 #: Sources up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
