@@ -63,7 +63,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     least = Window.partitionBy("code").orderBy("id")
     codes = coded.distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
     codes = materialize(codes.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    index = materialize(codes.select("code", F.posexplode("code").alias("seg", "value")).where("code IS NOT NULL"))
+    # A code is named by its smallest id, a segment value by one number.
+    codes = materialize(codes.withColumn("cid", F.col("ids")[0]))
+    slot = F.col("seg").cast("long") * (1 << segment_bits)
+    index = codes.select("cid", F.posexplode("code").alias("seg", "value")).select((slot + F.col("value")).alias("slot"), "cid")
+    index = materialize(index)
     asked = of_size(queries.where("id IS NOT NULL")).select(
         F.col("id").alias("query_id"), sign_code(F.col("embedding"), bits, segment_bits).alias("query")
     )
@@ -71,13 +75,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     best, found = None, None
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     for s in range(segment_bits + 1):
-        probes = open_.select("query_id", "query", F.posexplode("query").alias("seg", "at"))
+        probes = open_.select("query_id", F.posexplode("query").alias("seg", "at"))
         probes = probes.withColumn("mask", F.explode(F.array(*(F.lit(m) for m in masks(segment_bits, s)))))
-        probes = probes.withColumn("value", F.col("at").bitwiseXOR(F.col("mask"))).select("query_id", "query", "seg", "value")
-        hits = probes.join(index, ["seg", "value"]).select("query_id", "query", "code").distinct()
+        probes = probes.select("query_id", (slot + F.col("at").bitwiseXOR(F.col("mask"))).alias("slot"))
+        # The planner does not see how many rows the masks make: no side of this join may be broadcast.
+        hits = probes.join(index.hint("merge"), "slot").select("query_id", "cid").distinct()
+        hits = hits.join(codes.select("cid", "code", "ids").hint("merge"), "cid").join(open_, "query_id")
         hits = hits.withColumn("distance", hamming("query", "code", segments))
-        near = hits.join(codes, "code").select("query_id", "distance", F.explode("ids").alias("id")).where("id <> query_id")
-        pool = near if best is None else near.unionByName(best.join(open_, "query_id", "left_semi")).distinct()
+        near = hits.select("query_id", "distance", F.explode("ids").alias("id")).where("id <> query_id")
+        pool = near if best is None else near.unionByName(best.join(open_, "query_id", "left_semi").select(*near.columns))
+        pool = pool.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
         best = materialize(pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
         covered = segments * (s + 1) - 1
         full = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
