@@ -77,7 +77,7 @@ def enumerate_paths(nodes: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
     """Root-to-leaf paths: (tree_id, leaf_id, score, path array<node_id>), by pointer doubling.
 
     After round r each node knows the stretch of 2^r nodes above it, so a tree of depth d takes
-    log2(d) self-joins, each on the unique (tree_id, node_id).
+    log2(d) self-joins, each on the unique (tree_id, node_id) and of the unfinished nodes only.
     """
     known = nodes.select("tree_id", "node_id").withColumnRenamed("node_id", "parent_id")
     seg = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -93,27 +93,28 @@ def enumerate_paths(nodes: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
     )
     parents = nodes.select("tree_id", F.col("parent_id").alias("node_id")).where("node_id IS NOT NULL").distinct()
     seg = materialize(seg.join(parents.withColumn("inner", F.lit(True)), ["tree_id", "node_id"], "left"))
-    reach = 1
-    while reach < max_depth and not seg.where("jump IS NOT NULL").isEmpty():
-        up = seg.select(
+    whole, open_, reach = seg.where("jump IS NULL"), seg.where("jump IS NOT NULL"), 1
+    while reach < max_depth and not open_.isEmpty():
+        up = whole.unionByName(open_).select(
             "tree_id",
             F.col("node_id").alias("jump"),
             F.col("jump").alias("next"),
             F.col("path").alias("up"),
             F.col("score").alias("up_score"),
         )
-        seg = materialize(
-            seg.join(up, ["tree_id", "jump"], "left").select(
+        grown = materialize(
+            open_.join(up, ["tree_id", "jump"]).select(
                 "tree_id",
                 "node_id",
                 F.col("next").alias("jump"),
-                F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("up", "path")).alias("path"),
-                (F.col("score") + F.coalesce("up_score", F.lit(0.0))).alias("score"),
+                F.concat("up", "path").alias("path"),
+                (F.col("score") + F.col("up_score")).alias("score"),
                 "inner",
             )
         )
+        whole, open_ = whole.unionByName(grown.where("jump IS NULL")), grown.where("jump IS NOT NULL")
         reach *= 2
-    return seg.where("jump IS NULL AND inner IS NULL").select("tree_id", F.col("node_id").alias("leaf_id"), "score", "path")
+    return whole.where("inner IS NULL").select("tree_id", F.col("node_id").alias("leaf_id"), "score", "path")
 
 
 def _format(batches):
