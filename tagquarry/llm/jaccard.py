@@ -9,12 +9,15 @@ next). A second, dense parity sketch gives a Hamming distance, which never excee
 difference and rejects most candidates before the exact sets are compared.
 
 Sets with at most MAX_SEGMENTS segments use them all, which is complete. Larger sets use the first
-MAX_SEGMENTS of s = 3d hashed segments: a link keeps each with probability above 0.7, so that the
-chance to lose one is below 0.3^MIN_KEYS (3e-11) at the threshold and far less above it.
-
-Keys held by more than CROWD sets are never expanded into pairs. A set with at least MIN_KEYS other
-keys finds its links through those. The rest (large groups of near copies, very short sets) go an
-exact way: shingles found in one of these sets only bound the possible overlap and remove sets that
+MAX_SEGMENTS of s = 3d hashed segments: a link keeps each with probability above 0.7 over the hash,
+so that a link of sets with k filled segments shares no key with a chance of about 0.3^k (3e-11 for 20).
+
+Keys held by more than CROWD sets are never expanded into pairs. A set with more than d other keys in
+a family shares one of those with whatever it links with there, since no link disagrees in more than d
+segments. Fewer say nothing, however many they are: in a group of near copies the keys in common are
+the crowded ones, and the others are just those that the set's own edits touched. All sets that
+hold a crowded key and at most d others (large groups of near copies, very short sets, large sets) go
+an exact way: shingles found in one of these sets only bound the possible overlap and remove sets that
 cannot link; each key's least private set is compared with all others; and only sets that are in
 different components after that meet one another, under a join condition on the Hamming distance of
 their folded sketches, so that hardly any pair but the links leaves the join.
@@ -43,7 +46,6 @@ from .exact_dedup import MAX_FILTER_BITS, WORD, positions, possibly_repeated
 from .shingles import U, batch_sets, mix
 
 MAX_SEGMENTS = 48
-MIN_KEYS = 20
 CROWD = 16
 
 
@@ -281,9 +283,11 @@ def crowded_links(documents: DataFrame, nodes: DataFrame, postings: DataFrame, l
     sizes = nodes.select("doc_id", "n", "n_own", "n_next")
     bounds = F.array(*(F.lit(int(b)) for b in BOUNDS))
     own = F.element_at(bounds, (F.col("family") + 1).cast("int")) <= F.col("n")
+    most = F.element_at(bounds, (F.col("family") + 2).cast("int")) - 1
+    others = F.when(own, F.col("n_own")).otherwise(F.col("n_next")) - F.col("crowded")
     few = (
         crowded.join(sizes, "doc_id")
-        .where(F.when(own, F.col("n_own")).otherwise(F.col("n_next")) - F.col("crowded") < MIN_KEYS)
+        .where(others <= F.floor(2 * most / 9))
         .select("doc_id", "family")
     )
     postings = materialize(postings.withColumn("family", family).join(few, ["doc_id", "family"], "left_semi"))

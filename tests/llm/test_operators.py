@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,20 @@ def test_jaccard_join(spark):
     assert jaccard.jaccard_join(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_keeps_a_link_that_only_crowded_keys_show(spark):
+    r = random.Random(1847)
+    base = [f"w{r.randrange(10**6)}" for _ in range(260)]
+    tail = [f"x{r.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join([f"g{k}", *base[1:]]) for k in range(20)] + [" ".join(["gx", *base[1:], *tail])]
+    sets = [shingles for shingles in jaccard.batch_sets(pa.array(texts))]
+    band = int(np.searchsorted(jaccard.BOUNDS, len(sets[-1]), "right")) - 1
+    held = Counter(k for s in sets for k in jaccard.segment_keys(s, band).tolist())
+    alone = [k for k in jaccard.segment_keys(sets[-1], band).tolist() if held[k] == 1]
+    assert len(alone) >= 20 and max(held.values()) > jaccard.CROWD  # its other keys match nobody
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_join(frame(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts))) and got[20][1] == 0
+
+
 def test_hamming_never_exceeds_the_difference():
     r = np.random.RandomState(5)
     for _ in range(200):
