@@ -1,7 +1,7 @@
 """Chat formatting: reply trees to formatted conversations.
 
-Iterative self-joins (pointer doubling) enumerate every root-to-leaf path, branches are ranked by
-score and each chosen path becomes one formatted conversation with its loss mask.
+Iterative self-joins (pointer doubling) score every root-to-leaf path of any depth, branches are ranked
+by score and each chosen path becomes one formatted conversation with its loss mask.
 
 Defined cases: a null text or role is an empty string; a null score counts 0; rows without tree or
 node id are left out; a parent that does not exist makes its child a root; nodes on a cycle belong
@@ -73,48 +73,67 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def enumerate_paths(nodes: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
-    """Root-to-leaf paths: (tree_id, leaf_id, score, path array<node_id>), by pointer doubling.
+def best_scores(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves (tree_id, leaf_id, score of the whole path) and the jump tables, by pointer doubling.
 
-    After round r each node knows the stretch of 2^r nodes above it, so a tree of depth d takes
-    log2(d) self-joins, each on the unique (tree_id, node_id) and of the unfinished nodes only.
+    Jump table r has (tree_id, node_id, jump): the node 2^r above, where there is one. After round r each
+    node knows the score of the 2^r nodes above it, so a tree of depth d takes log2(d) self-joins, each
+    on the unique (tree_id, node_id) and of the unfinished nodes only. No path is longer than its tree
+    has nodes; what is unfinished beyond that hangs on a cycle.
     """
     known = nodes.select("tree_id", "node_id").withColumnRenamed("node_id", "parent_id")
     seg = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     seg = (
         seg.join(known.withColumn("known", F.lit(True)), ["tree_id", "parent_id"], "left")
-        .select(
-            "tree_id",
-            "node_id",
-            F.when(F.col("known"), F.col("parent_id")).alias("jump"),
-            F.array("node_id").alias("path"),
-            "score",
-        )
+        .select("tree_id", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("jump"), "score")
     )
     parents = nodes.select("tree_id", F.col("parent_id").alias("node_id")).where("node_id IS NOT NULL").distinct()
     seg = materialize(seg.join(parents.withColumn("inner", F.lit(True)), ["tree_id", "node_id"], "left"))
-    whole, open_, reach = seg.where("jump IS NULL"), seg.where("jump IS NOT NULL"), 1
-    while reach < max_depth and not open_.isEmpty():
+    largest = seg.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    whole, open_, reach, jumps = seg.where("jump IS NULL"), seg.where("jump IS NOT NULL"), 1, []
+    while reach < largest and not open_.isEmpty():
+        jumps.append(open_.select("tree_id", "node_id", "jump"))
         up = whole.unionByName(open_).select(
-            "tree_id",
-            F.col("node_id").alias("jump"),
-            F.col("jump").alias("next"),
-            F.col("path").alias("up"),
-            F.col("score").alias("up_score"),
+            "tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("score").alias("up_score")
         )
         grown = materialize(
             open_.join(up, ["tree_id", "jump"]).select(
                 "tree_id",
                 "node_id",
                 F.col("next").alias("jump"),
-                F.concat("up", "path").alias("path"),
                 (F.col("score") + F.col("up_score")).alias("score"),
                 "inner",
             )
         )
         whole, open_ = whole.unionByName(grown.where("jump IS NULL")), grown.where("jump IS NOT NULL")
         reach *= 2
-    return whole.where("inner IS NULL").select("tree_id", F.col("node_id").alias("leaf_id"), "score", "path")
+    return whole.where("inner IS NULL").select("tree_id", F.col("node_id").alias("leaf_id"), "score"), jumps
+
+
+def path_steps(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(columns of leaves, node_id, up): the nodes on the path of each leaf and their distance from it.
+
+    From the longest jump to the shortest, each known node adds the one that far above it, so that only
+    paths of the given leaves are written, one row per node.
+    """
+    steps = leaves.withColumn("node_id", F.col("leaf_id")).withColumn("up", F.lit(0).cast("long"))
+    for r in reversed(range(len(jumps))):
+        here = F.struct("node_id", "up")
+        above = F.struct(F.col("jump").alias("node_id"), (F.col("up") + (1 << r)).alias("up"))
+        both = F.when(F.col("jump").isNull(), F.array(here)).otherwise(F.array(here, above))
+        steps = steps.join(jumps[r], ["tree_id", "node_id"], "left").select(*leaves.columns, F.explode(both).alias("_s"))
+        steps = steps.select(*leaves.columns, "_s.node_id", "_s.up")
+        if r % 6 == 0 and r:
+            steps = materialize(steps)
+    return steps
+
+
+def enumerate_paths(nodes: DataFrame) -> DataFrame:
+    """Root-to-leaf paths: (tree_id, leaf_id, score, path array<node_id>)."""
+    leaves, jumps = best_scores(nodes)
+    paths = path_steps(leaves, jumps).groupBy("tree_id", "leaf_id", "score")
+    paths = paths.agg(F.sort_array(F.collect_list(F.struct("up", "node_id")), asc=False).alias("path"))
+    return paths.withColumn("path", F.col("path.node_id"))
 
 
 def _format(batches):
@@ -150,12 +169,13 @@ def format_reply_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
         ).alias("n")
     ).select("tree_id", "node_id", "n.role", "n.text", "n.parent_id", "n.score")
     best = Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")
-    chosen = enumerate_paths(nodes).withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
-    steps = chosen.select("tree_id", "leaf_id", "branch", F.posexplode("path").alias("pos", "node_id"))
+    leaves, jumps = best_scores(nodes)
+    chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
     turns = (
-        steps.join(nodes.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
+        path_steps(chosen.drop("score"), jumps)
+        .join(nodes.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
         .groupBy("tree_id", "leaf_id", "branch")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
+        .agg(F.sort_array(F.collect_list(F.struct("up", "role", "text")), asc=False).alias("turns"))
     )
     return turns.mapInPandas(
         _format,

@@ -92,6 +92,15 @@ def test_conversations_with_nulls_and_repeats(spark):
     assert got[2].turns_sha256 == sha("\nt\n") and got[3].turns_sha256 == sha("tool\n[ROLE] </s>\n") and got[3].loss_chars == 0
 
 
+def test_a_chain_longer_than_65536_turns(spark):
+    n = (1 << 16) + 5
+    long = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    short = spark.createDataFrame([(2, 0, "user", "t")], "conv_id long, turn long, role string, text string")
+    rows = chat.read_back(chat.format_reply_trees(chat.conversation_nodes(long.unionByName(short))))
+    got = {x.conv_id: (x.n_turns, x.turns_sha256) for x in rows.collect()}
+    assert got == {1: (n, sha("".join(f"user\n{i}\n" for i in range(n)))), 2: (1, sha("user\nt\n"))}
+
+
 # Line dedup ------------------------------------------------------------------------------------
 
 
