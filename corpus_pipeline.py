@@ -5,8 +5,8 @@ Jaccard join (the smallest doc_id of each component stays), mixing sources to ta
 (documents are dropped or repeated as drawn), SentencePiece encoding and decoding.
 
 Defined cases: a null doc_id is judged like any other document until the Jaccard stage, where it
-links with nothing and stays; rows that share a doc_id are judged row by row for toxicity, and
-share the decisions of the later stages; columns of the documents pass through unchanged, except
+links with nothing and stays, and is mixed like any other; rows that share a doc_id are judged row by
+row for toxicity, share the decisions of line dedup and the Jaccard stage, and are drawn apart; columns of the documents pass through unchanged, except
 text and n_chars after line dedup.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagquarry.llm import jaccard, line_dedup, mixing, pieces, toxicity
-from tagquarry.llm.common import checkpoint_dir, table
+from tagquarry.llm.common import checkpoint_dir, materialize, table
 from tagquarry.llm.queries import tokenizer_path
 
 
@@ -46,8 +46,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    times = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("times").cast("int").alias("_times")).where("_times > 0")
-    taken = docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    times = mixing.mix_sources(keyed, key="_row").where("times > 0").select("_row", F.col("times").cast("int").alias("_times"))
+    taken = keyed.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return taken.select(*docs.columns)
 
 

@@ -125,23 +125,36 @@ def landing(p: np.ndarray, size: np.ndarray, first: np.ndarray, exchanges: int =
 
 
 def _fly(key, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
+    by = ["size", "doc_id", "tie"] if "tie" in rows else ["size", "doc_id"]
+    rows = rows.sort_values(by, ascending=[False, True, True][: len(by)], kind="stable", na_position="last")
     seed = (int(key[0]) * 7919 + int(key[1]) * 104729) % (1 << 32)
     p, size = rows["p"].to_numpy(float), rows["size"].to_numpy(float)
     return rows.assign(p=landing(flight(p, size, np.random.RandomState(seed)), size, p))
 
 
 def draw(units: DataFrame) -> DataFrame:
-    """Rows (doc_id, size, sid, n, p) with p rounded to 0 or 1; each chunk of a source flies alone."""
+    """Rows (doc_id, size, sid, n, p) with p rounded to 0 or 1; each chunk of a source flies alone.
+
+    Rows may have two columns more, row and tie, which stay; tie orders rows of one doc_id and size.
+    """
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("long")
-    units = units.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), chunks))
-    units = units.select("doc_id", "size", "sid", "bucket", "p")
+    more = [c for c in ("row", "tie") if c in units.columns]
+    spread = F.xxhash64("doc_id", "size")
+    if "tie" in more:  # rows without an id are many of a size
+        spread = F.when(F.col("doc_id").isNull(), F.col("tie")).otherwise(spread)
+    units = units.withColumn("bucket", F.pmod(spread, chunks))
+    units = units.select("doc_id", "size", "sid", "bucket", "p", *more)
     return units.groupBy("sid", "bucket").applyInPandas(_fly, units.schema)
 
 
-def mix_sources(documents: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, times (how often it is taken), taken."""
-    sized = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+def mix_sources(documents: DataFrame, weights=WEIGHTS, most: float = MOST, key: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, times (how often it is taken), taken.
+
+    key: a column of distinct values that is returned too, to tell apart rows that doc_id does not.
+    """
+    more = [F.col(key).alias("row"), F.xxhash64("text").alias("tie")] if key else []
+    sized = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more))
+    more = ["row", "tie"] if key else []
     targets = materialize(source_targets(sized, weights, most))
     named = targets.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -151,12 +164,13 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, most: float = MOST) -> Da
     side = named.withColumn("_null", F.col("source").isNull()).withColumn("_key", F.coalesce("source", F.lit(""))).drop("source")
     if named.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
-    rows = sized.select("doc_id", "size", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_key"))
-    drawn = draw(rows.join(side, ["_null", "_key"]).select("doc_id", "size", "sid", "n", "p"))
+    rows = sized.select("doc_id", "size", *more, F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_key"))
+    drawn = draw(rows.join(side, ["_null", "_key"]).select("doc_id", "size", *more, "sid", "n", "p"))
     back = named.select("sid", "source_size", "target", "whole")
     if named.count() <= BROADCAST_SOURCES:
         back = F.broadcast(back)
     return drawn.join(back, "sid").select(
+        *([F.col("row").alias(key)] if key else []),
         "doc_id",
         "size",
         "source_size",

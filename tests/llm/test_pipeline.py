@@ -1,11 +1,15 @@
 """The pipeline's stages on small data, and the queries that SQL can say."""
 
+import random
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
 from tagquarry.llm import queries
 
 from ..oracle import DATA, connect, oracle_rows, rows_of
+from .test_operators import brute_targets
 
 
 @pytest.mark.parametrize("name", list(queries.SQL))
@@ -36,3 +40,21 @@ def test_run_and_empty_tables(spark, tmp_path):
     for t in ("documents", "labels"):
         queries.table(spark, DATA, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_stage_draws_rows_without_or_with_one_id(spark):
+    r = random.Random(13)
+    rows = [(i if i % 3 else None, r.choice("abc"), f"t{i} " + "w " * r.randint(0, 60)) for i in range(600)]
+    rows += [(5000, r.choice("abc"), f"s{i} " + "w " * r.randint(0, 60)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    words = Counter()
+    for _, s, t in rows:
+        words[s] += len(t.split())
+    want, out = brute_targets(words), corpus_pipeline.mix(spark, docs, DATA).collect()
+    taken, drawn = Counter(), Counter((x.doc_id, x.source, x.text) for x in out)
+    for x in out:
+        taken[x.source] += len(x.text.split())
+    assert all(abs(taken[s] - want[s]) < 5 for s in words)
+    for row in rows:  # as often as its source's share says, rounded down or up
+        assert abs(drawn.pop(row, 0) - want[row[1]] / words[row[1]]) < 1
+    assert not drawn
