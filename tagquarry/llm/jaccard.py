@@ -22,6 +22,9 @@ cannot link; each key's least private set is compared with all others; and only
 different components after that meet one another, under a join condition on the Hamming distance of
 their folded sketches, so that hardly any pair but the links leaves the join.
 
+Only components are given, neither linked pairs nor numbers of links: the exact way skips pairs of sets
+that are in one component already.
+
 Equal sets are one node from the start, so that copies are never paired.
 
 Defined cases: a text without words, or null, has no shingles and links with nothing; a null doc_id
