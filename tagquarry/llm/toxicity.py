@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Clauses are read by five small transducers run in composition: insult and threat machines emit the
-weight of a word, the target machine raises it next to a person addressed, the negation and the
+Clauses are read by three small transducers run in composition over the weights of single words, which
+insult and threat look-ups give (no phrase patterns): the target machine raises it next to a person addressed, the negation and the
 reported-speech machine lower it inside their scopes. A document's score is a logistic function of
-its strongest clause, of the sum over its clauses and of their number, never of isolated words.
+its strongest clause, of the sum over its clauses and of their number; a lone insult keeps its full weight.
 
 The insult lexicon is learned: words and word stems whose share of toxic training documents is
 significantly high. Counting runs in Spark over a sample of at most MAX_LABELLED labelled documents
