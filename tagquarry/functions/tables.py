@@ -13,16 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the cluster's shared checkpoint folder (a local one only where none is set)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """A folder of this application in the cluster's shared checkpoint folder, which goes when it ends.
+
+    Where none is set, a local folder serves a local master; any other master is refused, since its
+    executors would write to disks of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not own.isDefined():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagquarry-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = own.get()
-    return f"{base}/table-{uuid.uuid4().hex}"
+    folder = f"{base}/tagquarry-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in that folder."""
+    return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
