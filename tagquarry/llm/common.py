@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagquarry.functions.tables import checkpoint_dir, scratch, table  # noqa: F401
+
 #: The white space that the operators' contracts name: space, tab, LF, VT, FF, CR.
 WS = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a fresh local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        found = tempfile.mkdtemp(prefix="tagquarry-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+def bound_batches(spark: SparkSession, most: str = "2m") -> None:
+    """Give Python workers record batches of about 2 MB, unless the session asks for another size than
+    Spark's own 64 MB: with copies on both sides of the pipe that is too much for a worker of long texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64m", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -34,7 +23,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: later jobs survive lost executors without running the plan again.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,31 +1,30 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its hashed word shingles. Every shingle flips one bit of a wide virtual bit
-sketch that is cut into s segments; a segment's key is the hash of its odd bits. Two sets whose
-symmetric difference is at most d disagree in at most d segments, so by the pigeonhole principle
-linked sets share a segment key. Segments are laid out per size band (bands grow by 1 / 0.8, so that
-linked sets lie in the same or in neighbouring bands; each set is keyed for its own band and the
-next). A second, dense parity sketch gives a Hamming distance, which never exceeds the symmetric
+sketch that is cut into segments; a segment's key is the hash of its odd bits. Linked sets of n <= m
+shingles differ in at most (n + m) / 9 <= n / 4 of them, so a set disagrees with any partner in at
+most d = n // 4 segments: by the pigeonhole principle one of its d + 1 fullest segments (ties by
+number) agrees. Equal segments are equally full, so both sides rank them alike, and the segment is among
+the first m // 4 + 1 of the partner as well. This is complete for sets of every size. Segments are laid
+out per size band (bands grow by 1 / 0.8^2; a set that may link into the next band is keyed for that
+one too). A second, dense parity sketch gives a Hamming distance, which never exceeds the symmetric
 difference and rejects most candidates before the exact sets are compared.
 
-Sets with at most MAX_SEGMENTS segments use them all, which is complete. Larger sets use the first
-MAX_SEGMENTS of s = 3d hashed segments: a link keeps each with probability above 0.7 over the hash,
-so that a link of sets with k filled segments shares no key with a chance of about 0.3^k (3e-11 for 20).
+Keys held by more than CROWD sets are never expanded into pairs. The sets that hold one go an exact way:
 
-Keys held by more than CROWD sets are never expanded into pairs. A set with more than d other keys in
-a family shares one of those with whatever it links with there, since no link disagrees in more than d
-segments. Fewer say nothing, however many they are: in a group of near copies the keys in common are
-the crowded ones, and the others are just those that the set's own edits touched. All sets that
-hold a crowded key and at most d others (large groups of near copies, very short sets, large sets) go
-an exact way: shingles found in one of these sets only bound the possible overlap and remove sets that
-cannot link; each key's least private set is compared with all others; and only sets that are in
-different components after that meet one another, under a join condition on the Hamming distance of
-their folded sketches, so that hardly any pair but the links leaves the join.
+1. Their single shingles are grouped like keys. A set of which more than a fifth of the shingles are
+   held by at most CROWD of them shares one of those with whatever it links with, so it is settled
+   (documents that merely have a popular passage in common end here).
+2. The others (large groups of near copies) are compared with hubs: once with a hub of their fullest key, then
+   those outside a key's main component with several hubs of that component. What is still apart
+   meets under a join condition on the Hamming distance of the folded sketches, so that
+   hardly any pair but missing links leaves the join.
 
 Only components are given, neither linked pairs nor numbers of links: the exact way skips pairs of sets
 that are in one component already.
 
-Equal sets are one node from the start, so that copies are never paired.
+Equal sets are one node from the start, so that copies are never paired. A key that one batch of sets
+holds many times is cut short there; the rest of its rows bypass the key's task.
 
 Defined cases: a text without words, or null, has no shingles and links with nothing; a null doc_id
 links with nothing and has a null component; rows that share a doc_id are one node (linked to one
@@ -43,20 +42,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .components import connected_components
 from .exact_dedup import MAX_FILTER_BITS, WORD, positions, possibly_repeated
 from .shingles import U, batch_sets, mix
 
-MAX_SEGMENTS = 48
 CROWD = 16
+#: Hubs that a set outside a key's main component is compared with.
+HUBS = 8
+#: Bytes of sets, sketches and keys after which a record batch is handed on.
+BATCH_BYTES = 2_000_000
 
 
 def band_bounds(limit: int = 1 << 40) -> np.ndarray:
     """Smallest set size of each band."""
     out = [1]
     while out[-1] < limit:
-        out.append(max(out[-1] + 1, -(-out[-1] * 5 // 4)))
+        out.append(max(out[-1] + 1, -(-out[-1] * 25 // 16)))
     return np.array(out)
 
 
@@ -65,25 +67,35 @@ BOUNDS = band_bounds()
 
 def segment_keys(s: np.ndarray, band: int) -> np.ndarray:
     """The segment keys of a set in the layout of a band; their low byte is the band."""
-    most = int(BOUNDS[band + 1]) - 1  # the largest size in the band
-    d = 2 * most // 9
+    d = len(s) // 4
     if not d:
         return np.zeros(0, np.int64)  # only equal sets link
-    count = 3 * d
-    at = mix(s ^ U(0xA5A5_0000 + band)) % U(count)
-    used = min(count, MAX_SEGMENTS)
-    inside = at < used
-    at, bits = at[inside].astype(np.int64), mix(s[inside] + U(0x51))
-    value = np.zeros(used, U)
-    np.bitwise_xor.at(value, at, bits)
-    filled = np.bincount(at, minlength=used) > 0
-    if count == used and filled.sum() <= d:
-        filled[:] = True  # so few that all agreeing segments may be empty ones
-    segments = np.flatnonzero(filled)
+    most = (int(BOUNDS[band + 1]) - 1) // 4
+    count = most + most // 5 + 2
+    at = (mix(s ^ U(0xA5A5_0000 + band)) % U(count)).astype(np.int64)
+    value = np.zeros(count, U)
+    np.bitwise_xor.at(value, at, mix(s + U(0x51)))
+    full = np.bincount(at, minlength=count)
+    filled = np.flatnonzero(full)
+    if len(filled) > d:
+        segments = filled[np.argsort(-full[filled], kind="stable")[: d + 1]]
+    else:
+        segments = np.arange(count)  # so few that all agreeing segments may be empty ones
     keys = mix(value[segments] ^ mix(segments.astype(U) + U(band << 32)))
     return ((keys & ~U(0xFF)) | U(band)).view(np.int64)
 
 
+def set_keys(s: np.ndarray) -> np.ndarray:
+    """The keys of a set in all layouts in which it may meet a partner."""
+    if not len(s):
+        return np.zeros(0, np.int64)
+    band = int(np.searchsorted(BOUNDS, len(s), "right")) - 1
+    own = segment_keys(s, band)
+    if 5 * len(s) < 4 * BOUNDS[band + 1]:
+        return own
+    return np.concatenate([own, segment_keys(s, band + 1)])
+
+
 def parity_sketch(s: np.ndarray) -> bytes:
     """One bit flipped per shingle, in 2 to 4 bits per shingle."""
     bits = max(64, 1 << (2 * len(s) - 1).bit_length())
@@ -100,76 +112,77 @@ def folded_hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
+
+
 def _signatures(batches):
+    def flush(rows):
+        docs, sizes, keys, sketches, lists = zip(*rows)
+        columns = [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, _lists(lists)], names=["doc_id", "n", "set_key", "sketch", "keys"])
+
     for batch in batches:
-        rows = {c: [] for c in ("doc_id", "n", "set_key", "sketch", "n_own", "n_next", "keys")}
-        docs, held = batch.column(0).to_pylist(), 0
-
-        def flush():
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
-            keys = rows.pop("keys")
-            offsets = np.zeros(len(keys) + 1, np.int32)
-            np.cumsum([len(k) for k in keys], out=offsets[1:])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(v, k) for v, k in zip(rows.values(), kinds)), lists], names=[*rows, "keys"]
-            )
-
-        for doc, s in zip(docs, batch_sets(batch.column(1))):
-            own = nxt = np.zeros(0, np.int64)
-            if len(s):
-                band = int(np.searchsorted(BOUNDS, len(s), "right")) - 1
-                own, nxt = segment_keys(s, band), segment_keys(s, band + 1)
+        rows, held = [], 0
+        for doc, s in zip(batch.column(0).to_pylist(), batch_sets(batch.column(1))):
             key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            values = (doc, len(s), key, parity_sketch(s) if len(s) else b"", len(own), len(nxt), np.concatenate([own, nxt]))
-            for c, v in zip(rows, values):
-                rows[c].append(v)
-            held += 1
-            if held == 2000:
-                yield flush()
-                rows, held = {c: [] for c in ("doc_id", "n", "set_key", "sketch", "n_own", "n_next", "keys")}, 0
-        if held:
-            yield flush()
+            rows.append((doc, len(s), key, parity_sketch(s) if len(s) else b"", set_keys(s)))
+            held += 64 + len(rows[-1][3]) + rows[-1][4].nbytes
+            if held > BATCH_BYTES:
+                yield flush(rows)
+                rows, held = [], 0
+        if rows:
+            yield flush(rows)
 
 
 def signatures(documents: DataFrame) -> DataFrame:
+    """Per row: doc_id, n (shingles), set_key (equal for equal sets), sketch, keys."""
     return documents.select("doc_id", "text").mapInArrow(
-        _signatures,
-        "doc_id long, n long, set_key binary, sketch binary, n_own int, n_next int, keys array<long>",
+        _signatures, "doc_id long, n long, set_key binary, sketch binary, keys array<long>"
     )
 
 
-#: 64-bit words of the sketches that the crowded join compares.
-WORDS = 16
+def _dealt(key: np.ndarray, doc: np.ndarray):
+    """Rows (key, doc, direct) without repeats; of a key only CROWD + 1 rows of a batch are not direct."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    key, doc = key[new], doc[new]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    rank = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key), pa.array(doc), pa.array(rank > CROWD)], names=["key", "doc_id", "direct"]
+    )
 
 
-def _folded(batches):
-    """Sketches folded to one length per family, so that neighbours in size can be compared by words."""
-    for b in batches:
-        out = np.zeros((len(b), WORDS), np.int64)
-        for i, (sketch, family) in enumerate(zip(b["sketch"], b["family"])):
-            least = int(BOUNDS[family - 1])
-            size = min(WORDS * 8, max(8, (1 << (2 * least - 1).bit_length()) // 8))
-            x = np.frombuffer(sketch, np.uint8)
-            x = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
-            out[i, : size // 8] = x.view(np.int64)
-        words = pd.DataFrame(out, columns=[f"w{i}" for i in range(WORDS)])
-        yield pd.concat([b[["doc_id", "family"]].reset_index(drop=True), words], axis=1)
+def _key_rows(batches):
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        key = lists.flatten().to_numpy()
+        if len(key):
+            yield _dealt(key, np.repeat(batch.column(0).to_numpy(), sizes))
 
 
-def folded_sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, family, w0, w1, …) of the distinct (doc_id, family) in rows."""
-    words = ", ".join(f"w{i} long" for i in range(WORDS))
-    asked = rows.select("doc_id", "family").distinct().join(nodes.select("doc_id", "sketch"), "doc_id")
-    return asked.mapInPandas(_folded, f"doc_id long, family long, {words}")
+def _shingle_rows(batches):
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+        if sets and sum(map(len, sets)):
+            yield _dealt(np.concatenate(sets), np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets]))
 
 
-def _postings(batches):
-    """Streams (key, doc) sorted by key: all pairs of short runs, the rows of long ones.
+def runs(rows: DataFrame) -> DataFrame:
+    """(a, b, key) of rows (key, doc_id, direct): the pairs of keys held by at most CROWD sets, with a
+    null key, and a row (doc_id, null, key) for each holder of another key."""
+    dealt = rows.repartition(F.when(F.col("direct"), F.xxhash64("doc_id", "key")).otherwise(F.col("key")))
+    return dealt.sortWithinPartitions("direct", "key", "doc_id").mapInArrow(_runs, "a long, b long, key long")
 
-    Rows out: (a, b, null) for a pair, (doc, null, key) for a row of a long run. Never holds more
-    than one batch and CROWD rows.
-    """
+
+def _runs(batches):
+    """Streams (key, doc, direct) in order. Never holds more than one batch and CROWD rows."""
     key0, doc0, crowded = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
     def out(a, b, c):
@@ -180,7 +193,8 @@ def _postings(batches):
 
     def emit(key, doc, crowded):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.repeat(np.diff(np.r_[starts, len(key)]), np.diff(np.r_[starts, len(key)]))
+        length = np.diff(np.r_[starts, len(key)])
+        size = np.repeat(length, length)
         many = (size > CROWD) | (key == crowded if crowded is not None else False)
         if many.any():
             yield out(doc[many], None, key[many])
@@ -188,21 +202,25 @@ def _postings(batches):
             pair = (key[t:] == key[:-t]) & ~many[t:]
             if not pair.any():
                 break
-            a, b = doc[:-t][pair], doc[t:][pair]
-            yield out(np.minimum(a, b), np.maximum(a, b), None)
+            yield out(doc[:-t][pair], doc[t:][pair], None)
 
     for batch in batches:
-        key = np.r_[key0, batch.column(0).to_numpy()]
-        doc = np.r_[doc0, batch.column(1).to_numpy()]
+        direct = batch.column(2).to_numpy(zero_copy_only=False)
+        key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if direct.any():
+            yield out(doc[direct], None, key[direct])
+        key, doc = np.r_[key0, key[~direct]], np.r_[doc0, doc[~direct]]
         if not len(key):
             continue
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        key, doc = key[new], doc[new]
         last = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
         if len(key) - last > CROWD or key[-1] == crowded:
             yield from emit(key, doc, crowded)
             crowded, last = key[-1], len(key)
-        else:
-            if last:
-                yield from emit(key[:last], doc[:last], crowded)
+        elif last:
+            yield from emit(key[:last], doc[:last], crowded)
         key0, doc0 = key[last:], doc[last:]
     if len(key0):
         yield from emit(key0, doc0, crowded)
@@ -225,13 +243,13 @@ def _same_enough(batches):
 
 
 def _sets(batches):
+    kinds = [pa.int64(), pa.binary()]
     for batch in batches:
-        docs, rows, held = batch.column(0).to_pylist(), [], 0
-        kinds = [pa.int64(), pa.binary()]
-        for doc, s in zip(docs, batch_sets(batch.column(1))):
+        rows, held = [], 0
+        for doc, s in zip(batch.column(0).to_pylist(), batch_sets(batch.column(1))):
             rows.append((doc, s.tobytes()))
             held += len(rows[-1][1])
-            if held > 16_000_000:
+            if held > BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "set"])
                 rows, held = [], 0
         if rows:
@@ -248,7 +266,7 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     hit = ids.select(F.explode(positions(F.xxhash64("doc_id"), bits, k)).alias("p"))
     words = hit.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bitmap_construct_agg(F.col("p") % WORD).alias("bitmap"))
     bitmap = np.zeros(bits // 8, np.uint8)
-    for w, part in words.toLocalIterator():
+    for w, part in words.collect():  # at most bits / 8 bytes
         bitmap[w * WORD // 8 : (w + 1) * WORD // 8] = np.frombuffer(part, np.uint8)
     test = possibly_repeated(spark, bitmap, k)
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
@@ -276,67 +294,111 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
-def crowded_links(documents: DataFrame, nodes: DataFrame, postings: DataFrame, links: DataFrame) -> DataFrame:
-    """Links that may be found through crowded keys alone, enough of them to connect components.
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+#: 64-bit words of the sketches that the last join compares.
+WORDS = 16
 
-    postings: (doc_id, key) of the keys held by more than CROWD sets; links: those known already.
+
+def _folded(batches):
+    """Sketches folded to one length per family, so that neighbours in size can be compared by words."""
+    for b in batches:
+        out = np.zeros((len(b), WORDS), np.int64)
+        for i, (sketch, family) in enumerate(zip(b["sketch"], b["family"])):
+            least = int(BOUNDS[family - 1])
+            size = min(WORDS * 8, max(8, (1 << (2 * least - 1).bit_length()) // 8))
+            x = np.frombuffer(sketch, np.uint8)
+            x = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+            out[i, : size // 8] = x.view(np.int64)
+        words = pd.DataFrame(out, columns=[f"w{i}" for i in range(WORDS)])
+        yield pd.concat([b[["doc_id", "family", "n"]].reset_index(drop=True), words], axis=1)
+
+
+def folded_sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, family, n, w0, w1, …) of the distinct (doc_id, family) in rows."""
+    words = ", ".join(f"w{i} long" for i in range(WORDS))
+    asked = rows.select("doc_id", "family").distinct().join(nodes.select("doc_id", "n", "sketch"), "doc_id")
+    return asked.mapInPandas(_folded, f"doc_id long, family long, n long, {words}")
+
+
+def _apart(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of keys in more than one component, with component and main (the key's largest one);
+    and the links as one link from each node to the least of its component."""
+    parts = materialize(connected_components(links))
+    named = postings.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = materialize(named.withColumn("component", F.coalesce("component", "doc_id")))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
+    mains = mains.where("parts > 1").select("key", F.col("m.component").alias("main"))
+    return materialize(named.join(mains, "key")), parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def crowded_links(postings: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """links and those found through crowded keys alone, enough of them to connect components.
+
+    postings: (doc_id, key) of the sets that are not settled otherwise.
     """
-    family = F.col("key").bitwiseAND(0xFF)
-    crowded = postings.groupBy("doc_id", family.alias("family")).agg(F.count("*").alias("crowded"))
-    sizes = nodes.select("doc_id", "n", "n_own", "n_next")
-    bounds = F.array(*(F.lit(int(b)) for b in BOUNDS))
-    own = F.element_at(bounds, (F.col("family") + 1).cast("int")) <= F.col("n")
-    most = F.element_at(bounds, (F.col("family") + 2).cast("int")) - 1
-    others = F.when(own, F.col("n_own")).otherwise(F.col("n_next")) - F.col("crowded")
-    few = (
-        crowded.join(sizes, "doc_id")
-        .where(others <= F.floor(2 * most / 9))
-        .select("doc_id", "family")
-    )
-    postings = materialize(postings.withColumn("family", family).join(few, ["doc_id", "family"], "left_semi"))
-    if postings.isEmpty():
-        return links.limit(0)
-    sets = sets_of(documents, postings.select("doc_id").distinct())
-    # Shingles that one of these sets has alone cannot be shared.
-    shingles = sets.mapInArrow(_exploded, "doc_id long, shingle long")
-    alone = shingles.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"))
-    alone = alone.where("doc_id = other").groupBy("doc_id").agg(F.count("*").alias("own"))
-    bound = sizes.select("doc_id", "n").join(postings.select("doc_id").distinct(), "doc_id", "left_semi")
-    bound = bound.join(alone, "doc_id", "left").select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    alive = materialize(postings.join(bound.where("own * 5 <= n"), "doc_id"))
-    hub = alive.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("r"), "doc_id", "n", "own")).alias("hub"))
-    hub = materialize(hub.select("key", F.col("hub.doc_id").alias("h"), F.col("hub.n").alias("h_n"), F.col("hub.own").alias("h_own")))
-    fits = "4 * (n + {0}n) <= 9 * least(n - own, {0}n - {0}own)"
-    star = alive.join(hub, "key").where(f"doc_id <> h AND {fits.format('h_')}")
-    star = star.select(F.least("doc_id", "h").alias("a"), F.greatest("doc_id", "h").alias("b")).distinct()
-    stars = verified(near(star, nodes), sets)
-    parts = connected_components(links.unionByName(stars)).withColumnRenamed("node", "doc_id")
-    alive = materialize(
-        alive.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", F.col("doc_id")))
-    )
-    mains = hub.join(parts.select(F.col("doc_id").alias("h"), "component"), "h", "left")
-    mains = materialize(mains.select("key", F.coalesce("component", F.col("h")).alias("main")))
-    sketches = materialize(folded_sketches(alive, nodes))
-    alive = alive.join(sketches, ["doc_id", "family"])
-    minor = alive.join(mains, "key").where("component <> main")
-    named = ["doc_id", "n", "own", "component", *(f"w{i}" for i in range(WORDS))]
-    minor = materialize(minor.select("key", "main", *(F.col(c).alias(f"x_{c}") for c in named)))
-    alive = materialize(alive.drop("family"))
+    # One hub per key, each set with that of its fullest key.
+    fullest = postings.groupBy("key").agg(F.count("*").alias("n"))
+    chosen = postings.join(fullest, "key").groupBy("doc_id").agg(F.max(F.struct("n", "key")).alias("m"))
+    chosen = materialize(chosen.select("doc_id", F.col("m.key").alias("key")))
+    hub = chosen.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id"), F.col("doc_id").alias("h"))).alias("m"))
+    star = chosen.join(hub.select("key", "m.h"), "key").where("doc_id <> h")
+    links = links.unionByName(verified(near(_pairs(star, "doc_id", "h"), nodes), sets))
+    # Several hubs of the main component, for the sets outside it.
+    rows, links = _apart(postings, links)
+    lot = lambda i: F.min(F.when(F.expr("component = main"), F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id")))["doc_id"]
+    hubs = rows.groupBy("key").agg(F.array_distinct(F.array(*(lot(i) for i in range(HUBS)))).alias("hubs"))
+    outside = rows.where("component <> main").groupBy("doc_id", "main").agg(F.min("key").alias("key"))
+    star = outside.join(hubs, "key").select("doc_id", F.explode("hubs").alias("h"))
+    links = links.unionByName(verified(near(_pairs(star, "doc_id", "h"), nodes), sets))
+    # What is apart still meets, each set outside a main component with all others of its keys.
+    rows, links = _apart(postings, links)
+    rows = rows.withColumn("family", F.col("key").bitwiseAND(0xFF))
+    sketches = materialize(folded_sketches(rows, nodes))
+    rows = materialize(rows.join(sketches, ["doc_id", "family"]).drop("family"))
+    named = ["doc_id", "n", "component", *(f"w{i}" for i in range(WORDS))]
+    outside = rows.where("component <> main").select(F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in named))
     apart = " + ".join(f"bit_count(w{i} ^ x_w{i})" for i in range(WORDS))
     meet = (
-        f"key = x_key AND component <> x_component AND (component = main OR x_doc_id < doc_id)"
-        f" AND {fits.format('x_')} AND 9 * ({apart}) <= n + x_n"
+        "key = x_key AND component <> x_component AND (component = main OR x_doc_id < doc_id)"
+        f" AND 4 * n <= 5 * x_n AND 4 * x_n <= 5 * n AND 9 * ({apart}) <= n + x_n"
     )
-    cross = minor.withColumnRenamed("key", "x_key").join(alive, F.expr(meet))
-    cross = cross.select(F.least("doc_id", "x_doc_id").alias("a"), F.greatest("doc_id", "x_doc_id").alias("b")).distinct()
-    return stars.unionByName(verified(near(cross, nodes), sets))
+    cross = _pairs(materialize(outside).join(rows, F.expr(meet)), "doc_id", "x_doc_id")
+    return links.unionByName(verified(near(cross, nodes), sets))
 
 
-def _exploded(batches):
-    for batch in batches:
-        for doc, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = np.frombuffer(s, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(s)], names=["doc_id", "shingle"])
+def unsettled(holders: DataFrame, nodes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(doc_id) of the holders of which at most a fifth of the shingles are rare.
+
+    crowded: (doc_id, c), the number of shingles that more than CROWD holders have.
+    """
+    rows = nodes.select("doc_id", "n").join(holders, "doc_id", "left_semi").join(crowded, "doc_id")
+    return rows.where("5 * (n - c) <= n").select("doc_id").distinct()
+
+
+def links_of(documents: DataFrame, signed: DataFrame, gone: DataFrame) -> DataFrame:
+    """(a, b): links that connect all components of the documents whose id is not in gone."""
+    own = signed.where("n > 0 AND doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    nodes = materialize(own.select("doc_id", "n", "sketch").distinct())
+    found = materialize(runs(own.select("doc_id", "keys").mapInArrow(_key_rows, "key long, doc_id long, direct boolean")))
+    pairs = near(_pairs(found.where("b IS NOT NULL"), "a", "b"), nodes)
+    crowded = found.where("b IS NULL").select(F.col("a").alias("doc_id"), "key").distinct()
+    holders = materialize(crowded.select("doc_id").distinct())
+    if holders.isEmpty():
+        return verified(pairs, sets_of(documents, _ends(pairs)))
+    sets = sets_of(documents, _ends(pairs).unionByName(holders).distinct())
+    shingles = sets.join(holders, "doc_id", "left_semi").mapInArrow(_shingle_rows, "key long, doc_id long, direct boolean")
+    met = materialize(runs(shingles).groupBy("a", "b").agg(F.count("*").alias("c")))
+    more = _pairs(met.where("b IS NOT NULL"), "a", "b").join(pairs, ["a", "b"], "left_anti")
+    links = verified(pairs.unionByName(near(more, nodes)), sets)
+    rest = materialize(unsettled(holders, nodes, met.where("b IS NULL").select(F.col("a").alias("doc_id"), "c")))
+    if rest.isEmpty():
+        return links
+    postings = materialize(crowded.join(rest, "doc_id", "left_semi"))
+    return materialize(crowded_links(postings, nodes, sets, links))
 
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
@@ -344,30 +406,22 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
 
     Documents link when 100 * |A & B| >= 80 * |A | B| for their sets of 5-word shingles.
     """
+    bound_batches(documents.sparkSession)
     signed = materialize(signatures(documents))
-    named = signed.where("n > 0 AND doc_id IS NOT NULL")
+    named = signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "set_key")
     classes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    first = classes.select(F.col("rep").alias("doc_id"), "set_key")
-    nodes = signed.join(first, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    nodes = materialize(nodes.select("doc_id", "n", "sketch", "n_own", "n_next", "keys"))
-    keyed = nodes.select(F.explode("keys").alias("key"), "doc_id")
-    found = materialize(
-        keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_postings, "a long, b long, key long")
-    )
-    pairs = near(found.where("b IS NOT NULL AND a <> b").select("a", "b").distinct(), nodes)
-    links = verified(pairs, sets_of(documents, _ends(pairs)))
-    crowded = found.where("b IS NULL").select(F.col("a").alias("doc_id"), "key")
-    if not crowded.isEmpty():
-        links = materialize(links.unionByName(crowded_links(documents, nodes, crowded, links)))
+    first = classes.select(F.col("rep").alias("doc_id")).distinct()
+    gone = materialize(named.select("doc_id").distinct().join(first, "doc_id", "left_anti"))
+    links = links_of(documents, signed, gone)
     # Rows that share a doc_id are one node, whatever their texts.
     same = named.join(classes, "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct()
-    shared = same.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    shared = same.join(first, "doc_id", "left_semi")
     links = links.unionByName(shared.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     parts = materialize(connected_components(links))
     reached = materialize(
         classes.join(parts, classes.rep == parts.node, "left").select("set_key", F.coalesce("component", "rep").alias("class"))
     )
-    return signed.join(reached, "set_key", "left").select(
+    return signed.select("doc_id", "n", "set_key").join(reached, "set_key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"),

@@ -219,18 +219,41 @@ def test_jaccard_join(spark):
     assert jaccard.jaccard_join(df.limit(0)).count() == 0
 
 
-def test_jaccard_join_keeps_a_link_that_only_crowded_keys_show(spark):
+def test_jaccard_join_of_large_groups_and_popular_passages(spark):
     r = random.Random(1847)
-    base = [f"w{r.randrange(10**6)}" for _ in range(260)]
-    tail = [f"x{r.randrange(10**6)}" for _ in range(60)]
+    word = lambda: f"w{r.randrange(10**6)}"
+    base = [word() for _ in range(260)]
+    tail = [word() for _ in range(60)]
     texts = [" ".join([f"g{k}", *base[1:]]) for k in range(20)] + [" ".join(["gx", *base[1:], *tail])]
-    sets = [shingles for shingles in jaccard.batch_sets(pa.array(texts))]
-    band = int(np.searchsorted(jaccard.BOUNDS, len(sets[-1]), "right")) - 1
-    held = Counter(k for s in sets for k in jaccard.segment_keys(s, band).tolist())
-    alone = [k for k in jaccard.segment_keys(sets[-1], band).tolist() if held[k] == 1]
-    assert len(alone) >= 20 and max(held.values()) > jaccard.CROWD  # its other keys match nobody
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_join(frame(spark, texts)).collect()}
-    assert got == brute_components(list(enumerate(texts))) and got[20][1] == 0
+    passage, other = [word() for _ in range(60)], [word() for _ in range(40)]
+    texts += [" ".join([*passage, *(word() for _ in range(r.randint(5, 60)))]) for _ in range(60)]
+    texts += [" ".join([*passage, *other, *(word() for _ in range(r.randint(0, 12)))]) for _ in range(60)]
+    for n, most in ((90, 6), (40, 9)):
+        texts += near_copies(r, [word() for _ in range(150)], n, most)
+    r.shuffle(texts)
+    sets = list(jaccard.batch_sets(pa.array(texts)))
+    held = Counter(k for s in sets for k in jaccard.set_keys(s).tolist())
+    assert max(held.values()) > jaccard.CROWD
+    for crowd, hubs in ((jaccard.CROWD, 8), (2, 1)):
+        jaccard.CROWD, kept, jaccard.HUBS, k = crowd, jaccard.CROWD, hubs, jaccard.HUBS
+        try:
+            got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_join(frame(spark, texts)).collect()}
+        finally:
+            jaccard.CROWD, jaccard.HUBS = kept, k
+        assert got == brute_components(list(enumerate(texts)))
+
+
+def test_linked_sets_of_any_size_share_a_key():
+    r = np.random.RandomState(11)
+    for n in (4, 5, 6, 9, 12, 31, 60, 150, 400, 900, 3000, 9000):
+        for _ in range(30):
+            a = np.unique(r.randint(0, 2**62, n).astype(np.uint64))
+            out = r.randint(0, len(a) // 5 + 1)
+            more = (len(a) - out) * 5 // 4 - len(a)  # so that 0.8 is just reached
+            b = np.unique(np.r_[r.permutation(a)[out:], r.randint(0, 2**62, max(0, more)).astype(np.uint64)])
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 80 * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+                assert set(jaccard.set_keys(a).tolist()) & set(jaccard.set_keys(b).tolist())
 
 
 def test_hamming_never_exceeds_the_difference():
@@ -254,7 +277,13 @@ def test_streamed_postings_find_every_pair():
     crowd = {(d, k) for k, v in runs.items() if len(v) > jaccard.CROWD for d in v}
     for size in (1, 7, 64, 400):
         batches = [pa.RecordBatch.from_pylist([{"key": k, "doc_id": d} for k, d in rows[i : i + size]]) for i in range(0, len(rows), size)]
-        out = [x for b in jaccard._postings(iter(batches)) for x in b.to_pylist()]
+        dealt = [jaccard._dealt(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        merged = sorted(((x["direct"], x["key"], x["doc_id"]) for b in dealt for x in b.to_pylist()))
+        batches = [
+            pa.RecordBatch.from_pylist([{"key": k, "doc_id": d, "direct": x} for x, k, d in merged[i : i + size]])
+            for i in range(0, len(merged), size)
+        ]
+        out = [x for b in jaccard._runs(iter(batches)) for x in b.to_pylist()]
         assert {(x["a"], x["b"]) for x in out if x["b"] is not None} == want
         assert {(x["a"], x["key"]) for x in out if x["b"] is None} == crowd
 
