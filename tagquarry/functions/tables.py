@@ -68,3 +68,19 @@ def global_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
     # One row per partition: bounded by spark.sql.shuffle.partitions.
     out = ranged.join(F.broadcast(offsets), part)
     return out.withColumn(name, F.col("_offset") + F.col(row)).drop(part, row, "_offset")
+
+
+def running_total(df: DataFrame, order: list, amount: str, name: str) -> DataFrame:
+    """df with the sum of `amount` over all rows up to each one, in the order of distinct keys.
+
+    Rows are range-partitioned and summed inside partitions; only one sum per partition is added up in order.
+    """
+    part = f"_{name}_part"
+    ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(part).agg(F.sum(amount).alias("_s"))
+    sums = sums.select(part, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    # One row per partition: bounded by spark.sql.shuffle.partitions.
+    out = ranged.withColumn(name, F.sum(amount).over(inside)).join(F.broadcast(sums), part)
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop(part, "_before")
