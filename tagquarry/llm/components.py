@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -36,10 +36,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        seen = Observation()  # counted while the round is written
+        moved = _small_star(_large_star(edges))
+        edges = materialize(
+            moved.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        )
+        if seen.get == before:
             break
-        before = now
+        before = seen.get
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -16,9 +16,9 @@ Keys held by more than CROWD sets are never expanded into pairs. The sets that h
    held by at most CROWD of them shares one of those with whatever it links with, so it is settled
    (documents that merely have a popular passage in common end here).
 2. The others (large groups of near copies) are compared with hubs: once with a hub of their fullest key, then
-   those outside a key's main component with several hubs of that component. What is still apart
-   meets under a join condition on the Hamming distance of the folded sketches, so that
-   hardly any pair but missing links leaves the join.
+   those that it does not link with several of those that it does. What is still apart meets under
+   a join condition on the Hamming distance of longer sketches, so that hardly any pair but missing
+   links leaves the join.
 
 Only components are given, neither linked pairs nor numbers of links: the exact way skips pairs of sets
 that are in one component already.
@@ -48,7 +48,7 @@ from .exact_dedup import MAX_FILTER_BITS, WORD, positions, possibly_repeated
 from .shingles import U, batch_sets, mix
 
 CROWD = 16
-#: Hubs that a set outside a key's main component is compared with.
+#: Hubs that a set is compared with if the first one of its key does not link it.
 HUBS = 8
 #: Bytes of sets, sketches and keys after which a record batch is handed on.
 BATCH_BYTES = 2_000_000
@@ -261,7 +261,7 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
     A Bloom filter of the ids, of a fixed size limit, keeps most other texts out of the shuffle.
     """
-    spark, k = documents.sparkSession, 2
+    spark, k, ids = documents.sparkSession, 2, materialize(ids)
     bits = min(MAX_FILTER_BITS, 1 << max(15, int(ids.count() * 8).bit_length()))
     hit = ids.select(F.explode(positions(F.xxhash64("doc_id"), bits, k)).alias("p"))
     words = hit.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bitmap_construct_agg(F.col("p") % WORD).alias("bitmap"))
@@ -299,66 +299,56 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 #: 64-bit words of the sketches that the last join compares.
-WORDS = 16
+WORDS = 32
 
 
-def _folded(batches):
-    """Sketches folded to one length per family, so that neighbours in size can be compared by words."""
+def _wide(batches):
+    """Parity sketches of one length for sets of any size, so that they can be compared by words."""
+    bits = 64 * WORDS
     for b in batches:
-        out = np.zeros((len(b), WORDS), np.int64)
-        for i, (sketch, family) in enumerate(zip(b["sketch"], b["family"])):
-            least = int(BOUNDS[family - 1])
-            size = min(WORDS * 8, max(8, (1 << (2 * least - 1).bit_length()) // 8))
-            x = np.frombuffer(sketch, np.uint8)
-            x = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
-            out[i, : size // 8] = x.view(np.int64)
-        words = pd.DataFrame(out, columns=[f"w{i}" for i in range(WORDS)])
-        yield pd.concat([b[["doc_id", "family", "n"]].reset_index(drop=True), words], axis=1)
-
-
-def folded_sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, family, n, w0, w1, …) of the distinct (doc_id, family) in rows."""
-    words = ", ".join(f"w{i} long" for i in range(WORDS))
-    asked = rows.select("doc_id", "family").distinct().join(nodes.select("doc_id", "n", "sketch"), "doc_id")
-    return asked.mapInPandas(_folded, f"doc_id long, family long, n long, {words}")
-
-
-def _apart(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings of keys in more than one component, with component and main (the key's largest one);
-    and the links as one link from each node to the least of its component."""
-    parts = materialize(connected_components(links))
-    named = postings.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = materialize(named.withColumn("component", F.coalesce("component", "doc_id")))
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mains = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
-    mains = mains.where("parts > 1").select("key", F.col("m.component").alias("main"))
-    return materialize(named.join(mains, "key")), parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        sets = [np.frombuffer(s, U) for s in b["set"]]
+        flips = np.array([np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1 for s in sets], np.uint8)
+        words = np.packbits(flips.reshape(-1, bits), axis=1, bitorder="little").view(np.int64)
+        out = pd.DataFrame(words, columns=[f"w{i}" for i in range(WORDS)])
+        out.insert(0, "n", [len(s) for s in sets])
+        out.insert(0, "doc_id", b["doc_id"].to_numpy())
+        yield out
+
+
+def wide_sketches(sets: DataFrame) -> DataFrame:
+    """(doc_id, n, w0, w1, …) of each set."""
+    return sets.mapInPandas(_wide, "doc_id long, n long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
 
 
 def crowded_links(postings: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """links and those found through crowded keys alone, enough of them to connect components.
 
-    postings: (doc_id, key) of the sets that are not settled otherwise.
+    postings: (doc_id, key, rare) of the sets that are not settled otherwise; rare is the share of their
+    shingles that few others hold.
     """
-    # One hub per key, each set with that of its fullest key.
+    # One hub per key, the set most like the others; each set meets that of its fullest key.
     fullest = postings.groupBy("key").agg(F.count("*").alias("n"))
-    chosen = postings.join(fullest, "key").groupBy("doc_id").agg(F.max(F.struct("n", "key")).alias("m"))
-    chosen = materialize(chosen.select("doc_id", F.col("m.key").alias("key")))
-    hub = chosen.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id"), F.col("doc_id").alias("h"))).alias("m"))
-    star = chosen.join(hub.select("key", "m.h"), "key").where("doc_id <> h")
-    links = links.unionByName(verified(near(_pairs(star, "doc_id", "h"), nodes), sets))
-    # Several hubs of the main component, for the sets outside it.
-    rows, links = _apart(postings, links)
-    lot = lambda i: F.min(F.when(F.expr("component = main"), F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id")))["doc_id"]
-    hubs = rows.groupBy("key").agg(F.array_distinct(F.array(*(lot(i) for i in range(HUBS)))).alias("hubs"))
-    outside = rows.where("component <> main").groupBy("doc_id", "main").agg(F.min("key").alias("key"))
-    star = outside.join(hubs, "key").select("doc_id", F.explode("hubs").alias("h"))
-    links = links.unionByName(verified(near(_pairs(star, "doc_id", "h"), nodes), sets))
-    # What is apart still meets, each set outside a main component with all others of its keys.
-    rows, links = _apart(postings, links)
-    rows = rows.withColumn("family", F.col("key").bitwiseAND(0xFF))
-    sketches = materialize(folded_sketches(rows, nodes))
-    rows = materialize(rows.join(sketches, ["doc_id", "family"]).drop("family"))
+    chosen = postings.join(fullest, "key").groupBy("doc_id", "rare").agg(F.max(F.struct("n", "key")).alias("m"))
+    chosen = materialize(chosen.select("doc_id", "rare", F.col("m.key").alias("key")))
+    hub = chosen.groupBy("key").agg(F.min(F.struct("rare", F.col("doc_id").alias("h"))).alias("m"))
+    postings = postings.drop("rare")
+    star = materialize(chosen.join(hub.select("key", "m.h"), "key"))
+    linked = verified(_pairs(star.where("doc_id <> h"), "doc_id", "h"), sets)
+    # Those that it does not link meet several of those that it does.
+    near_hub = linked.select(F.col("a").alias("doc_id"), F.col("b").alias("h")).unionByName(linked.select(F.col("b").alias("doc_id"), F.col("a").alias("h")))
+    star = materialize(star.join(near_hub.withColumn("linked", F.lit(True)), ["doc_id", "h"], "left"))
+    lot = lambda i: F.min(F.when(F.col("linked"), F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id")))["doc_id"]
+    hubs = star.groupBy("key").agg(F.array_distinct(F.array(*(lot(i) for i in range(HUBS)))).alias("hubs"))
+    second = star.where("linked IS NULL AND doc_id <> h").join(hubs, "key").select("doc_id", F.explode("hubs").alias("h"))
+    links = links.unionByName(linked).unionByName(verified(near(_pairs(second.where("h IS NOT NULL"), "doc_id", "h"), nodes), sets))
+    # What is still apart meets: each set outside a key's main (largest) component with all others of the key.
+    parts = materialize(connected_components(links))
+    rows = postings.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = materialize(rows.withColumn("component", F.coalesce("component", "doc_id")))
+    mains = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    mains = mains.agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(mains.select("key", F.col("m.component").alias("main")), "key")
+    rows = materialize(rows.join(wide_sketches(sets), "doc_id"))
     named = ["doc_id", "n", "component", *(f"w{i}" for i in range(WORDS))]
     outside = rows.where("component <> main").select(F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in named))
     apart = " + ".join(f"bit_count(w{i} ^ x_w{i})" for i in range(WORDS))
@@ -366,17 +356,17 @@ def crowded_links(postings: DataFrame, nodes: DataFrame, sets: DataFrame, links:
         "key = x_key AND component <> x_component AND (component = main OR x_doc_id < doc_id)"
         f" AND 4 * n <= 5 * x_n AND 4 * x_n <= 5 * n AND 9 * ({apart}) <= n + x_n"
     )
-    cross = _pairs(materialize(outside).join(rows, F.expr(meet)), "doc_id", "x_doc_id")
-    return links.unionByName(verified(near(cross, nodes), sets))
+    cross = near(_pairs(materialize(outside).join(rows, F.expr(meet)), "doc_id", "x_doc_id"), nodes)
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(cross, sets))
 
 
 def unsettled(holders: DataFrame, nodes: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(doc_id) of the holders of which at most a fifth of the shingles are rare.
+    """(doc_id, rare): the holders of which at most a fifth of the shingles are rare, with that share.
 
     crowded: (doc_id, c), the number of shingles that more than CROWD holders have.
     """
     rows = nodes.select("doc_id", "n").join(holders, "doc_id", "left_semi").join(crowded, "doc_id")
-    return rows.where("5 * (n - c) <= n").select("doc_id").distinct()
+    return rows.where("5 * (n - c) <= n").groupBy("doc_id").agg(F.min((F.col("n") - F.col("c")) / F.col("n")).alias("rare"))
 
 
 def links_of(documents: DataFrame, signed: DataFrame, gone: DataFrame) -> DataFrame:
@@ -397,8 +387,8 @@ def links_of(documents: DataFrame, signed: DataFrame, gone: DataFrame) -> DataFr
     rest = materialize(unsettled(holders, nodes, met.where("b IS NULL").select(F.col("a").alias("doc_id"), "c")))
     if rest.isEmpty():
         return links
-    postings = materialize(crowded.join(rest, "doc_id", "left_semi"))
-    return materialize(crowded_links(postings, nodes, sets, links))
+    postings = materialize(crowded.join(rest, "doc_id"))
+    return crowded_links(postings, nodes, sets, links)
 
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
@@ -412,7 +402,7 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     classes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     first = classes.select(F.col("rep").alias("doc_id")).distinct()
     gone = materialize(named.select("doc_id").distinct().join(first, "doc_id", "left_anti"))
-    links = links_of(documents, signed, gone)
+    links = materialize(links_of(documents, signed, gone))
     # Rows that share a doc_id are one node, whatever their texts.
     same = named.join(classes, "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct()
     shared = same.join(first, "doc_id", "left_semi")
