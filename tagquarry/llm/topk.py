@@ -3,20 +3,23 @@
 A code is an array of m segment values. If two codes differ in at most m * (s + 1) - 1 bits, some
 segment differs in at most s. Round s looks up, for each open query, all segment values at distance
 s, verifies the whole Hamming distance, and closes the queries whose kth verified distance is
-covered. The radius grows until every query is closed, so the result is exact.
+covered. The radius grows until every query is closed, so the result is exact. Flips are made by
+exploding the bits after the last one flipped, s times. Where the next radius would look up more values
+than there are codes, the queries still open are compared with all codes, in blocks of queries.
 
-Equal codes are one entry that keeps its k + 1 smallest ids; others can never be among k nearest
-rows when ties go to the smaller id. A code that many rows hold is thus looked up once.
+Codes of different lengths are searched apart, in the same joins: the length is part of every key. Equal codes are one
+entry that keeps its k + 1 smallest ids; others can never be among k nearest rows when ties go to the
+smaller id. A code that many rows hold is thus looked up once.
 
-Defined cases: null, empty or shorter or longer embeddings than most have no code and neither ask
-nor are found; the query row itself is not its neighbour, rows with equal codes are, at distance 0;
-rows that share an id count once; ties go to the smaller id; with fewer than k other rows all are
-returned; an empty table gives an empty result; other columns are ignored.
+Defined cases: null or empty embeddings have no code and neither ask nor are found; rows of another
+length than the query's are not compared with it; the query row itself is not its neighbour, rows with equal codes are, at distance 0;
+rows that share an id count once, at their least distance; of queries that share an id the one with the shortest,
+then smallest code asks; ties go to the smaller id; with fewer than k other rows all are returned, with none
+no row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,74 +27,89 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Queries that are compared with all codes at a time.
+BLOCK = 2_000
 
-def sign_code(embedding: Column, bits: int, segment_bits: int) -> Column:
+
+def sign_code(embedding: Column, segment_bits: int) -> Column:
     """array<int>: bit i is set where the embedding's value i is positive."""
-    parts = []
-    for start in range(0, bits, segment_bits):
-        value = F.lit(0)
-        for i in range(start, min(bits, start + segment_bits)):
-            value = value + F.when(F.get(embedding, F.lit(i)) > 0, F.lit(1 << (i - start))).otherwise(0)
-        parts.append(value)
-    return F.array(*parts)
+    bits = F.transform(embedding, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1), i % segment_bits)).otherwise(0))
+    starts = F.sequence(F.lit(1), F.size(embedding), F.lit(segment_bits))
+    return F.transform(starts, lambda s: F.aggregate(F.slice(bits, s, F.lit(segment_bits)), F.lit(0), lambda a, b: a + b))
+
+
+def hamming(a: str, b: str) -> Column:
+    apart = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(apart, F.lit(0), lambda s, x: s + x).cast("long")
+
 
+def slot(seg: Column, value: Column) -> Column:
+    """One number for a segment's value among codes of a length; what collides is only verified in vain."""
+    return F.xxhash64("bits", seg, value)
 
-def hamming(a: str, b: str, segments: int) -> Column:
-    out = F.lit(0)
-    for i in range(segments):
-        out = out + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return out.cast("long")
 
+def probes(open_: DataFrame, segment_bits: int, distance: int) -> DataFrame:
+    """(query_id, slot) of all segment values at exactly that distance from the query's."""
+    at = open_.select("query_id", "bits", F.posexplode("query").alias("seg", "value")).withColumn("last", F.lit(-1))
+    for _ in range(distance):
+        flips = F.explode(F.sequence(F.col("last") + 1, F.lit(segment_bits - 1)))
+        at = at.where(F.col("last") < segment_bits - 1).withColumn("last", flips)
+        at = at.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1, last)")))
+    return at.select("query_id", slot(F.col("seg"), F.col("value")).alias("slot"))
 
-def masks(bits: int, distance: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in itertools.combinations(range(bits), distance)]
+
+def scanned(open_: DataFrame, codes: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance): the k nearest of all codes, a block of queries at a time.
+
+    A block of about BLOCK rows, dealt by a hash, is broadcast; Spark cuts each query to k rows before the shuffle.
+    """
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    blocks, out = max(1, -(-open_.count() // BLOCK)), None
+    for block in range(blocks):
+        asked = F.broadcast(open_.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block))
+        near = codes.join(asked, "bits").select("query_id", F.explode("ids").alias("id"), hamming("query", "code").alias("distance"))
+        near = near.where("id <> query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+        near = materialize(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+        out = near if out is None else out.unionByName(near)
+    return out
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """rows and queries: (id long, embedding array<double>). Returns query_id, id, distance, rank."""
-    rows = rows.where("id IS NOT NULL AND size(embedding) > 0")
-    common = rows.groupBy(F.size("embedding").alias("bits")).count().orderBy(F.desc("count"), "bits").first()
-    empty = "query_id long, id long, distance long, rank int"
-    if common is None:
-        return rows.sparkSession.createDataFrame([], empty)
-    bits = int(common.bits)
-    of_size = lambda df: df.where(F.size("embedding") == bits)
-    n = max(2, int(common["count"]))
-    segment_bits = min(bits, max(4, math.ceil(math.log2(n))), 24)
-    segments = math.ceil(bits / segment_bits)
-    coded = of_size(rows).select("id", sign_code(F.col("embedding"), bits, segment_bits).alias("code"))
-    least = Window.partitionBy("code").orderBy("id")
+    known = lambda df: df.where("id IS NOT NULL AND size(embedding) > 0")
+    n = max(2, known(rows).count())
+    segment_bits = min(max(4, math.ceil(math.log2(n))), 24)
+    code = sign_code(F.col("embedding"), segment_bits)
+    coded = known(rows).select("id", F.size("embedding").alias("bits"), code.alias("code"))
+    least = Window.partitionBy("bits", "code").orderBy("id")
     codes = coded.distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
-    codes = materialize(codes.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    # A code is named by its smallest id, a segment value by one number.
+    codes = codes.groupBy("bits", "code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # A code is named by its smallest id; a repeated id may name two codes, which are both looked up then.
     codes = materialize(codes.withColumn("cid", F.col("ids")[0]))
-    slot = F.col("seg").cast("long") * (1 << segment_bits)
-    index = codes.select("cid", F.posexplode("code").alias("seg", "value")).select((slot + F.col("value")).alias("slot"), "cid")
-    index = materialize(index)
-    asked = of_size(queries.where("id IS NOT NULL")).select(
-        F.col("id").alias("query_id"), sign_code(F.col("embedding"), bits, segment_bits).alias("query")
-    )
-    open_ = materialize(asked.dropDuplicates(["query_id"]))
-    best, found = None, None
+    index = codes.select("cid", "bits", F.posexplode("code").alias("seg", "value"))
+    index = materialize(index.select(slot(F.col("seg"), F.col("value")).alias("slot"), "cid"))
+    asked = known(queries).select(F.col("id").alias("query_id"), F.struct(F.size("embedding").alias("bits"), code.alias("query")).alias("q"))
+    open_ = materialize(asked.groupBy("query_id").agg(F.min("q").alias("q")).select("query_id", "q.bits", "q.query"))
+    lengths = codes.agg(F.max("bits"), F.count("*")).first()
+    most, n_codes = lengths[0] or 0, lengths[1]
+    best = found = None
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     for s in range(segment_bits + 1):
-        probes = open_.select("query_id", F.posexplode("query").alias("seg", "at"))
-        probes = probes.withColumn("mask", F.explode(F.array(*(F.lit(m) for m in masks(segment_bits, s)))))
-        probes = probes.select("query_id", (slot + F.col("at").bitwiseXOR(F.col("mask"))).alias("slot"))
-        # The planner does not see how many rows the masks make: no side of this join may be broadcast.
-        hits = probes.join(index.hint("merge"), "slot").select("query_id", "cid").distinct()
-        hits = hits.join(codes.select("cid", "code", "ids").hint("merge"), "cid").join(open_, "query_id")
-        hits = hits.withColumn("distance", hamming("query", "code", segments))
+        if s and math.ceil(most / segment_bits) * math.comb(segment_bits, s) > max(n_codes, 64):
+            done = scanned(open_, codes, k)
+            found = done if found is None else found.unionByName(done)
+            break
+        # The planner does not see how many rows the flips make: no side of this join may be broadcast.
+        hits = probes(open_, segment_bits, s).join(index.hint("merge"), "slot").select("query_id", "cid").distinct()
+        hits = hits.join(codes.hint("merge"), "cid").join(open_, ["query_id", "bits"]).withColumn("distance", hamming("query", "code"))
         near = hits.select("query_id", "distance", F.explode("ids").alias("id")).where("id <> query_id")
         pool = near if best is None else near.unionByName(best.join(open_, "query_id", "left_semi").select(*near.columns))
         pool = pool.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
         best = materialize(pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
-        covered = segments * (s + 1) - 1
-        full = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        closed = full.where((F.col("n") == k) & (F.col("far") <= covered)).select("query_id")
-        if s == segment_bits or covered >= bits:
-            closed = open_.select("query_id")
-        done = best.join(closed, "query_id", "left_semi")
+        full = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).join(open_, "query_id")
+        covered = F.ceil(F.col("bits") / segment_bits) * (s + 1) - 1
+        closed = full.where((F.col("n") == k) & (F.col("far") <= covered) | F.lit(s == segment_bits)).select("query_id")
+        done = best.join(closed, "query_id", "left_semi").select("query_id", "id", "distance")
         found = done if found is None else found.unionByName(done)
         open_ = materialize(open_.join(closed, "query_id", "left_anti"))
         if open_.isEmpty():
