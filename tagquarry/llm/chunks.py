@@ -1,36 +1,36 @@
-"""Distinct-chunk tables inside tasks: each distinct chunk of text is segmented once per worker.
+"""Distinct-chunk tables: each distinct chunk of text is segmented once.
 
 A table maps a chunk to its ids as little-endian 32-bit bytes, so that a document's ids are the
-table's entries joined by position. Tables live in the Python worker between tasks and are emptied
-when they have MAX_ENTRIES, which bounds their memory; results do not depend on it.
+table's entries joined by position. A shared, read-only part may come with the task; the task's own part is
+emptied when it has MAX_ENTRIES, which bounds its memory; results do not depend on it.
 """
 
 from __future__ import annotations
 
-#: Entries after which a worker's chunk table starts anew (about 200 bytes each).
-MAX_ENTRIES = 400_000
+#: Entries after which a task's own part starts anew (about 150 bytes each).
+MAX_ENTRIES = 150_000
+#: Longer chunks are segmented anew each time, so that the bound on entries bounds bytes.
+MAX_CHARS = 256
 
-_TABLES: dict = {}
 
-
-class ChunkTable(dict):
+class ChunkTable:
     """chunk -> ids as bytes. `segment` maps a list of chunks to a list of their ids."""
 
-    def __init__(self, segment):
-        super().__init__()
-        self.segment = segment
+    def __init__(self, segment, shared: dict | None = None):
+        self.segment, self.shared, self.own = segment, shared or {}, {}
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as its chunks in order."""
-        if len(self) >= MAX_ENTRIES:
-            self.clear()
-        new = list(set().union(*texts).difference(self))
-        self.update(zip(new, self.segment(new)))
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in texts]
-
-
-def worker_table(key, make) -> ChunkTable:
-    """The worker's own table for a tokenizer, made on first use."""
-    if key not in _TABLES:
-        _TABLES[key] = make()
-    return _TABLES[key]
+        if len(self.own) >= MAX_ENTRIES:
+            self.own.clear()
+        shared, own, new, here = self.shared, self.own, [], {}
+        for chunk in set().union(*texts):
+            ids = shared.get(chunk) or own.get(chunk)
+            if ids is None:
+                new.append(chunk)
+            else:
+                here[chunk] = ids
+        made = dict(zip(new, self.segment(new)))
+        own.update((c, ids) for c, ids in made.items() if len(c) <= MAX_CHARS)
+        here |= made
+        return [b"".join(map(here.__getitem__, chunks)) for chunks in texts]
