@@ -3,8 +3,9 @@
 A file is a Parquet table that Spark commits, one row per block of whole documents in ascending
 doc_id order. A block's ids are split into 8-bit levels: level 0 holds every id's low byte, and a
 continuation bitmap says which ids go on in the next level. A rank directory counts the bitmap's
-ones before every 512th bit, so token i of a block is found with one rank per level, without
-decoding the block.
+ones before every 512th bit, so token i of a block, or a run of tokens, is found with one rank per
+level, without decoding the block; the blocks' starts lead from a token's number in the whole file to
+its block (tokens_at). Documents are read back in this way too.
 
 Defined cases: a null or empty text has the end id only; a null doc_id sorts first; rows that share
 a doc_id are ordered by text, null first; a text of any length stays in one block; an empty table
@@ -13,7 +14,6 @@ gives an empty file; other columns are not written.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import struct
 import zlib
@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import MAX_ENTRIES, ChunkTable, worker_table
+from .chunks import MAX_ENTRIES, ChunkTable
+from .common import bound_batches
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -71,23 +72,39 @@ class Block:
     def __len__(self) -> int:
         return len(self.levels[0][0])
 
+    @staticmethod
+    def _rank(level, i: int) -> int:
+        """The number of ones before bit i of a level's bitmap."""
+        _, bitmap, rank = level
+        word = i // RANK_BITS
+        ones = int(rank[word]) + int(np.bitwise_count(bitmap[word * RANK_BITS // 8 : i >> 3]).sum())
+        return ones + (int(bitmap[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+
     def token(self, i: int) -> int:
         """Id i, by one rank a level."""
         out = 0
-        for shift, (low, bitmap, rank) in enumerate(self.levels):
-            out |= int(low[i]) << (8 * shift)
-            if not bitmap[i >> 3] >> (i & 7) & 1:
+        for shift, level in enumerate(self.levels):
+            out |= int(level[0][i]) << (8 * shift)
+            if not level[1][i >> 3] >> (i & 7) & 1:
                 break
-            word = i // RANK_BITS
-            before = bitmap[word * RANK_BITS // 8 : i >> 3]
-            i = int(rank[word]) + int(np.bitwise_count(before).sum()) + int(bitmap[i >> 3] & ((1 << (i & 7)) - 1)).bit_count()
+            i = self._rank(level, i)
         return out
 
     def all(self) -> np.ndarray:
-        """All ids."""
+        return self.run(0, len(self))
+
+    def run(self, i: int, n: int) -> np.ndarray:
+        """The n ids from id i on, by one rank a level."""
+        parts = []
+        for level in self.levels:
+            if not n:
+                break
+            low, bitmap, _ = level
+            more = np.unpackbits(bitmap[i >> 3 : (i + n + 7) >> 3], bitorder="little")[i & 7 : (i & 7) + n].astype(bool)
+            parts.append((low[i : i + n], more))
+            i, n = self._rank(level, i), int(np.count_nonzero(more))
         out = np.zeros(0, np.uint32)
-        for low, bitmap, _ in reversed(self.levels):
-            more = np.unpackbits(bitmap, bitorder="little")[: len(low)].astype(bool)
+        for low, more in reversed(parts):
             ids = low.astype(np.uint32)
             ids[more] |= out << 8
             out = ids
@@ -123,9 +140,11 @@ def segmenter(tokenizer):
 
 
 def chunks_of(text: str | None) -> list[str]:
-    """The tokenizer drops white space and no token crosses it, so that the words between spaces
-    and line ends are encoded alone."""
-    return list(filter(None, (text or "").replace("\n", " ").split(" ")))
+    """The tokenizer drops white space and no token crosses it, so that the words between are encoded alone."""
+    text = text or ""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, signs to the tokenizer
+        return list(filter(None, text.replace("\n", " ").split(" ")))
+    return text.split()
 
 
 def encode_texts(texts: list, table: ChunkTable) -> list[bytes]:
@@ -136,17 +155,14 @@ def write_token_file(documents: DataFrame, path: str, tokenizer_path: str, end_i
     """Write all ids of `documents` (doc_id, text), each document followed by end_id, to `path`."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    key = hashlib.sha256(spec.encode()).hexdigest()
+    bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(spec)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        def make():
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
-            return ChunkTable(segmenter(Tokenizer.from_str(shared.value)))
-
-        table, part = worker_table(key, make), TaskContext.get().partitionId()
+        table, part = ChunkTable(segmenter(Tokenizer.from_str(shared.value))), TaskContext.get().partitionId()
         docs, lengths, ids, start = [], [], [], 0
 
         def block():
@@ -225,9 +241,9 @@ def _documents(batches):
     for b in batches:
         rows = []
         for start, docs, lengths, codes in zip(b["start"], b["doc_ids"], b["lengths"], b["codes"]):
-            ids, at = Block(codes).all().astype("<u4"), 0
+            block, at = Block(codes), 0
             for doc, n in zip(docs, lengths):
-                rows.append((doc, start + at, n, zlib.crc32(ids[at : at + n].tobytes())))
+                rows.append((doc, start + at, n, zlib.crc32(block.run(at, n).astype("<u4").tobytes())))
                 at += n
         yield pd.DataFrame(
             {"doc_id": pd.array([r[0] for r in rows], "Int64")}
@@ -240,3 +256,27 @@ def document_digests(blocks: DataFrame) -> DataFrame:
     return blocks.select("start", "doc_ids", "lengths", "codes").mapInPandas(
         _documents, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
+
+
+def _tokens(batches):
+    for b in batches:
+        rows = []
+        for start, numbers, codes in zip(b["start"], b["numbers"], b["codes"]):
+            block = Block(codes)
+            rows += [(int(i), block.token(int(i) - start)) for i in numbers]
+        yield pd.DataFrame(rows, columns=["number", "token"], dtype=np.int64)
+
+
+def tokens_at(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(number, token) of the tokens with these numbers in the whole file; numbers: one long column.
+
+    Numbers meet the blocks' starts in stretches of BLOCK_IDS; then each block's codes meet the numbers
+    asked of it, once. Numbers outside the file have no row; repeated ones have one.
+    """
+    stretch = F.explode(F.sequence(F.expr(f"start div {BLOCK_IDS}"), F.expr(f"(start + n_tokens - 1) div {BLOCK_IDS}")))
+    starts = blocks.where("n_tokens > 0").select("part", "start_in_part", "start", "n_tokens", stretch.alias("stretch"))
+    asked = numbers.toDF("number").where("number >= 0").distinct().withColumn("stretch", F.expr(f"number div {BLOCK_IDS}"))
+    met = asked.join(starts, "stretch").where("number >= start AND number < start + n_tokens")
+    met = met.groupBy("part", "start_in_part").agg(F.collect_list("number").alias("numbers"))  # BLOCK_IDS or so at most
+    found = met.join(blocks.select("part", "start_in_part", "start", "codes"), ["part", "start_in_part"])
+    return found.select("start", "numbers", "codes").mapInPandas(_tokens, "number long, token long")
