@@ -1,18 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Clauses are read by three small transducers run in composition over the weights of single words, which
-insult and threat look-ups give (no phrase patterns): the target machine raises it next to a person addressed, the negation and the
-reported-speech machine lower it inside their scopes. A document's score is a logistic function of
-its strongest clause, of the sum over its clauses and of their number; a lone insult keeps its full weight.
+A clause is read as a string of word classes by five weighted transducers in composition: negation and
+reported speech weaken what stands in their scopes, target marks insults and threats next to a person
+addressed (on either side), insult passes a marked insult, or plain ones if the clause has further evidence
+(a second insult, or something aimed), and threat passes harm words that are aimed, more so after an agent
+("I will ..."). The clause's weight is that of the best path. A lone insult that nothing
+else in its clause supports scores nothing there; a sixth transducer over the clauses of the text counts such
+loose clauses, at a lower weight, only where the text has another loose or a matched one. A document's
+score is a logistic function of its strongest clause, of the sum over its clauses and of their number.
 
 The insult lexicon is learned: words and word stems whose share of toxic training documents is
-significantly high. Counting runs in Spark over a sample of at most MAX_LABELLED labelled documents
-and gives at most MAX_LEXICON entries; the logistic weights are fitted on those documents' features.
+significantly high. Counting runs in Spark over a sample of at most MAX_LABELLED labelled documents,
+which bounds the lexicon too; the logistic weights are fitted on those documents' features.
 
 Defined cases: a null or empty text has no clause and the score of one; a null doc_id is scored but
 never trains; repeated labels of a document train as its largest; labels of absent documents are
-ignored; without labels the seed lexicon and default weights hold; ties in the lexicon's cut go by
-spelling; whole texts of any length are read; other columns are ignored.
+ignored; repeated rows score alike; without labels the seed lexicon and default weights hold; whole texts
+of any length and words of any length are read; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .shingles import batch_sets, mix
 
 #: Most labelled documents that the lexicon and the logistic weights are learned from.
 MAX_LABELLED = 12_000
-#: Most entries of the learned lexicon.
-MAX_LEXICON = 4_000
 STEMS = (4, 5, 6)
 #: Expected number of lexicon entries that are there by chance.
 CHANCE = 0.02
@@ -42,94 +45,202 @@ THREATS = set("kill hurt destroy punch murder stab shoot strangle beat burn töt
 TARGETS = set("you your yours u he she they him her them his their this that these those du ihr dich euch dein er sie vous tu toi te il elle ils usted tú él ella ellos".split())
 NEGATIONS = set("not no never nobody none without cannot isn't aren't wasn't don't nicht kein keine nie ne pas jamais nunca jamás".split())
 REPORTS = set("said says say wrote quoted quote quotes called claims claimed reported reportedly alleged alleges according sagte schrieb dit écrit dijo escribió".split())
-THREAT_WEIGHT, TARGET_FACTOR, NEGATION_FACTOR, REPORT_FACTOR = 4.0, 1.5, 0.25, 0.4
-NEGATION_SCOPE, TARGET_SCOPE = 4, 3
+AGENTS = set("i we i'll we'll i'm will shall gonna going ich wir werde werden je nous vais allons yo voy vamos nosotros".split())
+THREAT_WEIGHT, TARGET_FACTOR, AGENT_FACTOR, NEGATION_FACTOR, REPORT_FACTOR, LOOSE_FACTOR = 4.0, 1.5, 1.5, 0.25, 0.4, 0.5
+NEGATION_SCOPE, TARGET_SCOPE, AGENT_SCOPE = 4, 3, 4
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 DEFAULT = [-4.0, 0.8, 0.1, 0.5]
 
 
-class Machine:
-    """A transducer over word classes: arcs (state, class) -> (state, weight factor); other classes
-    follow the class None. Weights multiply."""
+CLASSES = (("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS), ("agent", AGENTS), ("threat", THREATS))
+SYMBOLS = ("word", "insult", "negation", "report", "target", "agent", "threat", "aimed insult", "aimed threat", "hit")
 
-    def __init__(self, arcs: dict):
-        self.arcs = arcs
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        return self.arcs.get((state, kind)) or self.arcs[state, None]
+class Transducer:
+    """A weighted transducer from state 0: arcs (state, symbol) -> [(state, output symbol, factor)].
 
+    A symbol without arcs stays as it is, and so does the state. A path ends well in a state of `final`.
+    """
+
+    def __init__(self, arcs: dict, final):
+        self.start, self.arcs, self.final = 0, arcs, final.__contains__
+
+    def step(self, state, symbol: str):
+        return self.arcs.get((state, symbol)) or [(state, symbol, 1.0)]
+
+
+class Composition:
+    """first, and then second on its output: pairs of states, factors multiplied. Arcs are made when first met."""
+
+    def __init__(self, first, second):
+        self.first, self.second, self.start, self.known = first, second, (first.start, second.start), {}
 
-def scope(opens: str, length: int, factor: float) -> Machine:
-    """A machine that multiplies the weights of the `length` words after a word of class `opens`."""
-    arcs: dict = {(0, None): (0, 1.0)}
-    for s in range(length + 1):
-        arcs[s, opens] = (length, factor if s else 1.0)
-        if s:
-            arcs[s, None] = (s - 1, factor)
-    return Machine(arcs)
+    def step(self, state, symbol: str):
+        found = self.known.get((state, symbol))
+        if found is None:
+            a, b = state
+            found = [
+                ((to_a, to_b), out, f * g)
+                for to_a, middle, f in self.first.step(a, symbol)
+                for to_b, out, g in self.second.step(b, middle)
+            ]
+            self.known[state, symbol] = found
+        return found
+
+    def final(self, state) -> bool:
+        return self.first.final(state[0]) and self.second.final(state[1])
+
+
+def best_path(machine, symbols: list[str], weights: list[float]) -> list[float]:
+    """The weights times the factors along the path with the largest sum; all 0 if no path ends well."""
+    paths = {machine.start: (0.0, None)}
+    for symbol, weight in zip(symbols, weights):
+        after: dict = {}
+        for state, path in paths.items():
+            for to, _, factor in machine.step(state, symbol):
+                total = path[0] + weight * factor
+                if to not in after or total > after[to][0]:
+                    after[to] = (total, (path, weight * factor))
+        paths = after
+    ended = [path for state, path in paths.items() if machine.final(state)]
+    if not ended:
+        return [0.0] * len(symbols)
+    _, back = max(ended, key=lambda p: p[0])
+    out = []
+    while back is not None:
+        out.append(back[1])
+        back = back[0][1]
+    return out[::-1]
+
+
+def scope(opens: str, length: int, factor: float, symbols=("insult", "threat")) -> Transducer:
+    """Weakens insults and threats among the `length` words after a word of class `opens`."""
+    arcs: dict = {}
+    for left in range(length + 1):
+        for x in SYMBOLS:
+            arcs[left, x] = [(max(0, left - 1), x, factor if left and x in symbols else 1.0)]
+        arcs[left, opens] = [(length, opens, 1.0)]
+    return Transducer(arcs, range(length + 1))
+
+
+def reported() -> Transducer:
+    """Weakens insults and threats from a word of speech to the end of the clause."""
+    arcs: dict = {(0, "report"): [(1, "report", 1.0)]}
+    for x in ("insult", "threat"):
+        arcs[1, x] = [(1, x, REPORT_FACTOR)]
+    return Transducer(arcs, (0, 1))
+
+
+def target(length: int = TARGET_SCOPE) -> Transducer:
+    """Marks insults and threats at most `length` words after a target, or as many before one.
+
+    State (0, left): so many words may still be marked; state (owed, 0): a target must come within so
+    many words. State 0 is (0, 0).
+    """
+    arcs: dict = {}
+    name = lambda owed, left: (owed, left) if owed or left else 0
+    for owed in range(length + 1):
+        for left in range(length + 1):
+            if owed and left:
+                continue
+            state, later = name(owed, left), name(0, max(0, left - 1))
+            for x in SYMBOLS:
+                to = [] if owed == 1 else [(name(owed - 1, 0) if owed else later, x, 1.0)]
+                if x in ("insult", "threat"):
+                    if left:
+                        to = [(later, "aimed " + x, TARGET_FACTOR)]
+                    elif owed != 1:
+                        to.append((name(owed - 1 if owed else length, 0), "aimed " + x, TARGET_FACTOR))
+                arcs[state, x] = to or [("lost", x, 0.0)]
+            arcs[state, "target"] = [(name(0, length), "target", 1.0)]
+    final = {name(0, left) for left in range(length + 1)}
+    return Transducer(arcs, final)
+
+
+def supported(open_: str, paid: tuple[str, ...], factor: float = 1.0) -> Transducer:
+    """Passes `paid` symbols, and `open_` ones only if there is another of either; else they weigh nothing.
+
+    States: 0 nothing yet, 1 one `open_` that still wants support, 2 supported.
+    """
+    arcs: dict = {(0, open_): [(1, "hit", factor), (0, "word", 0.0)]}
+    for state in (1, 2):
+        arcs[state, open_] = [(2, "hit", factor)]
+    for state in (0, 1, 2):
+        for x in paid:
+            arcs[state, x] = [(2, x if x.endswith("threat") else "hit", 1.0)]
+    return Transducer(arcs, (0, 2))
 
 
-def always(opens: str, factor: float) -> Machine:
-    """A scope to the end of the clause."""
-    return Machine({(0, None): (0, 1.0), (0, opens): (1, 1.0), (1, None): (1, factor)})
+def threat(length: int = AGENT_SCOPE) -> Transducer:
+    """Passes aimed threats, more heavily within `length` words after an agent; others weigh nothing."""
+    arcs: dict = {}
+    for left in range(length + 1):
+        for x in SYMBOLS:
+            arcs[left, x] = [(max(0, left - 1), x, 1.0)]
+        arcs[left, "agent"] = [(length, "agent", 1.0)]
+        arcs[left, "threat"] = [(max(0, left - 1), "word", 0.0)]
+        arcs[left, "aimed threat"] = [(max(0, left - 1), "hit", AGENT_FACTOR if left else 1.0)]
+    return Transducer(arcs, range(length + 1))
 
 
-NEGATED, REPORTED = scope("negation", NEGATION_SCOPE, NEGATION_FACTOR), always("report", REPORT_FACTOR)
-AIMED = scope("target", TARGET_SCOPE, TARGET_FACTOR)
+def clause_parts() -> list[Transducer]:
+    """The transducers of a clause, in the order of their composition."""
+    insult = supported("insult", ("aimed insult", "aimed threat"))
+    return [scope("negation", NEGATION_SCOPE, NEGATION_FACTOR), reported(), target(), insult, threat()]
 
 
 class Grammar:
-    """The composed machines over a lexicon of insult weights (whole words and stems "abcd*")."""
+    """The composed transducers over a lexicon of insult weights (whole words and stems "abcd*")."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.known = lexicon, {}
+        parts = clause_parts()
+        self.weak = Composition(parts[0], parts[1])
+        self.composed = self.weak
+        for part in parts[2:]:
+            self.composed = Composition(self.composed, part)
+        self.text = supported("loose", ("matched",), LOOSE_FACTOR)
 
     def insult(self, word: str) -> float:
         """The weight of a lower-case word."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 150_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             lex = self.lexicon
             found = lex.get(word) or max((lex.get(word[:n] + "*", 0.0) for n in STEMS if len(word) >= n), default=0.0)
-            self.known[word] = found
+            if len(word) < 40:
+                self.known[word] = found
         return found
 
     def kind(self, word: str) -> str:
-        for name, words in (("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS), ("threat", THREATS)):
+        for name, words in CLASSES:
             if word in words:
                 return name
         return "insult" if self.insult(word) else "word"
 
-    def clause(self, words: list[str]) -> float:
-        """The weight that the composition gives a clause."""
+    def clause(self, words: list[str]) -> tuple[str, float]:
+        """("matched", weight of the best path), ("loose", weight of its insults) or ("plain", 0)."""
         kinds = [self.kind(w) for w in words]
         if "insult" not in kinds and not ("threat" in kinds and "target" in kinds):
-            return 0.0
-        ahead, state = [1.0] * len(words), 0
-        for i in range(len(words) - 1, -1, -1):  # targets may stand on either side
-            state, ahead[i] = AIMED.step(state, kinds[i])
-        total, states = 0.0, [0, 0, 0]
-        for i, (word, kind) in enumerate(zip(words, kinds)):
-            factors = []
-            for m, machine in enumerate((AIMED, NEGATED, REPORTED)):
-                states[m], factor = machine.step(states[m], kind)
-                factors.append(factor)
-            aimed = max(factors[0], ahead[i])
-            weight = self.insult(word) if kind == "insult" else THREAT_WEIGHT if kind == "threat" and aimed > 1 else 0.0
-            total += weight * aimed * factors[1] * factors[2]
-        return total
+            return "plain", 0.0
+        weights = [self.insult(w) if k == "insult" else THREAT_WEIGHT if k == "threat" else 0.0 for w, k in zip(words, kinds)]
+        total = sum(best_path(self.composed, kinds, weights))
+        if total > 0:
+            return "matched", total
+        loose = sum(x for x, k in zip(best_path(self.weak, kinds, weights), kinds) if k == "insult")
+        return ("loose", loose) if loose > 0 else ("plain", 0.0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """Strongest clause, log of the sum over clauses, and log of the number of clauses that match."""
+        """Strongest clause, log of the sum over clauses, and log of the number of clauses that count."""
         low = (text or "").lower()
         words = set(WORD.findall(low))
-        hit = any(self.insult(w) for w in words) or (not THREATS.isdisjoint(words))
-        if not hit:
+        if THREATS.isdisjoint(words) and not any(map(self.insult, words)):
             return 0.0, 0.0, 0.0
-        weights = [w for c in CLAUSE.split(low) if c and (w := self.clause(WORD.findall(c)))]
+        found = [x for c in CLAUSE.split(low) if c and (x := self.clause(WORD.findall(c)))[1] > 0]
+        weights = [w for w in best_path(self.text, [k for k, _ in found], [w for _, w in found]) if w > 0]
         return max(weights, default=0.0), math.log1p(sum(weights)), math.log1p(len(weights))
 
 
@@ -137,7 +248,7 @@ def _counts(batches):
     seen: dict = {}
     for b in batches:
         for text, toxic in zip(b["text"], b["toxic"]):
-            words = {w for w in WORD.findall((text or "").lower()) if len(w) < 40}
+            words = set(WORD.findall((text or "").lower()))
             for f in words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}:
                 c = seen.setdefault(f, [0, 0])
                 c[0] += 1
@@ -181,7 +292,7 @@ def distinct_rows(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(ids, "doc_id long")
 
 
-def learn_lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Words and stems of a significantly high toxic share, weighted by log odds."""
     whole = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     if not 0 < whole.pos < whole.n:
@@ -202,9 +313,7 @@ def learn_lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> dict[str, float]:
     found = (
         counts.where((share >= 0.8) & (surprise > math.log(max(features, 1) / CHANCE)))
         .select("feature", weight.alias("w"))
-        .orderBy(F.desc("w"), "feature")
-        .limit(most)
-        .collect()
+        .collect()  # words of the bounded sample
     )
     judged = {r.feature for r in counts.where(F.col("feature").isin(*SEEDS)).collect()}
     counts.unpersist()
@@ -226,7 +335,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float =
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[float]]:
-    """(lexicon, logistic weights): bounded in size by MAX_LEXICON."""
+    """(lexicon, logistic weights), both from the bounded sample of labelled rows."""
+    bound_batches(documents.sparkSession)
     rows = training_rows(documents, labels).cache()
     lexicon = learn_lexicon(rows)
 
