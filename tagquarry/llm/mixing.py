@@ -22,7 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from tagquarry.functions.tables import global_index
+
+from .common import bound_batches, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No document is taken more often than this, on average.
@@ -101,7 +103,9 @@ def landing(p: np.ndarray, size: np.ndarray, first: np.ndarray, exchanges: int =
     """
     p = p.copy()
     goal = float((first * size).sum())
-    rest = np.flatnonzero((p > 0) & (p < 1))[:12]
+    rest = np.flatnonzero((p > 0) & (p < 1))
+    if len(rest) > 2:
+        raise ValueError("a flight leaves two documents at most")
     if len(rest):
         off = float((p * size).sum()) - float((p[rest] * size[rest]).sum()) - goal
         miss = lambda c: (abs(off + sum(x * float(size[j]) for x, j in zip(c, rest))), abs(sum(c) - p[rest].sum()), c)
@@ -135,14 +139,15 @@ def _fly(key, rows: pd.DataFrame) -> pd.DataFrame:
 def draw(units: DataFrame) -> DataFrame:
     """Rows (doc_id, size, sid, n, p) with p rounded to 0 or 1; each chunk of a source flies alone.
 
-    Rows may have two columns more, row and tie, which stay; tie orders rows of one doc_id and size.
+    Rows may have two columns more, row and tie, which stay; tie orders rows of one doc_id and size. Equal rows
+    are numbered, and the number is part of what deals rows to chunks, so that many of them fill no chunk.
     """
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("long")
     more = [c for c in ("row", "tie") if c in units.columns]
-    spread = F.xxhash64("doc_id", "size")
-    if "tie" in more:  # rows without an id are many of a size
-        spread = F.when(F.col("doc_id").isNull(), F.col("tie")).otherwise(spread)
-    units = units.withColumn("bucket", F.pmod(spread, chunks))
+    own = ["doc_id", "size", *(["tie"] if "tie" in more else [])]
+    units = global_index(units.withColumn("g", F.xxhash64("sid", *own)), ["g", *more[:1]], "i")
+    first = units.groupBy("g").agg(F.min("i").alias("first"))
+    units = units.join(first, "g").withColumn("bucket", F.pmod(F.xxhash64(*own, F.col("i") - F.col("first")), chunks))
     units = units.select("doc_id", "size", "sid", "bucket", "p", *more)
     return units.groupBy("sid", "bucket").applyInPandas(_fly, units.schema)
 
@@ -152,6 +157,7 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, most: float = MOST, key:
 
     key: a column of distinct values that is returned too, to tell apart rows that doc_id does not.
     """
+    bound_batches(documents.sparkSession)
     more = [F.col(key).alias("row"), F.xxhash64("text").alias("tie")] if key else []
     sized = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more))
     more = ["row", "tie"] if key else []
