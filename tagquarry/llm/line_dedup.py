@@ -8,7 +8,7 @@ Defined cases: a null or empty text is one empty line; a null doc_id holds lines
 loses none; rows that share a doc_id are one document for counting and each loses the same keys;
 a line that a document repeats goes (or stays) at all its positions; ties cannot occur, the largest
 doc_id keeps; an empty table gives an empty result; other columns pass through unless named
-lines, kept, n_lines or n_dropped, which are replaced.
+n_lines or n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -63,16 +63,14 @@ def repeated_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3)
 def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """documents with `text` reduced to the kept lines, and n_lines, n_dropped."""
     lost = repeated_lines(documents, min_chars, min_docs)
-    docs = documents.drop("_row", "_lines", "_lost", "_kept", "n_lines", "n_dropped")
-    at = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_lost")
-    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.transform(at, lambda i: F.get("_lines", i)))
-    return (
-        docs.withColumn("_row", F.xxhash64("text"))
-        .join(lost, ["doc_id", "_row"], "left")
-        .withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-        .withColumn("_kept", kept)
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.size("_lines").cast("long") - F.size("_kept"))
-        .withColumn("text", F.array_join("_kept", "\n"))
-        .select(*docs.columns, "n_lines", "n_dropped")
+    own = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    docs = documents.select(F.struct(*own).alias("own"), "doc_id", F.xxhash64("text").alias("_row"))
+    lines = F.split(F.coalesce("own.text", F.lit("")), "\n")
+    at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "_lost")
+    kept = F.when(F.col("_lost").isNull(), F.col("lines")).otherwise(F.transform(at, lambda i: F.get("lines", i)))
+    done = docs.join(lost, ["doc_id", "_row"], "left").withColumn("lines", lines).withColumn("kept", kept)
+    return done.select(
+        *(F.array_join("kept", "\n").alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in own),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines").cast("long") - F.size("kept")).alias("n_dropped"),
     )

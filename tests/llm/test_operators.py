@@ -309,18 +309,33 @@ def test_components(spark):
 # Top k -----------------------------------------------------------------------------------------
 
 
-def test_top_k(spark):
-    r = random.Random(8)
-    rows = [(i, [r.choice([-1.0, 1.0]) if i % 3 else 1.0 for _ in range(20)]) for i in range(80)] + [(100, None), (101, []), (102, [1.0]), (None, [1.0] * 20), (5, None)]
-    df = spark.createDataFrame(rows, "id long, embedding array<double>").withColumn("code", F.lit("clash"))
-    full = {i: e for i, e in rows if i is not None and e and len(e) == 20}
-    asked = [i for i in full if i % 7 == 0]
+def brute_top_k(rows, asked, k):
+    full = {(i, *e) for i, e in rows if i is not None and e}
     want = []
     for q in asked:
-        near = sorted((sum((a > 0) != (b > 0) for a, b in zip(full[q], full[i])), i) for i in full if i != q)[:5]
-        want += [(q, i, d, k + 1) for k, (d, i) in enumerate(near)]
-    got = topk.top_k(df, df.where("id % 7 = 0"), 5)
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+        code = min(((len(e), e) for i, *e in full if i == q), key=lambda x: (x[0], segments(x[1])))[1]
+        best = {}
+        for i, *e in full:
+            if i != q and len(e) == len(code):
+                best[i] = min(best.get(i, 99), sum((a > 0) != (b > 0) for a, b in zip(code, e)))
+        want += [(q, i, d, n + 1) for n, (d, i) in enumerate(sorted((d, i) for i, d in best.items())[:k])]
+    return sorted(want)
+
+
+def segments(e, width=7):
+    return [sum((x > 0) << j for j, x in enumerate(e[at : at + width])) for at in range(0, len(e), width)]
+
+
+def test_top_k(spark, monkeypatch):
+    r = random.Random(8)
+    code = lambda n: [r.choice([-1.0, 1.0]) for _ in range(n)]
+    rows = [(i, code(20) if i % 3 else [1.0] * 20) for i in range(80)] + [(100, None), (101, []), (102, [1.0]), (103, [-1.0]), (None, [1.0] * 20), (5, None)]
+    rows += [(200 + i, code(9)) for i in range(15)] + [(7, code(20)), (7, code(20)), (14, code(20)), rows[9]]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").withColumn("code", F.lit("clash")).withColumn("bits", F.lit(1))
+    asked = sorted({i for i, e in rows if i is not None and e and i % 7 == 0})
+    assert sorted(map(tuple, topk.top_k(df, df.where("id % 7 = 0"), 5).collect())) == brute_top_k(rows, asked, 5)
+    monkeypatch.setattr(topk, "BLOCK", 5)  # far neighbours are found by comparing with all codes
+    assert sorted(map(tuple, topk.top_k(df, df.where("id % 7 = 0"), 60).collect())) == brute_top_k(rows, asked, 60)
     few = topk.top_k(df.where("id < 3"), df.where("id = 0"), 5)
     assert sorted(x.id for x in few.collect()) == [1, 2]
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
@@ -340,31 +355,52 @@ def brute_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+class WittenBell:
+    def __init__(self, texts):
+        self.n, self.after = Counter(), defaultdict(Counter)
+        for t in texts:
+            t += urls.END
+            for i, c in enumerate(t):
+                for k in range(min(urls.ORDER, i + 1)):
+                    self.after[t[i - k : i]][c] += 1
+        self.seen = set(self.after[""])
+
+    def p(self, context, c):
+        """Of c after the context; all characters never seen count as one."""
+        shorter = 1 / (len(self.seen) + 1) if not context else self.p(context[1:], c)
+        n, t = sum(self.after[context].values()), len(self.after[context])
+        return (self.after[context][c] + t * shorter) / (n + t) if t else shorter
+
+
 def brute_scores(texts, model_texts):
-    counts, contexts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-    grams = lambda t: [(i, k, (t + "\x03")[i - k + 1 : i + 1]) for i in range(len(t) + 1) for k in range(1, min(urls.ORDER, i + 1) + 1)]
-    for t, v in model_texts:
-        for _, _, g in grams(t):
-            counts[g][v == "block"] += 1
-            contexts[g[:-1]][v == "block"] += 1
+    allow, block = (WittenBell([t for t, v in model_texts if v == side]) for side in ("allow", "block"))
+
+    def score(t):
+        t, total = t + urls.END, 0.0
+        for i, c in enumerate(t):
+            context = t[max(0, i - urls.ORDER + 1) : i]
+            total += math.log(allow.p(context, c)) - math.log(block.p(context, c))
+        return total / len(t)
+
+    return {t: score(t) for t in texts}
 
-    def logp(t, i, side):
-        for k in range(min(urls.ORDER, i + 1), 0, -1):
-            g = (t + "\x03")[i - k + 1 : i + 1]
-            if counts[g][side]:
-                return math.log(counts[g][side] / contexts[g[:-1]][side]) + (urls.ORDER - k) * math.log(urls.BACKOFF)
-        return urls.FLOOR
 
-    # contexts of one length belong to runs of that length plus one only
-    return {t: sum(logp(t, i, 0) - logp(t, i, 1) for i in range(len(t) + 1)) / (len(t) + 1) for t in texts}
+def test_smoothed_probabilities_sum_to_one():
+    r = random.Random(8)
+    model = WittenBell(["".join(r.choice("abc/.") for _ in range(r.randint(0, 30))) for _ in range(20)])
+    for context in ["", "a", "ab", "abc", "zzz", "c/", "...", "a.z"]:
+        assert math.isclose(sum(model.p(context, c) for c in [*model.seen, "unseen"]), 1)
 
 
 def test_url_filter(spark):
     r = random.Random(9)
     made = [f"http{r.choice(['', 's'])}://{r.choice(['a', 'www.b', 'Example', 'c.example'])}.{r.choice(['com', 'net', 'org', 'example.com', 'example.net'])}/{r.choice(['en', 'de', 'es', 'fr'])}/{r.randint(1, 99)}{r.choice(['', '?q=1', '#t'])}" for _ in range(150)]
-    odd = [None, "", "no scheme", "x://", "x://H?p/en/", "http://com/en/1", "http://xcom/en/1", "http://a.com", "http://a.b://c/d", made[0], "http://é.net/de/" + "x" * 3000]
+    odd = [None, "", "no scheme", "x://", "x://H?p/en/", "http://com/en/1", "http://xcom/en/1", "http://a.com", "http://a.b://c/d", made[0], "http://é.net/de/" + "xé" * 3000, "http://h.xx/" + "ab/" * 1000, "data://" + "Qé+/" * 250_000, "e\x03f"]
     df = spark.createDataFrame(list(enumerate(made + odd)), "page_id long, url string").withColumn("verdict", F.lit("clash")).withColumn("rule", F.lit(1))
-    rows = {x.page_id: x for x in urls.filter_urls(df).collect()}
+    df = df.withColumns({c: F.lit(i) for i, c in enumerate(("text", "fit", "page", "ruled", "run", "salt"))})
+    found = urls.filter_urls(df)
+    assert set(df.columns) <= set(found.columns)
+    rows = {x.page_id: x for x in found.collect()}
     assert len(rows) == len(made + odd)
     texts = {u or "" for u in made + odd}
     ruled = {t: brute_rule(*split_url(t)) for t in texts}
@@ -431,6 +467,19 @@ def test_token_file_round_trip(spark, tmp_path):
     assert [x.doc_id for x in tokenfile.document_digests(tokenfile.read_token_file(spark, str(tmp_path / "n"))).collect()] == [None, None]
 
 
+def test_any_token_of_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 50)
+    name, r = queries.tokenizer_path("word_bpe_49k.json"), random.Random(12)
+    df = frame(spark, ["w" + " x1" * r.randint(0, 60) for _ in range(80)] + [LONG[:4000]]).repartition(3)
+    tokenfile.write_token_file(df, str(tmp_path / "t"), name)
+    blocks = tokenfile.read_token_file(spark, str(tmp_path / "t"))
+    whole = np.concatenate([tokenfile.Block(b.codes).all() for b in sorted(blocks.collect(), key=lambda b: b.start)])
+    asked = spark.range(-3, len(whole) + 5).where("id % 3 <> 1")
+    got = dict(map(tuple, tokenfile.tokens_at(blocks, asked.union(asked)).collect()))
+    assert got == {i: int(t) for i, t in enumerate(whole) if i % 3 != 1}
+    assert tokenfile.tokens_at(blocks, asked.limit(0)).count() == 0
+
+
 def test_codes_give_random_access():
     r = np.random.RandomState(10)
     for most in (200, 60_000, 2**32 - 1):
@@ -438,29 +487,146 @@ def test_codes_give_random_access():
         block = tokenfile.Block(tokenfile.pack(ids))
         assert (block.all() == ids).all() and len(block) == len(ids)
         assert [block.token(i) for i in range(0, 3000, 13)] == ids[::13].tolist()
+        for _ in range(100):
+            i = r.randint(0, 3001)
+            n = r.randint(0, 3001 - i)
+            assert (block.run(i, n) == ids[i : i + n]).all()
     assert len(tokenfile.Block(tokenfile.pack(np.zeros(0, np.uint32)))) == 0
 
 
+def test_head_table_holds_the_frequent_words(spark, monkeypatch):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        model = spark.sparkContext.broadcast(f.read())
+    df = frame(spark, ["often often\noften rare", "often seldom seldom", None, "y" * 100])
+    made = pieces.head_table(df, model)
+    assert {w: np.frombuffer(ids, "<i4").tolist() for w, ids in made.items()} == {f" {w}": sp.encode(w) for w in ("often", "rare", "seldom")}
+    monkeypatch.setattr(pieces, "HEAD_ENTRIES", 1)
+    assert set(pieces.head_table(df, model)) == {" often"}
+    assert pieces.head_table(df.limit(0), model) == {}
+    rows = pieces.encode_and_decode(df.union(df), path).collect()
+    assert all(x.ids == sp.encode(x.text or "") for x in rows) and len(rows) == 8
+
+
 def test_chunk_table_starts_anew(monkeypatch):
     monkeypatch.setattr("tagquarry.llm.chunks.MAX_ENTRIES", 3)
-    t = ChunkTable(lambda new: [c.encode() for c in new])
-    assert [t.encode([[c, c + "x"]]) for c in "abcab"] == [[(c + c + "x").encode()] for c in "abcab"]
+    monkeypatch.setattr("tagquarry.llm.chunks.MAX_CHARS", 4)
+    t = ChunkTable(lambda new: [c.encode() for c in new], {"b": b"B"})
+    texts = [[c, c + "x", c * 9] for c in "abcab"]
+    assert [t.encode([x]) for x in texts] == [["".join(x).replace("b", "B", c == "b").encode()] for c, x in zip("abcab", texts)]
+    assert len(t.own) <= 3
 
 
 # Toxicity --------------------------------------------------------------------------------------
 
 
+def brute_path(parts, kinds, weights):
+    """The best sum over all ways through the transducers, one after another over the whole string."""
+    strings = [(tuple(kinds), (1.0,) * len(kinds))]
+    for part in parts:
+        after = {}
+        for symbols, factors in strings:
+            ways = [(part.start, (), ())]
+            for x, f in zip(symbols, factors):
+                ways = [(to, (*out, y), (*fs, f * g)) for at, out, fs in ways for to, y, g in part.step(at, x)]
+            for at, out, fs in ways:
+                if part.final(at):
+                    after[out, fs] = None
+        strings = list(after)
+    return max((sum(w * f for w, f in zip(weights, fs)) for _, fs in strings), default=0.0)
+
+
+def brute_features(lexicon, text):
+    def insult(w):
+        return lexicon.get(w) or max((lexicon.get(w[:n] + "*", 0.0) for n in toxicity.STEMS if len(w) >= n), default=0.0)
+
+    parts, found = toxicity.clause_parts(), []
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        words = toxicity.WORD.findall(clause)
+        kinds = [next((n for n, c in toxicity.CLASSES if w in c), "insult" if insult(w) else "word") for w in words]
+        weights = [insult(w) if k == "insult" else toxicity.THREAT_WEIGHT if k == "threat" else 0.0 for w, k in zip(words, kinds)]
+        if not any(weights):
+            continue
+        best = brute_path(parts, kinds, weights)
+        alone = brute_path(parts[:2], kinds, [w if k == "insult" else 0.0 for w, k in zip(weights, kinds)])
+        if best or alone:
+            found.append((best, alone))
+    counted = [best or (alone * toxicity.LOOSE_FACTOR if len(found) > 1 else 0.0) for best, alone in found]
+    counted = [w for w in counted if w]
+    return max(counted, default=0.0), math.log1p(sum(counted)), math.log1p(len(counted))
+
+
+def test_composition_finds_the_best_of_all_paths():
+    r = random.Random(31)
+    parts, composed = toxicity.clause_parts(), toxicity.Grammar({}).composed
+    kinds = ["word", "insult", "insult", "negation", "report", "target", "agent", "threat", "threat"]
+    for _ in range(1500):
+        k = [r.choice(kinds) for _ in range(r.randint(1, 7))]
+        w = [float(r.randint(1, 9)) if x in ("insult", "threat") else 0.0 for x in k]
+        assert math.isclose(sum(toxicity.best_path(composed, k, w)), brute_path(parts, k, w), abs_tol=1e-12)
+
+
 def test_grammar_reads_clauses():
     g = toxicity.Grammar({"idiot": 4.0, "lowe*": 6.0})
     weight = lambda t: g.features(t)[0]
     assert weight("a fine day") == 0 and weight(None) == 0 and weight("") == 0
-    assert weight("the idiot spoke") == 4.0
-    assert weight("you idiot") == weight("idiot, you") == 6.0
-    assert weight("not an idiot") == 1.0
-    assert math.isclose(weight("she said that some other clever old idiot"), 4.0 * 0.4)
-    assert weight("kill the process") == 0 and weight("I will kill you") == 6.0
-    assert weight("Loweischaft") == 6.0 and weight("low") == 0
-    assert g.features("idiot. idiot")[2] == math.log1p(2)
+    assert weight("idiot") == weight("the idiot spoke") == weight("not an idiot") == 0  # isolated words
+    assert weight("you idiot") == weight("idiot, you") == weight("idiot a b you") == 6.0
+    assert weight("idiot a b c you") == 0 and weight("you are no idiot") == 1.5
+    assert weight("that old idiot, clever idiot") == 4.0 * 1.5 + 4.0
+    assert math.isclose(weight("somebody said: so. reported by some clever old idiot, that idiot"), (4.0 + 4.0 * 1.5) * 0.4)
+    assert weight("kill the process") == weight("I will kill processes") == 0
+    assert weight("they kill you") == 6.0 and weight("I will kill you") == 9.0
+    assert weight("Loweischaft, du") == 9.0 and weight("low, you") == 0
+    assert g.features("the idiot. an idiot") == (2.0, math.log1p(4), math.log1p(2))
+    assert g.features("the idiot. you idiot") == (6.0, math.log1p(8), math.log1p(2))
+    r = random.Random(32)
+    bag = "you i will not said kill idiot lowerer a b c . \n said is".split(" ")
+    for _ in range(300):
+        text = " ".join(r.choice(bag) for _ in range(r.randint(0, 14)))
+        assert np.allclose(g.features(text), brute_features(g.lexicon, text)), text
+
+
+def test_toxicity_against_brute_force(spark):
+    """Lexicon by plain counting, features over all paths, weights by gradient descent's optimum."""
+    where = "/root/testdata/sf0.001"
+    docs, labels = queries.table(spark, where, "documents"), queries.table(spark, where, "labels")
+    rows = [(x.text, x.toxic) for x in toxicity.training_rows(docs, labels).collect()]
+    n, pos, whole = Counter(), Counter(), sum(t for _, t in rows)
+    for text, toxic in rows:
+        words = set(toxicity.WORD.findall((text or "").lower()))
+        for f in words | {w[:k] + "*" for w in words for k in toxicity.STEMS if len(w) >= k}:
+            n[f] += 1
+            pos[f] += toxic
+    n = {f: c for f, c in n.items() if c >= 3}
+    want, base = {w: v for w, v in toxicity.SEEDS.items() if w not in n}, whole / len(rows)
+    for f, c in n.items():
+        share = pos[f] / c
+        bits = sum(x * math.log(x / y) for x, y in ((share, base), (1 - share, 1 - base)) if x)
+        if share >= 0.8 and c * bits > math.log(len(n) / toxicity.CHANCE):
+            want[f] = math.log((pos[f] + 0.1) / (whole + 0.2)) - math.log((c - pos[f] + 0.1) / (len(rows) - whole + 0.2))
+    lexicon, weights = toxicity.learn(docs, labels)
+    assert lexicon.keys() == want.keys() and all(math.isclose(lexicon[f], want[f]) for f in want)
+    x = np.array([[1, *brute_features(want, t)] for t, _ in rows])
+    y = np.array([t for _, t in rows], float)
+    w, penalty = np.array(weights), 0.05 * np.array([0.01, 1, 1, 1])
+    slope = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + penalty * w
+    assert np.abs(slope).max() < 1e-6  # the only minimum of a convex loss
+    for r in queries.op9_toxicity(spark, where).join(docs.select("doc_id", "text"), "doc_id").collect():
+        score = 1 / (1 + math.exp(-(weights[0] + np.dot(weights[1:], brute_features(want, r.text)))))
+        assert math.isclose(r.score, score, abs_tol=1e-9) and r.predicted == (score >= 0.5)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = frame(spark, [*ODD, "you idiot " * 3, "x" * 300_000]).withColumn("predicted", F.lit("clash"))
+    docs = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    score = toxicity.scorer(spark, (toxicity.SEEDS, toxicity.DEFAULT))
+    rows = docs.withColumn("score", score("text")).collect()
+    assert len(rows) == 3 * (len(ODD) + 2) and all(0 <= x.score <= 1 and x.predicted == "clash" for x in rows)
+    assert len({(x.text, x.score) for x in rows}) == len({x.text for x in rows})
 
 
 def test_toxicity_learns_and_holds_out(spark):
