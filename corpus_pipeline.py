@@ -25,8 +25,7 @@ from tagquarry.llm.queries import tokenizer_path
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_score", toxicity.scorer(spark, model)("text"))
-    return scored.where("_score < 0.5").select(*docs.columns)
+    return docs.where(toxicity.scorer(spark, model)("text") < 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +45,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    times = mixing.mix_sources(keyed, key="_row").where("times > 0").select("_row", F.col("times").cast("int").alias("_times"))
-    taken = keyed.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return taken.select(*docs.columns)
+    own = F.struct(*docs.columns).alias("doc")  # columns of any name stay apart from the draw's
+    keyed = materialize(docs.select(own, F.monotonically_increasing_id().alias("row")))
+    rows = keyed.select(*(F.col("doc").getField(c).alias(c) for c in ("doc_id", "source", "text")), F.col("row").alias("key"))
+    drawn = mixing.mix_sources(rows, key="key").where("times > 0").select(F.col("key").alias("row"), "times")
+    taken = keyed.join(drawn, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return taken.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

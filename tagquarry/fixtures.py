@@ -160,7 +160,10 @@ CTE = {
 
 
 def sql(names: str, body: str) -> str:
-    """A query with the CTEs that it names (space-separated) and those they need."""
+    """A query with the CTEs that it names (space-separated) and those they need, each made once.
+
+    A body may go on with CTEs of its own: it then starts with a comma.
+    """
     order: list[str] = []
 
     def need(n):
@@ -171,4 +174,5 @@ def sql(names: str, body: str) -> str:
 
     for n in names.split():
         need(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order) + "\n" + body
+    known = ",\n".join(f"{n} AS MATERIALIZED ({CTE[n][1]})" for n in order)
+    return f"WITH {known}{'' if body.lstrip().startswith(',') else chr(10)}{body}"

@@ -6,9 +6,11 @@ count of at least cut, leaf_low below it, leaf_default where the tag is absent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import running_total
+
 
 def used_tags(stumps: DataFrame) -> DataFrame:
     return stumps.select("model_id", "tag").distinct()
@@ -56,6 +58,14 @@ def decode(ones: DataFrame, label_index: DataFrame) -> DataFrame:
     return ones.join(label_index, "idx").select("instance_id", "label")
 
 
+def to_instances(predictions: DataFrame, row_map: DataFrame) -> DataFrame:
+    """(instance_id, label) from predictions (model_id, row, label) by each model's own row numbers.
+
+    row_map: (model_id, row, instance_id). Rows that the map does not hold go.
+    """
+    return predictions.join(row_map, ["model_id", "row"]).select("instance_id", "label")
+
+
 def merge_predictions(*parts: DataFrame) -> DataFrame:
     """(instance_id, labels): all models' labels; one that two models give stays twice."""
     whole = parts[0]
@@ -118,7 +128,7 @@ def heavy_models(load: DataFrame) -> DataFrame:
 
 
 def usage_cdf(usage: DataFrame) -> DataFrame:
-    """usage with its rank in ascending order and the cumulative share. One row per model."""
-    order = Window.orderBy("n_instances", "model_id").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    return usage.withColumn("share", F.sum("n_instances").over(order) / F.sum("n_instances").over(whole))
+    """usage with the cumulative share in ascending order of use."""
+    summed = running_total(usage, ["n_instances", "model_id"], "n_instances", "_upto")
+    whole = summed.agg(F.max("_upto").alias("_all"))
+    return summed.crossJoin(F.broadcast(whole)).withColumn("share", F.col("_upto") / F.col("_all")).drop("_upto", "_all")  # one row

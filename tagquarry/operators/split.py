@@ -10,9 +10,18 @@ from .labels import package
 
 
 def _rank(by, order):
+    """For operators that keep the first few of each label: Spark then cuts labels before the shuffle."""
     return F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
 
 
+def _numbered(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """rows with their number from 0 in each label; a frequent label is spread over range partitions."""
+    indexed = global_index(rows, [by, order], "_i")
+    first = indexed.groupBy(F.col(by).alias("_by")).agg(F.min("_i").alias("_first"))
+    joined = indexed.join(first, F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn(name, F.col("_i") - F.col("_first")).drop("_i", "_by", "_first")
+
+
 def first_per_label(rows: DataFrame, n: int, by: str = "label", order: str = "instance_id") -> DataFrame:
     return rows.withColumn("_r", _rank(by, order)).where(F.col("_r") < n).drop("_r")
 
@@ -26,7 +35,7 @@ def rotating_split(rows: DataFrame, n: int, share: float, batch: int, by: str =
 
 def stratified_folds(rows: DataFrame, n: int = 3, by: str = "label", order: str = "instance_id") -> DataFrame:
     """The i-th row of each label is in fold i % n."""
-    return rows.withColumn("fold", _rank(by, order) % n)
+    return _numbered(rows, by, order, "_r").withColumn("fold", (F.col("_r") % n).cast("int")).drop("_r")
 
 
 def random_folds(rows: DataFrame, n: int, seed: int, key: str = "instance_id") -> DataFrame:
@@ -76,7 +85,7 @@ def round_robin_groups(groups: DataFrame, n: int) -> DataFrame:
 
 def number_samples(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """name label.k: the next free number of each label. existing: (label, k) already used."""
-    ranked = rows.withColumn("k", _rank("label", "instance_id"))
+    ranked = _numbered(rows, "label", "instance_id", "k")
     if existing is not None:
         used = existing.groupBy("label").agg((F.max("k") + 1).alias("_start"))
         ranked = ranked.join(used, "label", "left").withColumn("k", F.col("k") + F.coalesce("_start", F.lit(0))).drop("_start")
@@ -86,7 +95,8 @@ def number_samples(rows: DataFrame, existing: DataFrame | None = None) -> DataFr
 def equal_groups(rows: DataFrame, most: int = 25, by: str = "label") -> DataFrame:
     """Each label cut to the size of the smallest, at most `most`."""
     cap = rows.groupBy(by).count().agg(F.least(F.lit(most), F.min("count")).alias("_cap"))
-    return rows.withColumn("_r", _rank(by, "instance_id")).crossJoin(F.broadcast(cap)).where("_r < _cap").drop("_r", "_cap")
+    ranked = rows.withColumn("_r", _rank(by, "instance_id")).where(F.col("_r") < most)
+    return ranked.crossJoin(F.broadcast(cap)).where("_r < _cap").drop("_r", "_cap")
 
 
 def stratified_copy(files: DataFrame, n_test: int = 2, n_all: int = 32) -> DataFrame:

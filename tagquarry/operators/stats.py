@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import global_index, running_total
 from .labels import combinations
 
 
@@ -122,22 +123,30 @@ def ewma_forecast(load: DataFrame, w: float, t: float, dev_against: str = "new")
 def empirical_cdf(values: DataFrame) -> DataFrame:
     """(value, n, cdf): one row per distinct value."""
     per = values.groupBy("value").agg(F.count("*").alias("n"))
-    order = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("cdf", F.sum("n").over(order) / F.sum("n").over(Window.partitionBy()))
+    summed = running_total(per, ["value"], "n", "_upto")
+    whole = summed.agg(F.max("_upto").alias("_all"))
+    return summed.crossJoin(F.broadcast(whole)).select("value", "n", (F.col("_upto") / F.col("_all")).alias("cdf"))  # one row
 
 
 def decile_bins(values: DataFrame) -> DataFrame:
     """(bin, n, low, high): bins at the ten percent points (linear interpolation)."""
-    cuts = values.agg(F.percentile("value", F.array(*(F.lit(i / 10) for i in range(1, 10)))).alias("cuts"))
-    inside = values.crossJoin(F.broadcast(cuts))  # one row
-    bin_ = F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    return inside.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    indexed = global_index(values.where("value IS NOT NULL"), ["value"], "_i")
+    last = indexed.count() - 1
+    asked = [i * last / 10 for i in range(1, 10)] if last >= 0 else []
+    at = {int(x) for p in asked for x in (p // 1, -(-p // 1))}
+    found = dict(indexed.where(F.col("_i").isin(*at)).select("_i", "value").collect()) if at else {}  # 18 rows at most
+    cuts = [found[int(p // 1)] + (p % 1) * (found[int(-(-p // 1))] - found[int(p // 1)]) for p in asked]
+    bin_ = sum((F.when(F.col("value") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return values.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 def slowest_models(times: DataFrame, n: int = 20) -> DataFrame:
     """(model_id, value, cdf) of the n slowest models."""
-    order = Window.orderBy("value")
-    return times.withColumn("cdf", F.cume_dist().over(order)).orderBy(F.desc("value"), "model_id").limit(n)
+    whole = times.agg(F.count("value").alias("_all"))
+    top = times.orderBy(F.desc("value"), "model_id").limit(n).crossJoin(F.broadcast(whole))  # one row
+    # All rows above one of these n are among them, so that the window runs over n rows.
+    above = F.rank().over(Window.orderBy(F.desc("value"))) - 1
+    return top.withColumn("cdf", (F.col("_all") - above) / F.col("_all")).drop("_all")
 
 
 def vocabulary_union(a: DataFrame, b: DataFrame, bag: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .fixtures import sql
-from .functions.tables import materialize, scratch, table
+from .functions.tables import global_index, materialize, scratch, table
 from .operators import catalog, encode, experts, filters, labels, layers, metrics, rank, similarity, split, stats, tags, train
 from .sources import files
 from .streaming import jobs
@@ -138,9 +138,9 @@ def p13_combinations(s, d):
     return labels.combinations(fx.multi_label(s, d)).withColumn("n_labels", F.col("n_labels").cast("long"))
 
 
-@query(sql("ml", "SELECT instance_id, min(label) AS label FROM ml GROUP BY 1 HAVING count(*) = 1"))
+@query(sql("truth", "SELECT instance_id, min(label) AS label FROM truth GROUP BY 1 HAVING count(*) = 1"))
 def p20_single_label(s, d):
-    return labels.single_label(fx.multi_label(s, d))
+    return labels.single_label(fx.truth(s, d))
 
 
 @query(sql("layers", "SELECT concat(image, '_layer_idx_', k) AS instance_id, image, layer FROM layers"))
@@ -158,7 +158,7 @@ def p14_filter_by_frequency(s, d):
     return filters.filter_by_frequency(own, filters.tag_label_frequency(own, fx.instance_label(s, d)), 5)
 
 
-@query(sql("tagdf", "SELECT DISTINCT instance_id FROM tags WHERE instance_id NOT IN (SELECT t.instance_id FROM tags t LEFT JOIN tagdf d USING (tag) WHERE coalesce(d.n_labels, 0) < 5)"))
+@query(sql("tagdf", "SELECT DISTINCT instance_id FROM tags ANTI JOIN (SELECT t.instance_id FROM tags t LEFT JOIN tagdf d USING (tag) WHERE coalesce(d.n_labels, 0) < 5) USING (instance_id)"))
 def p14_emptied_instances(s, d):
     own = fx.instance_tag(s, d)
     return filters.emptied_instances(own, filters.filter_by_frequency(own, filters.tag_label_frequency(own, fx.instance_label(s, d)), 5))
@@ -179,12 +179,12 @@ def a4_tag_label_frequency(s, d):
     return filters.tag_label_frequency(fx.instance_tag(s, d), fx.instance_label(s, d))
 
 
-@query(sql("tags il", "SELECT * FROM tags WHERE tag NOT IN (SELECT tag FROM tags JOIN il USING (instance_id) GROUP BY 1 HAVING count(DISTINCT label) > 10)"))
+@query(sql("tags il", "SELECT tags.* FROM tags ANTI JOIN (SELECT tag FROM tags JOIN il USING (instance_id) GROUP BY 1 HAVING count(DISTINCT label) > 10) USING (tag)"))
 def a10_remove_tags_of_many_labels(s, d):
     return filters.remove_tags_of_many_labels(fx.instance_tag(s, d), fx.instance_label(s, d), 10)
 
 
-@query(sql("tags", "SELECT * FROM tags WHERE tag NOT IN (SELECT tag FROM tags GROUP BY 1 HAVING sum(cnt) > 100)"))
+@query(sql("tags", "SELECT tags.* FROM tags ANTI JOIN (SELECT tag FROM tags GROUP BY 1 HAVING sum(cnt) > 100) USING (tag)"))
 def a11_remove_tags_by_total(s, d):
     return filters.remove_tags_by_total(fx.instance_tag(s, d), 100)
 
@@ -202,7 +202,7 @@ def u6_shared_with_label(s, d):
     return filters.shared_with_label(fx.instance_tag(s, d), fx.instance_label(s, d), "en==src0")
 
 
-@query(sql("tags il", f"SELECT * FROM tags WHERE tag NOT IN ({_SHARED})"))
+@query(sql("tags il", f"SELECT tags.* FROM tags ANTI JOIN ({_SHARED}) USING (tag)"))
 def u6_remove_shared_with_label(s, d):
     return filters.remove_shared_with_label(fx.instance_tag(s, d), fx.instance_label(s, d), "en==src0")
 
@@ -222,7 +222,7 @@ def w5_assign_index(s, d):
 
 @query(sql("tags", """, known AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS idx FROM (SELECT DISTINCT tag FROM tags WHERE instance_id % 2 = 0)),
 fresh AS (SELECT DISTINCT tag FROM tags WHERE tag NOT IN (SELECT tag FROM known))
-SELECT tag, idx FROM known UNION ALL SELECT tag, (SELECT max(idx) FROM known) + row_number() OVER (ORDER BY tag) FROM fresh""").replace("\n,", ",", 1))
+SELECT tag, idx FROM known UNION ALL SELECT tag, (SELECT max(idx) FROM known) + row_number() OVER (ORDER BY tag) FROM fresh"""))
 def w6_append_index(s, d):
     own = materialize(fx.instance_tag(s, d))
     return encode.append_index(encode.assign_index(own.where("instance_id % 2 = 0"), "tag"), own, "tag")
@@ -240,7 +240,7 @@ def j4_unseen_labels(s, d):
     return encode.unseen(fx.multi_label(s, d), index, "label")
 
 
-@query(sql("vocab", ", n AS (SELECT greatest(1, count(*) // 4) AS size FROM vocab) SELECT instance_id, idx % size AS idx, CAST(arg_max(cnt, idx) AS DOUBLE) AS value FROM tags JOIN vocab USING (tag), n GROUP BY 1, 2").replace("\n,", ",", 1))
+@query(sql("vocab", ", n AS (SELECT greatest(1, count(*) // 4) AS size FROM vocab) SELECT instance_id, idx % size AS idx, CAST(arg_max(cnt, idx) AS DOUBLE) AS value FROM tags JOIN vocab USING (tag), n GROUP BY 1, 2"))
 def m1_encode_features(s, d):
     own = materialize(fx.instance_tag(s, d))
     return encode.encode_features(own, encode.assign_index(own, "tag"), compact_factor=4)
@@ -251,7 +251,10 @@ def m2_encode_labels(s, d):
     return encode.encode_labels(fx.multi_label(s, d), encode.assign_index(fx.instance_label(s, d), "label"))
 
 
-@query(sql("tags", "SELECT instance_id, sum(cnt) FILTER (tag = 'the') AS the, sum(cnt) FILTER (tag = 'ing') AS ing FROM tags GROUP BY 1").replace("SELECT instance_id, sum", "SELECT instance_id, coalesce(CAST(sum(cnt) FILTER (tag = 'the') AS DOUBLE), 0) AS the, coalesce(CAST(sum(cnt) FILTER (tag = 'ing') AS DOUBLE), 0) AS ing FROM tags GROUP BY 1 --"))
+_BAG = ", ".join(f"coalesce(CAST(sum(cnt) FILTER (tag = '{t}') AS DOUBLE), 0) AS {t}" for t in ("the", "ing"))
+
+
+@query(sql("tags", f"SELECT instance_id, {_BAG} FROM tags GROUP BY 1"))
 def m2b_bag_of_words(s, d):
     from pyspark.ml.functions import vector_to_array
 
@@ -291,12 +294,12 @@ def w4_random_folds(s, d):
     return split.random_folds(fx.instance_label(s, d), 3, 7)
 
 
-@query(sql("il", "SELECT label, model_id FROM (SELECT 1)").replace("il AS", "il AS", 1) if False else sql("models", "SELECT label, model_id FROM models"))
+@query(sql("models", "SELECT label, model_id FROM models"))
 def w9_random_groups(s, d):
     return split.random_groups(fx.instance_label(s, d), 4, 4)
 
 
-@query(sql("il", ", p AS (SELECT DISTINCT split_part(label, '==', 1) AS package FROM il), g AS (SELECT package, CAST(floor((row_number() OVER (ORDER BY md5(concat('4', package)), package) - 1) / greatest(1, floor(count(*) OVER () / 2))) AS BIGINT) AS model_id FROM p) SELECT DISTINCT label, model_id FROM il JOIN g ON split_part(label, '==', 1) = package").replace("\n,", ",", 1))
+@query(sql("il", ", p AS (SELECT DISTINCT split_part(label, '==', 1) AS package FROM il), g AS (SELECT package, CAST(floor((row_number() OVER (ORDER BY md5(concat('4', package)), package) - 1) / greatest(1, floor(count(*) OVER () / 2))) AS BIGINT) AS model_id FROM p) SELECT DISTINCT label, model_id FROM il JOIN g ON split_part(label, '==', 1) = package"))
 def w10_version_packed_groups(s, d):
     return split.version_packed_groups(fx.instance_label(s, d), 2, 4)
 
@@ -313,8 +316,6 @@ def w15_slices(s, d):
 
 @query("SELECT concat(lang, '.', source, '-', doc_id, '.tag') AS name, row_number() OVER (ORDER BY concat(lang, '.', source, '-', doc_id, '.tag')) - 1 AS idx FROM documents")
 def w16_sort_by_name(s, d):
-    from .functions.tables import global_index
-
     name = F.concat("lang", F.lit("."), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".tag"))
     return global_index(table(s, d, "documents").select(name.alias("name")), ["name"])
 
@@ -324,13 +325,13 @@ def w19_oversample(s, d):
     return split.oversample(fx.instance_label(s, d), 3)
 
 
-@query(sql("il", f"SELECT instance_id, label, r AS k, concat(label, '.', r) AS name FROM (SELECT *, CAST(r + coalesce((SELECT 5 WHERE label = 'en==src0'), 0) AS BIGINT) AS r FROM (SELECT instance_id, label, {_R} FROM il)) t".replace("SELECT *, CAST(r", "SELECT instance_id, label, CAST(r").replace("(SELECT 5 WHERE label = 'en==src0')", "CASE WHEN label = 'en==src0' THEN 5 END")))
+@query(sql("il", f"SELECT instance_id, label, k, concat(label, '.', k) AS name FROM (SELECT instance_id, label, CAST(r + CASE WHEN label = 'en==src0' THEN 5 ELSE 0 END AS BIGINT) AS k FROM (SELECT instance_id, label, {_R} FROM il))"))
 def w20_number_samples(s, d):
     used = s.createDataFrame([("en==src0", 4)], "label string, k int")
     return split.number_samples(fx.instance_label(s, d), used).withColumn("k", F.col("k").cast("long"))
 
 
-@query(sql("il", f", c AS (SELECT least(25, min(n)) AS cap FROM (SELECT count(*) AS n FROM il GROUP BY label)) SELECT instance_id, label FROM (SELECT *, {_R} FROM il), c WHERE r < cap").replace("\n,", ",", 1))
+@query(sql("il", f", c AS (SELECT least(25, min(n)) AS cap FROM (SELECT count(*) AS n FROM il GROUP BY label)) SELECT instance_id, label FROM (SELECT *, {_R} FROM il), c WHERE r < cap"))
 def w21_equal_groups(s, d):
     return split.equal_groups(fx.instance_label(s, d))
 
@@ -370,13 +371,21 @@ def j8_merge_predictions(s, d):
     return experts.merge_predictions(fx.truth(s, d), fx.pred(s, d)).select("instance_id", F.array_join("labels", ",").alias("labels"))
 
 
+@query(sql("pred", "SELECT instance_id, string_agg(label, ',' ORDER BY label) AS labels FROM pred GROUP BY 1"))
+def j8_merge_by_row_map(s, d):
+    own = fx.pred(s, d).withColumn("model_id", F.ascii("label") % 3)
+    rows = global_index(own.select("model_id", "instance_id").distinct(), ["model_id", "instance_id"], "row")
+    local = own.join(rows, ["model_id", "instance_id"]).select("model_id", "row", "label")
+    return experts.merge_predictions(experts.to_instances(local, rows)).select("instance_id", F.array_join("labels", ",").alias("labels"))
+
+
 @query(sql("truth pred", "SELECT i.instance_id, l.label, CASE WHEN p.label IS NULL THEN 0 ELSE 1 END AS value FROM (SELECT DISTINCT instance_id FROM truth) i CROSS JOIN (SELECT DISTINCT label FROM truth) l LEFT JOIN pred p ON p.instance_id = i.instance_id AND p.label = l.label"))
 def j9_re_expand(s, d):
     t = fx.truth(s, d)
     return experts.re_expand(t, t, fx.pred(s, d))
 
 
-@query(sql("scored", "SELECT model_id, instance_id, label, 1 / (1 + exp(-margin)) AS p FROM scored WHERE 1 / (1 + exp(-margin)) > 0.5").replace("1 / (1 + exp(-margin)) AS p", "round(1 / (1 + exp(-margin)), 6) AS p").replace("WHERE 1 / (1 + exp(-margin)) > 0.5", "WHERE round(margin, 9) > 0"))
+@query(sql("scored", "SELECT model_id, instance_id, label, round(1 / (1 + exp(-margin)), 6) AS p FROM scored WHERE round(margin, 9) > 0"))
 def m5_expert_inference(s, d):
     scored = experts.score_stumps(experts.select_experts(fx.instance_tag(s, d), experts.used_tags(fx.stumps(s, d))), fx.stumps(s, d))
     found = experts.predict_labels(scored.withColumn("margin", F.round("margin", 9)))
@@ -406,12 +415,12 @@ def a22_expert_usage(s, d):
     return experts.expert_usage(fx.instance_tag(s, d), experts.used_tags(fx.stumps(s, d)))
 
 
-@query(sql("load", ", m AS (SELECT model_id, CAST(sum(load) AS BIGINT) AS n FROM load GROUP BY 1) SELECT model_id, n, n > (SELECT avg(n) + stddev_pop(n) FROM m) AS heavy FROM m").replace("\n,", ",", 1))
+@query(sql("load", ", m AS (SELECT model_id, CAST(sum(load) AS BIGINT) AS n FROM load GROUP BY 1) SELECT model_id, n, n > (SELECT avg(n) + stddev_pop(n) FROM m) AS heavy FROM m"))
 def a23_heavy_models(s, d):
     return experts.heavy_models(fx.epoch_load(s, d).withColumnRenamed("load", "n"))
 
 
-@query(sql("selected", ", u AS (SELECT model_id, count(DISTINCT instance_id) AS n_instances FROM selected GROUP BY 1) SELECT model_id, n_instances, round(sum(n_instances) OVER (ORDER BY n_instances, model_id ROWS UNBOUNDED PRECEDING) / sum(n_instances) OVER (), 9) AS share FROM u").replace("\n,", ",", 1))
+@query(sql("selected", ", u AS (SELECT model_id, count(DISTINCT instance_id) AS n_instances FROM selected GROUP BY 1) SELECT model_id, n_instances, round(sum(n_instances) OVER (ORDER BY n_instances, model_id ROWS UNBOUNDED PRECEDING) / sum(n_instances) OVER (), 9) AS share FROM u"))
 def w12_usage_cdf(s, d):
     usage = experts.expert_usage(fx.instance_tag(s, d), experts.used_tags(fx.stumps(s, d)))
     return experts.usage_cdf(usage).withColumn("share", F.round("share", 9))
@@ -436,7 +445,7 @@ def j14_missing_models(s, d):
 # Ranking ---------------------------------------------------------------------------------------
 
 
-@query(sql("costs", ", k AS (SELECT l_orderkey AS instance_id, count(DISTINCT l_linestatus) AS k FROM lineitem GROUP BY 1) SELECT instance_id, label_idx, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY cost, label_idx) AS rank FROM costs) JOIN k USING (instance_id) WHERE rank <= k").replace("\n,", ",", 1))
+@query(sql("costs", ", k AS (SELECT l_orderkey AS instance_id, count(DISTINCT l_linestatus) AS k FROM lineitem GROUP BY 1) SELECT instance_id, label_idx, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY cost, label_idx) AS rank FROM costs) JOIN k USING (instance_id) WHERE rank <= k"))
 def w7_top_k_labels(s, d):
     sizes = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id")).agg(F.count_distinct("l_linestatus").alias("k"))
     return rank.top_k_labels(fx.costs(s, d), sizes)
@@ -446,7 +455,7 @@ def w7_top_k_labels(s, d):
 c AS (SELECT *, sum(gap) OVER (PARTITION BY instance_id ORDER BY cost, label_idx ROWS UNBOUNDED PRECEDING) AS cid FROM g),
 p AS (SELECT instance_id, cid, cid * count(*) AS weight FROM c GROUP BY 1, 2),
 b AS (SELECT instance_id, cid AS best FROM p QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY weight DESC, cid DESC) = 1)
-SELECT instance_id, label_idx FROM c JOIN b USING (instance_id) WHERE cid < best""").replace("\n,", ",", 1))
+SELECT instance_id, label_idx FROM c JOIN b USING (instance_id) WHERE cid < best"""))
 def w8_density_cut(s, d):
     return rank.density_cut(fx.costs(s, d), 0.015)
 
@@ -456,8 +465,8 @@ def w8_density_cut(s, d):
 _ROUNDED = "round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1"
 
 
-def _round(df, *names):
-    return df.withColumns({n: F.round(n, 9) for n in names})
+def _round(df, *names, places=9):
+    return df.withColumns({n: F.round(n, places) for n in names})
 
 
 @query(sql("report", f"SELECT label, tp, fp, fn, support, {_ROUNDED} FROM report"))
@@ -496,7 +505,7 @@ def a19_confusion(s, d):
 tt AS (SELECT *, unnest([1, 2, 3]) AS param FROM truth),
 r AS (SELECT coalesce(t.param, p.param) AS param, coalesce(t.label, p.label) AS label, count(*) FILTER (t.label IS NOT NULL AND p.label IS NOT NULL) AS tp, count(t.label) AS s, count(p.label) AS said FROM tt t FULL JOIN pp p ON t.param = p.param AND t.instance_id = p.instance_id AND t.label = p.label GROUP BY 1, 2),
 f AS (SELECT param, sum(2 * tp / (s + said) * s) / sum(s) AS f1 FROM r GROUP BY 1)
-SELECT param, param AS ord, round(f1, 9) AS f1 FROM f ORDER BY f1 DESC, param LIMIT 1""").replace("\n,", ",", 1))
+SELECT param, param AS ord, round(f1, 9) AS f1 FROM f ORDER BY f1 DESC, param LIMIT 1"""))
 def a20_best_parameter(s, d):
     p = fx.pred(s, d)
     runs = p.withColumn("param", F.lit(1)).unionByName(p.where("instance_id % 3 <> 0").withColumn("param", F.lit(2))).unionByName(p.withColumn("param", F.lit(3)))
@@ -516,7 +525,7 @@ def a32_predictions_of_folds(s, d):
     return metrics.predictions_of_folds(*folds).groupBy("fold", "label").agg(F.count("*").alias("n"))
 
 
-@query(sql("truth", "SELECT label, count(DISTINCT instance_id) AS n, min(instance_id) AS first_line, max(instance_id) AS last_line FROM truth GROUP BY 1"))
+@query(sql("truth", "SELECT DISTINCT label, instance_id AS line FROM truth"))
 def j15_true_lines(s, d):
     return metrics.true_lines(fx.truth(s, d))
 
@@ -544,7 +553,7 @@ def a8_mean_tags_per_combination(s, d):
     return _round(stats.mean_tags_per_combination(fx.instance_tag(s, d), fx.instance_label(s, d)), "mean_tags")
 
 
-@query(sql("tags il models", ", f AS (SELECT model_id, tag, count(DISTINCT label) AS k FROM tags JOIN il USING (instance_id) JOIN models USING (label) GROUP BY 1, 2) SELECT model_id, k, count(*) AS n_tags, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY model_id), 2) AS share FROM f GROUP BY 1, 2").replace("\n,", ",", 1))
+@query(sql("tags il models", ", f AS (SELECT model_id, tag, count(DISTINCT label) AS k FROM tags JOIN il USING (instance_id) JOIN models USING (label) GROUP BY 1, 2) SELECT model_id, k, count(*) AS n_tags, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY model_id), 2) AS share FROM f GROUP BY 1, 2"))
 def a9_recurrence_per_model(s, d):
     return stats.recurrence_per_model(fx.instance_tag(s, d), fx.instance_label(s, d), fx.model_label(s, d))
 
@@ -589,13 +598,16 @@ def a28_change_histogram(s, d):
     return stats.change_histogram(fx.stages(s, d))
 
 
+#: The kinds of events in the test tables.
+_EVENTS = ("click", "error", "purchase", "signup", "view")
+
+
 @query("SELECT concat('-', event_type) AS stage, count(value) FILTER (user_id % 7 <> 0) AS n, round(avg(value) FILTER (user_id % 7 <> 0), 6) AS mean_seconds, count(*) FILTER (user_id % 7 = 0) AS unfinished FROM events GROUP BY 1")
 def a29_stage_durations(s, d):
-    kinds = [r[0] for r in table(s, d, "events").select("event_type").distinct().collect()]  # a handful of types
     rows = table(s, d, "events").select(
         F.concat_ws("-", F.lit("run"), F.col("user_id").cast("string"), "event_type").alias("name"), F.when(F.col("user_id") % 7 != 0, F.col("value")).alias("seconds")
     )
-    return stats.stage_durations(rows, [f"-{k}" for k in kinds]).withColumn("mean_seconds", F.round("mean_seconds", 6))
+    return stats.stage_durations(rows, [f"-{k}" for k in _EVENTS]).withColumn("mean_seconds", F.round("mean_seconds", 6))
 
 
 @query(sql("load", "SELECT key, string_agg(CAST(total AS VARCHAR), ',' ORDER BY trial) AS totals FROM (SELECT model_id AS key, epoch % 5 AS trial, CAST(sum(load) AS BIGINT) AS total FROM load GROUP BY 1, 2) GROUP BY 1"))
@@ -605,11 +617,12 @@ def a31_runtime_rollup(s, d):
 
 
 def _ewma_sql(old: bool) -> str:
-    base = "r.a" if old else "(0.7 * r.a + 0.3 * o.load)"
-    return sql("load", f"""o AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY epoch) AS n FROM load),
-r AS (SELECT model_id, n, 0.3 * load AS a, 0.3 * abs(load - {"0" if old else "0.3 * load"}) AS d FROM o WHERE n = 1
-  UNION ALL SELECT o.model_id, o.n, 0.7 * r.a + 0.3 * o.load, 0.7 * r.d + 0.3 * abs(o.load - {base}) FROM r JOIN o ON o.model_id = r.model_id AND o.n = r.n + 1)
-SELECT model_id, CAST(n AS INTEGER) AS n_epochs, round(a, 6) AS avg, round(d, 6) AS dev, round(a + 3 * d, 6) AS threshold FROM r QUALIFY n = max(n) OVER (PARTITION BY model_id)""").replace("\no AS", ",\no AS", 1).replace("WITH ", "WITH RECURSIVE ", 1).replace("0.3", "0.3::DOUBLE").replace("0.7", "0.7::DOUBLE")
+    w, base = "0.3::DOUBLE", "r.a" if old else "(0.7::DOUBLE * r.a + 0.3::DOUBLE * o.load)"
+    return f"""WITH RECURSIVE {sql("load", "").removeprefix("WITH ")},
+o AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY epoch) AS n FROM load),
+r AS (SELECT model_id, n, {w} * load AS a, {w} * abs(load - {"0" if old else f"{w} * load"}) AS d FROM o WHERE n = 1
+  UNION ALL SELECT o.model_id, o.n, (1 - {w}) * r.a + {w} * o.load, (1 - {w}) * r.d + {w} * abs(o.load - {base}) FROM r JOIN o ON o.model_id = r.model_id AND o.n = r.n + 1)
+SELECT model_id, CAST(n AS INTEGER) AS n_epochs, round(a, 6) AS avg, round(d, 6) AS dev, round(a + 3 * d, 6) AS threshold FROM r QUALIFY n = max(n) OVER (PARTITION BY model_id)"""
 
 
 @query(_ewma_sql(False))
@@ -629,7 +642,7 @@ def w12_empirical_cdf(s, d):
     return _round(stats.empirical_cdf(table(s, d, "part").select(F.col("p_size").alias("value"))), "cdf")
 
 
-@query(", ".join(["WITH q AS (SELECT quantile_cont(CAST(n_chars AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM documents)"]) + " SELECT CAST(len(list_filter(c, lambda x: x < n_chars)) AS INTEGER) AS bin, count(*) AS n, CAST(min(n_chars) AS DOUBLE) AS low, CAST(max(n_chars) AS DOUBLE) AS high FROM documents, q GROUP BY 1")
+@query("WITH q AS (SELECT quantile_cont(CAST(n_chars AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM documents) SELECT CAST(len(list_filter(c, lambda x: x < n_chars)) AS INTEGER) AS bin, count(*) AS n, CAST(min(n_chars) AS DOUBLE) AS low, CAST(max(n_chars) AS DOUBLE) AS high FROM documents, q GROUP BY 1")
 def w13_decile_bins(s, d):
     return stats.decile_bins(table(s, d, "documents").select(F.col("n_chars").cast("double").alias("value")))
 
@@ -688,16 +701,31 @@ def a30_mean_similarity(s, d):
     return _round(similarity.mean_similarity(similarity.cosine_pairs(rows), rows), "mean_cosine")
 
 
-@query()
+_LEADERS = """, c AS MATERIALIZED (SELECT a, b FROM cosine WHERE round(cosine, 9) > 0.75),
+ids AS MATERIALIZED (SELECT block AS id, row_number() OVER (ORDER BY block) AS n FROM (SELECT DISTINCT block FROM means)),
+near AS MATERIALIZED (SELECT id, n, coalesce((SELECT list(a) FROM c WHERE b = id), []) AS smaller FROM ids),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS leaders
+  UNION ALL SELECT near.n, CASE WHEN list_has_any(smaller, leaders) THEN leaders ELSE list_append(leaders, id) END FROM walk JOIN near ON near.n = walk.n + 1),
+l AS MATERIALIZED (SELECT unnest(leaders) AS leader FROM walk WHERE n = (SELECT max(n) FROM ids)),
+clusters AS MATERIALIZED (SELECT id, min(leader) AS leader FROM (SELECT id, leader FROM near JOIN l ON list_contains(smaller, leader) OR leader = id) GROUP BY 1)"""
+
+
+def _clusters_sql(body: str) -> str:
+    return sql("cosine", _LEADERS + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_clusters_sql(" SELECT id, leader FROM clusters"))
 def m11_leader_clusters(s, d):
     rows = materialize(_means(s, d))
     pairs = materialize(_round(similarity.cosine_pairs(rows), "cosine"))
     return similarity.leader_clusters(pairs, rows.select("id"), 0.75)
 
 
-@query()
+@query(_clusters_sql(""" SELECT leader, n, round(CASE WHEN n > 1 THEN 2 * coalesce(s, 0) / (n * (n - 1)) ELSE 1.0 END, 9) AS mean_similarity
+FROM (SELECT leader, count(*) AS n FROM clusters GROUP BY 1) LEFT JOIN
+(SELECT x.leader, sum(cosine) AS s FROM cosine JOIN clusters x ON x.id = a JOIN clusters y ON y.id = b WHERE x.leader = y.leader GROUP BY 1) USING (leader)"""))
 def m12_cluster_labels(s, d):
-    return similarity.cluster_labels(fx.vec(s, d), 5, 0.75)
+    return _round(similarity.cluster_labels(fx.vec(s, d), 5, 0.75), "mean_similarity")
 
 
 # Layers and catalogue --------------------------------------------------------------------------
@@ -755,13 +783,11 @@ def p16_short_packages(s, d):
     return catalog.short_packages(_versions(s, d).where("pos <= 4"))
 
 
-_PLABEL = ", l AS (SELECT DISTINCT concat(package, '==', version) AS label, package FROM versions WHERE pos <= 3), b AS (SELECT DISTINCT p_container AS base FROM part)"
-
-
-@query((sql("versions", _PLABEL + " SELECT x.label || ',' || y.label AS labels, base FROM l x JOIN l y ON x.label < y.label AND x.package <> y.package CROSS JOIN b ORDER BY labels, base LIMIT 2000")).replace("\n,", ",", 1).replace("SELECT DISTINCT p_container AS base FROM part", "SELECT DISTINCT r_name AS base FROM region"))
+@query(sql("versions", """, l AS (SELECT DISTINCT concat(package, '==', version) AS label, package FROM versions), b AS (SELECT DISTINCT p_type AS base FROM part)
+SELECT x.label || ',' || y.label AS labels, base FROM l x JOIN l y ON x.label < y.label AND x.package <> y.package CROSS JOIN b ORDER BY labels, base LIMIT 2000"""))
 def j13_combinations(s, d):
-    own = _versions(s, d).where("pos <= 3").select(F.concat_ws("==", "package", "version").alias("label"))
-    return catalog.combinations(own, table(s, d, "region").select(F.col("r_name").alias("base")), 2, 2000)
+    own = _versions(s, d).select(F.concat_ws("==", "package", "version").alias("label"))
+    return catalog.combinations(own, table(s, d, "part").select(F.col("p_type").alias("base")), 2, 2000)
 
 
 # Training --------------------------------------------------------------------------------------
@@ -773,44 +799,79 @@ def _few(s, d):
     return own, own.select("label", F.lit(0).cast("long").alias("model_id")).distinct()
 
 
-_ROUND_SQL = """, y AS (SELECT a.doc_id AS instance_id, b.lang AS label, CASE WHEN a.lang = b.lang THEN 1.0 ELSE 0.0 END AS y FROM documents a CROSS JOIN (SELECT DISTINCT lang FROM documents) b),
-g AS (SELECT instance_id, label, 0.5::DOUBLE - y AS g, 0.25::DOUBLE AS h FROM y),
-t AS (SELECT label, sum(g) AS "G", sum(h) AS "H" FROM g GROUP BY 1),
-p AS (SELECT label, tag, cnt AS cut, sum(g) AS g, sum(h) AS h FROM tags JOIN g USING (instance_id) GROUP BY 1, 2, 3),
-c AS (SELECT label, tag, cut, sum(g) OVER (PARTITION BY label, tag ORDER BY cut DESC ROWS UNBOUNDED PRECEDING) AS gh, sum(h) OVER (PARTITION BY label, tag ORDER BY cut DESC ROWS UNBOUNDED PRECEDING) AS hh,
-  sum(g) OVER (PARTITION BY label, tag) AS gp, sum(h) OVER (PARTITION BY label, tag) AS hp FROM p),
-s AS (SELECT label, tag, cut, m, gh + CASE WHEN m THEN "G" - gp ELSE 0 END AS gr, hh + CASE WHEN m THEN "H" - hp ELSE 0 END AS hr,
+def _round_ctes(r: int) -> str:
+    """CTEs of boosting round r: margins m{r} before it, its best stumps b{r}, and margins m{r + 1} after it."""
+    return f""", g{r} AS (SELECT instance_id, label, 1 / (1 + exp(-margin)) - y AS g, (1 / (1 + exp(-margin))) * (1 - 1 / (1 + exp(-margin))) AS h FROM m{r}),
+t{r} AS (SELECT label, sum(g) AS "G", sum(h) AS "H" FROM g{r} GROUP BY 1),
+p{r} AS (SELECT label, tag, cnt AS cut, sum(g) AS g, sum(h) AS h FROM tags JOIN g{r} USING (instance_id) GROUP BY 1, 2, 3),
+c{r} AS (SELECT label, tag, cut, sum(g) OVER (PARTITION BY label, tag ORDER BY cut DESC ROWS UNBOUNDED PRECEDING) AS gh, sum(h) OVER (PARTITION BY label, tag ORDER BY cut DESC ROWS UNBOUNDED PRECEDING) AS hh,
+  sum(g) OVER (PARTITION BY label, tag) AS gp, sum(h) OVER (PARTITION BY label, tag) AS hp FROM p{r}),
+s{r} AS (SELECT label, tag, cut, m, gh + CASE WHEN m THEN "G" - gp ELSE 0 END AS gr, hh + CASE WHEN m THEN "H" - hp ELSE 0 END AS hr,
   gp - gh + CASE WHEN m THEN 0 ELSE "G" - gp END AS gl, hp - hh + CASE WHEN m THEN 0 ELSE "H" - hp END AS hl, "G", "H"
-  FROM c JOIN t USING (label) CROSS JOIN (SELECT unnest([false, true]) AS m)),
-b AS (SELECT *, round(gl * gl / (hl + 1) + gr * gr / (hr + 1) - "G" * "G" / ("H" + 1), 9) AS gain FROM s WHERE hl >= 1 AND hr >= 1)
-SELECT CAST(0 AS BIGINT) AS model_id, label, tag, cut, gain, round(-0.1::DOUBLE * gl / (hl + 1), 9) AS leaf_low, round(-0.1::DOUBLE * gr / (hr + 1), 9) AS leaf_high,
-  round(-0.1::DOUBLE * CASE WHEN m THEN gr / (hr + 1) ELSE gl / (hl + 1) END, 9) AS leaf_default
-FROM b WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY gain DESC, tag, cut, m) = 1"""
+  FROM c{r} JOIN t{r} USING (label) CROSS JOIN (SELECT unnest([false, true]) AS m)),
+w{r} AS (SELECT *, round(gl * gl / (hl + 1) + gr * gr / (hr + 1) - "G" * "G" / ("H" + 1), 9) AS gain FROM s{r} WHERE hl >= 1 AND hr >= 1),
+b{r} AS MATERIALIZED (SELECT label, {r} AS "round", tag, cut, gain, -0.1::DOUBLE * gl / (hl + 1) AS leaf_low, -0.1::DOUBLE * gr / (hr + 1) AS leaf_high, -0.1::DOUBLE * CASE WHEN m THEN gr / (hr + 1) ELSE gl / (hl + 1) END AS leaf_default
+  FROM w{r} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY gain DESC, tag, cut, m) = 1),
+m{r + 1} AS MATERIALIZED (SELECT m.instance_id, m.label, y, margin + coalesce(CASE WHEN t.cnt IS NULL THEN leaf_default WHEN t.cnt >= cut THEN leaf_high ELSE leaf_low END, 0) AS margin
+  FROM m{r} m LEFT JOIN b{r} b ON b.label = m.label LEFT JOIN tags t ON t.instance_id = m.instance_id AND t.tag = b.tag)"""
+
+
+_MARGINS = ", m1 AS MATERIALIZED (SELECT a.doc_id AS instance_id, b.lang AS label, CASE WHEN a.lang = b.lang THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, 0.0::DOUBLE AS margin FROM documents a CROSS JOIN (SELECT DISTINCT lang FROM documents) b)"
+_LEAVES = ", ".join(f"round({c}, 9) AS {c}" for c in ("leaf_low", "leaf_high", "leaf_default"))
+
+
+def _stumps_sql(rounds: int) -> str:
+    made = " UNION ALL ".join(f"SELECT * FROM b{r}" for r in range(1, rounds + 1))
+    body = "".join(map(_round_ctes, range(1, rounds + 1)))
+    return sql("tags", f'{_MARGINS}{body} SELECT CAST(0 AS BIGINT) AS model_id, label, CAST("round" AS INTEGER) AS round, tag, cut, {_LEAVES} FROM ({made})')
+
+
+_ROUND_SQL = f"{_MARGINS}{_round_ctes(1)} SELECT CAST(0 AS BIGINT) AS model_id, label, tag, cut, gain, {_LEAVES} FROM b1"
+
 
+def _cost_ctes(rows: str, rate: float, rounds: int, logistic: bool = False, start: str = "", name: str = "v") -> str:
+    """CTEs of gradient rounds over the instances of `rows` (instance_id, label): weights {name}1, {name}2, …"""
+    own, other = (1.0, 0.0) if logistic else (0.0, 1.0)
+    out = f", {name}y AS MATERIALIZED (SELECT a.instance_id, b.label, CASE WHEN a.label = b.label THEN {own}::DOUBLE ELSE {other}::DOUBLE END AS y FROM {rows} a CROSS JOIN (SELECT DISTINCT label FROM {rows}) b)"
+    for r in range(1, rounds + 1):
+        before = start if r == 1 else f"{name}{r - 1}"
+        score = f"(SELECT instance_id, w.label, sum(x * v) AS s FROM x JOIN {before} w USING (tag) GROUP BY 1, 2)" if before else "(SELECT 0 AS instance_id, '' AS label, 0.0 AS s WHERE false)"
+        said = "1 / (1 + exp(-coalesce(s, 0)))" if logistic else "coalesce(s, 0)"
+        keep = f"SELECT label, tag, v FROM {before} UNION ALL " if before else ""
+        out += f""", {name}e{r} AS (SELECT q.instance_id, q.label, {said} - q.y AS e FROM {name}y q LEFT JOIN {score} z ON z.instance_id = q.instance_id AND z.label = q.label),
+{name}{r} AS MATERIALIZED (SELECT label, tag, sum(v) AS v FROM ({keep}SELECT label, tag, -{rate}::DOUBLE * sum(e * x) / sum(x) AS v FROM x JOIN {name}e{r} USING (instance_id) GROUP BY 1, 2) GROUP BY 1, 2)"""
+    return out
 
-@query(sql("tags", _ROUND_SQL).replace("\n,", ",", 1))
+
+_X = ", x AS MATERIALIZED (SELECT instance_id, tag, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY instance_id)) AS x FROM tags), rows AS MATERIALIZED (SELECT doc_id AS instance_id, lang AS label FROM documents)"
+#: Wide enough that no two tags share a slot in the test tables, so that SQL may name slots by tags.
+_BITS = 40
+
+
+@query(sql("tags", _ROUND_SQL))
 def m3_boosting_round(s, d):
     own, models = _few(s, d)
     margins = train.targets(own, models).withColumn("margin", F.lit(0.0))
     return _round(train.best_stumps(fx.instance_tag(s, d), margins), "leaf_low", "leaf_high", "leaf_default")
 
 
-@query()
+@query(_stumps_sql(3))
 def m3_train_stumps(s, d):
     own, models = _few(s, d)
-    return train.train_stumps(materialize(fx.instance_tag(s, d)), own, models, rounds=3)
+    return _round(train.train_stumps(materialize(fx.instance_tag(s, d)), own, models, rounds=3), "leaf_low", "leaf_high", "leaf_default")
 
 
-@query()
+@query(_stumps_sql(2))
 def m4_continue_boosting(s, d):
     own, models = _few(s, d)
     found = materialize(fx.instance_tag(s, d))
-    return train.train_stumps(found, own, models, rounds=1, start=train.train_stumps(found, own, models, rounds=1))
+    start = train.train_stumps(found, own, models, rounds=1)
+    return _round(train.train_stumps(found, own, models, rounds=1, start=start), "leaf_low", "leaf_high", "leaf_default")
 
 
 @query(sql("tags", """, w AS (SELECT instance_id, tag, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY instance_id)) AS x FROM tags),
 y AS (SELECT a.doc_id AS instance_id, b.lang AS label, CASE WHEN a.lang = b.lang THEN 0.0 ELSE 1.0 END AS y FROM documents a CROSS JOIN (SELECT DISTINCT lang FROM documents) b)
-SELECT label, count(*) AS n_slots, round(sum(v), 6) AS total FROM (SELECT label, tag, 0.5::DOUBLE * sum(y * x) / sum(x) AS v FROM w JOIN y USING (instance_id) GROUP BY 1, 2) GROUP BY 1""").replace("\n,", ",", 1))
+SELECT label, count(*) AS n_slots, round(sum(v), 6) AS total FROM (SELECT label, tag, 0.5::DOUBLE * sum(y * x) / sum(x) AS v FROM w JOIN y USING (instance_id) GROUP BY 1, 2) GROUP BY 1"""))
 def m8_cost_round(s, d):
     own, _ = _few(s, d)
     x = train.hashed_features(fx.instance_tag(s, d), 40)  # wide enough that no two tags share a slot here
@@ -818,18 +879,24 @@ def m8_cost_round(s, d):
     return w.groupBy("label").agg(F.count("*").alias("n_slots"), F.round(F.sum("w"), 6).alias("total"))
 
 
-@query()
+@query(sql("tags", _X + _cost_ctes("rows", 0.05, 2, logistic=True) + """, s AS (SELECT instance_id, label, round(coalesce(sum(x * v), 0), 9) AS s FROM x JOIN v2 USING (tag) GROUP BY 1, 2)
+SELECT instance_id, label FROM s QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY s DESC, label) = 1"""))
 def m9_best_label(s, d):
     own, _ = _few(s, d)
-    x = materialize(train.hashed_features(fx.instance_tag(s, d)))
-    return train.best_label(train.predict_costs(x, train.train_costs(x, own, rounds=2, rate=0.05, loss="logistic")))
+    x = materialize(train.hashed_features(fx.instance_tag(s, d), _BITS))
+    return train.best_label(_round(train.predict_costs(x, train.train_costs(x, own, rounds=2, rate=0.05, loss="logistic")), "score"))
 
 
-@query()
+_HALVES = ", r0 AS (SELECT * FROM rows WHERE instance_id % 2 = 0), r1 AS (SELECT * FROM rows WHERE instance_id % 2 = 1)"
+
+
+@query(sql("tags", _X + _HALVES + _cost_ctes("r0", 0.5, 1, name="v") + _cost_ctes("r1", 0.5, 1, start="v1", name="u") + " SELECT label, count(*) AS n_slots, round(sum(v), 6) AS total, round(sum(v * v), 6) AS squares FROM u1 GROUP BY 1"))
 def m10_incremental_batches(s, d):
     own, _ = _few(s, d)
     batches = own.select("instance_id", (F.col("instance_id") % 2).alias("batch"))
-    return train.incremental_batches(fx.instance_tag(s, d), own, batches, rounds=1)
+    w = train.incremental_batches(fx.instance_tag(s, d), own, batches, rounds=1, bits=_BITS)
+    square = F.col("w") * F.col("w")
+    return w.groupBy("label").agg(F.count("*").alias("n_slots"), F.round(F.sum("w"), 6).alias("total"), F.round(F.sum(square), 6).alias("squares"))
 
 
 @query()
@@ -839,14 +906,18 @@ def m13_cross_validate(s, d):
     return train.cross_validate(materialize(fx.instance_tag(s, d)), own, grid, n_samples=40, share=0.25, rounds=2)
 
 
-@query()
+_FOLDS = ", folds AS MATERIALIZED (SELECT instance_id, label, (row_number() OVER (PARTITION BY label ORDER BY instance_id) - 1) % 3 AS fold FROM rows), train AS (SELECT instance_id, label FROM folds WHERE fold <> 0)"
+
+
+@query(sql("tags", _X + _FOLDS + _cost_ctes("train", 0.01, 2) + """, z AS (SELECT instance_id, label, sum(x * v) AS s FROM x JOIN v2 USING (tag) GROUP BY 1, 2)
+SELECT i.instance_id, l.label, round(coalesce(s, 0), 6) AS score FROM (SELECT DISTINCT instance_id FROM x JOIN folds USING (instance_id) WHERE fold = 0) i CROSS JOIN (SELECT DISTINCT label FROM train) l LEFT JOIN z ON z.instance_id = i.instance_id AND z.label = l.label"""))
 def m14_fold_scores(s, d):
     own, _ = _few(s, d)
-    x = materialize(train.hashed_features(fx.instance_tag(s, d)))
+    x = materialize(train.hashed_features(fx.instance_tag(s, d), _BITS))
     folds = materialize(split.stratified_folds(own, 3))
     w = train.train_costs(x, folds.where("fold <> 0").drop("fold"), rounds=2, rate=0.01)
     asked = x.join(folds.where("fold = 0").select("instance_id"), "instance_id", "left_semi")
-    return train.predict_costs(asked, w)
+    return _round(train.predict_costs(asked, w), "score", places=6)
 
 
 # Sources and sinks over derived files ----------------------------------------------------------
@@ -915,18 +986,19 @@ def s14_missing_runs(s, d):
     return files.missing_runs(rows, rows.where("event_type = 'click' AND run % 3 = 0"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(w) AS DOUBLE) AS total, count(*) FILTER (w > 0) AS positives FROM (SELECT p_name AS feature, p_size - 25 AS w FROM part WHERE p_partkey % 2 = 1) WHERE contains(feature, 'a') OR contains(feature, 'green')")
+@query("SELECT count(*) AS n, CAST(sum(w) AS DOUBLE) AS total, count(*) FILTER (w > 0) AS positives, string_agg(CAST(w AS VARCHAR), ',' ORDER BY w) AS weights FROM (SELECT p_name AS feature, p_size - 25 AS w FROM part WHERE p_partkey % 2 = 1) WHERE contains(feature, 'a') OR contains(feature, 'green')")
 def s15_readable_weights(s, d):
     line = F.concat("p_name", F.lit("["), (F.col("p_partkey") % 2).cast("string"), F.lit("]:"), (F.col("p_size") - 25).cast("string"))
     asked = s.createDataFrame([("a",), ("green",)], "tag string")
-    return files.readable_weights(table(s, d, "part").select(line.alias("value")), asked, 1).withColumn("total", F.round("total", 4))
+    out = files.readable_weights(table(s, d, "part").select(line.alias("value")), asked, 1).withColumn("total", F.round("total", 4))
+    return out.withColumn("weights", F.array_join(F.sort_array("weights").cast("array<int>").cast("array<string>"), ","))
 
 
-@query("SELECT concat(lang, '.', source, '-', doc_id, CASE WHEN doc_id % 4 = 0 THEN '.yaml' ELSE '.tag' END) AS name FROM documents WHERE doc_id % 4 <> 0 AND concat(lang, '.', source) IN ('en.src0', 'de.src1')")
+@query("SELECT concat(lang, '.', source, '-', doc_id, CASE WHEN doc_id % 4 = 0 THEN '.yaml' ELSE '.tag' END) AS name FROM documents WHERE doc_id % 4 <> 0 AND concat(lang, '.', source) IN ('en.src0', 'de.src1') AND NOT starts_with(concat(lang, '.', source, '-', doc_id), 'de.src1-1')")
 def s3_select_files(s, d):
     end = F.when(F.col("doc_id") % 4 == 0, ".yaml").otherwise(".tag")
     name = F.concat("lang", F.lit("."), "source", F.lit("-"), F.col("doc_id").cast("string"), end)
-    return files.select_files(table(s, d, "documents").select(name.alias("name")), "tag", ["en.src0", "de.src1"])
+    return files.select_files(table(s, d, "documents").select(name.alias("name")), "tag", ["en.src0", "de.src1"], without=["de.src1-1"])
 
 
 @query(sql("changes", "SELECT changeset_id, path, count(*) AS n FROM changes GROUP BY ALL"))
@@ -941,6 +1013,74 @@ def s1_read_changesets(s, d):
     return rows.select(F.col("labels")[0].cast("long").alias("changeset_id"), F.explode("changes").alias("path")).groupBy("changeset_id", "path").agg(F.count("*").alias("n"))
 
 
+@query(sql("tags il", "SELECT instance_id, label, tag, cnt FROM tags JOIN il USING (instance_id)"))
+def s2_read_tagsets(s, d):
+    path = scratch(s)
+    pairs = F.struct("tag", "cnt")
+    own = fx.instance_tag(s, d).groupBy("instance_id").agg(F.collect_list(pairs).alias("p")).join(fx.instance_label(s, d), "instance_id")
+    as_list = F.to_json(F.struct(F.transform("p", lambda x: F.concat_ws(":", x["tag"], x["cnt"].cast("string"))).alias("tags"), "label"))
+    as_map = F.to_json(F.struct(F.map_from_entries("p").alias("tags"), F.array("label").alias("labels")))
+    text = F.when(F.col("instance_id") % 2 == 0, as_list).otherwise(as_map)
+    own.select(text.alias("value"), F.col("instance_id").alias("part")).write.partitionBy("part").text(path)
+    rows, _ = files.read_tagsets(s, path)
+    at = F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("instance_id")
+    return rows.select(at, F.explode("labels").alias("label"), "tags").select("instance_id", "label", F.explode("tags").alias("tag", "cnt"))
+
+
+def _archives(batches):
+    """Layer archives as text: their headers and names are plain characters."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    for b in batches:
+        made = []
+        for image, members in zip(b["image"], b["members"]):
+            held = io.BytesIO()
+            with tarfile.open(fileobj=held, mode="w") as tar:
+                for name in members:
+                    info = tarfile.TarInfo(name.rstrip("/"))
+                    info.type = tarfile.DIRTYPE if name.endswith("/") else tarfile.REGTYPE
+                    tar.addfile(info)
+            made.append("no archive" if image % 50 == 0 else held.getvalue().decode())
+        yield pd.DataFrame({"value": made, "part": b["image"]})
+
+
+@query(sql("layers", """SELECT image, concat('layer', k) AS path, true AS is_dir, false AS bad FROM layers WHERE image % 50 <> 0
+UNION ALL SELECT image, concat('layer', k, '/', replace(layer, ':', '_')), false, false FROM layers WHERE image % 50 <> 0
+UNION ALL SELECT DISTINCT image, NULL, NULL, true FROM layers WHERE image % 50 = 0"""))
+def s4_list_archives(s, d):
+    path = scratch(s)
+    folder = F.concat(F.lit("layer"), F.col("k").cast("string"))
+    members = F.array(F.concat(folder, F.lit("/")), F.concat(folder, F.lit("/"), F.replace("layer", F.lit(":"), F.lit("_"))))
+    own = fx.layers(s, d).groupBy("image").agg(F.flatten(F.collect_list(members)).alias("members"))
+    own.mapInPandas(_archives, "value string, part long").write.partitionBy("part").text(path)
+    at = F.regexp_extract("archive", r"part=(\d+)", 1).cast("long").alias("image")
+    return files.list_archives(s, path).select(at, "path", "is_dir", F.col("error").isNotNull().alias("bad"))
+
+
+@query(sql("layers", "SELECT image, concat('config', image) AS config, CAST(row_number() OVER (PARTITION BY image ORDER BY k) - 1 AS INTEGER) AS k, layer FROM layers"))
+def s5_read_manifests(s, d):
+    path = scratch(s)
+    own = fx.layers(s, d).groupBy("image").agg(F.sort_array(F.collect_list(F.struct("k", "layer"))).alias("l"))
+    config = F.concat(F.lit("config"), F.col("image").cast("string")).alias("Config")
+    record = F.to_json(F.array(F.struct(config, F.col("l.layer").alias("Layers"))))
+    own.select(record.alias("value"), F.col("image").alias("part")).write.partitionBy("part").text(path)
+    at = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("image")
+    return files.read_manifests(s, path).select(at, "config", "k", "layer")
+
+
+@query(sql("history", "SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY pos, created_by) - 1 AS INTEGER) AS pos, created_by, empty_layer FROM history"))
+def s5_read_history(s, d):
+    path = scratch(s)
+    entries = F.sort_array(F.collect_list(F.struct("pos", "created_by", "empty_layer")))
+    own = fx.history(s, d).groupBy("image").agg(entries.alias("history"))
+    own.select(F.to_json(F.struct("history")).alias("value"), F.col("image").alias("part")).write.partitionBy("part").text(path)
+    at = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("image")
+    return files.read_history(s, path).select(at, "pos", "created_by", "empty_layer")
+
+
 # Streaming -------------------------------------------------------------------------------------
 
 

@@ -22,6 +22,8 @@ def _parsed(row):
 
     found = yaml.load(row, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     labels = found.get("labels") or ([found["label"]] if found.get("label") is not None else None)
+    if labels is not None:  # YAML reads label: 3.10 as a number, and labels: x as one string
+        labels = [str(x) for x in (labels if isinstance(labels, list) else [labels])]
     return found, labels
 
 
@@ -45,7 +47,7 @@ def _tagsets(batches):
                 found, labels = _parsed(value)
                 tags = found["tags"]
                 if not isinstance(tags, dict):
-                    pairs = [t.rsplit(":", 1) if ":" in t else (t, 1) for t in tags]
+                    pairs = [t.rsplit(":", 1) if ":" in t else (t, 1) for t in map(str, tags)]
                     tags = {}
                     for k, v in pairs:
                         tags[k] = tags.get(k, 0) + int(v)
@@ -66,27 +68,47 @@ def read_tagsets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("path", "error")
 
 
-def select_files(files: DataFrame, suffix: str = "tag", names: list[str] | None = None) -> DataFrame:
-    """Files (name) that end in .suffix and, unless names is empty, whose name up to the last dash is one."""
+def select_files(files: DataFrame, suffix: str = "tag", names: list[str] | None = None, without: list[str] = ()) -> DataFrame:
+    """Files (name) that end in .suffix, whose name up to the last dash is in names (unless that is empty)
+    and that start with none of the prefixes in without."""
     kept = files.where(F.endswith("name", F.lit("." + suffix)))
     if names:
         kept = kept.where(F.regexp_extract("name", r"^(.*)-", 1).isin(*names))
+    for prefix in without:
+        kept = kept.where(~F.startswith("name", F.lit(prefix)))
     return kept
 
 
+#: Members that are handed on at a time.
+MEMBERS = 10_000
+
+
 def _members(batches):
+    names = ["archive", "path", "is_dir", "error"]
     for b in batches:
-        rows = []
         for path, content in zip(b["path"], b["content"]):
-            with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                rows += [(path, m.name, m.isdir()) for m in tar]
-        yield pd.DataFrame(rows, columns=["archive", "path", "is_dir"])
+            rows = []
+            try:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:  # headers only, one after another
+                    for m in tar:
+                        tar.members = []
+                        rows.append((path, m.name, m.isdir(), None))
+                        if len(rows) >= MEMBERS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+            except Exception as e:  # a bad archive is reported, not fatal
+                rows.append((path, None, None, repr(e)))
+            yield pd.DataFrame(rows, columns=names)
 
 
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, is_dir): the members of each tar file, directories included."""
+    """(archive, path, is_dir, error): the members of each tar file, directories included.
+
+    A file that is no archive, or breaks off, has a row with its error after the members read so far.
+    Spark hands a file over as one value, so that archives are limited to 2 GB each.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_members, "archive string, path string, is_dir boolean")
+    return files.mapInPandas(_members, "archive string, path string, is_dir boolean, error string")
 
 
 MANIFEST = "Config string, Layers array<string>"
@@ -180,11 +202,11 @@ def missing_runs(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def readable_weights(lines: DataFrame, tags: DataFrame, classifier: int) -> DataFrame:
-    """(n, total, positives) of the weights of one class whose feature holds any of the tags.
+    """(n, total, positives, weights) of the weights of one class whose feature holds any of the tags.
 
     lines: (value) of the form "feature[class]:weight"; a line counts once, however many tags it holds.
     """
     parts = F.regexp_extract("value", r"^(.*)\[(\d+)\]:(.*)$", 1), F.regexp_extract("value", r"^(.*)\[(\d+)\]:(.*)$", 2)
     rows = lines.select("value", parts[0].alias("feature"), parts[1].alias("class"), F.element_at(F.split("value", ":"), -1).cast("double").alias("w"))
     hit = rows.where(F.col("class") == str(classifier)).join(tags.select("tag"), F.expr("contains(feature, tag)"), "left_semi")
-    return hit.agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.count_if(F.col("w") > 0).alias("positives"))
+    return hit.agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.count_if(F.col("w") > 0).alias("positives"), F.collect_list("w").alias("weights"))
