@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from tagquarry.functions.tables import global_index
+
+from .common import bound_batches, materialize
 
 # Fixed values of the template: how each role's turn begins and ends.
 TURNS = {
@@ -157,6 +159,7 @@ def format_reply_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     Returns tree_id, leaf_id, branch (1 is best), formatted, loss_spans array<struct<start,end>>
     (code points of `formatted` that carry loss: the assistant texts).
     """
+    bound_batches(nodes.sparkSession)
     nodes = nodes.where("tree_id IS NOT NULL AND node_id IS NOT NULL")
     nodes = nodes.groupBy("tree_id", "node_id").agg(
         F.min(
@@ -184,13 +187,18 @@ def format_reply_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as trees of one branch; order: turn, then role, then text."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    at = F.row_number().over(order).cast("long")
-    return conversations.where("conv_id IS NOT NULL").select(
-        F.col("conv_id").cast("long").alias("tree_id"),
+    """Rows (conv_id, turn, role, text) as trees of one branch; order: turn, then role, then text.
+
+    Rows are numbered over range partitions, so that a conversation of very many rows is no single task.
+    """
+    rows = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("tree_id"), "turn", "role", "text")
+    rows = global_index(rows, ["tree_id", "turn", "role", "text"], "i")
+    first = rows.groupBy("tree_id").agg((F.min("i") - 1).alias("before"))
+    at = F.col("i") - F.col("before")
+    return rows.join(first, "tree_id").select(
+        "tree_id",
         at.alias("node_id"),
-        F.nullif(at - 1, F.lit(0)).alias("parent_id"),
+        F.nullif(at - 1, F.lit(0).cast("long")).alias("parent_id"),
         "role",
         "text",
         F.lit(0.0).alias("score"),

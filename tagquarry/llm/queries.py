@@ -154,4 +154,28 @@ SELECT query_id, id, distance, CAST(row_number() OVER (PARTITION BY query_id ORD
 FROM d QUALIFY rank <= 10
 """
 
-SQL = {"op4_top_k": OP4_SQL, "op1_chat_formatting": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+# A linked pair shares one of the first n // 5 + 1 shingles of either set, in any one order: here the rarest come first.
+OP3_SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : least(i + 4, len(w))], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+ranked AS MATERIALIZED (
+  SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY held, s) AS r
+  FROM shingles JOIN sizes USING (doc_id) JOIN (SELECT s, count(*) AS held FROM shingles GROUP BY 1) USING (s)
+), met AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m FROM ranked a JOIN ranked b ON a.s = b.s AND a.doc_id < b.doc_id
+  WHERE a.r <= a.n // 5 + 1 AND b.r <= b.n // 5 + 1 AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+), links AS MATERIALIZED (
+  SELECT a, b FROM met JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND y.s = x.s
+  GROUP BY a, b, n, m HAVING 100 * count(*) >= 80 * (n + m - count(*))
+), sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reach.id, sides.b FROM reach JOIN sides ON sides.a = reach.other)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY 1) c ON c.id = w.doc_id
+"""
+
+SQL = {"op3_jaccard_join": OP3_SQL, "op4_top_k": OP4_SQL, "op1_chat_formatting": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}

@@ -84,10 +84,10 @@ def test_reply_trees(spark):
 
 
 def test_conversations_with_nulls_and_repeats(spark):
-    rows = [(1, 0, "user", None), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 0, None, "t"), (None, 0, "user", "x"), (3, 5, "tool", "[ROLE] </s>")]
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 0, None, "t"), (None, 0, "user", "x"), (3, 5, "tool", "[ROLE] </s>"), (4, 0, "assistant", LONG)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_reply_trees(chat.conversation_nodes(df))).collect()}
-    assert set(got) == {1, 2, 3} and got[1].n_turns == 3
+    assert set(got) == {1, 2, 3, 4} and got[1].n_turns == 3 and got[4].loss_sha256 == sha(LONG)
     assert got[1].turns_sha256 == sha("user\n\nassistant\na\nassistant\na\n") and got[1].loss_sha256 == sha("aa")
     assert got[2].turns_sha256 == sha("\nt\n") and got[3].turns_sha256 == sha("tool\n[ROLE] </s>\n") and got[3].loss_chars == 0
 

@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagquarry.llm import queries
+from tagquarry.llm.common import materialize
 
 from ..oracle import DATA, connect, oracle_rows, rows_of
 from .test_operators import brute_targets
@@ -42,6 +44,32 @@ def test_run_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_keep_odd_rows_and_columns(spark):
+    long = " ".join(f"w{i % 3001}" for i in range(40_000))
+    texts = [None, "", " \n ", long, "You stupid idiot, you moron. You disgusting idiot.", "a clean text of some few words"]
+    rows = [(i if i % 4 else None, t, "s" if i % 2 else None) for i, t in enumerate(texts * 3)]
+    rows += [(900, f"shared id {i} " + " ".join(f"x{i}y{j}" for j in range(30)), "t") for i in range(5)]
+    names = ["_row", "row", "times", "key", "doc", "own", "score", "n_lines", "lines", "kept", "size", "sid", "p", "tie", "n", "keys"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in names})
+    kept, columns = {}, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, DATA))
+        assert docs.columns == columns and all(x[c] == c for x in docs.collect() for c in names)
+        kept[name] = Counter((x.doc_id, x.text) for x in docs.collect())
+    toxic = texts[4]
+    assert kept["toxicity"] == Counter(r[:2] for r in rows if r[1] != toxic)
+    assert kept["line_dedup"].keys() <= {(i, t or "") for i, t in kept["toxicity"]} | {(i, "") for i, _ in kept["toxicity"]}
+    assert sum(kept["line_dedup"].values()) == sum(kept["toxicity"].values())
+    # rows without an id stay, as do the least of each group and texts without words
+    assert sum(n for (i, _), n in kept["jaccard_join"].items() if i is None) == sum(n for (i, _), n in kept["line_dedup"].items() if i is None)
+    assert sum(n for (i, _), n in kept["jaccard_join"].items() if i == 900) == 5
+    ids = {t: sorted(i for i, x in kept["line_dedup"] if x == t and i is not None) for _, t in kept["line_dedup"]}
+    left = {t: sorted(i for i, x in kept["jaccard_join"] if x == t and i is not None) for _, t in kept["line_dedup"]}
+    assert all(left[t] == (ids[t] if not t.strip() or 900 in ids[t] else ids[t][:1]) for t in ids)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert out.count() == docs.count() and out.where("NOT exact").count() == 0
+
+
 def test_mixing_stage_draws_rows_without_or_with_one_id(spark):
     r = random.Random(13)
     rows = [(i if i % 3 else None, r.choice("abc"), f"t{i} " + "w " * r.randint(0, 60)) for i in range(600)]
