@@ -6,8 +6,9 @@ Jaccard join (the smallest doc_id of each component stays), mixing sources to ta
 
 Defined cases: a null doc_id is judged like any other document until the Jaccard stage, where it
 links with nothing and stays, and is mixed like any other; rows that share a doc_id are judged row by
-row for toxicity, share the decisions of line dedup and the Jaccard stage, and are drawn apart; columns of the documents pass through unchanged, except
-text and n_chars after line dedup.
+row for toxicity, share the decisions of line dedup and the Jaccard stage, and are drawn apart; columns
+of any name pass through unchanged up to the last stage, except text and n_chars after line dedup; the
+last stage returns doc_id, source, n_tokens, ids and exact.
 """
 
 from __future__ import annotations

@@ -91,12 +91,12 @@ def model_label(spark: SparkSession, d: str, n_models: int = 4) -> DataFrame:
     return split.random_groups(instance_label(spark, d), n_models, 4)
 
 
-def stumps(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed stumps: of each (model, label) the ten most frequent tags."""
+def stumps(spark: SparkSession, d: str, own_tags: DataFrame | None = None) -> DataFrame:
+    """Fixed stumps: of each (model, label) the ten most frequent tags (of own_tags, where they are at hand)."""
     from pyspark.sql import Window
 
     own = instance_label(spark, d).join(model_label(spark, d), "label")
-    n = instance_tag(spark, d).join(own, "instance_id").groupBy("model_id", "label", "tag").agg(F.count("*").alias("n"))
+    n = (instance_tag(spark, d) if own_tags is None else own_tags).join(own, "instance_id").groupBy("model_id", "label", "tag").agg(F.count("*").alias("n"))
     order = Window.partitionBy("model_id", "label").orderBy(F.desc("n"), "tag")
     top = n.withColumn("round", F.row_number().over(order)).where("round <= 10")
     return top.select(

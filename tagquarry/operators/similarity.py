@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import materialize
@@ -18,24 +18,63 @@ def label_means(vec: DataFrame, n_samples: int) -> DataFrame:
     return sums.join(sizes, "block").select("block", "idx", F.bround(F.col("s") / F.col("n")).alias("mean")).where("mean > 0")
 
 
+def unit_rows(rows: DataFrame) -> DataFrame:
+    """(id, idx, v): rows (id, idx, value), values not zero, scaled to unit length."""
+    norm = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    return rows.join(norm, "id").select("id", "idx", (F.col("value") / F.col("norm")).alias("v"))
+
+
+def _dots(pairs: DataFrame, unit: DataFrame) -> DataFrame:
+    """(a, b, cosine) of given pairs."""
+    a = unit.select(F.col("id").alias("a"), "idx", F.col("v").alias("va"))
+    b = unit.select(F.col("id").alias("b"), "idx", F.col("v").alias("vb"))
+    return pairs.join(a, "a").join(b, ["b", "idx"]).groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("cosine"))
+
+
 def cosine_pairs(rows: DataFrame) -> DataFrame:
     """(a, b, cosine) of all pairs a < b that share a feature; other pairs are 0.
 
-    rows: (id, idx, value), values not zero. Features held by very many rows should be filtered
-    before (filters.py), since a feature of m rows makes m * (m - 1) / 2 products.
+    All pairs are the result itself; where only similar ones are wanted, similar_pairs finds them without the others.
     """
-    norm = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    unit = rows.join(norm, "id").select("id", "idx", (F.col("value") / F.col("norm")).alias("v"))
+    unit = unit_rows(rows)
     a, b = unit.alias("a"), unit.alias("b")
     joined = a.join(b, (F.col("a.idx") == F.col("b.idx")) & (F.col("a.id") < F.col("b.id")))
     return joined.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("cosine"))
 
 
-def mean_similarity(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row: n and the mean cosine over all pairs without the diagonal, absent pairs as 0."""
+def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cosine) of the pairs a < b whose cosine is above threshold.
+
+    Features are ranked by how many rows hold them. The more frequent features of a row, as long as their
+    own length stays below threshold, cannot reach it alone; so a similar pair's rarest common feature is
+    among the others of both rows, and only those are joined.
+    """
+    unit = materialize(unit_rows(rows))
+    held = unit.groupBy("idx").agg(F.count("*").alias("held"))
+    common = Window.partitionBy("id").orderBy(F.desc("held"), "idx").rowsBetween(Window.unboundedPreceding, 0)
+    rest = unit.join(held, "idx").withColumn("square", F.sum(F.col("v") * F.col("v")).over(common))
+    rare = rest.where(F.col("square") >= threshold * threshold - 1e-9).select("id", "idx")
+    a, b = rare.alias("a"), rare.alias("b")
+    met = a.join(b, (F.col("a.idx") == F.col("b.idx")) & (F.col("a.id") < F.col("b.id")))
+    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return _dots(met, unit).where(F.col("cosine") > threshold)
+
+
+def _mean(n, square, own):
+    """The mean cosine off the diagonal of n rows, from the square of the sum of their unit rows."""
+    return F.when(n > 1, (square - own) / (n * (n - 1))).otherwise(1.0)
+
+
+def mean_similarity(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: n and the mean cosine over all pairs of ids without the diagonal.
+
+    The sum over all pairs is the squared length of the sum of the unit rows: no pair is made.
+    """
     n = ids.select("id").distinct().agg(F.count("*").alias("n"))
-    s = pairs.agg(F.coalesce(F.sum("cosine"), F.lit(0.0)).alias("s"))
-    return n.crossJoin(s).select("n", F.when(F.col("n") > 1, 2 * F.col("s") / (F.col("n") * (F.col("n") - 1))).otherwise(1.0).alias("mean_cosine"))
+    unit = materialize(unit_rows(rows))
+    sums = unit.groupBy("idx").agg(F.sum("v").alias("v")).agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("s"))
+    own = unit.agg(F.count_distinct("id").alias("own"))
+    return n.crossJoin(sums).crossJoin(own).select("n", _mean(F.col("n"), F.col("s"), F.col("own")).alias("mean_cosine"))  # one row each
 
 
 def leader_clusters(pairs: DataFrame, ids: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -70,18 +109,21 @@ def leader_clusters(pairs: DataFrame, ids: DataFrame, threshold: float = 0.9) ->
             return out
 
 
-def group_similarity(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(leader, n, mean_similarity): off-diagonal mean inside each group, 1 for a single item."""
-    of = lambda c: clusters.select(F.col("id").alias(c), F.col("leader").alias(f"l_{c}"))
-    inner = pairs.join(of("a"), "a").join(of("b"), "b").where("l_a = l_b").groupBy(F.col("l_a").alias("leader")).agg(F.sum("cosine").alias("s"))
-    sizes = clusters.groupBy("leader").agg(F.count("*").alias("n"))
-    mean = F.when(F.col("n") > 1, 2 * F.coalesce("s", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))).otherwise(1.0)
-    return sizes.join(inner, "leader", "left").select("leader", "n", mean.alias("mean_similarity"))
+def group_similarity(clusters: DataFrame, rows: DataFrame) -> DataFrame:
+    """(leader, n, mean_similarity): off-diagonal mean cosine inside each group, 1 for a single item.
+
+    clusters: (id, leader); rows: (id, idx, value). Made from one sum per group and feature, without pairs.
+    """
+    unit = unit_rows(rows).join(clusters, "id")
+    squares = unit.groupBy("leader", "idx").agg(F.sum("v").alias("v")).groupBy("leader").agg(F.sum(F.col("v") * F.col("v")).alias("s"))
+    held = clusters.join(rows.select("id").distinct().withColumn("held", F.lit(1)), "id", "left")
+    sizes = held.groupBy("leader").agg(F.count("*").alias("n"), F.count("held").alias("own"))
+    mean = _mean(F.col("n"), F.coalesce("s", F.lit(0.0)), F.col("own"))
+    return sizes.join(squares, "leader", "left").select("leader", "n", mean.alias("mean_similarity"))
 
 
 def cluster_labels(vec: DataFrame, n_samples: int, threshold: float) -> DataFrame:
     """(leader, n, mean_similarity): means per block of samples, cosine, leader groups."""
     rows = materialize(label_means(vec, n_samples).select(F.col("block").alias("id"), "idx", F.col("mean").alias("value")))
-    pairs = materialize(cosine_pairs(rows))
-    clusters = materialize(leader_clusters(pairs, rows.select("id"), threshold))
-    return group_similarity(clusters, pairs)
+    clusters = materialize(leader_clusters(similar_pairs(rows, threshold), rows.select("id"), threshold))
+    return group_similarity(clusters, rows)

@@ -49,10 +49,12 @@ def extract_tags(
     """(instance_id, tag, cnt): prefixes with at least freq_threshold distinct continuations.
 
     cnt is the number of token occurrences with the prefix. Equal tokens of a changeset are counted
-    before the expansion, which then makes a row per distinct token and length.
+    before the expansion, which then makes a row per distinct token and length. A token and all its prefixes
+    share its first characters: one exchange on those serves both aggregations, and splits large changesets.
     """
     tokens = clean_tokens(drop_stop_tokens(tokenize_paths(changes), stop_tokens))
-    counted = tokens.groupBy("changeset_id", "token").agg(F.count("*").alias("n"))
+    dealt = tokens.withColumn("head", F.left("token", F.lit(MIN_LENGTH))).repartition("changeset_id", "head")
+    counted = dealt.groupBy("changeset_id", "head", "token").agg(F.count("*").alias("n"))
     code = F.ascii("next")
     if freq_threshold <= 1:  # plain numbers keep the aggregation in hash maps
         enough = F.count(code) >= freq_threshold
@@ -62,7 +64,7 @@ def extract_tags(
         enough = F.size(F.collect_set("next")) >= freq_threshold
     tags = (
         expand_prefixes(counted)
-        .groupBy("changeset_id", "prefix")
+        .groupBy("changeset_id", "head", "prefix")
         .agg(F.sum("n").alias("cnt"), enough.alias("enough"))
         .where("enough")
         .select(F.col("changeset_id").alias("instance_id"), F.col("prefix").alias("tag"), "cnt")

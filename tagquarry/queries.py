@@ -154,13 +154,13 @@ def p21_flatten_images(s, d):
 
 @query(sql("tagdf", "SELECT t.* FROM tags t LEFT JOIN tagdf d USING (tag) WHERE coalesce(d.n_labels, 0) < 5"))
 def p14_filter_by_frequency(s, d):
-    own = fx.instance_tag(s, d)
+    own = materialize(fx.instance_tag(s, d))
     return filters.filter_by_frequency(own, filters.tag_label_frequency(own, fx.instance_label(s, d)), 5)
 
 
 @query(sql("tagdf", "SELECT DISTINCT instance_id FROM tags ANTI JOIN (SELECT t.instance_id FROM tags t LEFT JOIN tagdf d USING (tag) WHERE coalesce(d.n_labels, 0) < 5) USING (instance_id)"))
 def p14_emptied_instances(s, d):
-    own = fx.instance_tag(s, d)
+    own = materialize(fx.instance_tag(s, d))
     return filters.emptied_instances(own, filters.filter_by_frequency(own, filters.tag_label_frequency(own, fx.instance_label(s, d)), 5))
 
 
@@ -181,17 +181,17 @@ def a4_tag_label_frequency(s, d):
 
 @query(sql("tags il", "SELECT tags.* FROM tags ANTI JOIN (SELECT tag FROM tags JOIN il USING (instance_id) GROUP BY 1 HAVING count(DISTINCT label) > 10) USING (tag)"))
 def a10_remove_tags_of_many_labels(s, d):
-    return filters.remove_tags_of_many_labels(fx.instance_tag(s, d), fx.instance_label(s, d), 10)
+    return filters.remove_tags_of_many_labels(materialize(fx.instance_tag(s, d)), fx.instance_label(s, d), 10)
 
 
 @query(sql("tags", "SELECT tags.* FROM tags ANTI JOIN (SELECT tag FROM tags GROUP BY 1 HAVING sum(cnt) > 100) USING (tag)"))
 def a11_remove_tags_by_total(s, d):
-    return filters.remove_tags_by_total(fx.instance_tag(s, d), 100)
+    return filters.remove_tags_by_total(materialize(fx.instance_tag(s, d)), 100)
 
 
 @query(sql("tags il", "SELECT DISTINCT tag FROM (SELECT label, tag FROM tags JOIN il USING (instance_id) GROUP BY 1, 2 HAVING count(DISTINCT instance_id) < 5)"))
 def a33_noise_tags(s, d):
-    return filters.noise_tags(fx.instance_tag(s, d), fx.instance_label(s, d))
+    return filters.noise_tags(materialize(fx.instance_tag(s, d)), fx.instance_label(s, d))
 
 
 _SHARED = "SELECT DISTINCT tag FROM tags JOIN il USING (instance_id) WHERE label = 'en==src0' INTERSECT SELECT DISTINCT tag FROM tags JOIN il USING (instance_id) WHERE label <> 'en==src0'"
@@ -199,12 +199,12 @@ _SHARED = "SELECT DISTINCT tag FROM tags JOIN il USING (instance_id) WHERE label
 
 @query(sql("tags il", _SHARED))
 def u6_shared_with_label(s, d):
-    return filters.shared_with_label(fx.instance_tag(s, d), fx.instance_label(s, d), "en==src0")
+    return filters.shared_with_label(materialize(fx.instance_tag(s, d)), fx.instance_label(s, d), "en==src0")
 
 
 @query(sql("tags il", f"SELECT tags.* FROM tags ANTI JOIN ({_SHARED}) USING (tag)"))
 def u6_remove_shared_with_label(s, d):
-    return filters.remove_shared_with_label(fx.instance_tag(s, d), fx.instance_label(s, d), "en==src0")
+    return filters.remove_shared_with_label(materialize(fx.instance_tag(s, d)), fx.instance_label(s, d), "en==src0")
 
 
 # Encoding --------------------------------------------------------------------------------------
@@ -352,12 +352,14 @@ def u4_train_rows(s, d):
 
 @query(sql("selected", "SELECT * FROM selected"))
 def j5_select_experts(s, d):
-    return experts.select_experts(fx.instance_tag(s, d), experts.used_tags(fx.stumps(s, d)))
+    own = materialize(fx.instance_tag(s, d))
+    return experts.select_experts(own, experts.used_tags(fx.stumps(s, d, own)))
 
 
 @query(sql("used il tags models", "SELECT m.model_id, i.instance_id, count(t.tag) AS n_tags FROM (SELECT DISTINCT model_id FROM models) m CROSS JOIN (SELECT DISTINCT instance_id FROM il) i LEFT JOIN (SELECT * FROM tags JOIN used USING (tag)) t ON t.model_id = m.model_id AND t.instance_id = i.instance_id GROUP BY 1, 2"))
 def j6_fan_out(s, d):
-    return experts.fan_out(fx.instance_label(s, d), fx.model_label(s, d), fx.instance_tag(s, d), experts.used_tags(fx.stumps(s, d)))
+    own = materialize(fx.instance_tag(s, d))
+    return experts.fan_out(fx.instance_label(s, d), fx.model_label(s, d), own, experts.used_tags(fx.stumps(s, d, own)))
 
 
 @query(sql("lidx ml", "SELECT instance_id, label FROM ml"))
@@ -387,7 +389,9 @@ def j9_re_expand(s, d):
 
 @query(sql("scored", "SELECT model_id, instance_id, label, round(1 / (1 + exp(-margin)), 6) AS p FROM scored WHERE round(margin, 9) > 0"))
 def m5_expert_inference(s, d):
-    scored = experts.score_stumps(experts.select_experts(fx.instance_tag(s, d), experts.used_tags(fx.stumps(s, d))), fx.stumps(s, d))
+    own = materialize(fx.instance_tag(s, d))
+    st = materialize(fx.stumps(s, d, own))
+    scored = experts.score_stumps(experts.select_experts(own, experts.used_tags(st)), st)
     found = experts.predict_labels(scored.withColumn("margin", F.round("margin", 9)))
     return found.withColumn("p", F.round("p", 6))
 
@@ -399,9 +403,10 @@ def m6_used_tags(s, d):
 
 @query(sql("scored", "SELECT instance_id, string_agg(label, ',' ORDER BY label) AS labels FROM scored WHERE round(margin, 9) > 0 GROUP BY 1"))
 def m7_on_demand_inference(s, d):
-    st = materialize(fx.stumps(s, d))
-    own = experts.score_stumps(experts.select_experts(fx.instance_tag(s, d), experts.used_tags(st)), st)
-    found = experts.predict_labels(own.withColumn("margin", F.round("margin", 9)))
+    own = materialize(fx.instance_tag(s, d))
+    st = materialize(fx.stumps(s, d, own))
+    scored = experts.score_stumps(experts.select_experts(own, experts.used_tags(st)), st)
+    found = experts.predict_labels(scored.withColumn("margin", F.round("margin", 9)))
     return experts.merge_predictions(found.select("instance_id", "label")).select("instance_id", F.array_join("labels", ",").alias("labels"))
 
 
@@ -412,7 +417,8 @@ def a21_shared_tags(s, d):
 
 @query(sql("selected", "SELECT model_id, count(DISTINCT instance_id) AS n_instances FROM selected GROUP BY 1"))
 def a22_expert_usage(s, d):
-    return experts.expert_usage(fx.instance_tag(s, d), experts.used_tags(fx.stumps(s, d)))
+    own = materialize(fx.instance_tag(s, d))
+    return experts.expert_usage(own, experts.used_tags(fx.stumps(s, d, own)))
 
 
 @query(sql("load", ", m AS (SELECT model_id, CAST(sum(load) AS BIGINT) AS n FROM load GROUP BY 1) SELECT model_id, n, n > (SELECT avg(n) + stddev_pop(n) FROM m) AS heavy FROM m"))
@@ -422,7 +428,8 @@ def a23_heavy_models(s, d):
 
 @query(sql("selected", ", u AS (SELECT model_id, count(DISTINCT instance_id) AS n_instances FROM selected GROUP BY 1) SELECT model_id, n_instances, round(sum(n_instances) OVER (ORDER BY n_instances, model_id ROWS UNBOUNDED PRECEDING) / sum(n_instances) OVER (), 9) AS share FROM u"))
 def w12_usage_cdf(s, d):
-    usage = experts.expert_usage(fx.instance_tag(s, d), experts.used_tags(fx.stumps(s, d)))
+    own = materialize(fx.instance_tag(s, d))
+    usage = experts.expert_usage(own, experts.used_tags(fx.stumps(s, d, own)))
     return experts.usage_cdf(usage).withColumn("share", F.round("share", 9))
 
 
@@ -654,7 +661,7 @@ def w17_slowest_models(s, d):
 
 
 def _halves(s, d):
-    own = fx.instance_tag(s, d)
+    own = materialize(fx.instance_tag(s, d))
     return own.where("instance_id % 2 = 0").select("tag"), own.where("instance_id % 2 = 1").select("tag")
 
 
@@ -698,7 +705,7 @@ def j11_cosine_pairs(s, d):
 @query(sql("cosine", "SELECT n, round(2 * (SELECT sum(cosine) FROM cosine) / (n * (n - 1)), 9) AS mean_cosine FROM (SELECT count(DISTINCT block) AS n FROM means)"))
 def a30_mean_similarity(s, d):
     rows = _means(s, d)
-    return _round(similarity.mean_similarity(similarity.cosine_pairs(rows), rows), "mean_cosine")
+    return _round(similarity.mean_similarity(rows, rows), "mean_cosine")
 
 
 _LEADERS = """, c AS MATERIALIZED (SELECT a, b FROM cosine WHERE round(cosine, 9) > 0.75),
@@ -717,7 +724,7 @@ def _clusters_sql(body: str) -> str:
 @query(_clusters_sql(" SELECT id, leader FROM clusters"))
 def m11_leader_clusters(s, d):
     rows = materialize(_means(s, d))
-    pairs = materialize(_round(similarity.cosine_pairs(rows), "cosine"))
+    pairs = _round(similarity.similar_pairs(rows, 0.75), "cosine")
     return similarity.leader_clusters(pairs, rows.select("id"), 0.75)
 
 
@@ -902,8 +909,10 @@ def m10_incremental_batches(s, d):
 @query()
 def m13_cross_validate(s, d):
     own, _ = _few(s, d)
-    grid = [{"n_models": 1, "freq": None}, {"n_models": 2, "freq": 4}]
-    return train.cross_validate(materialize(fx.instance_tag(s, d)), own, grid, n_samples=40, share=0.25, rounds=2)
+    settings = [{"n_models": 1, "freq": None, "rounds": 1}, {"n_models": 2, "freq": 4, "grouping": "random"}]
+    grid = [g | {"batch": b} for g in settings for b in range(4)]  # each hold-out once
+    least = own.groupBy("label").count().agg(F.min("count")).first()[0] or 1
+    return train.cross_validate(materialize(fx.instance_tag(s, d)), own, grid, n_samples=least, share=0.25, rounds=2)
 
 
 _FOLDS = ", folds AS MATERIALIZED (SELECT instance_id, label, (row_number() OVER (PARTITION BY label ORDER BY instance_id) - 1) % 3 AS fold FROM rows), train AS (SELECT instance_id, label FROM folds WHERE fold <> 0)"

@@ -3,8 +3,9 @@
 import io
 import math
 import random
+import statistics
 import tarfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -139,7 +140,42 @@ def test_metrics_of_unsupported_labels(spark):
     a = metrics.averages(metrics.label_report(t, p)).first()
     assert math.isclose(a.f1_macro, 1 / 3) and a.f1_weighted == 1 and math.isclose(a.precision_micro, 1 / 3)
     kinds = {x.kind: (x.n, x.accuracy) for x in metrics.exact_match(t, p).collect()}
-    assert kinds == {"single": (1, 100.0), "multi": (1, 0.0)}
+    assert kinds == {"single": (1, 0.0), "multi": (1, 0.0)}  # (a, a) is not (a)
+    kinds = {x.kind: (x.n, x.accuracy) for x in metrics.exact_match(t, t).collect()}
+    assert kinds == {"multi": (1, 100.0)}
+    assert metrics.set_scores(t, p).first().accuracy == 0.5
+
+
+def test_predictions_by_row_numbers(spark):
+    rows = spark.createDataFrame([(0, 0, 7), (0, 1, 9), (1, 0, 9)], "model_id long, row long, instance_id long")
+    said = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "b"), (1, 5, "c")], "model_id long, row long, label string")
+    got = experts.merge_predictions(experts.to_instances(said, rows)).collect()
+    assert {r.instance_id: r.labels for r in got} == {7: ["a"], 9: ["b", "b"]}
+
+
+def test_single_task_free_statistics(spark):
+    r = random.Random(6)
+    values = [r.random() for _ in range(200)] + [0.5] * 30
+    df = spark.createDataFrame([(v,) for v in values], "value double").repartition(5)
+    for x in stats.empirical_cdf(df).collect():
+        assert math.isclose(x.cdf, sum(v <= x.value for v in values) / len(values)) and x.n == values.count(x.value)
+    cuts = statistics.quantiles(values, n=10, method="inclusive")
+    want = Counter(sum(c < v for c in cuts) for v in values)
+    assert {x.bin: x.n for x in stats.decile_bins(df).collect()} == want
+    assert stats.decile_bins(df.limit(0)).count() == 0 and stats.empirical_cdf(df.limit(0)).count() == 0
+    times = spark.createDataFrame([(i, float(i // 3)) for i in range(50)], "model_id long, value double")
+    for x in stats.slowest_models(times, 7).collect():
+        assert math.isclose(x.cdf, sum(i // 3 <= x.value for i in range(50)) / 50)
+
+
+def test_folds_of_a_frequent_label(spark):
+    rows = [(i, "hot" if i % 4 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "instance_id long, label string").repartition(6)
+    seen, want = Counter(), {}
+    for i, label in rows:
+        want[i] = seen[label] % 3
+        seen[label] += 1
+    assert {x.instance_id: x.fold for x in split.stratified_folds(df, 3).collect()} == want
 
 
 def test_boosting_learns_and_continues(spark):
@@ -157,6 +193,19 @@ def test_boosting_learns_and_continues(spark):
     assert key(whole) == key(stumps)
 
 
+def test_settings_of_a_cross_validation_do_not_touch_one_another(spark):
+    r = random.Random(9)
+    il = spark.createDataFrame([(i, f"p{i % 3}==v{i % 2}") for i in range(60)], "instance_id long, label string")
+    rows = [(i, t, r.randint(1, 3)) for i in range(60) for t in {f"t{i % 6}", f"u{i % 3}", f"v{r.randrange(9)}"}]
+    t = spark.createDataFrame(rows, "instance_id long, tag string, cnt long")
+    grid = [{"n_models": 1, "freq": None, "rounds": 3}, {"n_models": 3, "freq": 5, "batch": 1, "grouping": "random"}, {"n_models": 2, "freq": None, "n_samples": 4}]
+    whole = {x.run_id: x.asDict() | {"run_id": 0} for x in train.cross_validate(t, il, grid, 8, 0.25, rounds=2).collect()}
+    for run, g in enumerate(grid):
+        alone = train.cross_validate(t, il, [g], 8, 0.25, rounds=2).first().asDict()
+        assert all(math.isclose(whole[run][k], alone[k], abs_tol=1e-12) for k in alone)
+    assert whole[0]["f1_weighted"] > 0.5
+
+
 def test_min_weight_blocks_small_splits(spark):
     il = spark.createDataFrame([(i, "x" if i < 3 else "y") for i in range(6)], "instance_id long, label string")
     t = spark.createDataFrame([(i, "a" if i < 3 else "b", 1) for i in range(6)], "instance_id long, tag string, cnt long")
@@ -191,6 +240,10 @@ def test_read_changesets(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("label: pip==1\nchanges: [usr/lib/pip, 'x:y']\n")
     (tmp_path / "b.yaml").write_text("[]")
     rows = {r.path.rsplit("/", 1)[1]: r for r in files.read_changesets(spark, str(tmp_path)).collect()}
+    (tmp_path / "c.yaml").write_text("label: 3.10\nchanges: [a]\n")
+    (tmp_path / "d.yaml").write_text("labels: x\nchanges: [1]\n")
+    rows |= {r.path.rsplit("/", 1)[1]: r for r in files.read_changesets(spark, str(tmp_path)).collect()}
+    assert rows["c.yaml"].labels == ["3.1"] and rows["d.yaml"].labels == ["x"] and rows["d.yaml"].changes == ["1"]
     assert rows["a.yaml"].labels == ["pip==1"] and rows["a.yaml"].changes == ["usr/lib/pip", "x:y"] and rows["b.yaml"].error
 
 
@@ -201,8 +254,14 @@ def test_archives_and_image_metadata(spark, tmp_path):
         d = tarfile.TarInfo("usr/lib")
         d.type = tarfile.DIRTYPE
         tar.addfile(d)
-    got = {(r.path, r.is_dir) for r in files.list_archives(spark, str(tmp_path / "tar")).collect()}
+    whole = (tmp_path / "tar/layer.tar").read_bytes()
+    (tmp_path / "tar/bad.tar").write_text("no archive")
+    (tmp_path / "tar/short.tar").write_bytes(whole[:700])
+    rows = files.list_archives(spark, str(tmp_path / "tar")).collect()
+    got = {(r.path, r.is_dir) for r in rows if r.archive.endswith("layer.tar")}
     assert got == {("usr/lib/x.py", False), ("usr/lib", True)}
+    assert [r.path for r in rows if r.error and r.archive.endswith("bad.tar")] == [None]
+    assert {r.path for r in rows if r.archive.endswith("short.tar")} >= {"usr/lib/x.py"}
     (tmp_path / "manifest.json").write_text('[{"Config": "c.json", "Layers": ["l0", "l1"]}]')
     (tmp_path / "c.json").write_text('{"history": [{"created": "2024-01-01T00:00:00Z", "created_by": "a"},\n {"created_by": "b", "empty_layer": true}]}')
     m = files.read_manifests(spark, str(tmp_path / "manifest.json")).collect()
@@ -224,6 +283,21 @@ def test_ewma_both_ways(spark):
 
 
 def test_mean_similarity_of_one_item(spark):
-    none = spark.createDataFrame([], "a long, b long, cosine double")
+    rows = spark.createDataFrame([(1, 5, 2.0), (1, 6, 1.0)], "id long, idx long, value double")
     clusters = spark.createDataFrame([(1, 1)], "id long, leader long")
-    assert similarity.group_similarity(clusters, none).first().mean_similarity == 1.0
+    assert similarity.group_similarity(clusters, rows).first().mean_similarity == 1.0
+
+
+def test_similar_pairs_and_means_match_all_pairs(spark):
+    r = random.Random(5)
+    data = [(i, k, float(r.randint(1, 9))) for i in range(40) for k in range(12) if r.random() < (0.9 if k < 3 else 0.3)]
+    rows = spark.createDataFrame(data, "id long, idx long, value double")
+    pairs = {(x.a, x.b): x.cosine for x in similarity.cosine_pairs(rows).collect()}
+    for t in (0.5, 0.8, 0.95):
+        got = {(x.a, x.b): x.cosine for x in similarity.similar_pairs(rows, t).collect()}
+        assert got.keys() == {p for p, c in pairs.items() if c > t} and all(math.isclose(c, pairs[p]) for p, c in got.items())
+    ids = spark.range(42)  # two without features
+    assert math.isclose(similarity.mean_similarity(rows, ids).first().mean_cosine, 2 * sum(pairs.values()) / (42 * 41))
+    clusters = ids.select("id", (F.col("id") % 3).alias("leader"))
+    for x in similarity.group_similarity(clusters, rows).collect():
+        assert math.isclose(x.mean_similarity, 2 * sum(c for (a, b), c in pairs.items() if a % 3 == b % 3 == x.leader) / (x.n * (x.n - 1)))
