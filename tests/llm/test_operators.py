@@ -577,7 +577,7 @@ def test_grammar_reads_clauses():
     assert weight("you idiot") == weight("idiot, you") == weight("idiot a b you") == 6.0
     assert weight("idiot a b c you") == 0 and weight("you are no idiot") == 1.5
     assert weight("that old idiot, clever idiot") == 4.0 * 1.5 + 4.0
-    assert math.isclose(weight("somebody said: so. reported by some clever old idiot, that idiot"), (4.0 + 4.0 * 1.5) * 0.4)
+    assert math.isclose(weight("somebody said: so. reported by some clever old idiot, that idiot"), (4.0 * 1.5 + 4.0 * 1.5) * 0.4)
     assert weight("kill the process") == weight("I will kill processes") == 0
     assert weight("they kill you") == 6.0 and weight("I will kill you") == 9.0
     assert weight("Loweischaft, du") == 9.0 and weight("low, you") == 0
