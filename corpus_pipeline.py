@@ -31,10 +31,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others repeat; documents left without text stay, empty."""
-    kept = line_dedup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    whole = F.struct(*docs.columns).alias("doc")  # columns of any name stay apart from the operator's
+    kept = line_dedup.dedup_lines(docs.select("doc_id", "text", whole))
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    return kept.select(*(changed.get(f.name, F.col("doc").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
