@@ -919,14 +919,14 @@ _FOLDS = ", folds AS MATERIALIZED (SELECT instance_id, label, (row_number() OVER
 
 
 @query(sql("tags", _X + _FOLDS + _cost_ctes("train", 0.01, 2) + """, z AS (SELECT instance_id, label, sum(x * v) AS s FROM x JOIN v2 USING (tag) GROUP BY 1, 2)
-SELECT i.instance_id, l.label, round(coalesce(s, 0), 6) AS score FROM (SELECT DISTINCT instance_id FROM x JOIN folds USING (instance_id) WHERE fold = 0) i CROSS JOIN (SELECT DISTINCT label FROM train) l LEFT JOIN z ON z.instance_id = i.instance_id AND z.label = l.label"""))
+SELECT i.instance_id, l.label, round(coalesce(s, 0), 6) + 0.0::DOUBLE AS score FROM (SELECT DISTINCT instance_id FROM x JOIN folds USING (instance_id) WHERE fold = 0) i CROSS JOIN (SELECT DISTINCT label FROM train) l LEFT JOIN z ON z.instance_id = i.instance_id AND z.label = l.label"""))
 def m14_fold_scores(s, d):
     own, _ = _few(s, d)
     x = materialize(train.hashed_features(fx.instance_tag(s, d), _BITS))
     folds = materialize(split.stratified_folds(own, 3))
     w = train.train_costs(x, folds.where("fold <> 0").drop("fold"), rounds=2, rate=0.01)
     asked = x.join(folds.where("fold = 0").select("instance_id"), "instance_id", "left_semi")
-    return _round(train.predict_costs(asked, w), "score", places=6)
+    return train.predict_costs(asked, w).withColumn("score", F.round("score", 6) + F.lit(0.0))  # no -0
 
 
 # Sources and sinks over derived files ----------------------------------------------------------
