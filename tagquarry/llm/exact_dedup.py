@@ -1,10 +1,10 @@
 """Exact dedup by two-pass Bloom filtering.
 
-Pass one hashes every normalised text to k bit positions, counts the positions with map-side
-combining and keeps those hit at least twice: a Bloom filter of the possibly repeated hashes, of a
-size fixed by `max_filter_bits`. Pass two tests every row against it. A repeated text always passes
-(each of its positions was hit twice); rows that fail are alone and go straight through; only rows
-that pass are shuffled. A filter that fills up lets more rows through but changes no result.
+Pass one counts the 64-bit hashes of the normalised texts with map-side combining; those seen twice, and
+they alone, make a Bloom filter, of a size bounded by `max_filter_bits`. It thus grows with what is
+repeated, not with the table. Pass two tests every row against it. A repeated text always passes; rows that
+fail are alone and go straight through; only rows that pass are shuffled, and told apart by a 256-bit
+hash. A filter that fills up lets more rows through but changes no result.
 
 Defined cases: a null text counts as empty and equals every text of white space only; in rows that
 share doc_id, text and length the first one stays; a null doc_id sorts after all others; an empty
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, sha256_text
+from .common import WS, bound_batches, materialize, sha256_text
 
 #: 2^27 bits: 16 MiB, the most that is ever broadcast.
 MAX_FILTER_BITS = 1 << 27
@@ -37,24 +37,22 @@ def positions(h: Column, bits: int, k: int) -> Column:
     return F.array(*(F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(k)))
 
 
-def repeat_filter(hashes: DataFrame, bits: int, k: int = 2) -> np.ndarray:
-    """The bits hit at least twice, as bytes; hashes has one long column h. At most bits / 8 bytes."""
-    hit = (
-        hashes.select(F.explode(positions(F.col("h"), bits, k)).alias("p"))
-        .groupBy("p")
-        .agg(F.count("*").alias("n"))
-        .where("n >= 2")
-    )
-    words = hit.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(
-        F.bitmap_construct_agg(F.col("p") % WORD).alias("bitmap")
-    )
+def bloom_filter(hashes: DataFrame, bits: int, k: int = 2) -> np.ndarray:
+    """The Bloom filter of a table's hashes (h), as bytes: at most bits / 8 of them come to the driver."""
+    set_ = hashes.select(F.explode(positions(F.col("h"), bits, k)).alias("p"))
+    words = set_.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bitmap_construct_agg(F.col("p") % WORD).alias("bitmap"))
     out = np.zeros(max(1, bits // 8), np.uint8)
-    for w, bitmap in words.toLocalIterator():
+    for w, bitmap in words.collect():
         start = w * WORD // 8
         out[start : start + WORD // 8] = np.frombuffer(bitmap, np.uint8)[: len(out) - start]
     return out
 
 
+def filter_bits(n: int, most: int, k: int = 2) -> int:
+    """The bits of a filter of n hashes: 16 per hash and position, within the bound."""
+    return min(most, 1 << max(15, math.ceil(math.log2(max(1, n) * 16 * k))))
+
+
 def possibly_repeated(spark, bitmap: np.ndarray, k: int = 2):
     """A column function: all k positions of the hash are set."""
     shared = spark.sparkContext.broadcast(bitmap)
@@ -74,10 +72,12 @@ def dedup_exact(documents: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, k:
     doc_id.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     squeezed_text = squeezed(F.col("text"))
-    rows = documents.count()
-    bits = min(max_filter_bits, 1 << max(15, math.ceil(math.log2(max(1, rows) * 16 * k))))
-    bitmap = repeat_filter(documents.select(F.xxhash64(squeezed_text).alias("h")), bits, k)
+    twice = documents.select(F.xxhash64(squeezed_text).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 2")
+    twice = materialize(twice.select("h"))
+    bits = filter_bits(twice.count(), max_filter_bits, k)
+    bitmap = bloom_filter(twice, bits, k)
     seen = documents.select(
         "doc_id",
         F.char_length(F.coalesce("text", F.lit(""))).alias("len"),

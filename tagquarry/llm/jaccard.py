@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize
 from .components import connected_components
-from .exact_dedup import MAX_FILTER_BITS, WORD, positions, possibly_repeated
+from .exact_dedup import MAX_FILTER_BITS, bloom_filter, filter_bits, positions, possibly_repeated
 from .shingles import U, batch_sets, mix
 
 CROWD = 16
@@ -262,12 +262,8 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     A Bloom filter of the ids, of a fixed size limit, keeps most other texts out of the shuffle.
     """
     spark, k, ids = documents.sparkSession, 2, materialize(ids)
-    bits = min(MAX_FILTER_BITS, 1 << max(15, int(ids.count() * 8).bit_length()))
-    hit = ids.select(F.explode(positions(F.xxhash64("doc_id"), bits, k)).alias("p"))
-    words = hit.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bitmap_construct_agg(F.col("p") % WORD).alias("bitmap"))
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for w, part in words.collect():  # at most bits / 8 bytes
-        bitmap[w * WORD // 8 : (w + 1) * WORD // 8] = np.frombuffer(part, np.uint8)
+    bits = filter_bits(ids.count(), MAX_FILTER_BITS, k)
+    bitmap = bloom_filter(ids.select(F.xxhash64("doc_id").alias("h")), bits, k)
     test = possibly_repeated(spark, bitmap, k)
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
     texts = texts.where(test(positions(F.xxhash64("doc_id"), bits, k)))
