@@ -154,6 +154,55 @@ SELECT query_id, id, distance, CAST(row_number() OVER (PARTITION BY query_id ORD
 FROM d QUALIFY rank <= 10
 """
 
+_RULES = sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1] + r[2]))
+_FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in _RULES]
+_RULE, _RULED = (f"CASE {' '.join(f"WHEN {f[0]} THEN '{f[i]}'" for f in _FITS)} END" for i in (1, 2))
+
+
+def _side(s: str) -> str:
+    """The probabilities p_{s}1 to p_{s}4 of a position after contexts of 0 to 3 characters, or fewer at the start."""
+    out, before = [], f"1.0::DOUBLE / (1 + z_{s})"
+    for k in range(1, urls.ORDER + 1):
+        known = f"(coalesce(r{k}.n_{s}, 0) + c{k}.t_{s} * {before}) / (c{k}.n_{s} + c{k}.t_{s})"
+        out.append(f"CASE WHEN c{k}.t_{s} > 0 THEN {known} ELSE {before} END AS p_{s}{k}")
+        before = f"p_{s}{k}"
+    return ", ".join(out)
+
+
+_LOOK_UPS = " ".join(
+    f"LEFT JOIN counts r{k} ON pos >= {k} AND r{k}.run = substr(whole, pos - {k - 1}, {k}) LEFT JOIN contexts c{k} ON pos >= {k} AND c{k}.context = substr(whole, pos - {k - 1}, {k - 1})"
+    for k in range(1, urls.ORDER + 1)
+)
+OP5_SQL = f"""
+WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS text, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT page_id, text, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), judged AS MATERIALIZED (SELECT *, {_RULE} AS rule, {_RULED} AS ruled FROM named),
+texts AS MATERIALIZED (SELECT *, CAST('0x' || left(md5(text), 8) AS BIGINT) % 5 = 0 AS held FROM (SELECT DISTINCT text, ruled FROM judged)),
+marks AS (SELECT text, ruled, text || chr(3) AS whole, unnest(range(1, len(text) + 2)) AS pos FROM texts WHERE ruled IS NOT NULL AND NOT held),
+counts AS MATERIALIZED (
+  SELECT run, left(run, len(run) - 1) AS context, count(*) FILTER (ruled = 'allow') AS n_a, count(*) FILTER (ruled = 'block') AS n_b
+  FROM (SELECT ruled, whole, pos, unnest(range(1, least({urls.ORDER}, pos) + 1)) AS k FROM marks) CROSS JOIN LATERAL (SELECT substr(whole, pos - k + 1, k) AS run) GROUP BY 1
+), contexts AS MATERIALIZED (
+  SELECT context, CAST(sum(n_a) AS BIGINT) AS n_a, count(*) FILTER (n_a > 0) AS t_a, CAST(sum(n_b) AS BIGINT) AS n_b, count(*) FILTER (n_b > 0) AS t_b FROM counts GROUP BY 1
+), places AS (SELECT text, text || chr(3) AS whole, unnest(range(1, len(text) + 2)) AS pos FROM texts WHERE ruled IS NULL OR held),
+zero AS (SELECT coalesce(max(t_a) FILTER (context = ''), 0) AS z_a, coalesce(max(t_b) FILTER (context = ''), 0) AS z_b FROM contexts),
+chances AS (SELECT text, {_side("a")}, {_side("b")} FROM places CROSS JOIN zero {_LOOK_UPS}),
+scores AS MATERIALIZED (SELECT text, avg(ln(p_a{urls.ORDER}) - ln(p_b{urls.ORDER})) AS score FROM chances GROUP BY 1),
+bins AS MATERIALIZED (
+  SELECT least(1000, greatest(-1000, floor(score * 100))) AS bin, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
+  FROM scores JOIN texts USING (text) WHERE ruled IS NOT NULL GROUP BY 1
+), worth AS (
+  SELECT bin, (sum(a) OVER (ORDER BY bin DESC)) / (SELECT sum(a) FROM bins) + coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(b) FROM bins) AS value FROM bins
+), threshold AS (
+  SELECT coalesce((SELECT bin / 100 FROM worth WHERE value = (SELECT max(value) FROM worth) ORDER BY bin LIMIT 1), 0.0) AS t
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN (CASE WHEN text = '' THEN 0.0 ELSE score END) >= t THEN 'allow' ELSE 'block' END) AS verdict
+FROM judged LEFT JOIN scores USING (text), threshold
+"""
+
 # A linked pair shares one of the first n // 5 + 1 shingles of either set, in any one order: here the rarest come first.
 OP3_SQL = r"""
 WITH RECURSIVE words AS MATERIALIZED (
@@ -178,4 +227,4 @@ SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_
 FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY 1) c ON c.id = w.doc_id
 """
 
-SQL = {"op3_jaccard_join": OP3_SQL, "op4_top_k": OP4_SQL, "op1_chat_formatting": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+SQL = {"op5_url_filter": OP5_SQL, "op3_jaccard_join": OP3_SQL, "op4_top_k": OP4_SQL, "op1_chat_formatting": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}

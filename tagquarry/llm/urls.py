@@ -38,6 +38,9 @@ TASK_CHARS = 500_000
 #: Rules are driver configuration; larger lists should be refused rather than inlined.
 MAX_RULES = 1000
 
+#: A fifth of the texts, by their hash.
+HELD_OUT = "CAST(conv(left(md5(text), 8), 16, 10) AS BIGINT) % 5 = 0"
+
 # The rules of the production query, (verdict, host, path).
 RULES = [
     ("block", "com", "/en/"),
@@ -166,8 +169,8 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     judged = judged.withColumn("fit", fit).select("page", "text", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"))
     texts = materialize(judged.select("text", F.col("ruled").alias("verdict")).distinct())
     ruled = texts.where("verdict IS NOT NULL")
-    model = materialize(train(ruled.where("crc32(text) % 5 <> 0")))
-    scored = materialize(score(texts.where("verdict IS NULL OR crc32(text) % 5 = 0").select("text"), model))
+    model = materialize(train(ruled.where(f"NOT ({HELD_OUT})")))
+    scored = materialize(score(texts.where(f"verdict IS NULL OR {HELD_OUT}").select("text"), model))
     threshold = calibrate(scored.join(ruled, "text"))
     own_score = F.when(F.col("ruled").isNull(), F.when(F.col("text") == "", F.lit(0.0)).otherwise(F.col("score")))
     judged = judged.join(scored, "text", "left").withColumn("score", own_score)

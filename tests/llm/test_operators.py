@@ -404,7 +404,7 @@ def test_url_filter(spark):
     assert len(rows) == len(made + odd)
     texts = {u or "" for u in made + odd}
     ruled = {t: brute_rule(*split_url(t)) for t in texts}
-    held = lambda t: zlib.crc32(t.encode()) % 5 == 0
+    held = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 5 == 0
     scores = brute_scores(texts, [(t, v) for t, (v, _) in ruled.items() if v and not held(t)])
     bins = sorted((max(-1000, min(1000, math.floor(scores[t] * 100))), v) for t, (v, _) in ruled.items() if v and held(t))
     sides = Counter(v for _, v in bins)
