@@ -23,7 +23,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not own.isDefined():
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagquarry-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()

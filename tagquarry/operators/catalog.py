@@ -13,9 +13,13 @@ def package_rank(rows: DataFrame, dropped: DataFrame, count: int = 1000) -> Data
     return top.withColumn("rank", F.row_number().over(Window.orderBy("pos"))).select("project", "rank")
 
 
+# Fixed value: the pattern of a version number.
+VERSION = r"(\d+\.\d+(?:\.\d+)*)"
+
+
 def extract_versions(texts: DataFrame) -> DataFrame:
     """(id, versions array): dotted numbers, without the first and the last two."""
-    found = F.regexp_extract_all("text", F.lit(r"(\d+\.\d+(?:\.\d+)*)"), F.lit(1))
+    found = F.regexp_extract_all("text", F.lit(VERSION), F.lit(1))
     return texts.select("id", F.slice(found, F.lit(2), F.greatest(F.lit(0), F.size(found) - 3)).alias("versions"))
 
 
