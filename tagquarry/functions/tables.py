@@ -49,14 +49,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def global_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
+def global_index(df: DataFrame, order: list, name: str = "idx", deal: int | None = None) -> DataFrame:
     """df with a dense index from 0 in the order of the given columns.
 
+    deal: rows are dealt to partitions by so many of the columns only (all of them by default), so that
+    the driver's sample of bounds need not hold long texts.
+
     Rows are range-partitioned and numbered inside partitions; only one count per partition is
     summed up in order, so that no task sees all rows.
     """
     part, row = f"_{name}_part", f"_{name}_row"
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*order[:deal]).sortWithinPartitions(*order)
     ranged = materialize(
         ranged.withColumn(part, F.spark_partition_id()).withColumn(
             row, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
