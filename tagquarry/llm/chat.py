@@ -192,7 +192,7 @@ def conversation_nodes(conversations: DataFrame) -> DataFrame:
     Rows are numbered over range partitions, so that a conversation of very many rows is no single task.
     """
     rows = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("tree_id"), "turn", "role", "text")
-    rows = global_index(rows, ["tree_id", "turn", "role", "text"], "i")
+    rows = global_index(rows, ["tree_id", "turn", "role", "text"], "i", deal=3)
     first = rows.groupBy("tree_id").agg((F.min("i") - 1).alias("before"))
     at = F.col("i") - F.col("before")
     return rows.join(first, "tree_id").select(
