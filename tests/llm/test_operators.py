@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -263,6 +264,9 @@ def test_hamming_never_exceeds_the_difference():
         b = np.unique(np.concatenate([r.choice(a, r.randint(1, len(a) + 1)), r.randint(0, 2**62, r.randint(1, 60)).astype(np.uint64)]))
         d = len(np.setxor1d(a, b))
         assert jaccard.folded_hamming(jaccard.parity_sketch(a), jaccard.parity_sketch(b)) <= d
+        wide = next(jaccard._wide([pd.DataFrame({"doc_id": [1, 2], "set": [a.tobytes(), b.tobytes()]})]))
+        x, y = wide[[f"w{i}" for i in range(jaccard.WORDS)]].to_numpy()
+        assert np.bitwise_count(x ^ y).sum() <= d and list(wide["n"]) == [len(a), len(b)]
 
 
 def test_streamed_postings_find_every_pair():
