@@ -7,7 +7,7 @@ emptied when it has MAX_ENTRIES, which bounds its memory; results do not depend
 
 from __future__ import annotations
 
-#: Entries after which a task's own part starts anew (about 150 bytes each).
+#: Entries after which a task's own part starts anew (about 200 bytes each).
 MAX_ENTRIES = 150_000
 #: Longer chunks are segmented anew each time, so that the bound on entries bounds bytes.
 MAX_CHARS = 256
@@ -16,21 +16,19 @@ MAX_CHARS = 256
 class ChunkTable:
     """chunk -> ids as bytes. `segment` maps a list of chunks to a list of their ids."""
 
-    def __init__(self, segment, shared: dict | None = None):
-        self.segment, self.shared, self.own = segment, shared or {}, {}
+    def __init__(self, segment, shared: dict | None = None, most: int | None = None):
+        self.segment, self.shared, self.most = segment, shared or {}, most or MAX_ENTRIES
+        self.table = dict(self.shared)
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as its chunks in order."""
-        if len(self.own) >= MAX_ENTRIES:
-            self.own.clear()
-        shared, own, new, here = self.shared, self.own, [], {}
-        for chunk in set().union(*texts):
-            ids = shared.get(chunk) or own.get(chunk)
-            if ids is None:
-                new.append(chunk)
-            else:
-                here[chunk] = ids
-        made = dict(zip(new, self.segment(new)))
-        own.update((c, ids) for c, ids in made.items() if len(c) <= MAX_CHARS)
-        here |= made
-        return [b"".join(map(here.__getitem__, chunks)) for chunks in texts]
+        if len(self.table) - len(self.shared) >= self.most:
+            self.table = dict(self.shared)
+        table = self.table
+        new = list(set().union(*texts).difference(table))
+        table.update(zip(new, self.segment(new)))
+        out = [b"".join(map(table.__getitem__, chunks)) for chunks in texts]
+        for chunk in new:
+            if len(chunk) > MAX_CHARS:
+                del table[chunk]
+        return out

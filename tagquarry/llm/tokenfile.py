@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import MAX_ENTRIES, ChunkTable
+from .chunks import MAX_CHARS, ChunkTable
 from .common import bound_batches
 
 MAGIC = b"DAC1"
@@ -33,6 +34,9 @@ RANK_BITS = 512
 BLOCK_IDS = 1 << 18
 #: About as many characters are encoded at a time.
 BATCH_CHARS = 1_000_000
+#: Entries of a task's chunk table and of its table of plain words before they start anew: the distinct ones of
+#: some 30 MB of text, about 200 bytes each.
+MAX_CHUNKS, MAX_WORDS = 500_000, 250_000
 #: Letters of the plain words: one code point in either case, and composed already.
 LETTERS = "".join(c for c in map(chr, range(65, 256)) if c.isalpha() and c.lower() in map(chr, range(97, 256)) and c not in "ªºµ")
 PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?|]*)")
@@ -111,6 +115,14 @@ class Block:
         return out
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(spec: str):
+    """The worker's tokenizer; reading its specification takes longer than many a task."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(spec)
+
+
 def segmenter(tokenizer):
     """Plain words skip the library's normaliser and splitter, which cannot change or divide them
     but for case and the signs at the end, and go to its model at once; all other chunks go
@@ -121,9 +133,11 @@ def segmenter(tokenizer):
     def word(w: str) -> bytes:
         ids = known.get(w)
         if ids is None:
-            if len(known) >= MAX_ENTRIES:
+            if len(known) >= MAX_WORDS:
                 known.clear()
-            ids = known[w] = np.array([t.id for t in tokenizer.model.tokenize(w.translate(spelled))], "<u4").tobytes()
+            ids = np.array([t.id for t in tokenizer.model.tokenize(w.translate(spelled))], "<u4").tobytes()
+            if len(w) <= MAX_CHARS:
+                known[w] = ids
         return ids
 
     def segment(chunks: list[str]) -> list[bytes]:
@@ -160,9 +174,7 @@ def write_token_file(documents: DataFrame, path: str, tokenizer_path: str, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        table, part = ChunkTable(segmenter(Tokenizer.from_str(shared.value))), TaskContext.get().partitionId()
+        table, part = ChunkTable(segmenter(_tokenizer(shared.value)), most=MAX_CHUNKS), TaskContext.get().partitionId()
         docs, lengths, ids, start = [], [], [], 0
 
         def block():
