@@ -34,8 +34,7 @@ RANK_BITS = 512
 BLOCK_IDS = 1 << 18
 #: About as many characters are encoded at a time.
 BATCH_CHARS = 1_000_000
-#: Entries of a task's chunk table and of its table of plain words before they start anew: the distinct ones of
-#: some 30 MB of text, about 200 bytes each.
+#: Entries of a worker's chunk table and of its table of plain words before they start anew, about 200 bytes each.
 MAX_CHUNKS, MAX_WORDS = 500_000, 250_000
 #: Letters of the plain words: one code point in either case, and composed already.
 LETTERS = "".join(c for c in map(chr, range(65, 256)) if c.isalpha() and c.lower() in map(chr, range(97, 256)) and c not in "ªºµ")
@@ -104,7 +103,11 @@ class Block:
             if not n:
                 break
             low, bitmap, _ = level
-            more = np.unpackbits(bitmap[i >> 3 : (i + n + 7) >> 3], bitorder="little")[i & 7 : (i & 7) + n].astype(bool)
+            bits = bitmap[i >> 3 : (i + n + 7) >> 3]
+            if not bits.any():
+                parts.append((low[i : i + n], slice(0, 0)))
+                break
+            more = np.unpackbits(bits, bitorder="little")[i & 7 : (i & 7) + n].astype(bool)
             parts.append((low[i : i + n], more))
             i, n = self._rank(level, i), int(np.count_nonzero(more))
         out = np.zeros(0, np.uint32)
@@ -115,14 +118,6 @@ class Block:
         return out
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(spec: str):
-    """The worker's tokenizer; reading its specification takes longer than many a task."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(spec)
-
-
 def segmenter(tokenizer):
     """Plain words skip the library's normaliser and splitter, which cannot change or divide them
     but for case and the signs at the end, and go to its model at once; all other chunks go
@@ -135,7 +130,8 @@ def segmenter(tokenizer):
         if ids is None:
             if len(known) >= MAX_WORDS:
                 known.clear()
-            ids = np.array([t.id for t in tokenizer.model.tokenize(w.translate(spelled))], "<u4").tobytes()
+            found = [t.id for t in tokenizer.model.tokenize(w.translate(spelled))]
+            ids = struct.pack(f"<{len(found)}I", *found)
             if len(w) <= MAX_CHARS:
                 known[w] = ids
         return ids
@@ -153,6 +149,14 @@ def segmenter(tokenizer):
     return segment
 
 
+@lru_cache(maxsize=1)
+def _table(spec: str) -> ChunkTable:
+    """The worker's tokenizer with its chunk table, kept between tasks: bounded by MAX_CHUNKS and MAX_WORDS."""
+    from tokenizers import Tokenizer
+
+    return ChunkTable(segmenter(Tokenizer.from_str(spec)), most=MAX_CHUNKS)
+
+
 def chunks_of(text: str | None) -> list[str]:
     """The tokenizer drops white space and no token crosses it, so that the words between are encoded alone."""
     text = text or ""
@@ -174,7 +178,7 @@ def write_token_file(documents: DataFrame, path: str, tokenizer_path: str, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        table, part = ChunkTable(segmenter(_tokenizer(shared.value)), most=MAX_CHUNKS), TaskContext.get().partitionId()
+        table, part = _table(shared.value), TaskContext.get().partitionId()
         docs, lengths, ids, start = [], [], [], 0
 
         def block():
@@ -255,7 +259,7 @@ def _documents(batches):
         for start, docs, lengths, codes in zip(b["start"], b["doc_ids"], b["lengths"], b["codes"]):
             block, at = Block(codes), 0
             for doc, n in zip(docs, lengths):
-                rows.append((doc, start + at, n, zlib.crc32(block.run(at, n).astype("<u4").tobytes())))
+                rows.append((doc, start + at, n, zlib.crc32(block.run(at, n).astype("<u4", copy=False))))
                 at += n
         yield pd.DataFrame(
             {"doc_id": pd.array([r[0] for r in rows], "Int64")}
