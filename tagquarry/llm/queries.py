@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard, line_dedup, mixing, pieces, tokenfile, topk, toxicity, urls
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, phrases, pieces, secrets, tokenfile, topk, toxicity, trie, urls
 from .common import checkpoint_dir, sha256_text, table
 
 
@@ -83,6 +83,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    own = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *(F.size(own(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        sha256_text(secrets.span_list("spans", ("assign", "access", "hex"))).alias("base_sha256"),
+        secrets.span_list("spans").alias("spans"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
@@ -94,6 +113,9 @@ QUERIES = {
     "op8_token_file": op8_token_file,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_secret_scans": op11_secret_scans,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 OP1_SQL = r"""
@@ -227,4 +249,104 @@ SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_
 FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY 1) c ON c.id = w.doc_id
 """
 
-SQL = {"op5_url_filter": OP5_SQL, "op3_jaccard_join": OP3_SQL, "op4_top_k": OP4_SQL, "op1_chat_formatting": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+_BASE = {"assign": (secrets.ASSIGN, 2, secrets.LEAST_ASSIGNED), "access": (secrets.ACCESS, 0, secrets.LEAST_ACCESS), "hex": (secrets.HEX, 0, secrets.LEAST_HEX)}
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _matches(kind: str, pattern: str, group: int, least: int) -> str:
+    """Rows (id, kind, start, match) of a pattern: what lies before a match are the pieces and matches before it."""
+    q = _quoted(pattern)
+    return f"""SELECT id, '{kind}' AS kind, m[i] AS match, CAST(list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS start
+  FROM (SELECT id, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT id, regexp_extract_all(text, {q}) AS m, regexp_extract_all(text, {q}, {group}) AS g, regexp_split_to_array(text, {q}) AS p FROM docs WHERE regexp_matches(text, {q})
+  )) WHERE len(g[i]) >= {least}"""
+
+
+_RUNS = [(f"[{c.chars}]{{{c.window},}}", c, i) for i, c in enumerate(secrets.CLASSES)]
+_ALLOWED = " OR ".join(f"regexp_matches(match, {_quoted(a)})" for a in secrets.ALLOW_LIST)
+_MIXES = " WHEN ".join(f"'{i}' THEN " + " AND ".join(f"regexp_matches(part, '[{m}]')" for m in c.mixes) + f" AND weight <= {secrets.most_weight(c.window, c.bits)}" for _, c, i in _RUNS)
+OP11_SQL = rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED ({" UNION ALL ".join(_matches(k, *v) for k, v in _BASE.items())}),
+runs AS MATERIALIZED ({" UNION ALL ".join(_matches(str(i), p, 0, c.window) for p, c, i in _RUNS)}),
+windows AS MATERIALIZED (
+  SELECT id, kind, start + i - 1 AS start, substr(match, i, {secrets.CLASSES[0].window}) AS part
+  FROM (SELECT *, unnest(range(1, len(match) - {secrets.CLASSES[0].window} + 2)) AS i FROM runs WHERE NOT ({_ALLOWED}))
+), weighed AS (
+  SELECT id, kind, start, part, sum(CAST(round(c * log2(c) * {secrets.MILLIONTHS}) AS BIGINT)) AS weight
+  FROM (SELECT id, kind, start, part, ch, count(*) AS c FROM (SELECT *, unnest(string_split(part, '')) AS ch FROM windows) GROUP BY ALL) GROUP BY ALL
+), high AS (
+  SELECT id, start, start + {secrets.CLASSES[0].window} AS "end", max(start + {secrets.CLASSES[0].window}) OVER (PARTITION BY id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM weighed WHERE CASE kind WHEN {_MIXES} END
+), islands AS (
+  SELECT id, min(start) AS start, max("end") AS "end" FROM (SELECT *, count(*) FILTER (reach IS NULL OR start > reach) OVER (PARTITION BY id ORDER BY start ROWS UNBOUNDED PRECEDING) AS island FROM high) GROUP BY id, island
+), spans AS (
+  SELECT id, kind, start, start + len(match) AS "end" FROM base
+  UNION ALL SELECT id, 'entropy', start, "end" FROM islands i WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = i.id AND b.start <= i.start AND i."end" <= b.start + len(b.match))
+), listed AS (SELECT *, kind || ':' || start || ':' || "end" AS said, list_position(['assign', 'access', 'hex', 'entropy'], kind) AS place FROM spans)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY start, place) FILTER (kind <> 'entropy'), '')) AS base_sha256,
+  coalesce(string_agg(said, ',' ORDER BY start, place), '') AS spans
+FROM docs LEFT JOIN listed USING (id) GROUP BY id, doc_id
+"""
+
+# The checksum's bits, one step of eight per character: DuckDB has no crc32.
+OP12_SQL = r"""
+WITH turns AS MATERIALIZED (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS MATERIALIZED (
+  SELECT c, c - ((c % 5) + 5) % 5 AS base, count(*) AS n,
+    xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda x, y: xor(xor(x, y) >> 1, (xor(x, y) & 1) * 3988292384)), 4294967295) % 9 AS h
+  FROM turns GROUP BY c
+), heads AS MATERIALIZED (SELECT k.*, least(h, coalesce((SELECT b.n FROM convs b WHERE b.c = k.base), 0)) AS head FROM convs k),
+rebuilt AS MATERIALIZED (
+  SELECT k.c, t.pos + 1 AS d, t.role, t.text FROM heads k JOIN turns t ON t.c = k.base AND t.pos < k.h
+  UNION ALL SELECT k.c, k.head + t.pos - k.h + 1, t.role, t.text FROM heads k JOIN turns t ON t.c = k.c AND t.pos >= k.h
+), sizes AS (SELECT c, head + greatest(n - h, 0) AS n FROM heads),
+prefixes AS MATERIALIZED (
+  SELECT c, d, sha256(string_agg(len(role) || ':' || len(text) || ':' || role || text, '' ) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS p, octet_length(encode(text)) AS bytes FROM rebuilt
+  UNION ALL SELECT c, 0, '', 0 FROM convs
+), nodes AS MATERIALIZED (
+  SELECT p, d AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS own,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '')) AS ends_sha256
+  FROM prefixes JOIN sizes USING (c) GROUP BY p, d
+), above AS MATERIALIZED (  -- a node's prefixes are those of any of its members
+  SELECT n.p, n.own, a.p AS top, a.d AS top_depth, n.depth FROM nodes n JOIN prefixes a ON a.c = n.conv_id AND a.d <= n.depth
+), inner_nodes AS (SELECT DISTINCT top AS p FROM above WHERE top_depth = depth - 1),
+sums AS (
+  SELECT top AS p, count(*) FILTER (top_depth = depth - 1) AS n_children, count(*) FILTER (i.p IS NULL) AS n_leaves, sum(own) AS saved_tokens
+  FROM above a LEFT JOIN inner_nodes i ON i.p = a.p GROUP BY top
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (p) LEFT JOIN above a ON a.p = n.p AND a.top_depth = n.depth - 1 LEFT JOIN nodes u ON u.p = a.top
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS MATERIALIZED (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed)),
+f1 AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM grams GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, x, y, count(*) AS f FROM grams WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS f FROM grams WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT p.lang, p.x || ' ' || p.y AS phrase, p.f AS a, 1 AS k, v.f AS l, w.f AS r
+  FROM f2 p JOIN f1 v ON v.lang = p.lang AND v.x = p.x JOIN f1 w ON w.lang = p.lang AND w.x = p.y LEFT JOIN longer g ON g.lang = p.lang AND g.x = p.x AND g.y = p.y
+  WHERE g.f IS NULL OR 100 * g.f < 50 * p.f
+  UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, v.f, p.f FROM f3 t JOIN f1 v ON v.lang = t.lang AND v.x = t.x JOIN f2 p ON p.lang = t.lang AND p.x = t.y AND p.y = t.z
+  UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, v.f FROM f3 t JOIN f1 v ON v.lang = t.lang AND v.x = t.z JOIN f2 p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y
+), scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, (SELECT CAST(sum(f) AS BIGINT) FROM f1 WHERE f1.lang = ranked.lang) AS n, score FROM ranked
+"""
+
+SQL = {"op11_secret_scans": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_phrase_mining": OP13_SQL, "op5_url_filter": OP5_SQL, "op3_jaccard_join": OP3_SQL, "op4_top_k": OP4_SQL, "op1_chat_formatting": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
