@@ -46,7 +46,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back, so that loops keep short plans."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete tables that materialize has made. Nothing that still reads them may run afterwards."""
+    for df in written:
+        if df is not None and getattr(df, "_written", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def global_index(df: DataFrame, order: list, name: str = "idx", deal: int | None = None) -> DataFrame:
