@@ -14,7 +14,7 @@ def _rank(by, order):
     return F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
 
 
-def _numbered(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
     """rows with their number from 0 in each label; a frequent label is spread over range partitions."""
     indexed = global_index(rows, [by, order], "_i")
     first = indexed.groupBy(F.col(by).alias("_by")).agg(F.min("_i").alias("_first"))
@@ -35,7 +35,7 @@ def rotating_split(rows: DataFrame, n: int, share: float, batch: int, by: str =
 
 def stratified_folds(rows: DataFrame, n: int = 3, by: str = "label", order: str = "instance_id") -> DataFrame:
     """The i-th row of each label is in fold i % n."""
-    return _numbered(rows, by, order, "_r").withColumn("fold", (F.col("_r") % n).cast("int")).drop("_r")
+    return numbered(rows, by, order, "_r").withColumn("fold", (F.col("_r") % n).cast("int")).drop("_r")
 
 
 def random_folds(rows: DataFrame, n: int, seed: int, key: str = "instance_id") -> DataFrame:
@@ -85,7 +85,7 @@ def round_robin_groups(groups: DataFrame, n: int) -> DataFrame:
 
 def number_samples(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """name label.k: the next free number of each label. existing: (label, k) already used."""
-    ranked = _numbered(rows, "label", "instance_id", "k")
+    ranked = numbered(rows, "label", "instance_id", "k")
     if existing is not None:
         used = existing.groupBy("label").agg((F.max("k") + 1).alias("_start"))
         ranked = ranked.join(used, "label", "left").withColumn("k", F.col("k") + F.coalesce("_start", F.lit(0))).drop("_start")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .fixtures import sql
 from .functions.tables import global_index, materialize, scratch, table
-from .operators import catalog, encode, experts, filters, labels, layers, metrics, rank, similarity, split, stats, tags, train
+from .operators import catalog, encode, experts, filters, labels, layers, metrics, rank, similarity, split, stats, tags, train, trees
 from .sources import files
 from .streaming import jobs
 
@@ -906,13 +906,142 @@ def m10_incremental_batches(s, d):
     return w.groupBy("label").agg(F.count("*").alias("n_slots"), F.round(F.sum("w"), 6).alias("total"), F.round(F.sum(square), 6).alias("squares"))
 
 
-@query()
+def _drawn(share: float, *parts: str) -> str:
+    return "true" if share >= 1 else f"CAST('0x' || left(md5(concat_ws(':', {', '.join(parts)})), 8) AS BIGINT) < {int(share * 2**32)}"
+
+
+def _tree_ctes(r: int, depth: int, rate: float = 0.1, rows: float = 1, tree: float = 1, level: float = 1, limits: str = "") -> str:
+    """CTEs of the trees of round r from features feat and margins mt{r}: splits b{r}_{d}, leaves l{r}, margins mt{r + 1}.
+
+    limits: a table (model_id, depth, rounds).
+    """
+    allowed = f"JOIN {limits} USING (model_id)" if limits else ""
+    out = f""", n{r}_0 AS MATERIALIZED (SELECT model_id, instance_id, label, y, margin, 1 / (1 + exp(-margin)) - y AS g, (1 / (1 + exp(-margin))) * (1 - 1 / (1 + exp(-margin))) AS h,
+  1::BIGINT AS node, {_drawn(rows, "0", "'row'", str(r), "instance_id")} AS drawn FROM mt{r})"""
+    for d in range(depth):
+        also = f"AND depth > {d} AND rounds >= {r}" if limits else ""
+        asked = _drawn(tree, "0", "'tree'", str(r), "tag") + " AND " + _drawn(level, "0", "'level'", str(r), str(d), "tag")
+        out += f""",
+o{r}_{d} AS MATERIALIZED (SELECT model_id, label, instance_id, node, g, h FROM n{r}_{d} {allowed} WHERE drawn AND node >= {1 << d} {also}),
+t{r}_{d} AS (SELECT model_id, label, node, sum(g) AS tg, sum(h) AS th FROM o{r}_{d} GROUP BY ALL),
+p{r}_{d} AS (SELECT model_id, label, node, tag, cnt AS cut, sum(g) AS g, sum(h) AS h FROM (SELECT * FROM feat WHERE {asked}) JOIN o{r}_{d} USING (instance_id) GROUP BY ALL),
+c{r}_{d} AS (SELECT *, sum(g) OVER up AS gh, sum(h) OVER up AS hh, sum(g) OVER whole AS gp, sum(h) OVER whole AS hp FROM p{r}_{d}
+  WINDOW up AS (PARTITION BY model_id, label, node, tag ORDER BY cut DESC ROWS UNBOUNDED PRECEDING), whole AS (PARTITION BY model_id, label, node, tag)),
+s{r}_{d} AS (SELECT model_id, label, node, tag, cut, m, gh + CASE WHEN m THEN tg - gp ELSE 0 END AS gr, hh + CASE WHEN m THEN th - hp ELSE 0 END AS hr,
+  gp - gh + CASE WHEN m THEN 0 ELSE tg - gp END AS gl, hp - hh + CASE WHEN m THEN 0 ELSE th - hp END AS hl, tg, th
+  FROM c{r}_{d} JOIN t{r}_{d} USING (model_id, label, node) CROSS JOIN (SELECT unnest([false, true]) AS m)),
+b{r}_{d} AS MATERIALIZED (SELECT model_id, label, {r} AS "round", node, tag, cut, m AS miss_high, round(gl * gl / (hl + 1) + gr * gr / (hr + 1) - tg * tg / (th + 1), 9) AS gain
+  FROM s{r}_{d} WHERE hl >= 1 AND hr >= 1 AND gain > 0 QUALIFY row_number() OVER (PARTITION BY model_id, label, node ORDER BY gain DESC, tag, cut, m) = 1),
+n{r}_{d + 1} AS MATERIALIZED (SELECT n.* REPLACE (CASE WHEN b.tag IS NULL THEN n.node ELSE 2 * n.node + CAST(CASE WHEN f.cnt IS NULL THEN miss_high ELSE f.cnt >= cut END AS BIGINT) END AS node)
+  FROM n{r}_{d} n LEFT JOIN b{r}_{d} b USING (model_id, label, node) LEFT JOIN feat f ON f.instance_id = n.instance_id AND f.tag = b.tag)"""
+    return out + f""",
+l{r} AS MATERIALIZED (SELECT model_id, label, {r} AS "round", node, -{rate}::DOUBLE * sum(g) / (sum(h) + 1) AS leaf FROM n{r}_{depth} WHERE drawn AND node > 1 GROUP BY ALL),
+mt{r + 1} AS MATERIALIZED (SELECT n.model_id, n.instance_id, n.label, n.y, n.margin + coalesce(leaf, 0) AS margin FROM n{r}_{depth} n LEFT JOIN l{r} USING (model_id, label, node))"""
+
+
+def _forest(rounds: list[tuple[int, int]]) -> str:
+    """The rows of the trees of rounds (round, depth)."""
+    inner = [f"SELECT model_id, label, round, node, tag, cut, miss_high, NULL::DOUBLE AS leaf FROM b{r}_{d}" for r, depth in rounds for d in range(depth)]
+    ends = [f"SELECT model_id, label, round, node, NULL, NULL, NULL, leaf FROM l{r}" for r, _ in rounds]
+    return " UNION ALL ".join(inner + ends)
+
+
+_FIRST = _MARGINS + ", feat AS (SELECT * FROM tags), mt1 AS (SELECT CAST(0 AS BIGINT) AS model_id, * FROM m1)"
+_NODES = "SELECT model_id, label, round, node, tag, cut, miss_high, round(leaf, 9) AS leaf FROM ({})"
+
+
+def _nodes(made):
+    return _round(made.drop("gain"), "leaf")
+
+
+@query(sql("tags", _FIRST + _tree_ctes(1, 2) + _tree_ctes(2, 2) + _NODES.format(_forest([(1, 2), (2, 2)]))))
+def m3_train_trees(s, d):
+    own, models = _few(s, d)
+    return _nodes(trees.train_trees(materialize(fx.instance_tag(s, d)), own, models, rounds=2, depth=2))
+
+
+_SAMPLES = {"subsample": 0.8, "colsample_tree": 0.8, "colsample_level": 0.8}
+
+
+@query(sql("tags", _FIRST + _tree_ctes(1, 1) + _tree_ctes(2, 10, rows=0.8, tree=0.8, level=0.8) + _NODES.format(_forest([(1, 1), (2, 10)]))))
+def m4_continue_trees(s, d):
+    """Stored stumps, continued with deep trees on samples of rows and columns."""
+    own, models = _few(s, d)
+    found = materialize(fx.instance_tag(s, d))
+    start = trees.trees_of_stumps(train.train_stumps(found, own, models, rounds=1))
+    return _nodes(trees.train_trees(found, own, models, rounds=1, depth=10, start=start, **_SAMPLES))
+
+
+@query(sql("tags", _FIRST + _tree_ctes(1, 3) + " SELECT instance_id, label, round(1 / (1 + exp(-margin)), 6) AS p FROM mt2 SEMI JOIN (SELECT instance_id FROM tags JOIN (" + _forest([(1, 3)]) + ") USING (tag)) USING (instance_id) WHERE round(margin, 9) > 0"))
+def m5_tree_inference(s, d):
+    own, models = _few(s, d)
+    found = materialize(fx.instance_tag(s, d))
+    made = trees.train_trees(found, own, models, rounds=1, depth=3)
+    scored = trees.score_trees(experts.select_experts(found, trees.used_tags(made)), made)
+    return _round(experts.predict_labels(_round(scored, "margin")), "p", places=6).select("instance_id", "label", "p")
+
+
+#: n_models, freq, rounds, depth, n_samples, batch, shuffle, grouping, input_size, compact_factor of each run.
+_GRID = [
+    {"n_models": 1, "rounds": 1, "depth": 2},
+    {"n_models": 2, "freq": 3, "rounds": 2, "grouping": "random", "batch": 1},
+    {"n_models": 3, "rounds": 1, "compact_factor": 4, "shuffle": 9, "batch": 2},
+    {"n_models": 2, "rounds": 1, "depth": 2, "input_size": 500, "batch": 3, "n_samples": 30},
+]
+_USUAL = {"freq": None, "rounds": 1, "depth": 1, "n_samples": None, "batch": 0, "shuffle": 4, "grouping": "packed", "input_size": None, "compact_factor": 1}
+
+
+def _literal(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+_ASKED = ", ".join("(" + ", ".join(map(_literal, [run, *((_USUAL | g)[k] for k in train.SETTING)])) + ")" for run, g in enumerate(_GRID))
+_WALK = "".join(
+    f""", w{r}_0 AS (SELECT model_id, instance_id, label, 1::BIGINT AS node FROM reached)""" + "".join(f""",
+w{r}_{d + 1} AS MATERIALIZED (SELECT w.* REPLACE (CASE WHEN b.tag IS NULL THEN w.node ELSE 2 * w.node + CAST(CASE WHEN f.cnt IS NULL THEN miss_high ELSE f.cnt >= cut END AS BIGINT) END AS node)
+  FROM w{r}_{d} w LEFT JOIN b{r}_{d} b USING (model_id, label, node) LEFT JOIN probe f ON f.model_id = w.model_id AND f.instance_id = w.instance_id AND f.tag = b.tag)""" for d in range(2))
+    for r in (1, 2)
+)
+_CV_SQL = sql("tags", f"""
+, asked(run_id, {", ".join(train.SETTING)}) AS MATERIALIZED (VALUES {_ASKED}),
+rows AS MATERIALIZED (SELECT doc_id AS instance_id, concat(lang, '==', doc_id % 2) AS label FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY instance_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS every FROM rows),
+splits AS MATERIALIZED (SELECT run_id, instance_id, label, r >= floor(batch * coalesce(n_samples, every) * 0.25::DOUBLE) AND r < floor((batch + 1) * coalesce(n_samples, every) * 0.25::DOUBLE) AS is_test
+  FROM placed CROSS JOIN asked WHERE r < coalesce(n_samples, every)),
+named AS (SELECT DISTINCT run_id, label, n_models, shuffle, CASE WHEN grouping = 'packed' THEN split_part(label, '==', 1) ELSE label END AS unit FROM splits JOIN asked USING (run_id) WHERE NOT is_test),
+units AS (SELECT run_id, unit, run_id * 1048576 + (row_number() OVER (PARTITION BY run_id ORDER BY md5(concat(shuffle, unit)), unit) - 1) // greatest(1, count(*) OVER (PARTITION BY run_id) // n_models) AS model_id
+  FROM (SELECT DISTINCT run_id, unit, n_models, shuffle FROM named)),
+groups AS MATERIALIZED (SELECT run_id, label, model_id FROM named JOIN units USING (run_id, unit)),
+common AS (SELECT run_id, tag FROM tags JOIN (SELECT run_id, instance_id, label FROM splits WHERE NOT is_test) USING (instance_id) JOIN asked USING (run_id) GROUP BY run_id, tag, freq HAVING count(DISTINCT label) >= freq),
+held AS MATERIALIZED (SELECT run_id, model_id, instance_id, tag, cnt FROM tags JOIN (SELECT DISTINCT run_id, model_id, instance_id FROM splits JOIN groups USING (run_id, label) WHERE NOT is_test) USING (instance_id) ANTI JOIN common USING (run_id, tag)),
+words AS (SELECT run_id, model_id, tag, row_number() OVER (PARTITION BY model_id ORDER BY tag) - 1 AS idx, count(*) OVER (PARTITION BY model_id) AS n FROM (SELECT DISTINCT run_id, model_id, tag FROM held)),
+vocabulary AS MATERIALIZED (SELECT run_id, model_id, tag, idx, lpad(CAST(idx % greatest(1, coalesce(input_size, n // compact_factor)) AS VARCHAR), 12, '0') AS slot FROM words JOIN asked USING (run_id)),
+feat AS MATERIALIZED (SELECT concat(model_id, ':', instance_id) AS instance_id, slot AS tag, max_by(cnt, idx) AS cnt FROM held JOIN vocabulary USING (model_id, tag) GROUP BY model_id, held.instance_id, slot),
+mt1 AS MATERIALIZED (SELECT o.model_id, concat(o.model_id, ':', o.instance_id) AS instance_id, g.label, CASE WHEN o.label = g.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, 0.0::DOUBLE AS margin
+  FROM (SELECT run_id, model_id, instance_id, label FROM splits JOIN groups USING (run_id, label) WHERE NOT is_test) o JOIN groups g ON g.model_id = o.model_id),
+bounds AS (SELECT DISTINCT model_id, depth, rounds FROM groups JOIN asked USING (run_id)){_tree_ctes(1, 2, limits="bounds")}{_tree_ctes(2, 2, limits="bounds")},
+forest AS MATERIALIZED ({_forest([(1, 2), (2, 2)])}),
+probe AS MATERIALIZED (SELECT model_id, instance_id, slot AS tag, max_by(cnt, idx) AS cnt FROM tags JOIN (SELECT DISTINCT run_id, instance_id FROM splits WHERE is_test) USING (instance_id) JOIN vocabulary USING (run_id, tag) GROUP BY ALL),
+reached AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT model_id, instance_id FROM probe SEMI JOIN forest USING (model_id, tag)) JOIN (SELECT DISTINCT model_id, label FROM forest) USING (model_id)){_WALK},
+margins AS (SELECT model_id, instance_id, label, sum(leaf) AS margin FROM (
+  SELECT model_id, instance_id, label, leaf FROM w1_2 JOIN l1 USING (model_id, label, node) UNION ALL SELECT model_id, instance_id, label, leaf FROM w2_2 JOIN l2 USING (model_id, label, node)) GROUP BY ALL),
+pred AS (SELECT model_id // 1048576 AS run_id, instance_id, label FROM margins WHERE margin > 0),
+sides AS (SELECT coalesce(t.run_id, p.run_id) AS run_id, coalesce(t.label, p.label) AS label, t.label IS NOT NULL AS t, p.label IS NOT NULL AS p
+  FROM (SELECT run_id, instance_id, label FROM splits WHERE is_test) t FULL JOIN pred p ON p.run_id = t.run_id AND p.instance_id = t.instance_id AND p.label = t.label),
+report AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+  FROM (SELECT run_id, label, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t) AS fp, count(*) FILTER (NOT p) AS fn, count(*) FILTER (t) AS support FROM sides GROUP BY ALL))
+SELECT CAST(run_id AS INTEGER) AS run_id, {", ".join(f"round(sum({m} * support) / sum(support), 6) AS {m}_weighted, round(avg({m}), 6) AS {m}_macro" for m in ("precision", "recall", "f1"))},
+  round(CASE WHEN sum(tp + fp) > 0 THEN sum(tp) / sum(tp + fp) ELSE 0.0 END, 6) AS precision_micro, round(CASE WHEN sum(tp + fn) > 0 THEN sum(tp) / sum(tp + fn) ELSE 0.0 END, 6) AS recall_micro,
+  round(CASE WHEN sum(2 * tp + fp + fn) > 0 THEN 2 * sum(tp) / sum(2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1_micro
+FROM report GROUP BY run_id""")
+
+
+@query(_CV_SQL)
 def m13_cross_validate(s, d):
-    own, _ = _few(s, d)
-    settings = [{"n_models": 1, "freq": None, "rounds": 1}, {"n_models": 2, "freq": 4, "grouping": "random"}]
-    grid = [g | {"batch": b} for g in settings for b in range(4)]  # each hold-out once
-    least = own.groupBy("label").count().agg(F.min("count")).first()[0] or 1
-    return train.cross_validate(materialize(fx.instance_tag(s, d)), own, grid, n_samples=least, share=0.25, rounds=2)
+    """Four settings over all rows: depth, trees, filter, grouping, shuffle, compaction, input size and hold-out vary."""
+    own = table(s, d, "documents").select(F.col("doc_id").alias("instance_id"), F.concat("lang", F.lit("=="), (F.col("doc_id") % 2).cast("string")).alias("label"))
+    out = train.cross_validate(materialize(fx.instance_tag(s, d)), own, _GRID, share=0.25, rounds=1)
+    return _round(out, *(c for c in out.columns if c != "run_id"), places=6)
 
 
 _FOLDS = ", folds AS MATERIALIZED (SELECT instance_id, label, (row_number() OVER (PARTITION BY label ORDER BY instance_id) - 1) % 3 AS fold FROM rows), train AS (SELECT instance_id, label FROM folds WHERE fold <> 0)"
