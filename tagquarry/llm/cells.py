@@ -63,7 +63,8 @@ def _set(bitmap: np.ndarray, p: np.ndarray) -> None:
 
 def build(hashes: DataFrame, cells: int, rows: int = 2) -> Sketch:
     """The sketch of a table's hashes (h long, not null). The driver gets at most 2 * cells / 8 bytes."""
-    cells -= cells % (8 * CHUNK * rows)
+    unit = 8 * CHUNK * rows
+    cells = max(unit, cells - cells % unit)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)

@@ -1,10 +1,10 @@
 """Exact dedup by two-pass Bloom filtering.
 
-Pass one counts the 64-bit hashes of the normalised texts with map-side combining; those seen twice, and
-they alone, make a Bloom filter, of a size bounded by `max_filter_bits`. It thus grows with what is
-repeated, not with the table. Pass two tests every row against it. A repeated text always passes; rows that
-fail are alone and go straight through; only rows that pass are shuffled, and told apart by a 256-bit
-hash. A filter that fills up lets more rows through but changes no result.
+Pass one sets the bits of each text's 64-bit hash in two bitmaps, "seen" and "seen twice" (`cells`): no row and no hash
+is exchanged, only touched pieces of the bitmaps, whose size is bounded by `max_filter_bits`. Pass two tests every row
+against the second bitmap, a Bloom filter of what may be repeated. A repeated text always passes; rows that fail are alone
+and go straight through; only rows that pass are shuffled, and told apart by a 256-bit hash. A filter that fills
+up lets more rows through but changes no result.
 
 Defined cases: a null text counts as empty and equals every text of white space only; in rows that
 share doc_id, text and length the first one stays; a null doc_id sorts after all others; an empty
@@ -13,59 +13,19 @@ table gives an empty result; other columns are ignored by the decisions.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cells
 from .common import WS, bound_batches, materialize, sha256_text
 
-#: 2^27 bits: 16 MiB, the most that is ever broadcast.
-MAX_FILTER_BITS = 1 << 27
-WORD = 32768
-
 
 def squeezed(text) -> Column:
     """The text without white space; null as empty."""
     return F.translate(F.coalesce(text, F.lit("")), WS, "")
 
 
-def positions(h: Column, bits: int, k: int) -> Column:
-    """k bit positions of a 64-bit hash."""
-    return F.array(*(F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(k)))
-
-
-def bloom_filter(hashes: DataFrame, bits: int, k: int = 2) -> np.ndarray:
-    """The Bloom filter of a table's hashes (h), as bytes: at most bits / 8 of them come to the driver."""
-    set_ = hashes.select(F.explode(positions(F.col("h"), bits, k)).alias("p"))
-    words = set_.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bitmap_construct_agg(F.col("p") % WORD).alias("bitmap"))
-    out = np.zeros(max(1, bits // 8), np.uint8)
-    for w, bitmap in words.collect():
-        start = w * WORD // 8
-        out[start : start + WORD // 8] = np.frombuffer(bitmap, np.uint8)[: len(out) - start]
-    return out
-
-
-def filter_bits(n: int, most: int, k: int = 2) -> int:
-    """The bits of a filter of n hashes: 16 per hash and position, within the bound."""
-    return min(most, 1 << max(15, math.ceil(math.log2(max(1, n) * 16 * k))))
-
-
-def possibly_repeated(spark, bitmap: np.ndarray, k: int = 2):
-    """A column function: all k positions of the hash are set."""
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def test(ps: pd.Series) -> pd.Series:
-        p = np.concatenate(ps.to_numpy()).reshape(len(ps), k) if len(ps) else np.zeros((0, k), np.int64)
-        return pd.Series((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).all(axis=1))
-
-    return test
-
-
-def dedup_exact(documents: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, k: int = 2) -> DataFrame:
+def dedup_exact(documents: DataFrame, max_filter_bits: int = cells.MAX_CELLS, k: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest
@@ -74,17 +34,14 @@ def dedup_exact(documents: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, k:
     spark = documents.sparkSession
     bound_batches(spark)
     squeezed_text = squeezed(F.col("text"))
-    twice = documents.select(F.xxhash64(squeezed_text).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 2")
-    twice = materialize(twice.select("h"))
-    bits = filter_bits(twice.count(), max_filter_bits, k)
-    bitmap = bloom_filter(twice, bits, k)
+    sketch = cells.build(documents.select(F.xxhash64(squeezed_text).alias("h")), cells.sketch_cells(documents.count(), max_filter_bits, k), k)
+    test = cells.tester(spark, sketch.twice, k)
     seen = documents.select(
         "doc_id",
         F.char_length(F.coalesce("text", F.lit(""))).alias("len"),
         squeezed_text.alias("squeezed"),
     ).select("doc_id", "len", F.xxhash64("squeezed").alias("h"), sha256_text("squeezed").alias("text_sha256"))
-    test = possibly_repeated(spark, bitmap, k)
-    seen = materialize(seen.withColumn("maybe", test(positions(F.col("h"), bits, k))).drop("h"))
+    seen = materialize(seen.withColumn("maybe", test("h")).drop("h"))
     alone = seen.where("NOT maybe").select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),

@@ -42,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import MAX_FILTER_BITS, bloom_filter, filter_bits, positions, possibly_repeated
 from .common import bound_batches, materialize
 from .components import connected_components
-from .exact_dedup import MAX_FILTER_BITS, bloom_filter, filter_bits, positions, possibly_repeated
 from .shingles import U, batch_sets, mix
 
 CROWD = 16
