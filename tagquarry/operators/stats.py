@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import global_index, running_total
+from ..functions.tables import global_index, materialize, running_total
 from .labels import combinations
 
 
@@ -101,23 +101,63 @@ def runtime_rollup(times: DataFrame) -> DataFrame:
     return per.groupBy("key").agg(F.array_join(F.transform(rows, lambda r: r["total"].cast("string")), ",").alias("totals"))
 
 
+#: Epochs, or blocks of epochs, that one row holds.
+SERIES_BLOCK = 1024
+
+
+def affine_starts(maps: DataFrame, key: str) -> DataFrame:
+    """(key, pos, start): what x has become before each pos, from 0 on, if every pos maps x to m * x + c.
+
+    maps: (key, pos from 0, m, c). Maps compose to maps, so that runs of SERIES_BLOCK become one each, and their starts are
+    found first in the same way: a series of n takes log(n) / log(SERIES_BLOCK) steps, and no row holds more than a run.
+    """
+    run = F.floor(F.col("pos") / SERIES_BLOCK)
+    runs = maps.groupBy(key, run.alias("run")).agg(F.sort_array(F.collect_list(F.struct("pos", "m", "c"))).alias("xs"))
+    whole = F.aggregate("xs", F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("c")), lambda s, x: F.struct((s["m"] * x["m"]).alias("m"), (s["c"] * x["m"] + x["c"]).alias("c")))
+    runs = materialize(runs.withColumn("whole", whole))
+    if (runs.agg(F.max("run")).first()[0] or 0) > 0:
+        above = affine_starts(runs.select(key, F.col("run").alias("pos"), "whole.m", "whole.c"), key)
+        runs = runs.join(above.withColumnRenamed("pos", "run"), [key, "run"])
+    else:
+        runs = runs.withColumn("start", F.lit(0.0))
+    first = F.struct(F.col("start").alias("x"), F.array().cast("array<double>").alias("starts"))
+    walked = F.aggregate("xs", first, lambda s, x: F.struct((s["x"] * x["m"] + x["c"]).alias("x"), F.concat(s["starts"], F.array(s["x"])).alias("starts")))
+    rows = runs.select(key, F.explode(F.arrays_zip(F.col("xs.pos").alias("pos"), walked["starts"].alias("start"))).alias("r"))
+    return rows.select(key, "r.pos", "r.start")
+
+
 def ewma_forecast(load: DataFrame, w: float, t: float, dev_against: str = "new") -> DataFrame:
     """(model_id, n_epochs, avg, dev, threshold): avg = (1-w) avg + w x over the epochs in order.
 
     dev is smoothed like avg from |x - avg|, against the average before ("old") or after ("new")
-    the step; threshold is avg + t * dev. An epoch table of one model is folded in one row.
+    the step; threshold is avg + t * dev. Rows without a model_id, an epoch or a load are left out.
+
+    A step maps avg to (1-w) avg + w x, so that runs of epochs are folded by themselves, in as many tasks as there are, and only
+    one pair of numbers a run is combined in order. With the average at the start of each run known, a second
+    pass folds the deviations in the same way. A series may have any length.
     """
-    xs = F.transform(F.sort_array(F.collect_list(F.struct("epoch", "load"))), lambda r: r["load"].cast("double"))
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("d"))
+    rows = load.select("model_id", "epoch", F.col("load").cast("double").alias("load")).dropna()
+    indexed = global_index(rows, ["model_id", "epoch", "load"], "_i")
+    first = indexed.groupBy("model_id").agg(F.min("_i").alias("_first"), F.count("*").alias("n_epochs"))
+    placed = indexed.join(first, "model_id").withColumn("pos", F.col("_i") - F.col("_first"))
+    runs = placed.groupBy("model_id", "n_epochs", F.floor(F.col("pos") / SERIES_BLOCK).alias("run")).agg(F.sort_array(F.collect_list(F.struct("pos", "load"))).alias("xs"))
 
     def step(s, x):
-        a = (1 - w) * s["a"] + w * x
-        return F.struct(a.alias("a"), ((1 - w) * s["d"] + w * F.abs(x - (a if dev_against == "new" else s["a"]))).alias("d"))
-
-    out = load.groupBy("model_id").agg(xs.alias("xs")).withColumn("s", F.aggregate("xs", start, step))
-    return out.select(
-        "model_id", F.size("xs").alias("n_epochs"), F.col("s.a").alias("avg"), F.col("s.d").alias("dev"), (F.col("s.a") + t * F.col("s.d")).alias("threshold")
-    )
+        a = (1 - w) * s["a"] + w * x["load"]
+        return F.struct(a.alias("a"), ((1 - w) * s["d"] + w * F.abs(x["load"] - (a if dev_against == "new" else s["a"]))).alias("d"))
+
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("d"))
+    decay = F.pow(F.lit(1 - w), F.size("xs"))
+    runs = materialize(runs.withColumn("m", decay).withColumn("c", F.aggregate("xs", zero, step)["a"]))
+    starts = affine_starts(runs.select("model_id", F.col("run").alias("pos"), "m", "c"), "model_id")
+    known = runs.join(starts.withColumnRenamed("pos", "run"), ["model_id", "run"])
+    ended = F.aggregate("xs", F.struct(F.col("start").alias("a"), F.lit(0.0).alias("d")), step)
+    folded = materialize(known.select("model_id", "n_epochs", "run", "m", ended.alias("s")))
+    before = affine_starts(folded.select("model_id", F.col("run").alias("pos"), "m", F.col("s.d").alias("c")), "model_id")
+    # The last run of a series ends with its last epoch.
+    last = folded.where((F.col("run") + 1) * SERIES_BLOCK >= F.col("n_epochs")).join(before.withColumnRenamed("pos", "run"), ["model_id", "run"])
+    avg, dev = F.col("s.a"), F.col("start") * F.col("m") + F.col("s.d")
+    return last.select("model_id", "n_epochs", avg.alias("avg"), dev.alias("dev"), (avg + t * dev).alias("threshold"))
 
 
 def empirical_cdf(values: DataFrame) -> DataFrame:

@@ -1230,8 +1230,9 @@ def _changeset_files(s, d):
 
 @query(sql("tags", "SELECT * FROM tags"))
 def t2_extract_stream(s, d):
-    out = scratch(s)
-    jobs.extract_stream(_changeset_files(s, d), out, scratch(s)).awaitTermination()
+    """Every changeset arrives twice."""
+    out, stream = scratch(s), _changeset_files(s, d)
+    jobs.extract_stream(stream.unionByName(_changeset_files(s, d)), out, scratch(s)).awaitTermination()
     return s.read.parquet(out).drop("batch")
 
 
@@ -1242,11 +1243,13 @@ def _sample_files(s, d):
     return s.readStream.schema("instance_id long, tags map<string,long>").option("maxFilesPerTrigger", 4).parquet(path)
 
 
-@query(sql("scored", "SELECT model_id, instance_id, label, round(1 / (1 + exp(-margin)), 6) AS p FROM scored WHERE round(margin, 9) > 0.00001"))
+@query(sql("scored", "SELECT model_id, instance_id, label, round(1 / (1 + exp(-margin)), 6) AS p FROM scored WHERE round(margin, 9) > 0"))
 def t1_score_stream(s, d):
     out = scratch(s)
-    jobs.score_stream(_sample_files(s, d), materialize(fx.stumps(s, d)), out, scratch(s)).awaitTermination()
-    return s.read.parquet(out).drop("batch").where("p > 0.500001").withColumn("p", F.round("p", 6))
+    # All sums of leaves first, so that one of zero is told from one beside it by rounding, as in m5.
+    jobs.score_stream(_sample_files(s, d), materialize(fx.stumps(s, d)), out, scratch(s), threshold=0.0).awaitTermination()
+    margin = F.round(F.ln(F.col("p") / (1 - F.col("p"))), 9)
+    return s.read.parquet(out).drop("batch").where(margin > 0).withColumn("p", F.round("p", 6))
 
 
 def _finish(stream, mode):
@@ -1271,6 +1274,35 @@ def t3_epoch_load(s, d):
     return out.select("model_id", F.floor(F.unix_seconds("epoch_start") / 900).alias("epoch"), "load")
 
 
+@query("""WITH RECURSIVE per AS MATERIALIZED (SELECT event_type AS model_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS epoch, count(*) AS load FROM events GROUP BY 1, 2),
+closed AS (SELECT CAST(floor((epoch(max(ts)) - 3600) / 86400) AS BIGINT) - 1 AS e FROM events),
+f AS (
+  SELECT model_id, epoch, load, 0.3::DOUBLE * load AS avg, 0.3::DOUBLE * abs(load - 0.3::DOUBLE * load) AS dev FROM (SELECT *, min(epoch) OVER (PARTITION BY model_id) AS first FROM per), closed WHERE epoch = first AND epoch <= e
+  UNION ALL
+  SELECT model_id, epoch, x, a, 0.7::DOUBLE * dev + 0.3::DOUBLE * abs(x - a) FROM (
+    SELECT f.model_id, f.epoch + 1 AS epoch, coalesce(p.load, 0) AS x, 0.7::DOUBLE * f.avg + 0.3::DOUBLE * coalesce(p.load, 0) AS a, f.dev
+    FROM f CROSS JOIN closed LEFT JOIN per p ON p.model_id = f.model_id AND p.epoch = f.epoch + 1 WHERE f.epoch + 1 <= e)
+)
+SELECT model_id, epoch, load, round(avg, 6) AS avg, round(dev, 6) AS dev, round(avg + 3 * dev, 6) AS threshold FROM f""")
+def t3_load_thresholds(s, d):
+    path, out = scratch(s), scratch(s)
+    table(s, d, "events").select(F.col("event_type").alias("model_id"), F.col("ts").cast("timestamp").alias("ts")).write.parquet(path)
+    jobs.threshold_stream(s.readStream.schema("model_id string, ts timestamp").parquet(path), out, scratch(s), 86400).awaitTermination()
+    return _round(s.read.parquet(out).drop("batch"), "avg", "dev", "threshold", places=6)
+
+
+@query(sql("selected", "SELECT model_id, count(DISTINCT instance_id) AS n_instances FROM selected GROUP BY 1"))
+def t4_usage_within(s, d):
+    """Every sample comes twice, within the time that pairs are remembered."""
+    used = materialize(experts.used_tags(fx.stumps(s, d)))
+    path = scratch(s)
+    sets = fx.instance_tag(s, d).groupBy("instance_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "cnt"))).alias("tags"))
+    sets = materialize(sets.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("instance_id", F.lit(3600)))))
+    sets.unionByName(sets).write.parquet(path)
+    stream = s.readStream.schema("instance_id long, tags map<string,long>, ts timestamp").parquet(path)
+    return _finish(jobs.usage_counts(stream, used, "ts", "2 hours"), "complete")
+
+
 @query(sql("selected", "SELECT model_id, count(DISTINCT instance_id) AS n_instances FROM selected GROUP BY 1"))
 def t4_usage_counts(s, d):
     used = materialize(experts.used_tags(fx.stumps(s, d)))

@@ -282,6 +282,36 @@ def test_ewma_both_ways(spark):
         assert math.isclose(r.avg, a) and math.isclose(r.dev, d) and math.isclose(r.threshold, a + 2 * d)
 
 
+def test_ewma_of_series_that_no_row_holds(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SERIES_BLOCK", 5)
+    r = random.Random(8)
+    data = {"long": [r.randint(0, 99) for _ in range(137)], "one": [7], "edge": [r.randint(0, 9) for _ in range(25)]}
+    rows = [(m, e, x) for m, xs in data.items() for e, x in enumerate(xs)] + [(None, 1, 1), ("long", None, 5)]
+    df = spark.createDataFrame(rows, "model_id string, epoch long, load long").repartition(6)
+    for kind in ("new", "old"):
+        got = {x.model_id: x for x in stats.ewma_forecast(df, 0.2, 1.5, kind).collect()}
+        assert got.keys() == data.keys()
+        for m, xs in data.items():
+            a = d = 0.0
+            for x in xs:
+                b = 0.8 * a + 0.2 * x
+                d = 0.8 * d + 0.2 * abs(x - (b if kind == "new" else a))
+                a = b
+            assert math.isclose(got[m].avg, a) and math.isclose(got[m].dev, d) and got[m].n_epochs == len(xs)
+    assert stats.ewma_forecast(df.limit(0), 0.2, 1.5).count() == 0
+
+
+def test_a_million_epochs_are_many_rows(spark):
+    df = spark.range(1_000_000).select(F.lit("m").alias("model_id"), F.col("id").alias("epoch"), (F.col("id") % 7).alias("load"))
+    a = d = 0.0
+    for i in range(999_000, 1_000_000):
+        b = 0.9 * a + 0.1 * (i % 7)
+        d = 0.9 * d + 0.1 * abs(i % 7 - b)
+        a = b
+    row = stats.ewma_forecast(df, 0.1, 2.0).first()
+    assert row.n_epochs == 1_000_000 and math.isclose(row.avg, a, rel_tol=1e-9) and math.isclose(row.dev, d, rel_tol=1e-9)
+
+
 def test_mean_similarity_of_one_item(spark):
     rows = spark.createDataFrame([(1, 5, 2.0), (1, 6, 1.0)], "id long, idx long, value double")
     clusters = spark.createDataFrame([(1, 1)], "id long, leader long")
