@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,9 @@ MILLION = 1_000_000
 #: Pairs of a language that the first batch of the frontier expands; each later batch is eight times as large.
 FIRST_BATCH = 20_000
 #: Distinct words and phrases of a task's tables after which they are emitted and started anew.
-MAX_WORDS, MAX_PHRASES = 400_000, 1_000_000
+MAX_WORDS, MAX_PHRASES = 400_000, 500_000
+#: Words that are looked at together. With MAX_WORDS it keeps the numbers of words below 2^ID_BITS.
+STEP, ID_BITS = 250_000, 21
 #: A separator of pieces as a word of its own; no word holds one.
 BREAK = b"."
 _FOLD = bytearray(range(256))
@@ -66,13 +68,10 @@ class Counts:
 
     def __init__(self, lang: str, length: int):
         self.lang, self.length = lang, length
-        self.reset()
-
-    def reset(self) -> None:
         self.ids: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.ids[BREAK]
         self.hashes = np.zeros(1, np.uint64)
-        self.keys, self.n, self.pending, self.waiting = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), [], 0
+        self.keys, self.n, self.pending, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
     def add(self, tokens: list[bytes], passing) -> None:
         """passing: which phrases to count, from the hashes of the words at each place (None: all)."""
@@ -83,33 +82,29 @@ class Counts:
             at = at[ids[at + i] != 0]
         if passing is not None:
             if len(self.ids) > len(self.hashes):
-                new = list(self.ids)[len(self.hashes) :]
+                new = islice(self.ids, len(self.hashes), None)
                 self.hashes = np.concatenate([self.hashes, np.array([word_hash(self.lang, w) for w in new], np.uint64)])
             at = at[passing([self.hashes[ids[at + i]] for i in range(k)])]
-        # Ids are below 2^31, so that two fit in one key.
-        first = ids[at] if k < 3 else ids[at] << 32 | ids[at + 1]
-        self.pending.append(np.stack([first, ids[at + k - 1] if k > 1 else np.zeros_like(first)], axis=1))
-        self.waiting += len(at)
+        key = ids[at]
+        for i in range(1, k):
+            key = key << ID_BITS | ids[at + i]
+        self.pending.append(key)
+        self.waiting += len(key)
 
     def settle(self) -> None:
-        rows = np.concatenate([self.keys, *self.pending])
-        n = np.concatenate([self.n, np.ones(len(rows) - len(self.n), np.int64)])
-        order = np.lexsort((rows[:, 1], rows[:, 0]))
-        rows, n = rows[order], n[order]
-        starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
-        self.keys, self.n = rows[starts], np.add.reduceat(n, starts) if len(rows) else n
+        new, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.pending]), return_counts=True)
         self.pending, self.waiting = [], 0
+        self.keys, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.keys)).astype(np.int64)
 
     def emit(self) -> Iterator[pd.DataFrame]:
-        """(lang, w0 … , n), and a new start."""
+        """(lang, w0 … , n)."""
         self.settle()
         known = np.array([w.decode() for w in self.ids], object)
         for start in range(0, len(self.n), 50_000):
-            key = self.keys[start : start + 50_000]
-            own = [key[:, 0], key[:, 1]] if self.length < 3 else [key[:, 0] >> 32, key[:, 0] & 0xFFFFFFFF, key[:, 1]]
-            out = {f"w{i}": known[own[i]] for i in range(self.length)}
-            yield pd.DataFrame({"lang": self.lang, **out, "n": self.n[start : start + 50_000]})
-        self.reset()
+            key, n = self.keys[start : start + 50_000], self.n[start : start + 50_000]
+            shifts = [ID_BITS * (self.length - 1 - i) for i in range(self.length)]
+            yield pd.DataFrame({"lang": self.lang, **{f"w{i}": known[key >> x & (1 << ID_BITS) - 1] for i, x in enumerate(shifts)}, "n": n})
 
 
 def _names(length: int) -> list[str]:
@@ -124,16 +119,17 @@ def count_phrases(texts: DataFrame, length: int, passing=None) -> DataFrame:
         test = passing() if passing else None
         for batch in batches:
             for lang, own in batch.groupby("lang", sort=False)["text"]:
-                counts = tables.setdefault(lang, Counts(lang, length))
-                counts.add(words(b".".join(t.encode() for t in own)), test)
-                # All languages together stay within the bounds of one.
-                if sum(c.waiting for c in tables.values()) > 2 * MAX_PHRASES:
-                    for c in tables.values():
-                        c.settle()
-                if sum(len(c.ids) for c in tables.values()) > MAX_WORDS or sum(len(c.n) for c in tables.values()) > MAX_PHRASES:
-                    for c in tables.values():
-                        yield from c.emit()
-                    tables.clear()
+                found = words(b".".join(t.encode() for t in own))
+                for start in range(0, len(found), STEP):
+                    tables.setdefault(lang, Counts(lang, length)).add(found[start : start + STEP + length - 1], test)
+                    # All languages together stay within the bounds.
+                    if sum(c.waiting for c in tables.values()) > 2 * MAX_PHRASES:
+                        for c in tables.values():
+                            c.settle()
+                    if sum(len(c.ids) for c in tables.values()) > MAX_WORDS or sum(len(c.n) for c in tables.values()) > MAX_PHRASES:
+                        for c in tables.values():
+                            yield from c.emit()
+                        tables.clear()
         for c in tables.values():
             yield from c.emit()
 

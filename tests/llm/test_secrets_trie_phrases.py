@@ -34,6 +34,14 @@ def test_sketch_never_takes_a_repeated_hash_for_a_single_one(spark):
     assert not cells.build(df.limit(0), 1 << 15).seen.any()
 
 
+def test_sketch_of_ten_million_hashes_in_two_mebibytes(spark):
+    n, size = 10_000_000, 1 << 24
+    df = spark.range(0, n, 1, 4).select(F.xxhash64(F.col("id") % (n - 1000)).alias("h"))
+    s = cells.build(df, size)
+    first = np.array([r.h for r in spark.range(1000).select(F.xxhash64("id").alias("h")).collect()], np.int64)
+    assert cells.all_set(s.twice, first, s.rows).all() and len(s.twice) * 8 <= size
+
+
 # Secret scans ----------------------------------------------------------------------------------
 
 
@@ -180,6 +188,7 @@ def brute_phrases(docs, top, least, absorb=50):
 @pytest.mark.parametrize("top,batch,size", [(5, 2, 1 << 27), (2000, 20_000, 1 << 27), (17, 3, 1 << 15)])
 def test_phrases_match_brute_force(spark, monkeypatch, top, batch, size):
     monkeypatch.setattr(phrases, "MAX_PHRASES", 40)
+    monkeypatch.setattr(phrases, "STEP", 100)
     r = random.Random(top)
     bits = ["A", "b", "c", "ä", ".", "d,", "X\ty", "z z", "\x0b", "q\x1cq", "İ"]
     docs = [(r.choice(["en", "de", None, "und", ""]), r.choice([None, "", " ".join(r.choice(bits) for _ in range(60))])) for _ in range(200)]
