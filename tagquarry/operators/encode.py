@@ -73,8 +73,9 @@ def bag_of_words(tags: DataFrame, words: list[str]) -> DataFrame:
 
 
 def save_index(index: DataFrame, path: str, model_id: str) -> None:
-    """Append a vocabulary or label index to a table partitioned by model."""
-    index.withColumn("model_id", F.lit(model_id)).write.mode("append").partitionBy("model_id").parquet(path)
+    """Write a vocabulary or label index as one model's part of a table; what the model had before is replaced, others stay."""
+    written = index.withColumn("model_id", F.lit(model_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    written.partitionBy("model_id").parquet(path)
 
 
 def load_index(spark, path: str, model_id: str) -> DataFrame:

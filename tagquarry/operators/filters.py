@@ -44,8 +44,9 @@ def noise_tags(tags: DataFrame, instance_label: DataFrame, least: int = 5) -> Da
 
 
 def site_package_files(files: DataFrame, inside: str, without: tuple = ("cache",)) -> DataFrame:
-    """Files whose path holds `inside` and none of `without`."""
-    kept = files.where(F.contains("path", F.lit(inside)))
+    """Files whose path holds `inside` and none of `without`; of archive members (with is_file) regular files only."""
+    kept = files.where("is_file") if "is_file" in files.columns else files
+    kept = kept.where(F.contains("path", F.lit(inside)))
     for part in without:
         kept = kept.where(~F.contains("path", F.lit(part)))
     return kept

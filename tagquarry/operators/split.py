@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import global_index
+from ..functions.tables import discard, global_index, materialize
 from .labels import package
 
 
@@ -103,3 +103,11 @@ def stratified_copy(files: DataFrame, n_test: int = 2, n_all: int = 32) -> DataF
     """(label, instance_id, part): the first n_test of each label are test, up to n_all in all train."""
     r = files.withColumn("_r", _rank("label", "instance_id")).where(F.col("_r") < n_all)
     return r.withColumn("part", F.when(F.col("_r") < n_test, "test").otherwise("train")).drop("_r")
+
+
+def write_stratified(files: DataFrame, path: str, n_test: int = 2, n_all: int = 32) -> None:
+    """stratified_copy as two tables, path/test and path/train, with all columns of files."""
+    routed = materialize(stratified_copy(files, n_test, n_all))
+    for part in ("test", "train"):
+        routed.where(F.col("part") == part).drop("part").write.mode("overwrite").parquet(f"{path}/{part}")
+    discard(routed)

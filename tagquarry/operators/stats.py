@@ -37,13 +37,27 @@ def recurrence_per_model(tags: DataFrame, instance_label: DataFrame, model_label
     return recurrence_histogram(freq, ["model_id"])
 
 
-def feature_occurrence(vec: DataFrame) -> DataFrame:
-    """(idx, n_labels): labels with a positive mean of the feature; features of the index range in none are 0."""
-    positive = vec.where("cnt > 0").groupBy("idx").agg(F.count_distinct("label").alias("n_labels"))
+def feature_occurrence(vec: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(idx, n_labels): labels with a positive mean of the feature; features of the index range in none are 0.
+
+    labels: (label) restricts the count to chosen labels, over the same features.
+    """
+    counted = vec if labels is None else vec.join(labels.select("label").distinct(), "label", "left_semi")
+    positive = counted.where("cnt > 0").groupBy("idx").agg(F.count_distinct("label").alias("n_labels"))
     span = vec.agg(F.min("idx").alias("a"), F.max("idx").alias("b")).select(F.explode(F.sequence("a", "b")).alias("idx"))
     return span.join(positive, "idx", "left").select("idx", F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
 
 
+def occurrence_histogram(occurrence: DataFrame, fill: bool = True) -> DataFrame:
+    """(n_labels, n_features): how many features are in so many labels; with fill every number from the least to the most."""
+    per = occurrence.groupBy("n_labels").agg(F.count("*").alias("n_features"))
+    if not fill:
+        return per
+    span = per.agg(F.min("n_labels").alias("a"), F.max("n_labels").alias("b")).where("a IS NOT NULL")
+    span = span.select(F.explode(F.sequence("a", "b")).alias("n_labels"))  # at most one row a label
+    return span.join(per, "n_labels", "left").select("n_labels", F.coalesce("n_features", F.lit(0)).alias("n_features"))
+
+
 def trial_stats(trials: DataFrame) -> DataFrame:
     """(key, mean, two_std, confidence): population deviation; 95 % interval of the mean."""
     std = F.stddev_pop("value")
@@ -83,6 +97,14 @@ def change_histogram(files: DataFrame) -> DataFrame:
     return files.crossJoin(F.broadcast(first)).groupBy(at.alias("offset")).agg(F.count("*").alias("n"))
 
 
+def run_seconds(pods: DataFrame) -> DataFrame:
+    """pods (name, phase, start, end) with seconds: end minus start of those that have started, have an end and are
+    Succeeded or Failed; null for all others, which stage_durations reports as unfinished."""
+    finished = F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("phase").isin("Succeeded", "Failed")
+    length = (F.unix_micros("end") - F.unix_micros("start")) / 1_000_000
+    return pods.withColumn("seconds", F.when(finished, length))
+
+
 def stage_durations(stages: DataFrame, suffixes: list[str]) -> DataFrame:
     """(stage, n, mean_seconds, unfinished): by name suffix; only rows with an end count as finished."""
     stage = F.lit(None).cast("string")

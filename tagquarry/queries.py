@@ -169,6 +169,13 @@ def p17_site_package_files(s, d):
     return filters.site_package_files(fx.changes(s, d), "the/", ("tion/",))
 
 
+@query("SELECT doc_id AS archive, path FROM (SELECT doc_id, translate(l, ' ', '/') AS path FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE contains(path, 'the/') AND NOT contains(path, 'tion/') AND len(path) % 3 <> 0")
+def p17_regular_files(s, d):
+    """Archive members: a third are no regular files."""
+    members = fx.changes(s, d).select(F.col("changeset_id").alias("archive"), "path", (F.char_length("path") % 3 != 0).alias("is_file"))
+    return filters.site_package_files(members, "the/", ("tion/",)).drop("is_file")
+
+
 @query(sql("costs", "SELECT * FROM costs WHERE cost <= 0.05"))
 def p19_cost_positive(s, d):
     return filters.cost_positive(fx.costs(s, d), 0.05)
@@ -269,6 +276,18 @@ def s8_save_and_load_index(s, d):
     return encode.load_index(s, path, "m0")
 
 
+@query(sql("vocab lidx", "SELECT 'm0' AS model_id, tag AS value, idx FROM vocab UNION ALL SELECT 'm1', label, idx FROM lidx"))
+def s8_save_index_again(s, d):
+    """Saving a model's index again replaces it and touches no other."""
+    path, found = scratch(s), materialize(fx.instance_tag(s, d))
+    first = encode.assign_index(found.where("cnt > 2"), "tag").withColumnRenamed("tag", "value")
+    encode.save_index(first, path, "m0")
+    encode.save_index(encode.assign_index(fx.instance_label(s, d), "label").withColumnRenamed("label", "value"), path, "m1")
+    for _ in range(2):
+        encode.save_index(encode.assign_index(found, "tag").withColumnRenamed("tag", "value"), path, "m0")
+    return s.read.parquet(path).select("model_id", "value", "idx")
+
+
 # Splits and groups -----------------------------------------------------------------------------
 
 _R = "row_number() OVER (PARTITION BY label ORDER BY instance_id) - 1 AS r"
@@ -341,6 +360,13 @@ def s16_stratified_copy(s, d):
     return split.stratified_copy(fx.instance_label(s, d))
 
 
+@query(sql("il", f"SELECT instance_id, label, CASE WHEN r < 2 THEN 'test' ELSE 'train' END AS part FROM (SELECT *, {_R} FROM il) WHERE r < 32"))
+def s16_write_stratified(s, d):
+    path = scratch(s)
+    split.write_stratified(fx.instance_label(s, d), path)
+    return s.read.parquet(f"{path}/test").withColumn("part", F.lit("test")).unionByName(s.read.parquet(f"{path}/train").withColumn("part", F.lit("train")))
+
+
 @query(sql("il", f"SELECT instance_id, label FROM (SELECT *, {_R} FROM il) WHERE NOT (r < 8 AND r >= 2 AND r < 4)"))
 def u4_train_rows(s, d):
     own = fx.instance_label(s, d)
@@ -570,6 +596,26 @@ def a13_feature_occurrence(s, d):
     return stats.feature_occurrence(fx.vec(s, d))
 
 
+def _high(s, d):
+    """Features that stand out: counts less one."""
+    return fx.vec(s, d).withColumn("cnt", F.col("cnt") - 1)
+
+
+_OCCURRENCE = ", f AS (SELECT idx, count(DISTINCT label) FILTER ({}) AS n FROM vec GROUP BY 1)"
+
+
+@query(sql("vec", _OCCURRENCE.format("cnt > 1") + """, h AS (SELECT unnest(range((SELECT min(n) FROM f), (SELECT max(n) FROM f) + 1)) AS k)
+SELECT k AS n_labels, (SELECT count(*) FROM f WHERE n = k) AS n_features FROM h"""))
+def a13_occurrence_histogram(s, d):
+    return stats.occurrence_histogram(stats.feature_occurrence(_high(s, d)))
+
+
+@query(sql("vec", _OCCURRENCE.format("cnt > 1 AND label IN ('1', '3', '4')") + " SELECT n AS n_labels, count(*) AS n_features FROM f GROUP BY 1"))
+def a13_chosen_labels(s, d):
+    chosen = s.createDataFrame([("1",), ("3",), ("4",)], "label string")
+    return stats.occurrence_histogram(stats.feature_occurrence(_high(s, d), chosen), fill=False)
+
+
 _TRIALS = "(SELECT model_id AS key, CAST(load AS DOUBLE) AS value FROM load)"
 
 
@@ -617,6 +663,22 @@ def a29_stage_durations(s, d):
     return stats.stage_durations(rows, [f"-{k}" for k in _EVENTS]).withColumn("mean_seconds", F.round("mean_seconds", 6))
 
 
+_PHASES = "['Succeeded', 'Failed', 'Running', 'Pending']"
+
+
+@query(f"""WITH p AS (SELECT concat('-', event_type) AS stage, ({_PHASES})[1 + event_id % 4] AS phase, CASE WHEN user_id % 11 <> 0 THEN ts END AS t0, CASE WHEN user_id % 7 <> 0 THEN ts + to_milliseconds(CAST(floor(value * 1000) AS BIGINT)) END AS t1 FROM events),
+q AS (SELECT stage, CASE WHEN phase IN ('Succeeded', 'Failed') AND t0 IS NOT NULL AND t1 IS NOT NULL THEN (epoch_us(t1) - epoch_us(t0)) / 1000000 END AS s FROM p)
+SELECT stage, count(s) AS n, round(avg(s), 6) AS mean_seconds, count(*) FILTER (s IS NULL) AS unfinished FROM q GROUP BY 1""")
+def a29_run_seconds(s, d):
+    at = F.col("ts").cast("timestamp")
+    phase = F.get(F.array(*(F.lit(p) for p in ("Succeeded", "Failed", "Running", "Pending"))), (F.col("event_id") % 4).cast("int"))
+    pods = table(s, d, "events").select(
+        F.concat_ws("-", F.lit("run"), F.col("user_id").cast("string"), "event_type").alias("name"), phase.alias("phase"), F.when(F.col("user_id") % 11 != 0, at).alias("start"),
+        F.when(F.col("user_id") % 7 != 0, F.timestamp_micros(F.unix_micros(at) + 1000 * F.floor(F.col("value") * 1000))).alias("end"),
+    )
+    return _round(stats.stage_durations(stats.run_seconds(pods), [f"-{k}" for k in _EVENTS]), "mean_seconds", places=6)
+
+
 @query(sql("load", "SELECT key, string_agg(CAST(total AS VARCHAR), ',' ORDER BY trial) AS totals FROM (SELECT model_id AS key, epoch % 5 AS trial, CAST(sum(load) AS BIGINT) AS total FROM load GROUP BY 1, 2) GROUP BY 1"))
 def a31_runtime_rollup(s, d):
     rows = fx.epoch_load(s, d).select(F.col("model_id").alias("key"), (F.col("epoch") % 5).alias("trial"), F.col("load").alias("value"))
@@ -1083,6 +1145,20 @@ def s9_write_predictions(s, d):
     return rows.select("instance_id", F.array_join("labels", ",").alias("labels"))
 
 
+@query(sql("pred", """, i AS (SELECT doc_id AS instance_id, concat(lang, '-', doc_id, '.tag') AS name FROM documents),
+l AS (SELECT instance_id, list(label ORDER BY label) AS ls FROM pred GROUP BY 1)
+SELECT 'names' AS part, name AS line FROM i
+UNION ALL SELECT 'lists', '[' || coalesce(array_to_string(list_transform(ls, lambda x: chr(39) || x || chr(39)), ', '), '') || ']' FROM i LEFT JOIN l USING (instance_id)
+UNION ALL SELECT 'labels', i.instance_id || '=' || coalesce(array_to_string(ls, ','), '') FROM i LEFT JOIN l USING (instance_id)"""))
+def s9_dump_predictions(s, d):
+    path = scratch(s)
+    names = table(s, d, "documents").select(F.col("doc_id").alias("instance_id"), F.concat("lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".tag")).alias("name"))
+    files.dump_predictions(fx.pred(s, d), names, path)
+    records = s.read.schema("instance_id long, labels array<string>").json(f"{path}/labels")
+    lines = [s.read.text(f"{path}/{part}").select(F.lit(part).alias("part"), F.col("value").alias("line")) for part in ("names", "lists")]
+    return lines[0].union(lines[1]).union(records.select(F.lit("labels"), F.concat_ws("=", F.col("instance_id").cast("string"), F.array_join("labels", ","))))
+
+
 @query(sql("tags lidx", "SELECT t.instance_id, concat(c.costs, ' | ', t.words) AS line FROM (SELECT instance_id, string_agg(tag, ' ' ORDER BY tag) AS words FROM tags GROUP BY 1) t JOIN (SELECT instance_id, string_agg(concat(i, CASE WHEN i = idx + 1 THEN ':0.0' ELSE ':1.0' END), ' ' ORDER BY i) AS costs FROM il JOIN lidx USING (label), (SELECT unnest(range(1, 101)) AS i) GROUP BY 1) c USING (instance_id)"))
 def s11_learner_lines(s, d):
     own = fx.instance_label(s, d)
@@ -1124,12 +1200,18 @@ def s14_missing_runs(s, d):
     return files.missing_runs(rows, rows.where("event_type = 'click' AND run % 3 = 0"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(w) AS DOUBLE) AS total, count(*) FILTER (w > 0) AS positives, string_agg(CAST(w AS VARCHAR), ',' ORDER BY w) AS weights FROM (SELECT p_name AS feature, p_size - 25 AS w FROM part WHERE p_partkey % 2 = 1) WHERE contains(feature, 'a') OR contains(feature, 'green')")
+@query("SELECT feature, CAST(w AS DOUBLE) AS weight, count(*) AS n FROM (SELECT p_name AS feature, p_size - 25 AS w FROM part WHERE p_partkey % 2 = 1) WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT substr(p_name, 3, 6) AS tag FROM part WHERE p_partkey % 50 = 7 UNION SELECT 'q' UNION SELECT 'bl') WHERE contains(feature, tag)) GROUP BY 1, 2")
+def s15_matching_weights(s, d):
+    line = F.concat("p_name", F.lit("["), (F.col("p_partkey") % 2).cast("string"), F.lit("]:"), (F.col("p_size") - 25).cast("string"))
+    asked = table(s, d, "part").where("p_partkey % 50 = 7").select(F.substring("p_name", 3, 6).alias("tag")).union(s.createDataFrame([("q",), ("bl",)], "tag string"))
+    return files.matching_weights(table(s, d, "part").select(line.alias("value")), asked, 1).groupBy("feature", "weight").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(w) AS DOUBLE) AS total, count(*) FILTER (w > 0) AS positives FROM (SELECT p_name AS feature, p_size - 25 AS w FROM part WHERE p_partkey % 2 = 1) WHERE contains(feature, 'a') OR contains(feature, 'green')")
 def s15_readable_weights(s, d):
     line = F.concat("p_name", F.lit("["), (F.col("p_partkey") % 2).cast("string"), F.lit("]:"), (F.col("p_size") - 25).cast("string"))
     asked = s.createDataFrame([("a",), ("green",)], "tag string")
-    out = files.readable_weights(table(s, d, "part").select(line.alias("value")), asked, 1).withColumn("total", F.round("total", 4))
-    return out.withColumn("weights", F.array_join(F.sort_array("weights").cast("array<int>").cast("array<string>"), ","))
+    return files.readable_weights(table(s, d, "part").select(line.alias("value")), asked, 1).withColumn("total", F.round("total", 4))
 
 
 @query("SELECT concat(lang, '.', source, '-', doc_id, CASE WHEN doc_id % 4 = 0 THEN '.yaml' ELSE '.tag' END) AS name FROM documents WHERE doc_id % 4 <> 0 AND concat(lang, '.', source) IN ('en.src0', 'de.src1') AND NOT starts_with(concat(lang, '.', source, '-', doc_id), 'de.src1-1')")

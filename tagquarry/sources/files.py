@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import discard, materialize
+
 CHANGESET = "path string, labels array<string>, changes array<string>, error string"
 TAGSET = "path string, labels array<string>, tags map<string,long>, error string"
 
@@ -84,7 +86,7 @@ MEMBERS = 10_000
 
 
 def _members(batches):
-    names = ["archive", "path", "is_dir", "error"]
+    names = ["archive", "path", "is_dir", "is_file", "mtime", "error"]
     for b in batches:
         for path, content in zip(b["path"], b["content"]):
             rows = []
@@ -92,23 +94,23 @@ def _members(batches):
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:  # headers only, one after another
                     for m in tar:
                         tar.members = []
-                        rows.append((path, m.name, m.isdir(), None))
+                        rows.append((path, m.name, m.isdir(), m.isfile(), m.mtime, None))
                         if len(rows) >= MEMBERS:
                             yield pd.DataFrame(rows, columns=names)
                             rows = []
             except Exception as e:  # a bad archive is reported, not fatal
-                rows.append((path, None, None, repr(e)))
+                rows.append((path, None, None, None, None, repr(e)))
             yield pd.DataFrame(rows, columns=names)
 
 
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, is_dir, error): the members of each tar file, directories included.
+    """(archive, path, is_dir, is_file, mtime in seconds, error): the members of each tar file, directories included.
 
     A file that is no archive, or breaks off, has a row with its error after the members read so far.
     Spark hands a file over as one value, so that archives are limited to 2 GB each.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_members, "archive string, path string, is_dir boolean, error string")
+    return files.mapInPandas(_members, "archive string, path string, is_dir boolean, is_file boolean, mtime double, error string")
 
 
 MANIFEST = "Config string, Layers array<string>"
@@ -150,6 +152,22 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.groupBy("instance_id").agg(F.sort_array(F.collect_list("label")).alias("labels")).write.json(path)
 
 
+def dump_predictions(predictions: DataFrame, instances: DataFrame, path: str) -> None:
+    """Three outputs: path/lists, path/labels and path/names; instances: (instance_id, name).
+
+    lists has a line ['label', …] for each instance, names its name, both in the order of instance_id, labels a record
+    (instance_id, labels). Instances without a label have an empty list.
+    """
+    said = predictions.groupBy("instance_id").agg(F.sort_array(F.collect_list("label")).alias("labels"))
+    none = F.array().cast("array<string>")
+    rows = materialize(instances.join(said, "instance_id", "left").withColumn("labels", F.coalesce("labels", none)))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("labels", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    rows.orderBy("instance_id").select(listed.alias("value")).write.text(f"{path}/lists")
+    rows.orderBy("instance_id").select(F.col("name").alias("value")).write.text(f"{path}/names")
+    rows.select("instance_id", "labels").write.json(f"{path}/labels")
+    discard(rows)
+
+
 def learner_lines(tags: DataFrame, instance_label: DataFrame, label_index: DataFrame, classes: int = 3000) -> DataFrame:
     """(instance_id, line): "1:cost 2:cost … | tag tag", cost 0.0 for own labels, padded with 1.0.
 
@@ -201,12 +219,50 @@ def missing_runs(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.select("run").distinct().join(found.select("run"), "run", "left_anti")
 
 
-def readable_weights(lines: DataFrame, tags: DataFrame, classifier: int) -> DataFrame:
-    """(n, total, positives, weights) of the weights of one class whose feature holds any of the tags.
+def _grams(text, q: int):
+    """The distinct runs of q characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - q + 1), lambda i: F.substring(text, i, F.lit(q))))
+
 
-    lines: (value) of the form "feature[class]:weight"; a line counts once, however many tags it holds.
+#: Longer tags are looked up by the rarest of their runs of so many characters, shorter ones by themselves.
+GRAM = 3
+
+
+def holding_any(features: DataFrame, tags: DataFrame) -> DataFrame:
+    """The distinct values (feature) that hold any tag (tag) as a substring; an empty tag is in every feature.
+
+    An index of character runs: each tag is looked up by its rarest run only, and what is found is verified.
+    """
+    known = features.select("feature").where("feature IS NOT NULL").distinct()
+    asked = tags.select("tag").where("tag IS NOT NULL").distinct()
+    sized = [(q, known.where(F.char_length("feature") >= q).select("feature", F.explode(_grams("feature", q)).alias("gram"))) for q in range(1, GRAM + 1)]
+    postings = sized[0][1]
+    for _, more in sized[1:]:
+        postings = postings.unionByName(more)
+    own = F.when(F.char_length("tag") >= GRAM, _grams("tag", GRAM)).otherwise(F.array("tag"))
+    wanted = asked.where("tag <> ''").select("tag", F.explode(own).alias("gram"))
+    # Only runs that some tag has are kept; their counts tell which run of a tag is the rarest.
+    postings = materialize(postings.join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("tag").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    looked = rarest.where("r.n > 0").select("tag", F.col("r.gram").alias("gram"))
+    found = postings.join(looked, "gram").where(F.contains("feature", F.col("tag"))).select("feature").distinct()
+    return found if asked.where("tag = ''").isEmpty() else known
+
+
+def matching_weights(lines: DataFrame, tags: DataFrame, classifier: int) -> DataFrame:
+    """(feature, weight): the lines (value: "feature[class]:weight") of one class whose feature holds any of the tags.
+
+    A line is returned once, however many tags it holds.
     """
-    parts = F.regexp_extract("value", r"^(.*)\[(\d+)\]:(.*)$", 1), F.regexp_extract("value", r"^(.*)\[(\d+)\]:(.*)$", 2)
-    rows = lines.select("value", parts[0].alias("feature"), parts[1].alias("class"), F.element_at(F.split("value", ":"), -1).cast("double").alias("w"))
-    hit = rows.where(F.col("class") == str(classifier)).join(tags.select("tag"), F.expr("contains(feature, tag)"), "left_semi")
-    return hit.agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.count_if(F.col("w") > 0).alias("positives"), F.collect_list("w").alias("weights"))
+    pattern = r"^(.*)\[(\d+)\]:(.*)$"
+    weight = F.element_at(F.split("value", ":"), -1).cast("double").alias("weight")
+    rows = lines.select(F.regexp_extract("value", pattern, 1).alias("feature"), F.regexp_extract("value", pattern, 2).alias("class"), weight)
+    own = rows.where(F.col("class") == str(classifier)).drop("class")
+    return own.join(holding_any(own, tags), "feature", "left_semi")
+
+
+def readable_weights(lines: DataFrame, tags: DataFrame, classifier: int) -> DataFrame:
+    """One row (n, total, positives) of the matching weights."""
+    hit = matching_weights(lines, tags, classifier)
+    return hit.agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.count_if(F.col("weight") > 0).alias("positives"))
