@@ -61,15 +61,19 @@ def _set(bitmap: np.ndarray, p: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
 
 
-def build(hashes: DataFrame, cells: int, rows: int = 2) -> Sketch:
-    """The sketch of a table's hashes (h long, not null). The driver gets at most 2 * cells / 8 bytes."""
+def build(table: DataFrame, cells: int, rows: int = 2, hashed=None) -> Sketch:
+    """The sketch of a table's hashes: its column h (long, not null), or what `hashed` makes of its batches.
+
+    The driver gets at most 2 * cells / 8 bytes.
+    """
     unit = 8 * CHUNK * rows
     cells = max(unit, cells - cells % unit)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
         for batch in batches:
-            for p in positions(batch["h"].to_numpy(np.int64), cells, rows):
+            h = hashed(batch) if hashed else batch["h"]
+            for p in positions(np.asarray(h, np.int64), cells, rows):
                 own, n = np.unique(p, return_counts=True)
                 _set(twice, own[(n > 1) | is_set(seen, own)])
                 _set(seen, own)
@@ -91,7 +95,7 @@ def build(hashes: DataFrame, cells: int, rows: int = 2) -> Sketch:
         yield pd.DataFrame({"chunk": list(whole), "seen": [s.tobytes() for s, _ in whole.values()], "twice": [t.tobytes() for _, t in whole.values()]})
 
     schema = "chunk long, seen binary, twice binary"
-    parts = hashes.select("h").mapInPandas(fill, schema).repartition("chunk").mapInPandas(merge, schema)
+    parts = table.mapInPandas(fill, schema).repartition("chunk").mapInPandas(merge, schema)
     seen, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
     for c, s, t in parts.collect():
         seen[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(s, np.uint8)

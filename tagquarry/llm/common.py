@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagquarry.functions.tables import checkpoint_dir, scratch, table  # noqa: F401
@@ -28,6 +28,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever dots or backticks they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def lower_ascii(c):
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

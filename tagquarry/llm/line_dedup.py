@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, lower_ascii, materialize
+from .common import WS, columns, lower_ascii, materialize
 
 
 def line_key(line):
@@ -64,7 +64,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) ->
     """documents with `text` reduced to the kept lines, and n_lines, n_dropped."""
     lost = repeated_lines(documents, min_chars, min_docs)
     own = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    docs = documents.select(F.struct(*own).alias("own"), "doc_id", F.xxhash64("text").alias("_row"))
+    docs = documents.select(F.struct(*columns(own)).alias("own"), "doc_id", F.xxhash64("text").alias("_row"))
     lines = F.split(F.coalesce("own.text", F.lit("")), "\n")
     at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "_lost")
     kept = F.when(F.col("_lost").isNull(), F.col("lines")).otherwise(F.transform(at, lambda i: F.get("lines", i)))

@@ -19,10 +19,10 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagquarry.functions.tables import global_index
+from tagquarry.functions.tables import global_index, running_total
 
 from .common import bound_batches, materialize
 
@@ -39,31 +39,27 @@ def word_count(text):
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
-    """(source, n, source_size, target) from rows (source, size).
+    """(source, n, source_size, target, place) from rows (source, size).
 
     The targets share the total by weight; one above most * source_size stops there and the excess
     goes to the others by weight. Sorted by most * size / weight, a source is capped if that is at
-    most the level which the rest would get. Windows run over one row per source.
+    most the level which the rest would get. place counts from 0 by code point, null last. Places and sums over
+    sources come from range partitions, so that no task holds them all.
     """
     stats = sized.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
+    stats = global_index(stats.withColumn("_null", F.col("source").isNull()), ["_null", "source"], "place")
     w = F.array(*(F.lit(float(x)) for x in weights))
-    stats = stats.withColumn("w", F.get(w, (F.row_number().over(order) - 1) % len(weights)))
-    stats = stats.withColumn("cap", most * F.col("source_size")).withColumn("q", F.col("cap") / F.col("w"))
-    whole = Window.partitionBy()
-    before = Window.orderBy("q", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), zero)) / (
-        F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), zero)
-    )
-    stats = stats.withColumn("capped", F.col("q") <= level)
-    open_ = F.when(~F.col("capped"), F.col("w"))
-    share = (
-        F.sum("source_size").over(whole) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(whole), zero)
-    ) / F.sum(open_).over(whole)
-    return stats.select(
-        "source", "n", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(share * F.col("w")).alias("target")
-    )
+    stats = stats.withColumn("w", F.get(w, (F.col("place") % len(weights)).cast("int"))).withColumn("cap", most * F.col("source_size"))
+    stats = materialize(stats.withColumn("q", F.col("cap") / F.col("w")))
+    for amount in ("cap", "w"):
+        stats = running_total(stats, ["q", "_null", "source"], amount, f"_{amount}").withColumn(f"_{amount}", F.col(f"_{amount}") - F.col(amount))
+    whole = stats.agg(F.sum("source_size").alias("_all"), F.sum("w").alias("_all_w"))
+    stats = stats.crossJoin(F.broadcast(whole))  # one row
+    stats = materialize(stats.withColumn("capped", F.col("q") <= (F.col("_all") - F.col("_cap")) / (F.col("_all_w") - F.col("_w"))))
+    kept = F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0.0))
+    share = stats.agg(((F.sum("source_size") - kept) / F.sum(F.when(~F.col("capped"), F.col("w")))).alias("_share"))
+    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("_share") * F.col("w"))
+    return stats.crossJoin(F.broadcast(share)).select("source", "n", "source_size", target.alias("target"), "place")  # one row
 
 
 def flight(p: np.ndarray, size: np.ndarray, random: np.random.RandomState) -> np.ndarray:
@@ -162,7 +158,7 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, most: float = MOST, key:
     sized = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more))
     more = ["row", "tie"] if key else []
     targets = materialize(source_targets(sized, weights, most))
-    named = targets.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
+    named = targets.withColumn("sid", F.col("place") + 1).drop("place")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + 1e-12)
     named = named.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), rate - whole))

@@ -138,23 +138,20 @@ def count_phrases(texts: DataFrame, length: int, passing=None) -> DataFrame:
     return parts.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
-def phrase_hashes(phrases: DataFrame, length: int) -> DataFrame:
-    """(h) of phrases (lang, w0 …), equal to what a scan sees."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h = None
-            for w in _names(length):
-                own = np.array([word_hash(x, v.encode()) for x, v in zip(batch["lang"], batch[w], strict=True)], np.uint64)
-                h = own if h is None else mixed(h, own)
-            yield pd.DataFrame({"h": h.view(np.int64)})
-
-    return phrases.select("lang", *_names(length)).mapInPandas(run, "h long")
+def phrase_hashes(batch: pd.DataFrame, length: int) -> np.ndarray:
+    """The hashes of phrases (lang, w0 …), equal to what a scan sees."""
+    h = None
+    for w in _names(length):
+        own = np.array([word_hash(x, v.encode()) for x, v in zip(batch["lang"], batch[w], strict=True)], np.uint64)
+        h = own if h is None else mixed(h, own)
+    return h.view(np.int64)
 
 
 def _shared_filter(phrases: DataFrame, length: int, max_cells: int):
     """A broadcast filter that passes every phrase of the table: one bit per cell, of a bounded number of cells."""
-    sketch = cells.build(phrase_hashes(phrases, length), cells.sketch_cells(phrases.count(), max_cells))
+    # Hashed where the sketch is filled, so that a task needs one Python worker only.
+    size = cells.sketch_cells(phrases.count(), max_cells)
+    sketch = cells.build(phrases.select("lang", *_names(length)), size, hashed=lambda batch: phrase_hashes(batch, length))
     return phrases.sparkSession.sparkContext.broadcast(sketch.seen)
 
 

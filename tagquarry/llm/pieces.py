@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkTable
-from .common import bound_batches, materialize
+from .common import bound_batches, columns, materialize
 
 MARK = "▁"
 #: A chunk: spaces (markers) with the word after them, or a line end with the word after it.
@@ -115,11 +115,12 @@ def encode_and_decode(documents: DataFrame, model_path: str) -> DataFrame:
     with open(model_path, "rb") as f:
         model = f.read()
     check_model(_load(model))
-    documents = documents.drop("ids", "decoded")
+    own = [c for c in documents.columns if c not in ("ids", "decoded")]
+    documents = documents.select(F.struct(*columns(own)).alias("own"), "text")
     context = documents.sparkSession.sparkContext
     shared = context.broadcast(model)
     head = context.broadcast(head_table(documents.select("text"), shared))
-    fields = [*documents.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    fields = [documents.schema["own"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(batches):
         sp = _load(shared.value)
@@ -138,13 +139,12 @@ def encode_and_decode(documents: DataFrame, model_path: str) -> DataFrame:
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                rows = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, lists, pa.array(decoded, pa.string())], names=[*rows.schema.names, "ids", "decoded"]
-                )
+                rows = batch.slice(start, end - start).column(batch.schema.get_field_index("own"))
+                yield pa.RecordBatch.from_arrays([rows, lists, pa.array(decoded, pa.string())], names=["own", "ids", "decoded"])
                 start = end
 
-    return documents.mapInArrow(run, T.StructType(fields))
+    encoded = documents.mapInArrow(run, T.StructType(fields))
+    return encoded.select(*(F.col("own").getField(c).alias(c) for c in own), "ids", "decoded")
 
 
 def joined_ids(c):

@@ -73,7 +73,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return docs.withColumn("score", toxicity.scorer(spark, model)("text")).select(
         "doc_id",
-        F.expr("crc32(CAST(doc_id AS STRING)) % 5 = 0").alias("held_out"),
+        F.coalesce(F.expr("crc32(CAST(doc_id AS STRING)) % 5 = 0"), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
@@ -330,7 +330,8 @@ FROM nodes n JOIN sums s USING (p) LEFT JOIN above a ON a.p = n.p AND a.top_dept
 OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
 grams AS MATERIALIZED (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed)),
 f1 AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM grams GROUP BY ALL),

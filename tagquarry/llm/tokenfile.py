@@ -221,8 +221,10 @@ def write_token_file(documents: DataFrame, path: str, tokenizer_path: str, end_i
 
     (
         documents.select("doc_id", "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie", "text")
+        .select("doc_id", "text")
         .mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")
         .parquet(path)

@@ -26,15 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import columns, lower_ascii, materialize
 
 ORDER = 4
 END = "\x03"
 SALTS = 16
 #: Long URLs are cut into stretches of so many characters before their runs are taken.
 STRETCH = 1_000
-#: Characters of text whose runs one task makes.
-TASK_CHARS = 500_000
 #: Rules are driver configuration; larger lists should be refused rather than inlined.
 MAX_RULES = 1000
 
@@ -72,9 +70,9 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def dealt(texts: DataFrame) -> DataFrame:
-    """texts over so many partitions that each has about TASK_CHARS characters, since runs expand them."""
-    chars = texts.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    return texts.repartition(1 + chars // TASK_CHARS)
+    """texts evenly over the session's shuffle partitions: a number of their own, so that few bytes of text, which runs
+    expand to many rows, are not merged into one task. Runs stream through a task and are counted there first."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def runs(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,7 +162,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
     text = F.coalesce("url", F.lit(""))
     host, path = host_and_path(F.col("url"))
-    judged = pages.select(F.struct(*own).alias("page"), text.alias("text"), host.alias("host"), path.alias("path"))
+    judged = pages.select(F.struct(*columns(own)).alias("page"), text.alias("text"), host.alias("host"), path.alias("path"))
     fit = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumn("fit", fit).select("page", "text", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"))
     texts = materialize(judged.select("text", F.col("ruled").alias("verdict")).distinct())
