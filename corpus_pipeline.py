@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagquarry.llm import jaccard, line_dedup, mixing, pieces, toxicity
-from tagquarry.llm.common import checkpoint_dir, materialize, table
+from tagquarry.llm.common import checkpoint_dir, columns, materialize, table
 from tagquarry.llm.queries import tokenizer_path
 
 
@@ -31,7 +31,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others repeat; documents left without text stay, empty."""
-    whole = F.struct(*docs.columns).alias("doc")  # columns of any name stay apart from the operator's
+    whole = F.struct(*columns(docs.columns)).alias("doc")  # columns of any name stay apart from the operator's
     kept = line_dedup.dedup_lines(docs.select("doc_id", "text", whole))
     changed = {"text": F.col("text"), "n_chars": F.char_length("text")}
     return kept.select(*(changed.get(f.name, F.col("doc").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema))
@@ -41,12 +41,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """The smallest doc_id of each component of near duplicates."""
     classes = jaccard.jaccard_join(docs)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    own = F.struct(*docs.columns).alias("doc")  # columns of any name stay apart from the draw's
+    own = F.struct(*columns(docs.columns)).alias("doc")  # columns of any name stay apart from the draw's
     keyed = materialize(docs.select(own, F.monotonically_increasing_id().alias("row")))
     rows = keyed.select(*(F.col("doc").getField(c).alias(c) for c in ("doc_id", "source", "text")), F.col("row").alias("key"))
     drawn = mixing.mix_sources(rows, key="key").where("times > 0").select(F.col("key").alias("row"), "times")
