@@ -61,15 +61,23 @@ def encode_labels(instance_label: DataFrame, label_index: DataFrame) -> DataFram
 
 
 def bag_of_words(tags: DataFrame, words: list[str]) -> DataFrame:
-    """(instance_id, features vector) by a given vocabulary, with MLlib's counter."""
-    from pyspark.ml.feature import CountVectorizerModel
-
-    spark = tags.sparkSession
-    repeated = tags.select("instance_id", F.explode(F.array_repeat("tag", F.col("cnt").cast("int"))).alias("tag"))
-    lists = repeated.groupBy("instance_id").agg(F.collect_list("tag").alias("words"))
-    spark.sparkContext  # the model needs a running JVM
-    model = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="features")
-    return model.transform(lists).select("instance_id", "features")
+    """(instance_id, features): a sparse vector by a given vocabulary, from one row for each tag and its count.
+
+    Instances without any of the words have an empty vector, those without tags none.
+    """
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    size = len(words)
+    known = tags.sparkSession.createDataFrame(list(zip(words, range(size))), "tag string, idx int")
+    met = tags.join(known, "tag", "left").groupBy("instance_id", "idx").agg(F.sum("cnt").alias("cnt"))
+    entries = F.array_compact(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", F.col("cnt").cast("double").alias("cnt")))))
+    made = met.groupBy("instance_id").agg(F.sort_array(entries).alias("e"))
+
+    @F.udf(VectorUDT())
+    def vector(indices, values):
+        return Vectors.sparse(size, indices, values)
+
+    return made.select("instance_id", vector(F.col("e.idx"), F.col("e.cnt")).alias("features"))
 
 
 def save_index(index: DataFrame, path: str, model_id: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import materialize
+from ..functions.tables import global_index, materialize
 
 
 def label_means(vec: DataFrame, n_samples: int) -> DataFrame:
@@ -31,15 +33,62 @@ def _dots(pairs: DataFrame, unit: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, ["b", "idx"]).groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("cosine"))
 
 
+#: Rows of a tile: two tiles of packed rows and the products between them are what a task holds.
+TILE = 256
+
+
+def _packed_rows(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's rows one after another: which row of the tile, feature, value."""
+    sizes = part["idx"].map(len).to_numpy()
+    return np.repeat(np.arange(len(part)), sizes), np.concatenate(part["idx"].to_numpy()), np.concatenate(part["v"].to_numpy())
+
+
+def _products(tile: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, cosine) of the rows of two tiles, or of one with itself, that share a feature."""
+    left, right = tile[tile["side"] == 0], tile[tile["side"] == 1]
+    if right.empty:
+        right = left
+    (ra, ia, va), (rb, ib, vb) = _packed_rows(left), _packed_rows(right)
+    dots, shared = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)), bool)
+    features = np.intersect1d(ia, ib)
+    for start in range(0, len(features), 4096):  # as many columns of the dense tiles at a time
+        some = features[start : start + 4096]
+        dense = []
+        for rows, own, values, n in ((ra, ia, va, len(left)), (rb, ib, vb, len(right))):
+            at = np.searchsorted(some, own).clip(0, len(some) - 1)
+            hit = some[at] == own
+            m = np.zeros((n, len(some)))
+            m[rows[hit], at[hit]] = values[hit]
+            dense.append(m)
+        dots += dense[0] @ dense[1].T
+        shared |= (dense[0] != 0).astype(np.float32) @ (dense[1] != 0).astype(np.float32).T > 0
+    a, b = np.nonzero(shared)
+    first, second = left["id"].to_numpy()[a], right["id"].to_numpy()[b]
+    keep = first < second if tile["side"].max() == 0 else np.ones(len(a), bool)
+    out = pd.DataFrame({"a": np.minimum(first, second)[keep], "b": np.maximum(first, second)[keep], "cosine": dots[a, b][keep]})
+    return out
+
+
 def cosine_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b that share a feature; other pairs are 0.
+    """(a, b, cosine) of all pairs a < b that share a feature; other pairs are 0. ids are long, values not zero.
 
     All pairs are the result itself; where only similar ones are wanted, similar_pairs finds them without the others.
+    Rows are packed into tiles of TILE rows. Each pair of tiles meets once and multiplies inside a task, so that no
+    row is made for a pair and a feature, and a row travels once for each tile, not for each row.
     """
-    unit = unit_rows(rows)
-    a, b = unit.alias("a"), unit.alias("b")
-    joined = a.join(b, (F.col("a.idx") == F.col("b.idx")) & (F.col("a.id") < F.col("b.id")))
-    return joined.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("cosine"))
+    unit = unit_rows(rows).groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("v").alias("v"))
+    packed = global_index(unit, ["id"], "n", deal=1).withColumn("tile", F.floor(F.col("n") / TILE)).drop("n")
+    packed = materialize(packed)
+    last = packed.agg(F.max("tile")).first()[0]
+    if last is None:
+        return packed.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("cosine"))
+    # A tile meets those before it as the right side, itself and those after it as the left one.
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+    met = packed.withColumn("other", other)
+    met = met.select(
+        F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "id", "idx", "v"
+    )
+    return met.groupBy("x", "y").applyInPandas(_products, "a long, b long, cosine double")
 
 
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:

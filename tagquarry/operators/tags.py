@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Path parts that never become tags.
 STOP_TOKENS = "usr bin proc sys etc local src dev home root lib pkg sbin share cache".split()
 MIN_LENGTH = 3
+#: Tags that a task hands on at a time.
+BATCH = 100_000
 
 
 def tokenize_paths(changes: DataFrame) -> DataFrame:
@@ -72,6 +78,49 @@ def extract_tags(
     return drop_common_tags(tags, stop_tags) if stop_tags is not None else tags
 
 
+def _prefix_counts(paths, threshold: int, stops: frozenset) -> dict[str, int]:
+    """The tags of one changeset's paths."""
+    tokens, freq, nexts = Counter(), Counter(), defaultdict(set)
+    for path in paths:
+        if path is not None:
+            tokens.update(path.split("/"))
+    for token, n in tokens.items():
+        if token not in stops:
+            token = token.replace(":", "").replace("|", "")
+            for k in range(MIN_LENGTH, len(token) + 1):
+                freq[token[:k]] += n
+                if k < len(token):
+                    nexts[token[:k]].add(token[k])
+    return {p: n for p, n in freq.items() if len(nexts.get(p, ())) >= threshold}
+
+
+def extract_tags_of_lists(
+    changesets: DataFrame, freq_threshold: int = 2, stop_tokens=STOP_TOKENS, stop_tags: DataFrame | None = None
+) -> DataFrame:
+    """extract_tags of whole changesets (changeset_id, changes array<string>), one row each: nothing is exchanged.
+
+    A changeset that comes as one value fits in a task, and so do its prefixes; where paths come as rows, extract_tags
+    spreads a large changeset over many tasks.
+    """
+    kind, stops = dict(changesets.dtypes)["changeset_id"], frozenset(stop_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, ids, names, counts = batch.column(0).to_pylist(), [], [], []
+            for i, paths in enumerate(batch.column(1)):
+                found = _prefix_counts(paths.as_py() or (), freq_threshold, stops)
+                ids += [own[i]] * len(found)
+                names += found
+                counts += found.values()
+                if len(ids) >= BATCH or i == len(own) - 1:
+                    columns = [pa.array(ids, batch.schema.field(0).type), pa.array(names, pa.string()), pa.array(counts, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["instance_id", "tag", "cnt"])
+                    ids, names, counts = [], [], []
+
+    tags = changesets.select("changeset_id", "changes").mapInArrow(run, f"instance_id {kind}, tag string, cnt long")
+    return drop_common_tags(tags, stop_tags) if stop_tags is not None else tags
+
+
 def format_tags(tags: DataFrame, with_count: bool = True) -> DataFrame:
     """(instance_id, text): "tag:count", or the tag alone."""
     text = F.concat_ws(":", "tag", F.col("cnt").cast("string")) if with_count else F.col("tag")

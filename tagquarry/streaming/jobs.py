@@ -26,14 +26,14 @@ def extract_stream(
     Ids that the stream has seen are its state: an id that comes again, in the same or a later batch, is skipped, also
     after a restart. done: (instance_id) of outputs from before this checkpoint, which are skipped as well. Each
     batch writes a folder of its own and overwrites it when it runs again, and Spark rolls the state back to that batch.
+    The one exchange is that of the state; a changeset's tags are made where its row is.
     """
     fresh = changesets.dropDuplicates(["changeset_id"])
     if done is not None:
         fresh = files.skip_existing(fresh, done)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        paths = batch.select("changeset_id", F.explode("changes").alias("path"))
-        tags.extract_tags(paths, freq_threshold).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        tags.extract_tags_of_lists(batch, freq_threshold).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _sink(fresh, each, checkpoint, once)
 

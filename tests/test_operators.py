@@ -36,6 +36,10 @@ def test_extract_tags_matches_brute_force(spark):
     for threshold in (1, 2):
         got = {(x.instance_id, x.tag): x.cnt for x in tags.extract_tags(df, threshold).collect()}
         assert got == {(i, t): c for i, ps in sets.items() for t, c in brute_tags(ps, threshold).items()}
+        lists = spark.createDataFrame([(i, [*ps, None]) for i, ps in sets.items()] + [(99, None)], "changeset_id long, changes array<string>")
+        made = tags.extract_tags_of_lists(lists, threshold)
+        assert {(x.instance_id, x.tag): x.cnt for x in made.collect()} == got
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
 
 
 def test_leaves_and_stop_words(spark):
@@ -318,6 +322,20 @@ def test_mean_similarity_of_one_item(spark):
     assert similarity.group_similarity(clusters, rows).first().mean_similarity == 1.0
 
 
+def test_tiles_give_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 7)
+    r = random.Random(11)
+    data = {i: {k: float(r.randint(1, 9)) for k in range(10) if r.random() < 0.3} for i in range(-3, 40)}
+    rows = spark.createDataFrame([(i, k, v) for i, x in data.items() for k, v in x.items()], "id long, idx long, value double")
+    norm = {i: math.sqrt(sum(v * v for v in x.values())) for i, x in data.items()}
+    want = {}
+    for i, j in [(i, j) for i in data for j in data if i < j and data[i].keys() & data[j].keys()]:
+        want[i, j] = sum(data[i][k] * data[j][k] for k in data[i].keys() & data[j].keys()) / norm[i] / norm[j]
+    got = similarity.cosine_pairs(rows).collect()
+    assert len(got) == len(want) and all(math.isclose(x.cosine, want[x.a, x.b]) for x in got)
+    assert similarity.cosine_pairs(rows.limit(0)).count() == 0
+
+
 def test_similar_pairs_and_means_match_all_pairs(spark):
     r = random.Random(5)
     data = [(i, k, float(r.randint(1, 9))) for i in range(40) for k in range(12) if r.random() < (0.9 if k < 3 else 0.3)]
