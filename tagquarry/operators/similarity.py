@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.components import connected_components
 from ..functions.tables import global_index, materialize
 
 
@@ -126,14 +127,51 @@ def mean_similarity(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return n.crossJoin(sums).crossJoin(own).select("n", _mean(F.col("n"), F.col("s"), F.col("own")).alias("mean_cosine"))  # one row each
 
 
+#: Links of a component that one task walks through in order; larger components are decided in rounds.
+MOST_LINKS = 1_000_000
+
+
+def _greedy(links: pd.DataFrame) -> pd.DataFrame:
+    """(id, leader) of one component's links (a, b), both ways: the one-by-one order itself."""
+    near: dict[int, list[int]] = {}
+    for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+        near.setdefault(a, []).append(b)
+    leader: dict[int, int] = {}
+    for item in sorted(near):
+        if item not in leader:
+            leader[item] = item
+            for other in near[item]:
+                leader.setdefault(other, item)
+    return pd.DataFrame({"id": list(leader), "leader": list(leader.values())})
+
+
 def leader_clusters(pairs: DataFrame, ids: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(id, leader): in id order an open item leads and takes every open item more similar than threshold.
 
+    Items of different components never meet: each component of at most MOST_LINKS links is walked through by one task, in
+    id order, however long its chains are. Larger ones are decided in rounds, which no task needs to hold. ids are long.
+    """
+    edges = pairs.where(F.col("cosine") > threshold).select("a", "b")
+    edges = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    parts = connected_components(edges)
+    named = materialize(edges.join(parts.select(F.col("node").alias("a"), "component"), "a"))
+    sizes = named.groupBy("component").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= 2 * MOST_LINKS).select("component")
+    walked = materialize(named.join(small, "component").groupBy("component").applyInPandas(_greedy, "id long, leader long"))
+    large = materialize(named.join(small, "component", "left_anti").select("a", "b"))
+    alone = ids.select("id").distinct().join(named.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    out = walked.unionByName(alone.select("id", F.col("id").alias("leader")))
+    if large.isEmpty():
+        return out
+    return out.unionByName(_leaders_in_rounds(large, large.select(F.col("a").alias("id"))))
+
+
+def _leaders_in_rounds(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, leader) of links (a, b), both ways.
+
     Each round, an item leads if no open neighbour is smaller; open items next to leaders join the
     smallest of them. That gives the groups of the one-by-one order.
     """
-    edges = pairs.where(F.col("cosine") > threshold).select("a", "b")
-    edges = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     open_, out, leaders = materialize(ids.select("id").distinct()), None, None
     while True:
         own = edges.join(open_.select(F.col("id").alias("a")), "a", "left_semi")

@@ -7,8 +7,10 @@ import statistics
 import tarfile
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from tagquarry.functions.components import connected_components
 from tagquarry.functions.tables import global_index
 from tagquarry.operators import encode, experts, filters, layers, metrics, rank, similarity, split, stats, tags, train
 from tagquarry.sources import files
@@ -119,15 +121,47 @@ def brute_leaders(n, edges):
     return out
 
 
-def test_leader_clusters_match_the_greedy_order(spark):
+@pytest.mark.parametrize("most", [similarity.MOST_LINKS, 3])
+def test_leader_clusters_match_the_greedy_order(spark, monkeypatch, most):
+    monkeypatch.setattr(similarity, "MOST_LINKS", most)
     r = random.Random(3)
-    for n, share in ((12, 0.2), (25, 0.1), (30, 0.3)):
+    for n, share in ((12, 0.2), (25, 0.1), (30, 0.3)) if most > 3 else ((25, 0.06),):
         edges = {(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < share}
         pairs = spark.createDataFrame([(a, b, 0.95) for a, b in edges], "a long, b long, cosine double")
         got = {x.id: x.leader for x in similarity.leader_clusters(pairs, spark.range(n)).collect()}
         assert got == brute_leaders(n, edges)
 
 
+def test_leaders_of_a_long_chain(spark):
+    """A hundred thousand items, each next to the one before: every other one leads."""
+    n = 100_000
+    pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.95).alias("cosine"))
+    out = similarity.leader_clusters(pairs, spark.range(n))
+    assert out.count() == n and out.where("leader <> id - id % 2").count() == 0
+
+
+def test_components(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(5, 5), (None, 1)]
+    near = defaultdict(set)
+    for a, b in edges:
+        if a is not None and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for x in sorted(near):
+        stack = [x] if x not in want else []
+        while stack:
+            y = stack.pop()
+            if y not in want:
+                want[y] = x
+                stack += near[y]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = connected_components(df).collect()
+    assert {y.node: y.component for y in got} == want and len(got) == len(want)
+    assert connected_components(df.limit(0)).count() == 0
+
+
 def test_history_by_key_presence(spark):
     history = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", False), (1, 2, "c", None)], "image long, pos int, created_by string, empty_layer boolean")
     own = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (1, 2, "z")], "image long, k int, layer string")
