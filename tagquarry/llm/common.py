@@ -13,7 +13,10 @@ WS = " \t\n\x0b\x0c\r"
 
 def bound_batches(spark: SparkSession, most: str = "2m") -> None:
     """Give Python workers record batches of about 2 MB, unless the session asks for another size than
-    Spark's own 64 MB: with copies on both sides of the pipe that is too much for a worker of long texts."""
+    Spark's own 64 MB: with copies on both sides of the pipe that is too much for a worker of long texts.
+
+    The setting stays in the session, since results are lazy and read it when they run: later queries of the same
+    session get such batches too, unless they set another size."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64m", "64MB"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 

@@ -11,7 +11,7 @@ from tagquarry.llm import queries
 from tagquarry.llm.common import materialize
 
 from ..oracle import DATA, connect, oracle_rows, rows_of
-from .test_operators import brute_targets
+from .test_operators import brute_components, brute_lines, brute_targets
 
 
 @pytest.mark.parametrize("name", list(queries.SQL))
@@ -37,6 +37,40 @@ def test_stages(spark):
     assert out.count() == docs.count() and out.where("NOT exact").count() == 0
 
 
+def test_whole_run_against_brute_force(spark):
+    """Each stage on all that the one before has kept, and the run as their chain."""
+    spoken = {r.doc_id: r.predicted for r in queries.op9_toxicity(spark, DATA).collect()}
+    docs = queries.table(spark, DATA, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        before = {(r.doc_id, r.text): r for r in docs.collect()}
+        docs = materialize(stage(spark, docs, DATA))
+        after = docs.collect()
+        if name == "toxicity":
+            assert {(r.doc_id, r.text) for r in after} == {k for k in before if not spoken[k[0]]} and len(after) < len(spoken)
+        elif name == "line_dedup":
+            assert sorted((r.doc_id, r.text) for r in after) == [(d, t) for d, _, _, t in brute_lines(list(before))]
+        elif name == "jaccard_join":
+            least = brute_components(list(before))
+            assert {(r.doc_id, r.text) for r in after} == {k for k in before if least[k[0]][1] == k[0]} and len(after) < len(before)
+        elif name == "mixing":
+            sizes, taken = Counter(), Counter()
+            for r in before.values():
+                sizes[r.source] += len(r.text.split())
+            for r in after:
+                taken[r.source] += len(r.text.split())
+            want = brute_targets(sizes)
+            longest = max(len(r.text.split()) for r in before.values())
+            assert all(abs(taken[s] - want[s]) <= longest for s in sizes)
+        else:
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+            texts = {d: t for d, t in before}
+            assert all(list(r.ids) == sp.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in after)
+    ran = Counter((r.doc_id, r.source, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert ran == Counter((r.doc_id, r.source, tuple(r.ids)) for r in after)
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     for t in ("documents", "labels"):
