@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count, islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,13 @@ def word_hash(lang: str, word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=lang.encode()[:64]).digest(), "little")
 
 
+class Test(NamedTuple):
+    """Which phrases a scan counts, by hashes: words of pairs, and pairs of triples; None takes all."""
+
+    word: Callable | None = None
+    pair: Callable | None = None  # (hashes) -> (may be frequent, is in the batch)
+
+
 class Counts:
     """Numbers the words of one language and counts its phrases of one length in a task."""
 
@@ -70,21 +79,29 @@ class Counts:
         self.lang, self.length = lang, length
         self.ids: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.ids[BREAK]
-        self.hashes = np.zeros(1, np.uint64)
+        # By a word's number: its hash, where one is asked for, and whether phrases may hold it.
+        self.hashes, self.taken = np.zeros(1, np.uint64), np.zeros(1, bool)
         self.keys, self.n, self.pending, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-    def add(self, tokens: list[bytes], passing) -> None:
-        """passing: which phrases to count, from the hashes of the words at each place (None: all)."""
+    def add(self, tokens: list[bytes], test: Test) -> None:
         ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
-        k = self.length
-        at = np.arange(max(0, len(ids) - k + 1))
-        for i in range(k):
-            at = at[ids[at + i] != 0]
-        if passing is not None:
-            if len(self.ids) > len(self.hashes):
-                new = islice(self.ids, len(self.hashes), None)
-                self.hashes = np.concatenate([self.hashes, np.array([word_hash(self.lang, w) for w in new], np.uint64)])
-            at = at[passing([self.hashes[ids[at + i]] for i in range(k)])]
+        if fresh := len(self.ids) - len(self.taken):
+            taken = np.ones(fresh, bool)
+            if test.word or test.pair:
+                new = islice(self.ids, len(self.taken), None)
+                hashes = np.fromiter((word_hash(self.lang, w) for w in new), np.uint64, fresh)
+                self.hashes = np.concatenate([self.hashes, hashes])
+                taken = test.word(hashes) if test.word else taken
+            self.taken = np.concatenate([self.taken, taken])
+        k, ok = self.length, self.taken[ids]
+        if k > 1:
+            ok = ok[:-1] & ok[1:]
+        if k > 2:
+            at = np.flatnonzero(ok)
+            own = np.zeros_like(ok)
+            ok[at], own[at] = test.pair(mixed(self.hashes[ids[at]], self.hashes[ids[at + 1]]))
+            ok = ok[:-1] & ok[1:] & (own[:-1] | own[1:])
+        at = np.flatnonzero(ok)
         key = ids[at]
         for i in range(1, k):
             key = key << ID_BITS | ids[at + i]
@@ -97,29 +114,33 @@ class Counts:
         self.keys, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
         self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.keys)).astype(np.int64)
 
-    def emit(self) -> Iterator[pd.DataFrame]:
+    def emit(self) -> Iterator[pa.RecordBatch]:
         """(lang, w0 … , n)."""
         self.settle()
-        known = np.array([w.decode() for w in self.ids], object)
+        known = pa.array(list(self.ids), pa.binary()).cast(pa.string())
         for start in range(0, len(self.n), 50_000):
             key, n = self.keys[start : start + 50_000], self.n[start : start + 50_000]
             shifts = [ID_BITS * (self.length - 1 - i) for i in range(self.length)]
-            yield pd.DataFrame({"lang": self.lang, **{f"w{i}": known[key >> x & (1 << ID_BITS) - 1] for i, x in enumerate(shifts)}, "n": n})
+            held = [known.take(pa.array(key >> x & (1 << ID_BITS) - 1)) for x in shifts]
+            yield pa.RecordBatch.from_arrays([pa.repeat(self.lang, len(n)), *held, pa.array(n)], names=["lang", *_names(self.length), "n"])
 
 
 def _names(length: int) -> list[str]:
     return [f"w{i}" for i in range(length)]
 
 
-def count_phrases(texts: DataFrame, length: int, passing=None) -> DataFrame:
+def count_phrases(texts: DataFrame, length: int, make_test: Callable[[], Test] = Test) -> DataFrame:
     """(lang, w0 … , n) of texts (lang, text): occurrences of phrases of one length, of those that pass."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, Counts] = {}
-        test = passing() if passing else None
+        test = make_test()
         for batch in batches:
-            for lang, own in batch.groupby("lang", sort=False)["text"]:
-                found = words(b".".join(t.encode() for t in own))
+            by: defaultdict[str, list[bytes]] = defaultdict(list)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                by[lang].append(text)
+            for lang, own in by.items():
+                found = words(BREAK.join(own))
                 for start in range(0, len(found), STEP):
                     tables.setdefault(lang, Counts(lang, length)).add(found[start : start + STEP + length - 1], test)
                     # All languages together stay within the bounds.
@@ -134,7 +155,7 @@ def count_phrases(texts: DataFrame, length: int, passing=None) -> DataFrame:
             yield from c.emit()
 
     names = _names(length)
-    parts = texts.mapInPandas(scan, f"lang string, {', '.join(f'{w} string' for w in names)}, n long")
+    parts = texts.mapInArrow(scan, f"lang string, {', '.join(f'{w} string' for w in names)}, n long")
     return parts.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
@@ -174,11 +195,7 @@ def scores(phrases: DataFrame, cuts: int) -> DataFrame:
 def frequent_pairs(texts: DataFrame, frequent: DataFrame, least: int, max_cells: int) -> DataFrame:
     """(lang, w0, w1, a, l, r, score, bound): pairs of frequent words that occur `least` times."""
     known = _shared_filter(frequent, 1, max_cells)
-
-    def passing():
-        return lambda h: _within(known.value, h[0]) & _within(known.value, h[1])
-
-    pairs = count_phrases(texts, 2, passing).where(F.col("n") >= least).withColumnRenamed("n", "a")
+    pairs = count_phrases(texts, 2, lambda: Test(word=lambda h: _within(known.value, h))).where(F.col("n") >= least).withColumnRenamed("n", "a")
     left = frequent.select("lang", F.col("w0"), F.col("n").alias("l1"))
     right = frequent.select("lang", F.col("w0").alias("w1"), F.col("n").alias("r1"))
     scored = scores(pairs.join(left, ["lang", "w0"]).join(right, ["lang", "w1"]), 1)
@@ -190,18 +207,14 @@ def triples_of(texts: DataFrame, batch: DataFrame, pairs: DataFrame, least: int,
     """(lang, w0, w1, w2, a): triples that occur `least` times and begin or end with a pair of the batch."""
     own, every = _shared_filter(batch, 2, max_cells), _shared_filter(pairs, 2, max_cells)
 
-    def passing():
-        def test(h):
-            first, last = mixed(h[0], h[1]), mixed(h[1], h[2])
-            # Either pair is in the batch, and both are frequent, as the triple can only then be.
-            out = _within(own.value, first) | _within(own.value, last)
-            at = np.flatnonzero(out)
-            out[at] = _within(every.value, first[at]) & _within(every.value, last[at])
-            return out
-
-        return test
+    def pair(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Both pairs of a triple are frequent, as the triple can only then be; one of them is in the batch.
+        frequent = _within(every.value, h)
+        wanted = np.zeros_like(frequent)
+        wanted[frequent] = _within(own.value, h[frequent])
+        return frequent, wanted
 
-    return count_phrases(texts, 3, passing).where(F.col("n") >= least).withColumnRenamed("n", "a")
+    return count_phrases(texts, 3, lambda: Test(pair=pair)).where(F.col("n") >= least).withColumnRenamed("n", "a")
 
 
 def _order() -> list[Column]:
