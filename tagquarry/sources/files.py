@@ -263,6 +263,17 @@ def matching_weights(lines: DataFrame, tags: DataFrame, classifier: int) -> Data
 
 
 def readable_weights(lines: DataFrame, tags: DataFrame, classifier: int) -> DataFrame:
-    """One row (n, total, positives) of the matching weights."""
-    hit = matching_weights(lines, tags, classifier)
-    return hit.agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.count_if(F.col("weight") > 0).alias("positives"))
+    """One row (n, total, positives, weights) of the matching weights; weights: the array of all of them, ascending.
+
+    Equal weights are counted first, so that only distinct ones meet in a task and the answer alone holds them all.
+    Where that is too long for one row, `matching_weights` has them as rows.
+    """
+    counts = matching_weights(lines, tags, classifier).groupBy("weight").agg(F.count("*").alias("n"))
+    known = F.sort_array(F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("weight", "n"))))
+    each = F.transform(known, lambda x: F.array_repeat(x["weight"], x["n"].cast("int")))
+    return counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.sum(F.col("weight") * F.col("n")).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("n"))), F.lit(0)).alias("positives"),
+        F.flatten(each).alias("weights"),
+    )

@@ -3,11 +3,15 @@
 import itertools
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tagquarry.operators import catalog, encode, filters, split, stats
+from tagquarry.queries import QUERIES, SQL
 from tagquarry.sources import files
 
+from .oracle import DATA, oracle_rows, rows_of
+
 
 def test_combinations_by_rank_equal_all_pairs(spark):
     r = random.Random(4)
@@ -85,3 +89,25 @@ def test_histogram_of_occurrences(spark):
     assert {(r.n_labels, r.n_features) for r in stats.occurrence_histogram(per).collect()} == {(0, 2), (1, 1), (2, 0), (3, 1)}
     chosen = stats.feature_occurrence(vec, spark.createDataFrame([("a",), ("b",)], "label string"))
     assert {(r.n_labels, r.n_features) for r in stats.occurrence_histogram(chosen, fill=False).collect()} == {(0, 2), (1, 1), (2, 1)}
+
+
+def test_readable_weights_list_every_matching_weight(spark):
+    r = random.Random(6)
+    own = [(r.choice(["ab", "b", "xa", "zz"]), r.choice([0, 1, 1]), r.choice([-2.5, -1.0, 0.0, 0.25, 3.0])) for _ in range(300)]
+    lines = spark.createDataFrame([(f"{f}[{c}]:{w}",) for f, c, w in own], "value string").repartition(5)
+    tags = spark.createDataFrame([("a",), ("x",)], "tag string")
+    want = sorted(w for f, c, w in own if c == 1 and ("a" in f or "x" in f))
+    (got,) = files.readable_weights(lines, tags, 1).collect()
+    assert (got.n, got.total, got.positives, got.weights) == (len(want), sum(want), sum(w > 0 for w in want), want)
+    (none,) = files.readable_weights(lines, tags, 7).collect()
+    assert (none.n, none.total, none.positives, none.weights) == (0, None, 0, [])
+
+
+def test_readable_weights_of_empty_and_repeated_parts_equal_the_sql(spark, tmp_path):
+    part = spark.read.parquet(f"{DATA}/part.parquet")
+    for name, rows in (("none", part.limit(0)), ("thrice", part.union(part).union(part))):
+        rows.write.parquet(str(tmp_path / name / "part.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path / name}/part.parquet/*.parquet'")
+        names, got = rows_of(QUERIES["s15_readable_weights"](spark, str(tmp_path / name)))
+        assert "weights" in names and (names, got) == oracle_rows(con, SQL["s15_readable_weights"])
