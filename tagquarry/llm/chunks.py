@@ -20,11 +20,14 @@ class ChunkTable:
         self.segment, self.shared, self.most = segment, shared or {}, most or MAX_ENTRIES
         self.table = dict(self.shared)
 
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of each text, given as its chunks in order."""
+    def _own(self) -> dict:
         if len(self.table) - len(self.shared) >= self.most:
             self.table = dict(self.shared)
-        table = self.table
+        return self.table
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each text, given as its chunks in order."""
+        table = self._own()
         new = list(set().union(*texts).difference(table))
         table.update(zip(new, self.segment(new)))
         out = [b"".join(map(table.__getitem__, chunks)) for chunks in texts]
@@ -32,3 +35,15 @@ class ChunkTable:
             if len(chunk) > MAX_CHARS:
                 del table[chunk]
         return out
+
+    def look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of these distinct chunks."""
+        table = self._own()
+        out = list(map(table.get, chunks))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = [chunks[i] for i in missing]
+        for i, chunk, ids in zip(missing, new, self.segment(new)):
+            out[i] = ids
+            if len(chunk) <= MAX_CHARS:
+                table[chunk] = ids
+        return out

@@ -21,25 +21,30 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import MAX_CHARS, ChunkTable
+from .chunks import ChunkTable
 from .common import bound_batches
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
 #: A block is closed after the document with which it reaches this many ids.
 BLOCK_IDS = 1 << 18
-#: About as many characters are encoded at a time.
-BATCH_CHARS = 1_000_000
-#: Entries of a worker's chunk table and of its table of plain words before they start anew, about 200 bytes each.
-MAX_CHUNKS, MAX_WORDS = 500_000, 250_000
+#: About as many bytes of text are encoded at a time.
+BATCH_BYTES = 1 << 23
+#: Entries of a worker's table of chunks before it starts anew, about 200 bytes each.
+MAX_CHUNKS = 500_000
 #: Letters of the plain words: one code point in either case, and composed already.
 LETTERS = "".join(c for c in map(chr, range(65, 256)) if c.isalpha() and c.lower() in map(chr, range(97, 256)) and c not in "ªºµ")
-PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?|]*)")
-
+#: The ASCII signs, which the splitter leaves together.
+SIGNS = "!-/:-@\\[-`{-~"
+PLAIN = re.compile(f"[{LETTERS}]+|[{SIGNS}]+")
+#: Words in which the normaliser may change more than case, or that may hold a special token.
+ODD = f"[^!-~{LETTERS}]|<\\|"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -119,31 +124,19 @@ class Block:
 
 
 def segmenter(tokenizer):
-    """Plain words skip the library's normaliser and splitter, which cannot change or divide them
-    but for case and the signs at the end, and go to its model at once; all other chunks go
-    through the whole library."""
+    """Plain chunks, all lower-case letters or all signs, skip the library's normaliser and splitter, which cannot
+    change or divide them, and go to its model at once; all other chunks go through the whole library."""
     spelled = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
-    known: dict = {}
-
-    def word(w: str) -> bytes:
-        ids = known.get(w)
-        if ids is None:
-            if len(known) >= MAX_WORDS:
-                known.clear()
-            found = [t.id for t in tokenizer.model.tokenize(w.translate(spelled))]
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(w) <= MAX_CHARS:
-                known[w] = ids
-        return ids
+    model = tokenizer.model
 
     def segment(chunks: list[str]) -> list[bytes]:
         out = []
         for c in chunks:
-            m = PLAIN.fullmatch(c)
-            if m:
-                out.append(word(m[1].lower()) + (word(m[2]) if m[2] else b""))
+            if PLAIN.fullmatch(c):
+                ids = [t.id for t in model.tokenize(c if c.isascii() else c.translate(spelled))]
             else:
-                out.append(np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
+                ids = tokenizer.encode(c, add_special_tokens=False).ids
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
     return segment
@@ -151,22 +144,55 @@ def segmenter(tokenizer):
 
 @lru_cache(maxsize=1)
 def _table(spec: str) -> ChunkTable:
-    """The worker's tokenizer with its chunk table, kept between tasks: bounded by MAX_CHUNKS and MAX_WORDS."""
+    """The worker's tokenizer with its chunk table, kept between tasks: bounded by MAX_CHUNKS."""
     from tokenizers import Tokenizer
 
     return ChunkTable(segmenter(Tokenizer.from_str(spec)), most=MAX_CHUNKS)
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """The tokenizer drops white space and no token crosses it, so that the words between are encoded alone."""
-    text = text or ""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, signs to the tokenizer
-        return list(filter(None, text.replace("\n", " ").split(" ")))
-    return text.split()
+def words_of(texts: pa.Array) -> pa.Array:
+    """The words of each text: the tokenizer drops white space and no token crosses it, so that they are encoded alone."""
+    texts = pc.fill_null(texts, "")
+    if not pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+        return pc.utf8_split_whitespace(texts)
+    # white space to Arrow and Python, signs to the tokenizer
+    odd = (t.replace("\n", " ").split(" ") if re.search("[\x1c-\x1f]", t) else t.split() for t in texts.to_pylist())
+    return pa.array(odd, pa.list_(pa.string()))
+
+
+def chunks_of(words: pa.Array) -> pa.Array:
+    """The chunks of each word: cut between letters and the signs after them, where the tokenizer cuts as well, with
+    letters in lower case. Odd words stay as they are."""
+    cut = pc.replace_substring_regex(pc.utf8_lower(words), f"([{LETTERS}])([{SIGNS}])", r"\1 \2")
+    return pc.split_pattern(pc.if_else(pc.match_substring_regex(words, ODD), words, cut), " ")
+
 
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where each list or binary value starts, and the end of the last one."""
+    if pa.types.is_large_binary(values.type):
+        return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1)
+    return np.asarray(values.offsets, np.int64)
 
-def encode_texts(texts: list, table: ChunkTable) -> list[bytes]:
-    return table.encode([chunks_of(t) for t in texts])
+
+def encode_texts(texts: pa.Array, table: ChunkTable, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, each text's followed by `end`, and the number of ids up to each text's end.
+
+    Each distinct word is cut once and each distinct chunk looked up once; the ids are then taken by position.
+    """
+    lists = words_of(texts)
+    words = lists.flatten().dictionary_encode()
+    parts = chunks_of(words.dictionary)
+    chunks = parts.flatten().dictionary_encode()
+    known = table.look_up(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+    # Every distinct word's ids, those of `end` last
+    spelled = pa.array([*known, end], pa.large_binary()).take(pa.array(np.append(chunks.indices, len(known))))
+    bounds = _offsets(spelled)[np.append(_offsets(parts), len(spelled))]
+    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), spelled.buffers()[2]])
+    # Every word of the texts, and `end` after each text's
+    ends = _offsets(lists)[1:]
+    taken = spelled.take(pa.array(np.insert(words.indices, ends, len(words.dictionary))))
+    upto = _offsets(taken)
+    return np.frombuffer(taken.buffers()[2], "<u4", upto[-1] // 4), upto[ends + np.arange(1, len(ends) + 1)] // 4
 
 
 def write_token_file(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> None:
@@ -189,30 +215,34 @@ def write_token_file(documents: DataFrame, path: str, tokenizer_path: str, end_i
                 "n_tokens": sum(lengths),
                 "doc_ids": list(docs),
                 "lengths": list(lengths),
-                "codes": pack(np.frombuffer(b"".join(ids), "<u4")),
+                "codes": pack(np.concatenate(ids)),
             }
             start += row["n_tokens"]
             docs.clear(), lengths.clear(), ids.clear()
             return pd.DataFrame([row])
 
-        def texts_of(batches):
-            rows, chars = [], 0
+        def gathered(batches):
+            rows, size = [], 0
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    rows.append((doc, text.as_py()))
-                    chars += len(rows[-1][1] or "")
-                    if chars >= BATCH_CHARS:
-                        yield rows
-                        rows, chars = [], 0
-            yield rows
+                if rows and size + batch.nbytes > BATCH_BYTES:
+                    yield pa.Table.from_batches(rows).combine_chunks()
+                    rows, size = [], 0
+                if batch.num_rows:
+                    rows.append(batch)
+                    size += batch.nbytes
+            if rows:
+                yield pa.Table.from_batches(rows).combine_chunks()
 
         held = 0
-        for rows in texts_of(batches):
-            for (doc, _), own in zip(rows, encode_texts([t for _, t in rows], table)):
-                ids.append(own + end)
+        for rows in gathered(batches):
+            found, ends = encode_texts(rows.column(1).chunk(0), table, end)
+            at = 0
+            for doc, to in zip(rows.column(0).to_pylist(), ends.tolist()):
+                ids.append(found[at:to])
                 docs.append(doc)
-                lengths.append(len(ids[-1]) // 4)
-                held += lengths[-1]
+                lengths.append(to - at)
+                held += to - at
+                at = to
                 if held >= BLOCK_IDS:
                     held = 0
                     yield _record(block())
@@ -235,8 +265,6 @@ SCHEMA = "part int, start_in_part long, n_tokens long, doc_ids array<long>, leng
 
 
 def _record(frame: pd.DataFrame):
-    import pyarrow as pa
-
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     return pa.RecordBatch.from_arrays(
         [pa.array(frame[c].tolist(), k) for c, k in zip(frame.columns, kinds)], names=list(frame.columns)

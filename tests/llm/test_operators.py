@@ -471,6 +471,24 @@ def test_token_file_round_trip(spark, tmp_path):
     assert [x.doc_id for x in tokenfile.document_digests(tokenfile.read_token_file(spark, str(tmp_path / "n"))).collect()] == [None, None]
 
 
+def test_token_file_cuts_each_distinct_word_once_and_as_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, r, seen = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")), random.Random(31), []
+    segment = tokenfile.segmenter(tokenizer)
+    table = ChunkTable(lambda new: seen.extend(new) or segment(new))
+    tokenfile.encode_texts(pa.array(["Word word, WORD$$$", None, "word. 'word'", "\u00c9t\u00e9, \u00e9t\u00e9!"]), table, bytes(4))
+    assert sorted(seen) == sorted(["word", ",", "$$$", "", ".", "'word", "'", "\u00e9t\u00e9", "!"])
+    some = [*"aAzZ  stTmM''.,,|<>$-09\n\t", "<|endoftext|>", *"\u00e9\u0301\u030cJ\u0338=\u00df\u00ff\u0178\u0130\u03a3\x1c\x1f\x85\xa0\u200b\u2028\ufb01\u0416\u4e2d\x00\u00bd\u00b5\u00aa"]
+    for letters in (some, some[:24]):
+        texts = ["".join(r.choices(letters, k=r.randint(0, 30))) for _ in range(3000)] + [None, "x" * 400 + ", y"]
+        ids, ends = tokenfile.encode_texts(pa.array(texts), table, bytes(4))
+        for text, at, to in zip(texts, [0, *ends], ends):
+            assert ids[at:to].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], text
+    assert len(ids) == ends[-1] and max(map(len, table.table)) <= 256
+
+
 def test_any_token_of_a_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK_IDS", 50)
     name, r = queries.tokenizer_path("word_bpe_49k.json"), random.Random(12)
