@@ -345,6 +345,36 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_top_k_over_chunks_and_blocks(spark, monkeypatch):
+    r = random.Random(11)
+    base = [[r.choice([-1.0, 1.0]) for _ in range(40)] for _ in range(30)]
+    near = lambda e: [-x if r.random() < 0.1 else x for x in e]
+    rows = [(i, near(r.choice(base))) for i in range(240)] + [(300 + i, base[0]) for i in range(30)]
+    rows[3:5] = [(3, [float("nan"), None] * 20), (4, [1.0, -1.0] * 20)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    for name, value in (("CHUNK", 40), ("BLOCK", 6), ("STEP", 64)):  # many small tasks, whose results are merged
+        monkeypatch.setattr(topk, name, value)
+    plain = [(i, [1.0 if x is not None and (x > 0 or x != x) else -1.0 for x in e]) for i, e in rows]
+    asked = [i for i, _ in rows if i % 3 == 0]
+    assert sorted(map(tuple, topk.top_k(df, df.where("id % 3 = 0"), 10).collect())) == brute_top_k(plain, asked, 10)
+
+
+def test_top_k_compares_few_codes(monkeypatch):
+    """A task looks segments up: of 65,536 codes it compares a small part with each query."""
+    import numpy as np
+
+    rng, seen = np.random.default_rng(2), []
+    raw, ids = rng.integers(0, 256, (1 << 16, 8), dtype=np.uint8), np.arange(1 << 16)
+    own = raw[:50] ^ (np.uint8(1) << np.uint8(3))
+    add = topk._Nearest.add
+    monkeypatch.setattr(topk._Nearest, "add", lambda self, q, c, d: (seen.append(len(c)), add(self, q, c, d)))
+    near = topk.search(10, 64, ids, raw, -1 - np.arange(50), own)
+    apart = np.bitwise_count(own[:, None, :] ^ raw[None]).sum(axis=2, dtype=int)
+    want = [(q, d, i) for q in range(50) for d, i in sorted(zip(apart[q].tolist(), ids.tolist()))[:10]]
+    assert list(zip(near.q.tolist(), near.d.tolist(), near.i.tolist())) == want
+    assert sum(seen) < 50 * len(ids) / 4
+
+
 # URL filters -----------------------------------------------------------------------------------
 
 
