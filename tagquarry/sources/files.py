@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import tarfile
 
 import pandas as pd
@@ -12,64 +14,100 @@ from pyspark.sql import functions as F
 from ..functions.tables import discard, materialize
 
 CHANGESET = "path string, labels array<string>, changes array<string>, error string"
-TAGSET = "path string, labels array<string>, tags map<string,long>, error string"
+TAGSET = "path string, id string, labels array<string>, tags map<string,long>, error string"
+#: Characters of documents that a task hands on at a time.
+PIECE = 4_000_000
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def _parsed(row):
+def _documents(text: str) -> list[str]:
+    """The YAML documents of a file: one, or many between lines of ---."""
+    parts = [text] if re.search(r"(?m)^%", text) else re.split(r"(?m)^---[ \t\r]*$", text)
+    return [p for p in parts if re.search(r"(?m)^[ \t]*[^\s#]", p)] or [text]
+
+
+def _number(text: str):
+    """A number with a fraction or an exponent as YAML takes it: 1e5 is text there."""
+    return float(text) if re.fullmatch(r"-?\d+\.\d+([eE][-+]\d+)?", text) else text
+
+
+def _parsed(text):
     import yaml
 
-    found = yaml.load(row, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    try:  # JSON text is YAML as well, and read much faster; but YAML folds some characters that JSON keeps
+        found = json.loads(text, parse_float=_number, parse_constant=str) if text.lstrip()[:1] == "{" else None
+    except ValueError:
+        found = None
+    if found is None:
+        found = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     labels = found.get("labels") or ([found["label"]] if found.get("label") is not None else None)
     if labels is not None:  # YAML reads label: 3.10 as a number, and labels: x as one string
         labels = [str(x) for x in (labels if isinstance(labels, list) else [labels])]
     return found, labels
 
 
-def _changesets(batches):
-    for b in batches:
-        rows = []
-        for path, value in zip(b["path"], b["value"]):
-            try:
-                found, labels = _parsed(value)
-                rows.append((path, labels, [str(c) for c in found["changes"]], None))
-            except Exception as e:  # a bad file is reported, not fatal
-                rows.append((path, None, None, repr(e)))
-        yield pd.DataFrame(rows, columns=["path", "labels", "changes", "error"])
+def _changeset(text):
+    found, labels = _parsed(text)
+    return labels, [str(c) for c in found["changes"]]
 
 
-def _tagsets(batches):
-    for b in batches:
-        rows = []
-        for path, value in zip(b["path"], b["value"]):
-            try:
-                found, labels = _parsed(value)
-                tags = found["tags"]
-                if not isinstance(tags, dict):
-                    pairs = [t.rsplit(":", 1) if ":" in t else (t, 1) for t in map(str, tags)]
-                    tags = {}
-                    for k, v in pairs:
-                        tags[k] = tags.get(k, 0) + int(v)
-                rows.append((path, labels, {str(k): int(v) for k, v in tags.items()}, None))
-            except Exception as e:
-                rows.append((path, None, None, repr(e)))
-        yield pd.DataFrame(rows, columns=["path", "labels", "tags", "error"])
+def _tagset(text):
+    found, labels = _parsed(text)
+    tags = found["tags"]
+    if not isinstance(tags, dict):
+        pairs = [t.rsplit(":", 1) if ":" in t else (t, 1) for t in map(str, tags)]
+        tags = {}
+        for k, v in pairs:
+            tags[k] = tags.get(k, 0) + int(v)
+    own = found.get("id")
+    return None if own is None else str(own), labels, {str(k): int(v) for k, v in tags.items()}
+
+
+def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    """One row per document: its file, what parse makes of it, and the error where it fails."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        rows, size = [], 0
+        for b in batches:
+            for file, value in zip(b["path"], b["value"]):
+                for text in _documents(value):
+                    try:
+                        rows.append((file, *parse(text), None))
+                    except Exception as e:  # a bad document is reported, not fatal
+                        rows.append((file, *[None] * (len(names) - 2), repr(e)))
+                    size += len(text)
+                    if size > PIECE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=names)
+
+    return _whole_files(spark, path).mapInPandas(run, schema)
 
 
 def read_changesets(spark: SparkSession, path: str) -> DataFrame:
-    """One row per YAML file; error is set where a file cannot be read as a changeset."""
-    return _whole_files(spark, path).mapInPandas(_changesets, CHANGESET)
+    """One row per YAML document; error is set where it cannot be read as a changeset.
+
+    A file holds one document or many, between lines of ---: small changesets need no file of their own. Spark hands a
+    file over as one value, so that files are limited to 2 GB each.
+    """
+    return _read(spark, path, _changeset, CHANGESET)
 
 
 def read_tagsets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(tagsets, rejects): YAML files with map or list tags, label or labels."""
-    rows = _whole_files(spark, path).mapInPandas(_tagsets, TAGSET)
+    """(tagsets, rejects): YAML documents as in read_changesets, with map or list tags, label or labels, and an id or none."""
+    rows = _read(spark, path, _tagset, TAGSET)
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("path", "error")
 
 
+def write_documents(texts: DataFrame, path: str, most: int = 1_000) -> None:
+    """The texts (value), each a YAML document, as files of at most so many documents between lines of ---."""
+    texts.select("value").write.option("lineSep", "\n---\n").option("maxRecordsPerFile", most).text(path)
+
+
 def select_files(files: DataFrame, suffix: str = "tag", names: list[str] | None = None, without: list[str] = ()) -> DataFrame:
     """Files (name) that end in .suffix, whose name up to the last dash is in names (unless that is empty)
     and that start with none of the prefixes in without."""

@@ -1,6 +1,7 @@
 """Edge rules and brute-force restatements of operators that SQL does not cover."""
 
 import io
+import json
 import math
 import random
 import statistics
@@ -15,6 +16,8 @@ from tagquarry.functions.tables import global_index
 from tagquarry.operators import encode, experts, filters, layers, metrics, rank, similarity, split, stats, tags, train
 from tagquarry.sources import files
 
+from .oracle import DATA
+
 
 def brute_tags(paths, threshold):
     freq, kids = defaultdict(int), defaultdict(set)
@@ -285,6 +288,40 @@ def test_read_changesets(spark, tmp_path):
     assert rows["a.yaml"].labels == ["pip==1"] and rows["a.yaml"].changes == ["usr/lib/pip", "x:y"] and rows["b.yaml"].error
 
 
+def test_many_documents_in_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PIECE", 10)
+    (tmp_path / "a.yaml").write_text("# first\n---\nlabel: x\nchanges: [a]\n...\n---\nchanges: [\n---\r\nlabels: [y]\nchanges: [b, c]\n---\n")
+    (tmp_path / "b.yaml").write_text("%YAML 1.1\n---\nlabel: z\nchanges: [d]\n")
+    (tmp_path / "empty.yaml").write_text("\n")
+    odd = "t\x7f\u2028\U0001f600"
+    lines = [json.dumps({"label": i, "changes": [odd, "---"]}, ensure_ascii=i == 1) for i in (1, 2)] + ['{"label": 1e5, "changes": [3.10, 1.5e3, 007, true]}']
+    (tmp_path / "c.yaml").write_text("\n---\n".join(lines))
+    rows = [(r.path.rsplit("/", 1)[1], r.labels, r.changes, r.error is None) for r in files.read_changesets(spark, str(tmp_path)).collect()]
+    bad = [r[0] for r in rows if not r[3]]
+    assert sorted(bad) == ["a.yaml", "empty.yaml"]
+    assert sorted(r[:3] for r in rows if r[3]) == [
+        ("a.yaml", ["x"], ["a"]), ("a.yaml", ["y"], ["b", "c"]), ("b.yaml", ["z"], ["d"]),
+        ("c.yaml", ["1"], [odd, "---"]), ("c.yaml", ["1e5"], ["3.1", "1.5e3", "7", "True"]), ("c.yaml", ["2"], [odd, "---"]),
+    ]
+
+
+def test_tagsets_of_one_file_keep_their_ids(spark, tmp_path):
+    texts = spark.createDataFrame([(json.dumps({"id": i, "label": "x", "tags": {"foo": i}}),) for i in range(5)], "value string").coalesce(1)
+    files.write_documents(texts, str(tmp_path / "t"), most=3)
+    good, bad = files.read_tagsets(spark, str(tmp_path / "t"))
+    assert sorted((r.id, r.tags["foo"]) for r in good.collect()) == [(str(i), i) for i in range(5)] and bad.count() == 0
+    assert len(list((tmp_path / "t").glob("part-*"))) == 2
+
+
+@pytest.mark.parametrize("name", ["s1_read_changesets"])
+def test_records_share_files(spark, tmp_path, monkeypatch, name):
+    from tagquarry import queries
+
+    monkeypatch.setattr(queries, "scratch", lambda s: str(tmp_path / "files"))
+    assert queries.QUERIES[name](spark, DATA).count()
+    assert 0 < len(list((tmp_path / "files").rglob("part-*"))) <= 8
+
+
 def test_archives_and_image_metadata(spark, tmp_path):
     (tmp_path / "tar").mkdir()
     with tarfile.open(tmp_path / "tar/layer.tar", "w") as tar:
