@@ -313,7 +313,7 @@ def test_tagsets_of_one_file_keep_their_ids(spark, tmp_path):
     assert len(list((tmp_path / "t").glob("part-*"))) == 2
 
 
-@pytest.mark.parametrize("name", ["s1_read_changesets"])
+@pytest.mark.parametrize("name", ["s1_read_changesets", "s2_read_tagsets"])
 def test_records_share_files(spark, tmp_path, monkeypatch, name):
     from tagquarry import queries
 
