@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tagquarry.operators import stats
 from tagquarry.streaming import jobs
 
+from .oracle import DATA
+
 CHANGES = "changeset_id long, changes array<string>"
 
 
@@ -111,3 +113,13 @@ def test_usage_state_stops_growing(spark, tmp_path):
         assert out == {0: 400, 1: 400}
         kept.append([max(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]])
     assert max(kept[0]) <= 300 and kept[1][-1] == 800
+
+
+@pytest.mark.parametrize("name", ["t1_score_stream"])
+def test_tags_are_extracted_once(spark, monkeypatch, name):
+    """The samples and the stumps of a query come from one extraction."""
+    from tagquarry import fixtures, queries
+
+    calls, extract = [], fixtures.instance_tag
+    monkeypatch.setattr(fixtures, "instance_tag", lambda *a: (calls.append(a), extract(*a))[1])
+    assert queries.QUERIES[name](spark, DATA).count() and len(calls) == 1
