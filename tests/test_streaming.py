@@ -115,7 +115,7 @@ def test_usage_state_stops_growing(spark, tmp_path):
     assert max(kept[0]) <= 300 and kept[1][-1] == 800
 
 
-@pytest.mark.parametrize("name", ["t1_score_stream"])
+@pytest.mark.parametrize("name", ["t1_score_stream", "t4_usage_within"])
 def test_tags_are_extracted_once(spark, monkeypatch, name):
     """The samples and the stumps of a query come from one extraction."""
     from tagquarry import fixtures, queries
