@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -92,22 +94,96 @@ def cosine_pairs(rows: DataFrame) -> DataFrame:
     return met.groupBy("x", "y").applyInPandas(_products, "a long, b long, cosine double")
 
 
+#: Most rows of a group whose pairs are sought, and rows and features whose products a task makes at a time.
+GROUP, STRIP, COLUMNS = 8192, 512, 512
+#: Products that a task makes in the time in which a join makes a pair.
+WORTH = 100_000
+#: Decimals to which a cosine is compared, so that the order of a sum decides nothing.
+PLACES = 9
+
+
+def _sorted_by_place(part: pd.DataFrame, features: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a group with these features, feature by feature: row, place of the feature, value; and where blocks of columns start."""
+    rows, idx, v = _packed_rows(part)
+    hit = np.isin(idx, features)
+    rows, at, v = rows[hit], np.searchsorted(features, idx[hit]), v[hit]
+    order = np.argsort(at, kind="stable")
+    return rows[order], at[order], v[order], np.searchsorted(at[order], np.arange(0, len(features) + columns, columns))
+
+
+def _above(threshold: float):
+    def dense(entries, block: int, low: int, high: int, width: int) -> np.ndarray:
+        rows, at, v, starts = entries
+        rows, at, v = (x[starts[block] : starts[block + 1]] for x in (rows, at, v))
+        own = (rows >= low) & (rows < high)
+        out = np.zeros((high - low, width))
+        out[rows[own] - low, at[own] - block * COLUMNS] = v[own]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(a, b, cosine) above threshold of the rows of two groups, or of one with itself."""
+        part = pd.concat(list(batches))
+        left, right = part[part["side"] == 0], part[part["side"] == 1]
+        alone = part["x"].iloc[0] == part["y"].iloc[0]
+        if alone:
+            right = left
+        if left.empty or right.empty:
+            return
+        first, second = left["id"].to_numpy(), right["id"].to_numpy()
+        features = np.intersect1d(*(np.concatenate(x["idx"].to_numpy()) for x in (left, right)))
+        a, b = _sorted_by_place(left, features, COLUMNS), _sorted_by_place(right, features, COLUMNS)
+        widths = [min(COLUMNS, len(features) - k) for k in range(0, len(features), COLUMNS)]
+        kept = dense(b, 0, 0, len(right), widths[0]) if len(widths) == 1 else None
+        for low in range(0, len(left), STRIP):
+            high = min(low + STRIP, len(left))
+            dots = np.zeros((high - low, len(right)))
+            for k, width in enumerate(widths):
+                dots += dense(a, k, low, high, width) @ (dense(b, k, 0, len(right), width) if kept is None else kept).T
+            i, j = np.nonzero(dots > threshold)
+            some = np.round(dots[i, j], PLACES) > threshold
+            i, j = i[some], j[some]
+            x, y = first[low + i], second[j]
+            keep = x < y if alone else np.ones(len(x), bool)
+            yield pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "cosine": dots[i, j][keep]})
+
+    return run
+
+
+def _pairs_of_groups(unit: DataFrame, n: int, threshold: float) -> DataFrame:
+    """similar_pairs of n unit rows by products of all rows: each two groups meet in one task, and only similar pairs leave it."""
+    groups = -(-n // max(1, min(GROUP, max(256, -(-n // 16)))))
+    packed = unit.groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("v").alias("v"))
+    packed = materialize(packed.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups))))
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = met.select(
+        F.least("group", "other").alias("x"), F.greatest("group", "other").alias("y"), (F.col("group") > F.col("other")).cast("int").alias("side"), "id", "idx", "v"
+    )
+    return met.groupBy("x", "y").applyInPandas(_above(threshold), "a long, b long, cosine double")
+
+
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine) of the pairs a < b whose cosine is above threshold.
+    """(a, b, cosine) of the pairs a < b whose cosine, to PLACES decimals, is above threshold.
 
     Features are ranked by how many rows hold them. The more frequent features of a row, as long as their
     own length stays below threshold, cannot reach it alone; so a similar pair's rarest common feature is
-    among the others of both rows, and only those are joined.
+    among the others of both rows, and only those are joined. Where even these are so common that the join would make
+    more than one pair in WORTH products of all rows, the rows are multiplied in groups.
     """
     unit = materialize(unit_rows(rows))
     held = unit.groupBy("idx").agg(F.count("*").alias("held"))
     common = Window.partitionBy("id").orderBy(F.desc("held"), "idx").rowsBetween(Window.unboundedPreceding, 0)
     rest = unit.join(held, "idx").withColumn("square", F.sum(F.col("v") * F.col("v")).over(common))
-    rare = rest.where(F.col("square") >= threshold * threshold - 1e-9).select("id", "idx")
+    rare = materialize(rest.where(F.col("square") >= threshold * threshold - 1e-9).select("id", "idx"))
+    if threshold >= 0:
+        n = unit.select("id").distinct().count()
+        each = rare.groupBy("idx").agg(F.count("*").cast("double").alias("n"))
+        made = each.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+        if made * WORTH > n * (n - 1) / 2 * held.count():
+            return _pairs_of_groups(unit, n, threshold)
     a, b = rare.alias("a"), rare.alias("b")
     met = a.join(b, (F.col("a.idx") == F.col("b.idx")) & (F.col("a.id") < F.col("b.id")))
     met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    return _dots(met, unit).where(F.col("cosine") > threshold)
+    return _dots(met, unit).where(F.round("cosine", PLACES) > threshold)
 
 
 def _mean(n, square, own):
@@ -166,6 +242,23 @@ def leader_clusters(pairs: DataFrame, ids: DataFrame, threshold: float = 0.9) ->
     return out.unionByName(_leaders_in_rounds(large, large.select(F.col("a").alias("id"))))
 
 
+def row_leaders(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, leader): leader_clusters of sparse rows (id, idx, value) by their cosines to PLACES decimals.
+
+    Equal rows have the same leader, the first of them or that one's: only the first is compared with others.
+    """
+    whole = F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("row")
+    packed = materialize(rows.groupBy("id").agg(whole))
+    if threshold < 1:
+        own = packed.join(packed.groupBy("row").agg(F.min("id").alias("first")), "row")
+    else:
+        own = packed.withColumn("first", F.col("id"))
+    own = materialize(own.select("id", "first"))
+    kept = materialize(rows.join(own.where("id = first").select("id"), "id"))
+    found = leader_clusters(materialize(similar_pairs(kept, threshold)), kept.select("id"), threshold)
+    return own.join(found.select(F.col("id").alias("first"), "leader"), "first").select("id", "leader")
+
+
 def _leaders_in_rounds(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, leader) of links (a, b), both ways.
 

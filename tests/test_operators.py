@@ -420,3 +420,40 @@ def test_similar_pairs_and_means_match_all_pairs(spark):
     clusters = ids.select("id", (F.col("id") % 3).alias("leader"))
     for x in similarity.group_similarity(clusters, rows).collect():
         assert math.isclose(x.mean_similarity, 2 * sum(c for (a, b), c in pairs.items() if a % 3 == b % 3 == x.leader) / (x.n * (x.n - 1)))
+
+
+@pytest.mark.parametrize("worth", [0, 1e9])
+def test_similar_pairs_by_join_and_by_products(spark, monkeypatch, worth):
+    for name, value in (("WORTH", worth), ("GROUP", 11), ("STRIP", 4), ("COLUMNS", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    r = random.Random(7)
+    data = {i: {k: float(r.randint(1, 3)) for k in range(8) if r.random() < 0.5} for i in range(30)}
+    data[30], data[31] = {k: 1.0 for k in range(100, 112)}, {k: 1.0 for k in range(103, 115)}  # a cosine of 9 / 12
+    rows = spark.createDataFrame([(i, k, x) for i, own in data.items() for k, x in own.items()], "id long, idx long, value double")
+    norm = {i: math.sqrt(sum(x * x for x in own.values())) for i, own in data.items()}
+    cosine = {(i, j): sum(x * data[j].get(k, 0) for k, x in data[i].items()) / norm[i] / norm[j] for i in data for j in data if i < j and data[i] and data[j]}
+    got = {(x.a, x.b): x.cosine for x in similarity.similar_pairs(rows, 0.75).collect()}
+    assert got.keys() == {p for p, c in cosine.items() if round(c, 9) > 0.75} and (30, 31) not in got
+    assert all(math.isclose(c, cosine[p]) for p, c in got.items())
+
+
+def test_leaders_of_rows_with_many_copies(spark):
+    """Copies are not compared with each other: a hundred thousand links among them would be made."""
+    r = random.Random(9)
+    kinds = [{k: float(r.randint(1, 2)) for k in r.sample(range(6), 4)} for _ in range(12)]
+    own = {i: kinds[r.randrange(12)] for i in range(1500)}
+    rows = spark.createDataFrame([(i, k, x) for i, e in own.items() for k, x in e.items()], "id long, idx long, value double")
+    norm = lambda e: math.sqrt(sum(x * x for x in e.values()))
+    near = lambda a, b: round(sum(x * b.get(k, 0) for k, x in a.items()) / norm(a) / norm(b), 9) > 0.9
+    leaders, want = [], {}
+    for i, e in own.items():
+        want[i] = next((x for x in leaders if near(own[x], e)), i)
+        if want[i] == i:
+            leaders.append(i)
+    seen, pairs = [], similarity.similar_pairs
+    try:
+        similarity.similar_pairs = lambda kept, t: (seen.append(kept.select("id").distinct().count()), pairs(kept, t))[1]
+        assert {x.id: x.leader for x in similarity.row_leaders(rows, 0.9).collect()} == want
+    finally:
+        similarity.similar_pairs = pairs
+    assert seen[0] <= 12
