@@ -305,5 +305,5 @@ def group_similarity(clusters: DataFrame, rows: DataFrame) -> DataFrame:
 def cluster_labels(vec: DataFrame, n_samples: int, threshold: float) -> DataFrame:
     """(leader, n, mean_similarity): means per block of samples, cosine, leader groups."""
     rows = materialize(label_means(vec, n_samples).select(F.col("block").alias("id"), "idx", F.col("mean").alias("value")))
-    clusters = materialize(leader_clusters(similar_pairs(rows, threshold), rows.select("id"), threshold))
+    clusters = materialize(row_leaders(rows, threshold))
     return group_similarity(clusters, rows)
